@@ -42,10 +42,12 @@ def hours_to_bars(hours: str | Column, interval: str | Column, at_least_one: boo
 
 
 def period_label(bars: str | Column, interval: str | Column) -> Column:
+    """e.g. ``24.5 bars (24.5h)``, in days from 24 hours on; ties round to even."""
     hours = col(bars) * hours_per_bar(interval)
-    return F.when(
-        hours < 24, F.format_string("%.1f bars (%.1fh)", col(bars).cast("double"), hours)
-    ).otherwise(F.format_string("%.1f bars (%.1fd)", col(bars).cast("double"), hours / 24))
+    shown = [F.bround(c.cast("double"), 1) for c in (col(bars), hours, hours / 24)]
+    return F.when(hours < 24, F.format_string("%.1f bars (%.1fh)", shown[0], shown[1])).otherwise(
+        F.format_string("%.1f bars (%.1fd)", shown[0], shown[2])
+    )
 
 
 # --- volatility and stop bands ------------------------------------------------------------------
