@@ -385,17 +385,18 @@ LEVELS = f"""{TRADES}, lv AS (SELECT t.*, l.level, l.share, t.entry_price * (1 +
   (VALUES (0, 0.02::DOUBLE, 0.3::DOUBLE), (1, 0.05::DOUBLE, 0.3::DOUBLE), (2, 0.5::DOUBLE, 0.4::DOUBLE)) l(level, pct, share))"""
 
 
-@query("s14_profit_levels", with_(LEVELS, f"SELECT symbol, entry_idx, level, {rs('share level_price')} FROM lv"))
+@query("s14_profit_levels", with_(LEVELS, f"SELECT symbol, entry_idx, level, share, round(level_price, 8) AS level_price FROM lv"))
 def s14(spark, sf):
     levels = bt.profit_levels(flagship(spark, sf)[1], STEPS)
-    return rounded(levels.select("symbol", "entry_idx", "level", "share", "level_price"))
+    return levels.select("symbol", "entry_idx", "level", "share", F.round("level_price", 8).alias("level_price"))
 
 
-@query("s15_profit_hits", with_(LEVELS, f"""SELECT lv.symbol, lv.entry_idx, lv.level, {rs('level_price')}, min(b.bar_idx) AS hit_idx
+@query("s15_profit_hits", with_(LEVELS, f"""SELECT lv.symbol, lv.entry_idx, lv.level, round(level_price, 8) AS level_price, min(b.bar_idx) AS hit_idx
   FROM lv JOIN ib b ON b.symbol = lv.symbol AND b.bar_idx >= lv.entry_idx AND b.bar_idx < lv.exit_idx AND b.high >= lv.level_price GROUP BY ALL"""))
 def s15(spark, sf):
     pos, trades, _ = flagship(spark, sf)
-    return rounded(bt.profit_hits(bt.profit_levels(trades, STEPS), pos).select("symbol", "entry_idx", "level", "level_price", "hit_idx"))
+    hits = bt.profit_hits(bt.profit_levels(trades, STEPS), pos)
+    return hits.select("symbol", "entry_idx", "level", F.round("level_price", 8).alias("level_price"), "hit_idx")
 
 
 # Sizes for every order line: capital, entry, stop and volatility taken from its columns.

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.columns import fixed_risk_size, holds, volatility_size
 from tidemark.operators.series import (
@@ -335,8 +335,9 @@ def take_in_turn(
         *keys, "bar_idx", "entry_idx", "entry_time", "entry_price", "direction", "left_at", "_due",
         "exit_time", "exit_price", "exit_event",
     ).schema
-    out = schema.add("size", "double").add("cash_in", "double").add("cash_out", "double")
-    names = [f.name for f in schema.fields]
+    names = schema.names
+    account_fields = [T.StructField(n, T.DoubleType()) for n in ("size", "cash_in", "cash_out")]
+    out = T.StructType([*schema.fields, *account_fields])
 
     def walk(batches):
         current, free, cash = None, -1, account.capital
@@ -381,14 +382,12 @@ def take_in_turn(
 def replay(df: DataFrame, keys: list[str] = SERIES, account: Account = Account()) -> tuple[DataFrame, DataFrame]:
     """Backtest with shorts, stop and time exits and every sizing mode: (equity bars, trades)."""
     # ``left_at`` is the bar whose close decides; the fill is the next open
-    fills = lay_out(df.select(*keys, "bar_idx", "n_bars", "open_time", "open", "close", "signal", *[c for c in ("stop",) if c in df.columns]), ahead=1)
-    nxt = F.lead(F.struct("open", "open_time")).over(chunk_window(keys))
-    fills = drop_halo(fills.withColumn("_fill", nxt)).select(
+    stop = F.col("stop") if "stop" in df.columns else F.lit(None).cast("double")
+    decided = df.select(*keys, "bar_idx", "n_bars", "open_time", "open", F.struct("close", stop.alias("stop")).alias("_at"))
+    following = F.lead(F.struct("open", "open_time")).over(chunk_window(keys))
+    fills = drop_halo(lay_out(decided, ahead=1).withColumn("_fill", following)).select(
         *keys, F.col("bar_idx").alias("left_at"), F.col("_fill.open_time").alias("exit_time"),
-        F.col("_fill.open").alias("_exit_open"), *[
-            F.struct("close", "stop").alias("_at") if "stop" in df.columns
-            else F.struct("close", F.lit(None).cast("double").alias("stop")).alias("_at")
-        ],
+        F.col("_fill.open").alias("_exit_open"), "_at",
     )
     c = entry_candidates(df, keys, account).join(fills, [*keys, "left_at"], "left")
     stopped = F.when(F.col("direction") == 1, F.col("_at.close") < F.col("_at.stop")).otherwise(
@@ -398,6 +397,7 @@ def replay(df: DataFrame, keys: list[str] = SERIES, account: Account = Account()
     c = c.withColumn("exit_event", reason).withColumn(
         "exit_price", F.col("_exit_open") * (1 - F.col("direction") * account.slippage)
     )
+    c = c.drop("_at", "_exit_open")
     taken = take_in_turn(c, keys, account).withColumn("exit_idx", F.col("left_at") + 1)
 
     closed = taken.where(F.col("left_at").isNotNull())

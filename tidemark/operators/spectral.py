@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tidemark.operators.series import chunk_window, drop_halo, lay_out
 from tidemark.schema import SERIES
 
 
@@ -33,13 +34,15 @@ def dominant_peaks(
     spectrum: DataFrame, n_peaks: int = 5, min_ratio: float = 0.01, keys: list[str] = SERIES
 ) -> DataFrame:
     """Strict interior local maxima holding at least ``min_ratio`` of the top power; best n."""
-    w = Window.partitionBy(*keys).orderBy("k")
-    top = spectrum.groupBy(*keys).agg(F.max("power").alias("_top"))
-    s = spectrum.withColumn("_l", F.lag("power").over(w)).withColumn("_r", F.lead("power").over(w))
-    peaks = (
-        s.where((F.col("power") > F.col("_l")) & (F.col("power") > F.col("_r")))
-        .join(top, keys)
-        .where(F.col("power") >= F.col("_top") * min_ratio)
+    top = spectrum.groupBy(*keys).agg(F.max("power").alias("_top"), F.max("k").alias("n_bars"))
+    s = spectrum.join(top, keys).withColumn("bar_idx", F.col("k") - 1)
+    w = chunk_window(keys)
+    s = lay_out(s, back=1, ahead=1)
+    s = drop_halo(s.withColumn("_l", F.lag("power").over(w)).withColumn("_r", F.lead("power").over(w)))
+    peaks = s.where(
+        (F.col("power") > F.col("_l"))
+        & (F.col("power") > F.col("_r"))
+        & (F.col("power") >= F.col("_top") * min_ratio)
     )
     best = Window.partitionBy(*keys).orderBy(F.desc("power"), "k")
     return (
