@@ -1 +1,377 @@
-"""Pending."""
+"""Parameter search (O1-O17), Monte Carlo (M1-M5), result sinks."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from catalog.base import (
+    ACCOUNT, HOURLY, METRIC_NAMES, SMOOTHED, bars, indexed, indexed_sql, metrics_sql, query, r, replay_sql, rounded, rs,
+    smooth_sql, table, trades_sql, with_,
+)
+from catalog.backtests import FLAGSHIP, flagship
+from catalog.signals import TR, smoothed
+from tidemark.operators import align, metrics as mt, montecarlo as mc, search as so
+from tidemark.plans import optimise as op
+from tidemark.plans.staging import stage
+from tidemark.schema import SERIES
+from tidemark.sources import sinks
+
+GRID = {"a": so.Axis("int", 1, 3), "b": so.Axis("float", 0.1, 10.0, log=True), "c": so.Axis("float", 0.0, 1.0), "d": so.Axis("choice", choices=("x", "y"))}
+
+
+@query("o1_grid_candidates", f"""SELECT s_suppkey, ((i * 3 + j) * 3 + k) * 2 + l AS param_id, 1 + i AS a, round(power(10.0::DOUBLE, j - 1), 7) AS b,
+  k * 0.5::DOUBLE AS c, CASE l WHEN 0 THEN 'x' ELSE 'y' END AS d FROM supplier, range(3) t1(i), range(3) t2(j), range(3) t3(k), range(2) t4(l)""")
+def o1(spark, sf):
+    return rounded(so.grid_candidates(table(spark, sf, "supplier").select("s_suppkey"), GRID, 3))
+
+
+@query("j5_parameter_product", """SELECT s_suppkey, i * 4 + j AS param_id, CAST(floor(1 + i) AS INT) AS a, round(j / 3.0::DOUBLE, 7) AS c
+  FROM supplier, range(4) t1(i), range(4) t2(j)""")
+def j5(spark, sf):
+    space = {"a": so.Axis("int", 1, 4), "c": so.Axis("float", 0.0, 1.0)}
+    return rounded(so.grid_candidates(table(spark, sf, "supplier").select("s_suppkey"), space, 4))
+
+
+def hash_sql(row: str, stream: str, seed: int) -> str:
+    x = f"((({row})::BIGINT * 2654435761 + ({stream})::BIGINT * 40503 + {seed * 9973}) % 4294967296)"
+    for _ in range(2):
+        x = f"((xor({x} >> 16, {x}) * 73244475) % 4294967296)"
+    return f"xor({x} >> 16, {x})"
+
+
+def uniform_sql(row: str, stream: str, seed: int) -> str:
+    return f"({hash_sql(row, stream, seed)} / 4294967296.0::DOUBLE)"
+
+
+@query("o2_random_candidates", f"""SELECT s_suppkey, param_id, CAST(1 + floor(u0 * 3) AS INT) AS a, {r('power(10.0::DOUBLE, -1 + u1 * 2)', 'b', 6)}, {r('u2', 'c', 6)},
+  CASE floor(u3 * 2) WHEN 0 THEN 'x' ELSE 'y' END AS d FROM (SELECT s_suppkey, param_id, {', '.join(f"{uniform_sql('param_id', str(i), 7)} AS u{i}" for i in range(4))}
+  FROM supplier, range(100) t(param_id))""")
+def o2(spark, sf):
+    return rounded(so.random_candidates(table(spark, sf, "supplier").select("s_suppkey"), GRID, 100, 7), 6)
+
+
+# --- evaluating candidates ----------------------------------------------------------------------
+
+SPACE = {
+    "min_trend_period_hours": so.Axis("float", 12.0, 48.0), "atr_period": so.Axis("int", 7, 28),
+    "slope_lookback": so.Axis("int", 1, 3),
+}
+NAMES = list(SPACE)
+GRID8 = op.Search(SPACE, "grid", points=2)
+RANDOM = op.Search(SPACE, "random", n=4, seed=3)
+GRID8_SQL = """par AS (SELECT i * 4 + j * 2 + k AS param_id, 12.0::DOUBLE + 36 * i AS hours, 7 + 21 * j AS period, 1 + 2 * k AS lookback
+  FROM range(2) t1(i), range(2) t2(j), range(2) t3(k))"""
+RANDOM_SQL = f"""par AS (SELECT param_id, 12 + u0 * 36 AS hours, 7 + floor(u1 * 22) AS period, 1 + CAST(floor(u2 * 3) AS INT) AS lookback
+  FROM (SELECT param_id, {', '.join(f"{uniform_sql('param_id', str(i), 3)} AS u{i}" for i in range(3))} FROM range(4) t(param_id)))"""
+PB = "pb AS (SELECT tr0.*, par.* FROM tr0, par)"
+
+
+def objective_sql(source: str = "pb", keys: str = "symbol, param_id", p: str = "") -> str:
+    """Smooth, ATR-stop, signal and account per key; ``p`` prefixes every CTE."""
+    ks = [k.strip() for k in keys.split(",")]
+    on = " AND ".join(f"s.{k} = e.{k}" for k in ks)
+    sk = ", ".join(f"s.{k}" for k in ks)
+    w = f"(PARTITION BY {keys} ORDER BY bar_idx)"
+    return f"""{smooth_sql(period='trunc(hours)', source=source, name=p + 'sm', keys=keys)},
+  {p}ar AS (SELECT {keys}, bar_idx, tr AS atr FROM {source} WHERE bar_idx = 0 UNION ALL SELECT {sk}, s.bar_idx,
+    s.tr * 2.0::DOUBLE / (s.period + 1) + e.atr * (s.period - 1) / (s.period + 1) FROM {p}ar e JOIN {source} s ON {on} AND s.bar_idx = e.bar_idx + 1),
+  {p}sg AS (SELECT *, lag(signal) OVER {w} AS sig1 FROM (SELECT *, CASE WHEN (pc >= ps AND close < smoothed) OR close < close - 2 * atr THEN -1
+    WHEN pc <= ps AND close > smoothed AND smoothed > back THEN 1 ELSE 0 END AS signal FROM (SELECT *, lag(close) OVER {w} AS pc, lag(smoothed) OVER {w} AS ps,
+    CASE lookback WHEN 1 THEN lag(smoothed, 1) OVER {w} WHEN 2 THEN lag(smoothed, 2) OVER {w} ELSE lag(smoothed, 3) OVER {w} END AS back
+    FROM {p}sm JOIN {p}ar USING ({keys}, bar_idx)))),
+  {replay_sql(p + 'sg', p + 'acc', keys)}, {trades_sql(p + 'acc', p + 'tr', keys, source)}, {metrics_sql(p + 'acc', p + 'tr', p + 'met', keys)}"""
+
+
+OBJ = f"{TR}, {GRID8_SQL}, {PB}, {objective_sql()}"
+MSEL = f"n_trades, n_wins, n_losses, {rs(METRIC_NAMES, 6)}"
+
+
+def prepared(spark, sf):
+    return stage(op.prepare(bars(spark, sf)))
+
+
+def grid_run(spark, sf):
+    return op.search(prepared(spark, sf), GRID8)
+
+
+@query("o5_candidate_evaluation", with_(OBJ, f"SELECT symbol, param_id, hours AS min_trend_period_hours, period AS atr_period, lookback AS slope_lookback, {MSEL} FROM met JOIN par USING (param_id)"))
+def o5(spark, sf):
+    return rounded(grid_run(spark, sf).drop("interval"), 6)
+
+
+@query("u3_objective_plugin", with_(f"{TR}, {RANDOM_SQL}, {PB}, {objective_sql()}", f"SELECT symbol, param_id, {MSEL} FROM met"))
+def u3(spark, sf):
+    d = so.with_candidates(prepared(spark, sf), RANDOM.size, RANDOM.columns(F.col("param_id")))
+    return rounded(op.evaluate(d, [*SERIES, "param_id"], lookbacks=[1, 2, 3]).drop("interval"), 6)
+
+
+BEST = "best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sharpe_ratio DESC, param_id) = 1)"
+
+
+@query("o6_best_result", with_(f"{OBJ}, {BEST}", f"SELECT symbol, param_id, {rs('sharpe_ratio total_return', 6)} FROM best"))
+def o6(spark, sf):
+    return rounded(so.best_result(grid_run(spark, sf), "sharpe_ratio", SERIES).select("symbol", "param_id", "sharpe_ratio", "total_return"), 6)
+
+
+BOARD = "hours AS min_trend_period_hours, period AS atr_period, lookback AS slope_lookback"
+
+
+def board_of(spark, sf):
+    return so.leaderboard(grid_run(spark, sf), NAMES, ["sharpe_ratio", "total_return", "max_drawdown_pct"], "sharpe_ratio", SERIES)
+
+
+@query("o7_leaderboard", with_(OBJ, f"SELECT symbol, param_id, {BOARD}, {r('sharpe_ratio', 'train_sharpe_ratio', 6)}, {r('total_return', 'train_total_return', 6)}, {r('max_drawdown_pct', 'train_max_drawdown_pct', 6)} FROM met JOIN par USING (param_id)"))
+def o7(spark, sf):
+    return rounded(board_of(spark, sf).drop("interval"), 6)
+
+
+@query("b7_top20", with_(OBJ, f"SELECT symbol, param_id, {r('sharpe_ratio', 'train_sharpe_ratio', 6)} FROM met ORDER BY met.sharpe_ratio DESC, symbol, param_id LIMIT 20"))
+def b7(spark, sf):
+    return rounded(board_of(spark, sf).select("symbol", "param_id", "train_sharpe_ratio").limit(20), 6)
+
+
+@query("o8_random_search", with_(f"{TR}, {RANDOM_SQL}, {PB}, {objective_sql()}", f"SELECT symbol, param_id, {r('hours', 'min_trend_period_hours', 6)}, period::INT AS atr_period, lookback AS slope_lookback, {r('sharpe_ratio', None, 6)}, n_trades FROM met JOIN par USING (param_id)"))
+def o8(spark, sf):
+    out = op.search(prepared(spark, sf), RANDOM)
+    return rounded(out.select("symbol", "param_id", *NAMES, "sharpe_ratio", "n_trades"), 6)
+
+
+@query("o3_gp_acquisition")
+def o3(spark, sf):
+    seen = grid_run(spark, sf).withColumn("score", F.col("sharpe_ratio"))
+    return so.suggest(seen, SPACE, SERIES, n_iter=5, seed=1)
+
+
+@query("o4_bayesian_search")
+def o4(spark, sf):
+    spec = op.Search(SPACE, "bayesian", n=4, n_initial=4, seed=1)
+    return op.search(prepared(spark, sf), spec).select("symbol", "param_id", *NAMES, "sharpe_ratio")
+
+
+# --- walk-forward -------------------------------------------------------------------------------
+
+TRAIN, TEST, STEP = 220, 110, 160
+WIN = f"""wn AS (SELECT symbol, s // {STEP} AS window_id, s AS train_start, s + {TRAIN} AS train_end, s + {TRAIN} AS test_start, s + {TRAIN + TEST} AS test_end
+  FROM (SELECT symbol, unnest(range(0, n_bars - {TRAIN + TEST} + 1, {STEP})) AS s FROM ib WHERE bar_idx = 0))"""
+
+
+@query("o9_walkforward_windows", with_(f"{HOURLY}, {WIN}", f"""SELECT 'rolling' AS kind, * FROM wn
+  UNION ALL SELECT 'anchored', symbol, window_id, 0, train_end, test_start, test_end FROM wn"""))
+def o9(spark, sf):
+    lengths = indexed(spark, sf).where("bar_idx = 0").select("symbol", "n_bars")
+    rolling = op.walk_windows(lengths, TRAIN, TEST, STEP).withColumn("kind", F.lit("rolling"))
+    anchored = op.walk_windows(lengths, TRAIN, TEST, STEP, anchored=True).withColumn("kind", F.lit("anchored"))
+    return rolling.unionByName(anchored)
+
+
+@query("j6_bars_in_windows", with_(f"{HOURLY}, {WIN}", f"SELECT symbol, window_id, bar_idx, {rs('close')} FROM ib JOIN wn USING (symbol) WHERE bar_idx >= train_start AND bar_idx < train_end"))
+def j6(spark, sf):
+    d = indexed(spark, sf)
+    w = op.walk_windows(d.where("bar_idx = 0").select(*SERIES, "n_bars"), TRAIN, TEST, STEP)
+    return rounded(align.in_windows(d, w, "train_start", "train_end").select("symbol", "window_id", "bar_idx", "close"))
+
+
+@query("o10_train_test_split", with_(f"{HOURLY}, {WIN}", f"""SELECT 'train' AS part, symbol, window_id, bar_idx - train_start AS bar_idx, {rs('close')} FROM ib JOIN wn USING (symbol)
+  WHERE bar_idx >= train_start AND bar_idx < train_end UNION ALL SELECT 'test', symbol, window_id, bar_idx - test_start, {rs('close')} FROM ib JOIN wn USING (symbol)
+  WHERE bar_idx >= test_start AND bar_idx < test_end"""))
+def o10(spark, sf):
+    d = prepared(spark, sf)
+    w = op.walk_windows(d.where("bar_idx = 0").select(*SERIES, "n_bars"), TRAIN, TEST, STEP)
+    part = lambda p: op.window_bars(d, w, p).withColumn("part", F.lit(p)).select("part", "symbol", "window_id", "bar_idx", "close")
+    return rounded(part("train").unionByName(part("test")))
+
+
+def cut_sql(part: str, extra: str = "", join: str = "") -> str:
+    size = TRAIN if part == "train" else TEST
+    return f"""SELECT t.symbol, wn.window_id, t.bar_idx - wn.{part}_start AS bar_idx, {size} AS n_bars, t.open_time, t.open, t.high, t.low, t.close,
+  CASE WHEN t.bar_idx = wn.{part}_start THEN t.high - t.low ELSE t.tr END AS tr{extra}
+  FROM tr0 t JOIN wn ON wn.symbol = t.symbol AND t.bar_idx >= wn.{part}_start AND t.bar_idx < wn.{part}_end {join}"""
+
+
+WF = f"""{TR}, {WIN}, {RANDOM_SQL}, ptrain AS ({cut_sql('train', ', par.*', ', par')}), {objective_sql('ptrain', 'symbol, window_id, param_id', 'a')},
+  chosen AS (SELECT * FROM amet QUALIFY row_number() OVER (PARTITION BY symbol, window_id ORDER BY sharpe_ratio DESC, param_id) = 1),
+  ptest AS ({cut_sql('test', ', par.hours, par.period, par.lookback', 'JOIN chosen c ON c.symbol = t.symbol AND c.window_id = wn.window_id JOIN par USING (param_id)')}),
+  {objective_sql('ptest', 'symbol, window_id', 'b')}"""
+
+
+def walk(spark, sf):
+    return op.walk_forward(prepared(spark, sf), RANDOM, TRAIN, TEST, STEP)
+
+
+@query("o11_walk_forward_oos", with_(WF, f"SELECT symbol, {', '.join(r(f'avg({m})', m, 6) for m in METRIC_NAMES.split())}, {', '.join(r(f'avg({m})', m, 6) for m in ('n_trades', 'n_wins', 'n_losses'))} FROM bmet GROUP BY symbol"))
+def o11(spark, sf):
+    return rounded(walk(spark, sf).out_of_sample.drop("interval"), 6)
+
+
+@query("o17_train_vs_test", with_(WF, f"SELECT symbol, window_id, {r('c.sharpe_ratio', 'train', 6)}, {r('b.sharpe_ratio', 'test', 6)} FROM chosen c JOIN bmet b USING (symbol, window_id)"))
+def o17(spark, sf):
+    return rounded(op.train_vs_test(walk(spark, sf), "sharpe_ratio").drop("interval"), 6)
+
+
+@query("o12_combined_oos", with_(f"""{ACCOUNT}, cur AS (SELECT symbol, bar_idx // 100 AS window_id, bar_idx % 100 AS i, equity, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) AS n FROM acc),
+  q AS (SELECT *, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY n) - 1 AS ret, max(equity) OVER (PARTITION BY symbol ORDER BY n) AS peak FROM cur)""",
+  f"""SELECT symbol, {r('(arg_max(equity, n) - arg_min(equity, n)) / arg_min(equity, n)', 'total_return', 6)}, {r('arg_max(equity, n) / arg_min(equity, n) - 1', 'cumulative_return', 6)},
+  {r('power(arg_max(equity, n) / arg_min(equity, n), 8760.0::DOUBLE / count(*)) - 1', 'annualized_return', 6)},
+  {r('avg(ret) / (stddev_samp(ret) + 1e-10) * sqrt(8760)', 'sharpe_ratio', 6)},
+  {r('avg(ret) / ((stddev_samp(ret) FILTER (WHERE ret < 0)) + 1e-10) * sqrt(8760)', 'sortino_ratio', 6)},
+  {r('min(equity - peak)', 'max_drawdown', 6)}, {r('arg_min((equity - peak) / peak, (equity - peak, n))', 'max_drawdown_pct', 6)}, count(DISTINCT window_id) AS n_windows FROM q GROUP BY symbol"""))
+def o12(spark, sf):
+    pos = flagship(spark, sf)[0]
+    curves = pos.select(*SERIES, F.floor(F.col("bar_idx") / 100).alias("window_id"), (F.col("bar_idx") % 100).alias("bar_idx"), "equity")
+    return rounded(op.combined_curve_metrics(curves).drop("interval"), 6)
+
+
+IMP = f"""{OBJ}, lb AS (SELECT symbol, param_id, hours, period, lookback, sharpe_ratio FROM met JOIN par USING (param_id)),
+  im AS (SELECT symbol, 'min_trend_period_hours' AS parameter, abs(corr(hours, sharpe_ratio)) AS importance FROM lb GROUP BY symbol
+    UNION ALL SELECT symbol, 'atr_period', abs(corr(period, sharpe_ratio)) FROM lb GROUP BY symbol
+    UNION ALL SELECT symbol, 'slope_lookback', abs(corr(lookback, sharpe_ratio)) FROM lb GROUP BY symbol)"""
+
+
+@query("o13_parameter_importance", with_(IMP, f"SELECT symbol, parameter, {r('importance', None, 5)} FROM im WHERE importance IS NOT NULL"))
+def o13(spark, sf):
+    imp = so.parameter_importance(board_of(spark, sf), NAMES, "train_sharpe_ratio", SERIES)
+    return rounded(imp.select("symbol", "parameter", "importance"), 5)
+
+
+@query("o14_parameter_heatmap", with_(OBJ, f"""SELECT symbol, lookback AS slope_lookback, {r('avg(sharpe_ratio) FILTER (WHERE hours = 12)', '"12.0"', 6)},
+  {r('avg(sharpe_ratio) FILTER (WHERE hours = 48)', '"48.0"', 6)} FROM met JOIN par USING (param_id) GROUP BY symbol, lookback"""))
+def o14(spark, sf):
+    heat = so.parameter_heatmap(board_of(spark, sf), "min_trend_period_hours", "slope_lookback", "train_sharpe_ratio", SERIES, [12.0, 48.0])
+    heat = heat.toDF(*[c.replace(".", "_") for c in heat.columns])
+    return rounded(heat.drop("interval"), 6).withColumnsRenamed({"12_0": "12.0", "48_0": "48.0"})
+
+
+@query("o15_best_so_far", with_(OBJ, f"SELECT symbol, param_id, {r('sharpe_ratio', None, 6)}, {r('max(sharpe_ratio) OVER (PARTITION BY symbol ORDER BY param_id)', 'best', 6)} FROM met"))
+def o15(spark, sf):
+    return rounded(so.best_so_far(grid_run(spark, sf), "sharpe_ratio", SERIES).drop("interval"), 6)
+
+
+@query("o16_metric_frontier", with_(OBJ, f"SELECT symbol, param_id, {r('sharpe_ratio', 'x', 6)}, {r('max_drawdown_pct', 'y', 6)} FROM met"))
+def o16(spark, sf):
+    return rounded(so.frontier(board_of(spark, sf), "train_sharpe_ratio", "train_max_drawdown_pct", SERIES).drop("interval"), 6)
+
+
+# --- Monte Carlo --------------------------------------------------------------------------------
+
+SIMS, BLOCK, SEED = 40, 20, 5
+# Close-to-close hourly returns, damped so that compounding stays in range.
+RET = f"""{HOURLY}, rt AS (SELECT symbol, bar_idx - 1 AS idx, (close - pc) / (close + pc + 1) / 50 AS ret FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY bar_idx) AS pc FROM ib) WHERE pc IS NOT NULL)"""
+BOOT = f"""{RET}, ln AS (SELECT symbol, count(*) AS n, CAST(ceil(count(*) / {BLOCK}.0) AS BIGINT) AS nb FROM rt GROUP BY symbol),
+  dr AS (SELECT symbol, n, sim_id, blk, {hash_sql('sim_id * nb + blk', '0', SEED)} % greatest(1, n - {BLOCK} + 1) AS start
+    FROM ln, range({SIMS}) t(sim_id), LATERAL (SELECT unnest(range(nb)) AS blk) b),
+  bs AS (SELECT d.symbol, d.sim_id, d.blk * {BLOCK} + o AS pos, rt.ret FROM dr d, range({BLOCK}) t(o), rt WHERE rt.symbol = d.symbol AND rt.idx = d.start + o AND d.blk * {BLOCK} + o < d.n)"""
+
+
+def damped_returns(spark, sf):
+    from tidemark.operators.series import chunk_window, drop_halo, lay_out
+
+    d = lay_out(indexed(spark, sf), back=1)
+    before = F.lag("close").over(chunk_window())
+    d = drop_halo(d.withColumn("_pc", before)).where(F.col("_pc").isNotNull())
+    ret = (F.col("close") - F.col("_pc")) / (F.col("close") + F.col("_pc") + 1) / 50
+    return d.select(*SERIES, (F.col("bar_idx") - 1).alias("idx"), ret.alias("ret"))
+
+
+def boot(spark, sf):
+    return mc.block_bootstrap(damped_returns(spark, sf), "ret", SIMS, BLOCK, SEED)
+
+
+@query("m1_block_bootstrap", with_(BOOT, f"SELECT symbol, sim_id, pos, {rs('ret')} FROM bs"))
+def m1(spark, sf):
+    return rounded(boot(spark, sf).drop("interval"))
+
+
+@query("m2_residual_bootstrap", with_(f"""{SMOOTHED}, ln AS (SELECT symbol, count(*) AS n, CAST(ceil(count(*) / 30.0) AS BIGINT) AS nb FROM sm GROUP BY symbol),
+  dr AS (SELECT symbol, n, sim_id, blk, {hash_sql('sim_id * nb + blk', '0', 9)} % greatest(1, n - 30 + 1) AS start FROM ln, range(10) t(sim_id), LATERAL (SELECT unnest(range(nb)) AS blk) b)""",
+  f"""SELECT d.symbol, d.sim_id, d.blk * 30 + o AS pos, {r('l.smoothed + s.close - s.smoothed', 'price', 6)} FROM dr d, range(30) t(o), sm s, sm l
+  WHERE s.symbol = d.symbol AND s.bar_idx = d.start + o AND l.symbol = d.symbol AND l.bar_idx = d.blk * 30 + o AND d.blk * 30 + o < d.n"""))
+def m2(spark, sf):
+    return rounded(mc.residual_bootstrap(smoothed(spark, sf), 10, 30, 9).drop("interval"), 6)
+
+
+CURVES = f"""{BOOT}, cv AS (SELECT symbol, sim_id, pos, ret, 10000 * product(1 + ret) OVER (PARTITION BY symbol, sim_id ORDER BY pos) AS equity FROM bs)"""
+
+
+@query("m3_simulated_equity", with_(CURVES, f"SELECT symbol, sim_id, pos + 1 AS bar_idx, {rs('equity')} FROM cv UNION ALL SELECT DISTINCT symbol, sim_id, 0, 10000.0 FROM cv"))
+def m3(spark, sf):
+    return rounded(mc.simulated_curves(boot(spark, sf), 10000.0).select("symbol", "sim_id", "bar_idx", "equity"))
+
+
+SIMM = f"""{CURVES}, dd AS (SELECT *, greatest(10000, max(equity) OVER (PARTITION BY symbol, sim_id ORDER BY pos)) AS peak FROM cv),
+  ms AS (SELECT symbol, sim_id, (arg_max(equity, pos) - 10000) / 10000 AS total_return, avg(ret) / (stddev_samp(ret) + 1e-10) * sqrt(8760) AS sharpe_ratio,
+    avg(ret) / ((stddev_samp(ret) FILTER (WHERE ret < 0)) + 1e-10) * sqrt(8760) AS sortino_ratio, arg_min((equity - peak) / peak, (equity - peak, pos)) AS max_drawdown_pct,
+    power(arg_max(equity, pos) / 10000, 8760.0::DOUBLE / (count(*) + 1)) - 1 AS annualized_return FROM dd GROUP BY symbol, sim_id),
+  ml AS (UNPIVOT ms ON total_return, sharpe_ratio, sortino_ratio, max_drawdown_pct, annualized_return INTO NAME metric VALUE value)"""
+
+
+def sim_metrics(spark, sf):
+    return mc.curve_metrics(boot(spark, sf), 10000.0)
+
+
+@query("m4_simulation_metrics", with_(SIMM, f"SELECT symbol, sim_id, {rs('total_return sharpe_ratio sortino_ratio max_drawdown_pct annualized_return', 6)} FROM ms"))
+def m4(spark, sf):
+    return rounded(sim_metrics(spark, sf).drop("interval"), 6)
+
+
+@query("m4_percentiles", with_(SIMM, f"""SELECT symbol, metric, {', '.join(r(f'quantile_cont(value, {p / 100})', f'p{p}', 6) for p in (5, 25, 50, 75, 95))},
+  {r('avg(value)', 'mean', 6)}, {r('stddev_samp(value)', 'std', 6)} FROM ml GROUP BY symbol, metric"""))
+def m4_percentiles(spark, sf):
+    return rounded(mc.summarise(sim_metrics(spark, sf)).drop("interval"), 6)
+
+
+@query("m5_histogram", with_(SIMM, """SELECT symbol, metric, CAST(least(9, floor((value - lo) / (hi - lo) * 10)) AS BIGINT) AS bin, count(*) AS n
+  FROM (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM ml WINDOW w AS (PARTITION BY symbol, metric)) GROUP BY ALL"""))
+def m5(spark, sf):
+    return mc.histogram(sim_metrics(spark, sf), 10).drop("interval")
+
+
+# --- sinks: written, read back and returned -----------------------------------------------------
+
+def _out() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+@query("a11_leaderboard_sink", with_(OBJ, f"SELECT 'csv' AS fmt, symbol, param_id, {r('sharpe_ratio', 'train_sharpe_ratio', 6)} FROM met UNION ALL SELECT 'parquet', symbol, param_id, {r('sharpe_ratio', 'train_sharpe_ratio', 6)} FROM met"))
+def a11(spark, sf):
+    board, path = stage(board_of(spark, sf)), _out()
+    sinks.write_leaderboard(board, f"{path}/c", "csv")
+    sinks.write_leaderboard(board, f"{path}/p", "parquet")
+    csv = spark.read.option("header", True).schema(board.schema).csv(f"{path}/c").withColumn("fmt", F.lit("csv"))
+    parquet = spark.read.parquet(f"{path}/p").withColumn("fmt", F.lit("parquet"))
+    return rounded(csv.unionByName(parquet).select("fmt", "symbol", "param_id", "train_sharpe_ratio"), 6)
+
+
+@query("a12_best_config_json", with_(f"{OBJ}, {BEST}", f"""SELECT symbol, 'grid_search' AS method, {r('sharpe_ratio', 'best_score', 6)}, hours AS min_trend_period_hours,
+  lookback AS slope_lookback FROM best JOIN par USING (param_id)"""))
+def a12(spark, sf):
+    path = _out() + "/best"
+    sinks.write_best_config(grid_run(spark, sf), path, NAMES, "grid_search", "sharpe_ratio", 0)
+    doc = F.from_json("value", "method string, objective_metric string, best_score double, seed bigint, best_params struct<min_trend_period_hours: double, atr_period: int, slope_lookback: int>")
+    back = spark.read.option("basePath", path).text(path).withColumn("d", doc)
+    return rounded(back.select("symbol", "d.method", "d.best_score", "d.best_params.min_trend_period_hours", "d.best_params.slope_lookback"), 6)
+
+
+@query("a13_walkforward_sink", with_(f"{HOURLY}, {WIN}", "SELECT symbol, window_id, train_start, train_end, test_start, test_end FROM wn"))
+def a13(spark, sf):
+    path = _out()
+    sinks.write_walk_forward(walk(spark, sf), path)
+    schema = "symbol string, interval string, window_id long, train_start long, train_end long, test_start long, test_end long"
+    return spark.read.option("header", True).schema(schema).csv(f"{path}/windows").drop("interval")
+
+
+@query("a14_monte_carlo_sink", with_(SIMM, f"SELECT symbol, metric, sim_id, {r('value', None, 6)} FROM ml"))
+def a14(spark, sf):
+    path = _out()
+    sinks.write_monte_carlo(stage(sim_metrics(spark, sf)), path)
+    back = spark.read.option("header", True).schema("symbol string, interval string, sim_id long, value double, metric string").csv(f"{path}/distribution")
+    return rounded(back.drop("interval"), 6)
+
+
+@query("a15_full_export", with_(OBJ, f"SELECT symbol, param_id, {r('sharpe_ratio', 'train_sharpe_ratio', 6)} FROM met"))
+def a15(spark, sf):
+    path, results = _out(), stage(grid_run(spark, sf))
+    board = so.leaderboard(results, NAMES, ["sharpe_ratio"], "sharpe_ratio", SERIES)
+    sinks.write_search(results, board, path, NAMES, "grid_search", "sharpe_ratio", 0)
+    return rounded(spark.read.parquet(f"{path}/leaderboard_parquet").select("symbol", "param_id", "train_sharpe_ratio"), 6)

@@ -21,6 +21,12 @@ def holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def each(first, last) -> Column:
+    """One row per whole number in [first, last]."""
+    ends = [(F.lit(v) if not isinstance(v, Column) else v).cast("long") for v in (first, last)]
+    return F.explode(F.sequence(*ends))
+
+
 # --- periods and cut-offs -----------------------------------------------------------------------
 
 def cutoff_fraction(min_period, total, scale=1.0) -> Column:
