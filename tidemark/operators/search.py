@@ -171,7 +171,8 @@ def suggest(
     names = list(space)
     points = F.array(*[axis.coordinate(F.col(n)).cast("double") for n, axis in space.items()])
     seen = observed.select(*keys, points.alias("_x"), F.col("score").cast("double").alias("_y"))
-    slots = observed.select(*keys).distinct()
+    # fresh column identities: both sides of the cogroup come from the same frame
+    slots = observed.select(*keys).distinct().toDF(*keys)
     slots = slots.withColumn("_point", each(0, n_iter * samples - 1))
     drawn = F.array(*[uniform(F.col("_point"), 1000 + i, seed) for i in range(len(names))])
     slots = slots.withColumn("_u", drawn)
