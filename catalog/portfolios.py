@@ -12,13 +12,13 @@ from tidemark.plans.portfolio_run import Policy, run_portfolio
 from tidemark.plans.staging import stage
 from tidemark.schema import SERIES
 
-RX = f"""{DRET}, rx AS (SELECT symbol, bar_idx AS t, coalesce(ret, 0) AS ret FROM ret WHERE bar_idx < (SELECT min(n_bars) FROM ret))"""
+RX = f"""{DRET}, rx AS (SELECT symbol, bar_idx AS t, coalesce(ret / (2 + ret) / 50, 0) AS ret FROM ret WHERE bar_idx < (SELECT min(n_bars) FROM ret))"""
 
 
 def member_returns(spark, sf):
-    """Daily returns of the regions, aligned by position; the first return counts as zero."""
+    """Damped daily returns of the regions, aligned by position; the first return counts as zero."""
     d = align.align_series(daily_returns(spark, sf), "position")
-    return d.select(F.lit("all").alias("portfolio"), "symbol", F.col("bar_idx").alias("t"), F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    return d.select(F.lit("all").alias("portfolio"), "symbol", F.col("bar_idx").alias("t"), F.coalesce(F.col("ret") / (2 + F.col("ret")) / 50, F.lit(0.0)).alias("ret"))
 
 
 @query("p1_symbol_backtests", with_(f"{ACCOUNT}, q AS (SELECT symbol, bar_idx, equity, coalesce(equity / lag(equity) OVER (PARTITION BY symbol ORDER BY bar_idx) - 1, 0) AS ret FROM acc)",

@@ -240,23 +240,29 @@ def correlation(returns: DataFrame, method: str = "pearson", min_periods: int =
     if method == "kendall":
         return _kendall(both, pair, min_periods)
     if method == "spearman":
-        both = _with_rank(_with_rank(both, "x", pair), "y", pair)
+        ranks = {x: _average_ranks(both, x, pair) for x in ("x", "y")}
+        for x, table in ranks.items():
+            both = both.join(table, [*pair, x])
+        both = both.select(*pair, F.col("_rank_x").alias("x"), F.col("_rank_y").alias("y"))
     elif method != "pearson":
         raise ValueError(f"unknown correlation {method!r}")
     rho = F.when(F.count(F.lit(1)) >= min_periods, F.corr("x", "y"))
     return both.groupBy(*pair).agg(rho.alias("corr"))
 
 
-def _with_rank(df: DataFrame, x: str, keys: list[str], buckets: int = 256) -> DataFrame:
-    """Replace ``x`` by its average-tie rank.  Ranks come from counts of distinct values, so ties are
-    combined before the shuffle, and ordering is done inside equal-width value buckets."""
+def _average_ranks(df: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    """Average-tie rank of every distinct value (keys, x, _rank_x).
+
+    Ties are counted before the shuffle, so a value holding most rows is one row here; values are
+    ordered inside buckets of an eighth of an octave, which any spread of values keeps small.
+    """
     counts = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_n"))
-    edges = df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    share = F.coalesce(F.try_divide(F.col(x) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    counts = counts.join(edges, keys).withColumn("chunk", F.floor(share * buckets)).drop("_lo", "_hi")
-    ranked = running(counts, {"_upto": ("sum", F.col("_n").cast("double"))}, keys, order=x)
-    ranked = ranked.select(*keys, x, (F.col("_upto") - (F.col("_n") - 1) / 2).alias("_rank"))
-    return df.join(ranked, [*keys, x]).withColumn(x, F.col("_rank")).drop("_rank")
+    octave = F.floor(8 * F.log2(F.abs(F.col(x)))) + 10000
+    bucket = F.when(F.col(x) > 0, octave).when(F.col(x) < 0, -octave).otherwise(0)
+    ranked = running(
+        counts.withColumn("chunk", bucket), {"_upto": ("sum", F.col("_n").cast("double"))}, keys, order=x
+    )
+    return ranked.select(*keys, x, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"_rank_{x}"))
 
 
 def inversions(values: np.ndarray) -> int:

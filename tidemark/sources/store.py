@@ -1,4 +1,7 @@
-"""The bar store: a Parquet table partitioned by (symbol, interval)."""
+"""The bar store: a Parquet table partitioned by (symbol, interval, month).
+
+The month bounds what an upsert has to rewrite and splits the files of a long series.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +11,17 @@ from tidemark.operators.series import drop_halo, chunk_window, lay_out, with_ord
 from tidemark.schema import BAR_COLUMNS, BAR_SCHEMA, HISTORY_START, MILLISECOND, SERIES, interval_length
 
 ROW_KEY = [*SERIES, "open_time"]
+PARTITION = [*SERIES, "month"]
+
+
+def _with_month(df: DataFrame) -> DataFrame:
+    return df.withColumn("month", F.date_format("open_time", "yyyy-MM"))
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame | None:
     """All stored bars, or None when the table does not exist or cannot be read."""
     try:
-        return spark.read.schema(BAR_SCHEMA).parquet(path).select(*SERIES, *BAR_COLUMNS)
+        return spark.read.schema(BAR_SCHEMA + ", month string").parquet(path).drop("month").select(*SERIES, *BAR_COLUMNS)
     except Exception as problem:  # AnalysisException: path missing or unreadable
         if "PATH_NOT_FOUND" in str(problem) or "UNABLE_TO_INFER" in str(problem):
             return None
@@ -48,17 +56,17 @@ def upsert(stored: DataFrame, arrived: DataFrame) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str, version: str | None = None) -> None:
-    """Replace the (symbol, interval) partitions present in ``bars``; nothing to write is a no-op."""
+    """Replace the (symbol, interval, month) partitions present in ``bars``; nothing to write is a no-op."""
     if bars.isEmpty():
         return
     rows = newest_per_bar(bars, version) if version else bars
     (
-        rows.select(*SERIES, *BAR_COLUMNS)
-        .repartition(*SERIES, F.year("open_time"))
-        .sortWithinPartitions(*ROW_KEY)
+        _with_month(rows.select(*SERIES, *BAR_COLUMNS))
+        .repartition(*PARTITION)
+        .sortWithinPartitions(*PARTITION, "open_time")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*SERIES)
+        .partitionBy(*PARTITION)
         .parquet(path)
     )
 
@@ -72,7 +80,8 @@ def merge_bars(spark: SparkSession, path: str, arrived: DataFrame, staging: str)
     if stored is None:
         write_bars(arrived.withColumn("_rank", F.lit(1)), path, "_rank")
         return
-    touched = stored.join(arrived.select(*SERIES).distinct(), SERIES, "left_semi")
+    months = _with_month(arrived.select(*ROW_KEY)).select(*PARTITION).distinct()
+    touched = _with_month(stored).join(months, PARTITION, "left_semi").drop("month")
     write_bars(upsert(touched, arrived.select(*SERIES, *BAR_COLUMNS)), staging)
     fresh = read_bars(spark, staging)
     if fresh is not None:
