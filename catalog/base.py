@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.series import with_ordinal
+from tidemark.plans.staging import stage
 from tidemark.sources.ticks import ticks_to_bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +38,8 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf: str, interval: str = "1h") -> DataFrame:
-    return ticks_to_bars(ticks(spark, sf), interval)
+    """The bar table: written once, so later steps re-read bars and never the ticks."""
+    return stage(ticks_to_bars(ticks(spark, sf), interval))
 
 
 def indexed(spark: SparkSession, sf: str, interval: str = "1h") -> DataFrame:
@@ -58,7 +60,7 @@ def daily_ticks(spark: SparkSession, sf: str, by: str = "region") -> DataFrame:
 
 
 def daily_bars(spark: SparkSession, sf: str, by: str = "region") -> DataFrame:
-    return ticks_to_bars(daily_ticks(spark, sf, by), "1d", sequence=["l_orderkey", "l_linenumber"])
+    return stage(ticks_to_bars(daily_ticks(spark, sf, by), "1d", sequence=["l_orderkey", "l_linenumber"]))
 
 
 def rounded(df: DataFrame, digits: int = 7) -> DataFrame:

@@ -17,8 +17,8 @@ RX = f"""{DRET}, rx AS (SELECT symbol, bar_idx AS t, coalesce(ret / (2 + ret) /
 
 def member_returns(spark, sf):
     """Damped daily returns of the regions, aligned by position; the first return counts as zero."""
-    d = align.align_series(daily_returns(spark, sf), "position")
-    return d.select(F.lit("all").alias("portfolio"), "symbol", F.col("bar_idx").alias("t"), F.coalesce(F.col("ret") / (2 + F.col("ret")) / 50, F.lit(0.0)).alias("ret"))
+    d = align.align_series(stage(daily_returns(spark, sf)), "position")
+    return stage(d.select(F.lit("all").alias("portfolio"), "symbol", F.col("bar_idx").alias("t"), F.coalesce(F.col("ret") / (2 + F.col("ret")) / 50, F.lit(0.0)).alias("ret")))
 
 
 @query("p1_symbol_backtests", with_(f"{ACCOUNT}, q AS (SELECT symbol, bar_idx, equity, coalesce(equity / lag(equity) OVER (PARTITION BY symbol ORDER BY bar_idx) - 1, 0) AS ret FROM acc)",
@@ -70,7 +70,7 @@ def p5_reference(spark, sf):
 # The invariant of damped risk parity: every member contributes the same share of variance.
 @query("p5_risk_parity_damped", with_(f"{RX}, {MEMBERS}", "SELECT symbol, 0.2::DOUBLE AS share FROM mb"))
 def p5_damped(spark, sf):
-    rets = stage(member_returns(spark, sf))
+    rets = member_returns(spark, sf)
     w = stage(pf.risk_parity_weights(rets, 60))
     rc = pf.risk_contributions(w, pf.covariance(pf.last_rows(rets, 60)))
     total = rc.groupBy("portfolio").agg(F.sum("contribution").alias("v"))
@@ -124,7 +124,7 @@ def p8(spark, sf):
 @query("p8_rebalance_decision", with_(f"{MCW}, {VOLW}", f"""SELECT symbol, {r('CASE WHEN f THEN v ELSE m END', 'weight')}, f AS rebalanced FROM (
   SELECT symbol, vw.weight AS v, mw.weight AS m, max(abs(vw.weight - mw.weight)) OVER () > 0.05 AS f FROM vw JOIN mw USING (symbol))"""))
 def p8_once(spark, sf):
-    rets = stage(member_returns(spark, sf))
+    rets = member_returns(spark, sf)
     now = pf.market_cap_weights(rets.select("portfolio", "symbol").distinct(), caps(spark, sf), 0.0, 0.4)
     return rounded(pf.rebalance(now, pf.inverse_volatility_weights(rets, 60, 0.18, 0.21)).drop("portfolio"))
 
@@ -132,7 +132,7 @@ def p8_once(spark, sf):
 @query("p9_weight_dispatch", with_(f"{TARGETS}", f"""SELECT 'volatility' AS method, c AS "check", symbol, {r('w', 'weight')} FROM tg
   UNION ALL SELECT 'other', c, symbol, 0.2 FROM seen"""))
 def p9(spark, sf):
-    rets = stage(member_returns(spark, sf))
+    rets = member_returns(spark, sf)
     pick = lambda m: pf.target_weights(rets, m, FREQ, LOOK).withColumn("method", F.lit(m)).drop("portfolio")
     return rounded(pick("volatility").unionByName(pick("other")))
 
@@ -145,7 +145,7 @@ SIM = f"""{TARGETS}, sp AS (SELECT c, w, coalesce(lead(c) OVER (ORDER BY c), 100
 
 @query("p10_portfolio_simulation", with_(SIM, f"SELECT t AS bar_idx, {rs('ret equity')} FROM pe"))
 def p10(spark, sf):
-    return rounded(run_portfolio(stage(member_returns(spark, sf)), POLICY).equity.drop("portfolio"))
+    return rounded(run_portfolio(member_returns(spark, sf), POLICY).equity.drop("portfolio"))
 
 
 PAIRS = "pp AS (SELECT a.symbol AS sym_i, b.symbol AS sym_j, a.t, a.ret AS x, b.ret AS y FROM rx a JOIN rx b ON a.t = b.t AND a.symbol <= b.symbol)"
@@ -174,7 +174,7 @@ COV = f"{MCW}, cv AS (SELECT a.symbol AS i, b.symbol AS j, covar_samp(a.ret, b.r
 
 
 def weighted(spark, sf):
-    rets = stage(member_returns(spark, sf))
+    rets = member_returns(spark, sf)
     w = pf.market_cap_weights(rets.select("portfolio", "symbol").distinct(), caps(spark, sf), 0.0, 0.4)
     return rets, stage(w)
 
@@ -205,14 +205,14 @@ def p15(spark, sf):
 
 @query("p16_tracking_error", with_(f"{RX}, m AS (SELECT t, avg(ret) AS ret FROM rx GROUP BY t)", f"SELECT symbol, {r('stddev_samp(rx.ret - m.ret) * sqrt(252)', 'tracking_error')} FROM rx JOIN m USING (t) GROUP BY symbol"))
 def p16(spark, sf):
-    rets = stage(member_returns(spark, sf))
+    rets = member_returns(spark, sf)
     market = rets.groupBy("t").agg(F.avg("ret").alias("ret"))
     return rounded(pf.tracking_error(rets, market, keys=["symbol"]))
 
 
 @query("p17_beta", with_(f"{RX}, m AS (SELECT t, avg(ret) AS ret FROM rx GROUP BY t)", f"SELECT symbol, {r('covar_samp(rx.ret, m.ret) / var_samp(m.ret)', 'beta')} FROM rx JOIN m USING (t) GROUP BY symbol"))
 def p17(spark, sf):
-    rets = stage(member_returns(spark, sf))
+    rets = member_returns(spark, sf)
     market = rets.groupBy("t").agg(F.avg("ret").alias("ret"))
     return rounded(pf.beta(rets, market, keys=["symbol"]))
 
@@ -227,7 +227,7 @@ def p17(spark, sf):
   {r('(SELECT sum(weight * sqrt(v)) FROM fw JOIN cv ON i = symbol AND j = symbol) / (SELECT vol FROM pv)', 'diversification_ratio', 6)},
   {r('(SELECT vol FROM pv)', 'portfolio_volatility', 6)}, (SELECT count(*) FROM ch WHERE taken) AS n_rebalances FROM q"""))
 def p18(spark, sf):
-    return rounded(run_portfolio(stage(member_returns(spark, sf)), POLICY).metrics.drop("portfolio"), 6)
+    return rounded(run_portfolio(member_returns(spark, sf), POLICY).metrics.drop("portfolio"), 6)
 
 
 @query("p19_sector_exposure", with_(MCW, f"SELECT sector, {r('sum(weight)', 'exposure')} FROM (SELECT CASE symbol WHEN 'ASIA' THEN 'east' WHEN 'MIDDLE EAST' THEN 'east' WHEN 'EUROPE' THEN 'west' ELSE 'Unknown' END AS sector, weight FROM mw) GROUP BY sector"))
@@ -241,7 +241,7 @@ def p19(spark, sf):
 
 @query("p20_normalised_curves", with_(SIM, f"SELECT t AS bar_idx, {r('(equity / first_value(equity) OVER (ORDER BY t) - 1) * 100', 'percent')} FROM pe"))
 def p20(spark, sf):
-    equity = run_portfolio(stage(member_returns(spark, sf)), POLICY).equity
+    equity = run_portfolio(member_returns(spark, sf), POLICY).equity
     return rounded(pf.rebased(equity, ["portfolio"]).select("bar_idx", "percent"))
 
 

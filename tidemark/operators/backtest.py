@@ -256,15 +256,11 @@ def mae_mfe(trades: DataFrame, bars: DataFrame, keys: list[str] = SERIES) -> Dat
 
 # --- backtest with shorts, stops, time exits and sizing ------------------------------------------
 
-def _next_event(df: DataFrame, event: Column, name: str, keys: list[str]) -> DataFrame:
-    """Index of the first bar at or after this one where ``event`` holds (NULL if none)."""
-    reverse = -F.col("bar_idx")
-    return running(
-        df.withColumn("chunk", -F.floor(F.col("bar_idx") / CHUNK_BARS)).withColumn("_rev", reverse),
-        {name: ("last", F.when(holds(event), F.col("bar_idx")))},
-        keys,
-        order="_rev",
-    ).drop("_rev", "chunk")
+def _next_events(df: DataFrame, events: dict[str, Column], keys: list[str]) -> DataFrame:
+    """Index of the first bar at or after this one where each event holds (NULL if none)."""
+    backwards = df.withColumn("chunk", -F.floor(F.col("bar_idx") / CHUNK_BARS)).withColumn("_rev", -F.col("bar_idx"))
+    specs = {name: ("last", F.when(holds(event), F.col("bar_idx"))) for name, event in events.items()}
+    return running(backwards, specs, keys, order="_rev").drop("_rev", "chunk")
 
 
 def entry_candidates(df: DataFrame, keys: list[str] = SERIES, account: Account = Account()) -> DataFrame:
@@ -279,10 +275,11 @@ def entry_candidates(df: DataFrame, keys: list[str] = SERIES, account: Account =
     x = drop_halo(x.withColumn("_next", ahead)).drop("chunk").where(F.col("_next").isNotNull())
     stop_long = F.col("close") < F.col("stop") if has_stop else F.lit(False)
     stop_short = F.col("close") > F.col("stop") if has_stop else F.lit(False)
-    x = _next_event(x, stop_long | (F.col("signal") == -1), "_out_long", keys)
+    events = {"_out_long": stop_long | (F.col("signal") == -1)}
     if account.shorts:
-        x = _next_event(x, stop_short | (F.col("signal") == -2), "_out_short", keys)
-    else:
+        events["_out_short"] = stop_short | (F.col("signal") == -2)
+    x = _next_events(x, events, keys)
+    if not account.shorts:
         x = x.withColumn("_out_short", F.lit(None).cast("long"))
     # the position can first be left on the bar after the entry signal
     x = lay_out(x.withColumn("n_bars", F.col("n_bars") - 1), ahead=1)

@@ -23,16 +23,18 @@ YEAR = 252 * 24
 
 def equal_weights(members: DataFrame, keys: list[str] = PK) -> DataFrame:
     """1/n for every symbol of each portfolio."""
-    sizes = members.select(*keys, "symbol").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return members.select(*keys, "symbol").distinct().join(sizes, keys).select(*keys, "symbol", (1.0 / F.col("_n")).alias("weight"))
+    each = members.select(*keys, "symbol").distinct()
+    return each.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
 def _share(df: DataFrame, value: Column, keys: list[str], name: str = "weight") -> DataFrame:
-    """Replace by the share of the portfolio total; a non-positive total leaves values alone."""
-    d = df.withColumn("_v", value)
-    total = d.groupBy(*keys).agg(F.sum("_v").alias("_sum"))
-    d = d.join(total, keys)
-    return d.withColumn(name, F.when(F.col("_sum") > 0, F.col("_v") / F.col("_sum")).otherwise(F.col("_v"))).drop("_v", "_sum")
+    """Replace by the share of the group total; a non-positive total leaves values alone.
+
+    Weight frames hold one row per member, so a window over a portfolio (at one check) is small.
+    """
+    d = df.withColumn("_v", value).withColumn("_sum", F.sum("_v").over(Window.partitionBy(*keys)))
+    share = F.when(F.col("_sum") > 0, F.try_divide(F.col("_v"), F.col("_sum"))).otherwise(F.col("_v"))
+    return d.withColumn(name, share).drop("_v", "_sum")
 
 
 def _clip(c: Column, low: float, high: float) -> Column:
@@ -51,8 +53,8 @@ def last_rows(returns: DataFrame, lookback: int, keys: list[str] = PK) -> DataFr
 def _inverse_volatility(recent: DataFrame, low: float, high: float, keys: list[str]) -> DataFrame:
     vol = recent.groupBy(*keys, "symbol").agg(F.stddev_samp("ret").alias("_sd"))
     vol = vol.withColumn("_sd", F.when(F.col("_sd") != 0, F.col("_sd")))
-    middle = vol.groupBy(*keys).agg(F.median("_sd").alias("_mid"))
-    vol = vol.join(middle, keys).withColumn("_sd", F.greatest(F.coalesce("_sd", "_mid"), F.lit(1e-8)))
+    middle = F.median("_sd").over(Window.partitionBy(*keys))
+    vol = vol.withColumn("_mid", middle).withColumn("_sd", F.greatest(F.coalesce("_sd", "_mid"), F.lit(1e-8)))
     raw = _share(vol, 1.0 / F.col("_sd"), keys)
     return cap_weights(raw, low, high, keys).select(*keys, "symbol", "weight")
 
@@ -150,9 +152,10 @@ def check_windows(returns: DataFrame, frequency: int, lookback: int, keys: list[
     d = returns.join(ends, keys)
     first = (F.floor(F.col("t") / frequency) + 1) * frequency
     last = F.least(F.floor((F.col("t") + lookback) / frequency) * frequency, F.floor(F.col("_end") / frequency) * frequency)
-    later = d.where(first <= last).withColumn("check", F.explode(F.sequence(first, last, F.lit(frequency).cast("long"))))
-    initial = d.where(F.col("t") > F.col("_end") - lookback).withColumn("check", F.lit(0).cast("long"))
-    return later.unionByName(initial).drop("_end")
+    nothing = F.array().cast("array<bigint>")
+    later = F.when(first <= last, F.sequence(first, last, F.lit(frequency).cast("long"))).otherwise(nothing)
+    initial = F.when(F.col("t") > F.col("_end") - lookback, F.array(F.lit(0).cast("long"))).otherwise(nothing)
+    return d.withColumn("check", F.explode(F.concat(later, initial))).drop("_end")
 
 
 def target_weights(
@@ -207,10 +210,8 @@ def rebalance(current: DataFrame, target: DataFrame, threshold: float = 0.05, ke
         target.withColumnRenamed("weight", "_goal"), [*keys, "symbol"], "full"
     )
     missing = F.col("_now").isNull() | F.col("_goal").isNull()
-    decision = both.groupBy(*keys).agg(
-        F.bool_or(missing | F.coalesce(F.abs(F.col("_now") - F.col("_goal")) > threshold, F.lit(True))).alias("rebalanced")
-    )
-    out = both.join(decision, keys)
+    off = missing | F.coalesce(F.abs(F.col("_now") - F.col("_goal")) > threshold, F.lit(True))
+    out = both.withColumn("rebalanced", F.bool_or(off).over(Window.partitionBy(*keys)))
     weight = F.when(F.col("rebalanced"), F.col("_goal")).otherwise(F.col("_now"))
     return out.withColumn("weight", weight).where(F.col("weight").isNotNull()).select(*keys, "symbol", "weight", "rebalanced")
 
@@ -327,15 +328,12 @@ def diversification_ratio(weights: DataFrame, cov: DataFrame, keys: list[str] =
 
 def concentration(weights: DataFrame, keys: list[str] = PK) -> DataFrame:
     best = Window.partitionBy(*keys).orderBy(F.desc("weight"), "symbol")
-    top3 = (
-        weights.withColumn("_r", F.row_number().over(best)).where("_r <= 3")
-        .groupBy(*keys).agg(F.sum("weight").alias("top3_concentration"))
-    )
     hhi = F.sum(F.col("weight") * F.col("weight"))
-    return weights.groupBy(*keys).agg(
+    return weights.withColumn("_r", F.row_number().over(best)).groupBy(*keys).agg(
         hhi.alias("herfindahl_index"), F.coalesce(F.try_divide(F.lit(1.0), hhi), F.lit(0.0)).alias("effective_n"),
         F.max("weight").alias("max_weight"),
-    ).join(top3, keys)
+        F.sum(F.when(F.col("_r") <= 3, F.col("weight"))).alias("top3_concentration"),
+    )
 
 
 def tracking_error(ours: DataFrame, benchmark: DataFrame, time: str = "t", keys: list[str] = PK) -> DataFrame:
