@@ -43,7 +43,7 @@ QUERIES = {
     "e2_backtest_hourly": lambda s, d: run_trend(base.bars(s, d), FLAGSHIP)[2],
     "e2_backtest_1000_series": lambda s, d: run_trend(base.daily_bars(s, d, "supplier"), FLAGSHIP)[2],
     "o5_grid_64": lambda s, d: op.search(op.prepare(base.bars(s, d)), op.Search(SPACE, "grid", points=2)),
-    "m4_monte_carlo_1000": lambda s, d: mc.summarise(mc.curve_metrics(mc.block_bootstrap(optimise.damped_returns(s, d), "ret", 1000, 20, 5), 10000.0)),
+    "m4_monte_carlo_1000": lambda s, d: mc.summarise(mc.bootstrap_metrics(optimise.damped_returns(s, d), 10000.0, n_sims=1000, seed=5)),
     "p10_portfolio": lambda s, d: run_portfolio(portfolios.member_returns(s, d), portfolios.POLICY).metrics,
     "s8_timeframe_vote": lambda s, d: signals.mtf(s, d),
 }

@@ -312,7 +312,15 @@ SIMM = f"""{CURVES}, dd AS (SELECT *, greatest(10000, max(equity) OVER (PARTITIO
 
 
 def sim_metrics(spark, sf):
-    return mc.curve_metrics(boot(spark, sf), 10000.0)
+    return mc.bootstrap_metrics(damped_returns(spark, sf), 10000.0, n_sims=SIMS, block=BLOCK, seed=SEED)
+
+
+M4_SELECT = f"SELECT symbol, sim_id, {rs('total_return sharpe_ratio sortino_ratio max_drawdown_pct annualized_return', 6)} FROM ms"
+
+
+@query("m4_curve_metrics", with_(SIMM, M4_SELECT))
+def m4_curves(spark, sf):
+    return rounded(mc.curve_metrics(boot(spark, sf), 10000.0).drop("interval"), 6)
 
 
 @query("m4_simulation_metrics", with_(SIMM, f"SELECT symbol, sim_id, {rs('total_return sharpe_ratio sortino_ratio max_drawdown_pct annualized_return', 6)} FROM ms"))

@@ -64,6 +64,10 @@ def main(prefixes: list[str]) -> int:
     import __spark_entry__ as entry
 
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
+    from tidemark.operators import series
+
+    # small chunks make every carry and halo cross chunk borders
+    series.CHUNK_BARS = int(os.environ.get("CHUNK_BARS", series.CHUNK_BARS))
     spark = session()
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle(sf_dir)

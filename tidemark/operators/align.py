@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators.series import CHUNK_BARS, day_bucket, running
+from tidemark.operators.series import chunks_between, day_bucket, home_chunk, running
 from tidemark.schema import SERIES
 
 
@@ -62,15 +62,13 @@ def lookup(df: DataFrame, table: DataFrame, on: str, value: str, default: object
 
 
 def in_windows(
-    bars: DataFrame, windows: DataFrame, start: str, end: str, keys: list[str] = SERIES, chunk: int = CHUNK_BARS
+    bars: DataFrame, windows: DataFrame, start: str, end: str, keys: list[str] = SERIES
 ) -> DataFrame:
     """Bars x half-open index windows [start, end), as an equi-join on the chunks a window covers."""
-    spans = windows.where(F.col(start) < F.col(end)).withColumn(
-        "_chunk", F.explode(F.sequence(F.floor(F.col(start) / chunk), F.floor((F.col(end) - 1) / chunk)))
-    )
+    spans = windows.where(F.col(start) < F.col(end)).withColumn("_chunk", F.explode(chunks_between(start, end)))
     on = [*[k for k in keys if k in windows.columns], "_chunk"]
     inside = (F.col("bar_idx") >= F.col(start)) & (F.col("bar_idx") < F.col(end))
-    return bars.withColumn("_chunk", F.floor(F.col("bar_idx") / chunk)).join(spans, on).where(inside).drop("_chunk")
+    return bars.withColumn("_chunk", home_chunk()).join(spans, on).where(inside).drop("_chunk")
 
 
 def pairs(

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.columns import fixed_risk_size, holds, volatility_size
 from tidemark.operators.series import (
-    CHUNK_BARS,
     chunk_window,
+    chunks_between,
     drop_halo,
+    home_chunk,
     lay_out,
     running,
 )
@@ -41,9 +42,9 @@ class Account:
     profit_steps: tuple[tuple[float, float], ...] = ()  # recorded only, never closes anything
 
 
-def with_previous_signal(df: DataFrame, keys: list[str] = SERIES, chunk: int = CHUNK_BARS) -> DataFrame:
+def with_previous_signal(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """Chunk the bars and add ``sig1``."""
-    laid = lay_out(df, back=1, chunk=chunk)
+    laid = lay_out(df, back=1)
     return drop_halo(laid.withColumn("sig1", F.lag("signal").over(chunk_window(keys))))
 
 
@@ -146,8 +147,11 @@ def positions(df: DataFrame, keys: list[str] = SERIES, account: Account = Accoun
     value = F.when(F.col("pos") == 1, marked(F.col("entry.open"), F.col("close"))).otherwise(1.0)
     p = p.withColumn("equity", F.col("cash") * value)
     p = p.withColumn("peak", F.greatest("_in_peak", F.max("equity").over(so_far)))
+    # a flat account returns exactly zero, also across a chunk border
+    idle = (F.col("bar_idx") > 0) & (F.col("pos") == 0) & ~holds(F.col("_was") == 1)
+    moved = F.col("equity") / F.coalesce(F.lag("equity").over(at), F.col("_in_equity")) - 1
     return (
-        p.withColumn("ret", F.col("equity") / F.coalesce(F.lag("equity").over(at), F.col("_in_equity")) - 1)
+        p.withColumn("ret", F.when(idle, 0.0).otherwise(moved))
         .withColumn("drawdown", F.col("equity") - F.col("peak"))
         .drop("_nz", "_st", "_was", "_in_st", "_in_ent", "_in_cash", "_in_peak", "_in_equity")
     )
@@ -216,9 +220,7 @@ def closed_trades(pos: DataFrame, keys: list[str] = SERIES, account: Account = A
     return _priced(t, keys, account)
 
 
-def excursions(
-    trades: DataFrame, bars: DataFrame, keys: list[str] = SERIES, chunk: int = CHUNK_BARS
-) -> DataFrame:
+def excursions(trades: DataFrame, bars: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """Highest high and lowest low over [entry_idx, exit_idx) of each (series, entry_idx).
 
     Range join as an equi-join on (series, chunk): a trade is listed under each chunk it spans.
@@ -227,11 +229,9 @@ def excursions(
         *keys,
         "entry_idx",
         "exit_idx",
-        F.explode(
-            F.sequence(F.floor(F.col("entry_idx") / chunk), F.floor((F.col("exit_idx") - 1) / chunk))
-        ).alias("chunk"),
+        F.explode(chunks_between("entry_idx", "exit_idx")).alias("chunk"),
     )
-    held = bars.select(*keys, "bar_idx", "high", "low", F.floor(F.col("bar_idx") / chunk).alias("chunk"))
+    held = bars.select(*keys, "bar_idx", "high", "low", home_chunk().alias("chunk"))
     return (
         held.join(spans, [*keys, "chunk"])
         .where((F.col("bar_idx") >= F.col("entry_idx")) & (F.col("bar_idx") < F.col("exit_idx")))
@@ -258,7 +258,7 @@ def mae_mfe(trades: DataFrame, bars: DataFrame, keys: list[str] = SERIES) -> Dat
 
 def _next_events(df: DataFrame, events: dict[str, Column], keys: list[str]) -> DataFrame:
     """Index of the first bar at or after this one where each event holds (NULL if none)."""
-    backwards = df.withColumn("chunk", -F.floor(F.col("bar_idx") / CHUNK_BARS)).withColumn("_rev", -F.col("bar_idx"))
+    backwards = df.withColumn("chunk", -home_chunk()).withColumn("_rev", -F.col("bar_idx"))
     specs = {name: ("last", F.when(holds(event), F.col("bar_idx"))) for name, event in events.items()}
     return running(backwards, specs, keys, order="_rev").drop("_rev", "chunk")
 
@@ -430,13 +430,10 @@ def profit_levels(trades: DataFrame, steps: list[tuple[float, float]], keys: lis
     )
 
 
-def profit_hits(levels: DataFrame, bars: DataFrame, keys: list[str] = SERIES, chunk: int = CHUNK_BARS) -> DataFrame:
+def profit_hits(levels: DataFrame, bars: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """First held bar reaching each take-profit level (levels never reached are absent)."""
-    spans = levels.withColumn(
-        "chunk",
-        F.explode(F.sequence(F.floor(F.col("entry_idx") / chunk), F.floor((F.col("exit_idx") - 1) / chunk))),
-    ).select(*keys, "chunk", "entry_idx", "exit_idx", "direction", "level", "level_price")
-    held = bars.select(*keys, "bar_idx", "high", "low", F.floor(F.col("bar_idx") / chunk).alias("chunk"))
+    spans = levels.withColumn("chunk", F.explode(chunks_between("entry_idx", "exit_idx"))).select(*keys, "chunk", "entry_idx", "exit_idx", "direction", "level", "level_price")
+    held = bars.select(*keys, "bar_idx", "high", "low", home_chunk().alias("chunk"))
     reached = F.when(F.col("direction") == 1, F.col("high") >= F.col("level_price")).otherwise(
         F.col("low") <= F.col("level_price")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators.series import CHUNK_BARS, chunk_window, drop_halo, lay_out, running
+from tidemark.operators.series import chunk_window, drop_halo, lay_out, running
 from tidemark.schema import HOURS_PER_YEAR, SERIES
 
 INF = "double('inf')"

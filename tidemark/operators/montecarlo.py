@@ -17,32 +17,99 @@ MC_METRICS = ["total_return", "sharpe_ratio", "sortino_ratio", "max_drawdown_pct
 PERCENTILES = [5, 25, 50, 75, 95]
 
 
+def _lengths(d: DataFrame, block: int, keys: list[str]) -> DataFrame:
+    """Series length, block size and number of blocks; a size <= 0 means int(sqrt(n))."""
+    size = F.lit(block) if block > 0 else F.greatest(F.lit(1), F.floor(F.sqrt("n")))
+    lengths = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("size", size.cast("long"))
+    return lengths.withColumn("_blocks", F.ceil(F.col("n") / F.col("size")))
+
+
+def _drawn_blocks(d: DataFrame, n_sims: int, block: int, seed: int, keys: list[str]) -> DataFrame:
+    """(keys, sim_id, block_no, start, size, n): ceil(n / block) block starts per simulation."""
+    # spread the (series, simulation) pairs before they grow into blocks
+    sims = _lengths(d, block, keys).withColumn("sim_id", each(0, n_sims - 1)).repartition(*keys, "sim_id")
+    drawn = sims.withColumn("block_no", each(0, F.col("_blocks") - 1))
+    choices = F.greatest(F.lit(1), F.col("n") - F.col("size") + 1)
+    start = below(choices, F.col("sim_id") * F.col("_blocks") + F.col("block_no"), 0, seed)
+    return drawn.withColumn("start", start).drop("_blocks")
+
+
 def block_bootstrap(
     df: DataFrame, value: str = "ret", n_sims: int = 1000, block: int = 20, seed: int = 0, keys: list[str] = SERIES
 ) -> DataFrame:
     """Resampled series (keys, sim_id, pos, value) built from blocks of consecutive values.
 
-    ``df`` holds keys, ``idx`` (0-based, dense) and the value.  Each simulation draws
-    ceil(n / block) block starts and is cut to the original length; a non-positive block size means
-    int(sqrt(n)).
+    ``df`` holds keys, ``idx`` (0-based, dense) and the value; simulations are cut to the original
+    length.
+    """
+    d = df.select(*keys, "idx", value)
+    drawn = _drawn_blocks(d, n_sims, block, seed, keys).withColumn("_o", each(0, F.col("size") - 1))
+    taken = drawn.select(
+        *keys, "sim_id", (F.col("block_no") * F.col("size") + F.col("_o")).alias("pos"),
+        (F.col("start") + F.col("_o")).alias("idx"), "n",
+    )
+    return taken.where(F.col("pos") < F.col("n")).join(d, [*keys, "idx"]).select(*keys, "sim_id", "pos", value)
+
+
+def bootstrap_metrics(
+    df: DataFrame, initial: float, capital: float = 10000.0, value: str = "ret", n_sims: int = 1000,
+    block: int = 20, seed: int = 0, keys: list[str] = SERIES,
+) -> DataFrame:
+    """``curve_metrics(block_bootstrap(...))`` without ever building the simulated curves.
+
+    A block is fully described by its growth, sums, lowest point and deepest fall, so these are
+    computed once per possible start; a simulation is then a window over its blocks, ``block`` times
+    fewer rows than its bars.
     """
     d = df.select(*keys, "idx", value)
-    size = F.lit(block) if block > 0 else F.greatest(F.lit(1), F.floor(F.sqrt("_n")))
-    lengths = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_size", size.cast("long"))
-    lengths = lengths.withColumn("_blocks", F.ceil(F.col("_n") / F.col("_size")))
-    sims = lengths.withColumn("sim_id", each(0, n_sims - 1))
-    # spread the (series, simulation) pairs before they grow into positions
-    sims = sims.repartition(*keys, "sim_id")
-    drawn = sims.withColumn("_block", each(0, F.col("_blocks") - 1))
-    choices = F.greatest(F.lit(1), F.col("_n") - F.col("_size") + 1)
-    drawn = drawn.withColumn(
-        "_start", below(choices, F.col("sim_id") * F.col("_blocks") + F.col("_block"), 0, seed)
+    r = F.col(value)
+    drawn, lengths = _drawn_blocks(d, n_sims, block, seed, keys), _lengths(d, block, keys)
+    drawn = drawn.withColumn("len", F.least(F.col("size"), F.col("n") - F.col("block_no") * F.col("size")))
+
+    # every start at full length, and at the length left for the last block
+    rest = F.col("n") - (F.col("_blocks") - 1) * F.col("size")
+    lens = F.explode(F.array_distinct(F.array(F.least("size", "n"), rest)))
+    wanted = lengths.withColumn("len", lens).withColumn("start", each(0, F.greatest(F.lit(0), F.col("n") - F.col("size"))))
+    cells = [*keys, "start", "len"]
+    rows = wanted.withColumn("_o", each(0, F.col("len") - 1)).withColumn("idx", F.col("start") + F.col("_o"))
+    w = Window.partitionBy(*cells).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(d, [*keys, "idx"]).withColumn("_g", F.product(1 + r).over(w))
+    rows = rows.withColumn("_m", F.max("_g").over(w))
+    down = F.when(r < 0, r)
+    fall = F.min(F.struct((F.col("_g") - F.col("_m")).alias("fall"), F.col("_o"), F.col("_m").alias("peak")))
+    blocks = rows.groupBy(*cells).agg(
+        F.max_by("_g", "_o").alias("g"), F.max("_g").alias("top"), F.min("_g").alias("low"), fall.alias("worst"),
+        F.sum(r).alias("s1"), F.sum(r * r).alias("s2"),
+        F.count(down).alias("dn"), F.sum(down).alias("d1"), F.sum(down * down).alias("d2"), F.min(down).alias("dmin"), F.max(down).alias("dmax"),
     )
-    taken = drawn.withColumn("_o", each(0, F.col("_size") - 1)).select(
-        *keys, "sim_id", (F.col("_block") * F.col("_size") + F.col("_o")).alias("pos"),
-        (F.col("_start") + F.col("_o")).alias("idx"), "_n",
+
+    sim = [*keys, "sim_id"]
+    order = Window.partitionBy(*sim).orderBy("block_no")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    p = drawn.join(blocks, cells)
+    p = p.withColumn("_e", initial * F.coalesce(F.product("g").over(before), F.lit(1.0)))
+    p = p.withColumn("_top", F.greatest(F.lit(float(initial)), F.max(F.col("_e") * F.col("top")).over(before)))
+    # either below the peak reached earlier, or below the block's own
+    old = F.struct((F.col("_e") * F.col("low") - F.col("_top")).alias("drawdown"), F.col("block_no"), F.col("_top").alias("peak"))
+    own = F.struct((F.col("_e") * F.col("worst.fall")).alias("drawdown"), F.col("block_no"), (F.col("_e") * F.col("worst.peak")).alias("peak"))
+    worst = F.min(F.least(old, own))
+
+    def deviation(n: Column, total: Column, squares: Column) -> Column:
+        spread = F.greatest(squares - total * total / n, F.lit(0.0))
+        return F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1)))
+
+    year = F.sqrt(F.lit(float(HOURS_PER_YEAR)))
+    last, n = F.max_by(F.col("_e") * F.col("g"), "block_no"), F.max("n")
+    s1, s2, dn, d1, d2 = (F.sum(c) for c in ("s1", "s2", "dn", "d1", "d2"))
+    flat = F.min("dmin") == F.max("dmax")
+    down_sd = F.when(flat & (dn > 1), 0.0).otherwise(deviation(dn, d1, d2))
+    return p.groupBy(*sim).agg(
+        ((last - capital) / capital).alias("total_return"),
+        F.when(n > 1, s1 / n / (deviation(n, s1, s2) + 1e-10) * year).otherwise(0.0).alias("sharpe_ratio"),
+        F.when(n <= 1, 0.0).when(dn == 0, F.expr(mt.INF)).otherwise(s1 / n / (down_sd + 1e-10) * year).alias("sortino_ratio"),
+        F.when(worst["peak"] > 0, worst["drawdown"] / worst["peak"]).otherwise(0.0).alias("max_drawdown_pct"),
+        mt.annualised(last / capital, n + 1).alias("annualized_return"),
     )
-    return taken.where(F.col("pos") < F.col("_n")).join(d, [*keys, "idx"]).select(*keys, "sim_id", "pos", value)
 
 
 def residual_bootstrap(

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.schema import SERIES
 
-CHUNK_BARS = 4096
+CHUNK_BARS = 4096  # bars per chunk; read at call time, so it can be changed for a session
 EWM_BLOCK = 256
 _ALL_BEFORE = (Window.unboundedPreceding, -1)
 _UP_TO_NOW = (Window.unboundedPreceding, 0)
@@ -62,11 +62,21 @@ def with_ordinal(
     )
 
 
-def lay_out(df: DataFrame, back: int = 0, ahead: int = 0, chunk: int = CHUNK_BARS) -> DataFrame:
+def home_chunk(idx: str | Column = "bar_idx") -> Column:
+    return F.floor((F.col(idx) if isinstance(idx, str) else idx) / CHUNK_BARS)
+
+
+def chunks_between(start: str | Column, end: str | Column) -> Column:
+    """The chunks touched by the half-open index range [start, end)."""
+    last = (F.col(end) if isinstance(end, str) else end) - 1
+    return F.sequence(home_chunk(start), home_chunk(last))
+
+
+def lay_out(df: DataFrame, back: int = 0, ahead: int = 0) -> DataFrame:
     """Assign rows to chunks; boundary rows also go to the chunks that look back/ahead at them."""
-    home = F.floor(F.col("bar_idx") / chunk)
-    first = F.floor(F.greatest(F.col("bar_idx") - ahead, F.lit(0)) / chunk)
-    last = F.floor(F.least(F.col("bar_idx") + back, F.col("n_bars") - 1) / chunk)
+    home = home_chunk()
+    first = home_chunk(F.greatest(F.col("bar_idx") - ahead, F.lit(0)))
+    last = home_chunk(F.least(F.col("bar_idx") + back, F.col("n_bars") - 1))
     if back == 0 and ahead == 0:
         return df.withColumn("chunk", home).withColumn("halo", F.lit(False))
     return df.withColumn("chunk", F.explode(F.sequence(first, last))).withColumn(
@@ -87,12 +97,6 @@ def trailing(keys: list[str], rows: int) -> WindowSpec:
     return chunk_window(keys).rowsBetween(-(rows - 1), 0)
 
 
-def _with_chunk(df: DataFrame, chunk: int) -> DataFrame:
-    if "chunk" in df.columns:
-        return df
-    return df.withColumn("chunk", F.floor(F.col("bar_idx") / chunk))
-
-
 def _combine(kind: str, carry: Column, local: Column) -> Column:
     if kind == "sum":
         return F.coalesce(carry, F.lit(0.0)) + F.coalesce(local, F.lit(0.0))
@@ -124,14 +128,13 @@ def running(
     specs: dict[str, tuple[str, Column]],
     keys: list[str] = SERIES,
     order: str = "bar_idx",
-    chunk: int = CHUNK_BARS,
 ) -> DataFrame:
     """Add inclusive running aggregates ``{name: (kind, expression)}`` along each series.
 
     Kinds: sum, product, max, min, last (non-null), first (non-null).  The frame must not contain
     halo rows; a ``chunk`` column is used if present.
     """
-    d = _with_chunk(df, chunk)
+    d = df if "chunk" in df.columns else df.withColumn("chunk", home_chunk())
     cells = [*keys, "chunk"]
     for name, (_, expr) in specs.items():
         d = d.withColumn(f"_v_{name}", expr)

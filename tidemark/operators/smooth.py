@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.schema import SERIES
@@ -43,6 +45,28 @@ def low_pass(x: np.ndarray, cutoff: float, taper: float = TAPER, padding: float
     return back[pad : pad + n]
 
 
+def whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Regroup Arrow batches sorted by (keys, bar_idx) into tables of complete series.
+
+    A series starts where ``bar_idx`` is 0.  Only the series at hand is held back, so a partition
+    with many series streams through.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("bar_idx").to_numpy() == 0)
+        if len(starts) == 0:
+            held.append(batch)
+            continue
+        last = int(starts[-1])
+        held.append(batch.slice(0, last))
+        ready = pa.Table.from_batches(held)
+        if ready.num_rows:
+            yield ready.combine_chunks()
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def smooth(
     df: DataFrame,
     cutoff: Column,
@@ -55,14 +79,21 @@ def smooth(
     """Add the low-passed ``x`` of every series; ``cutoff`` is a per-series column expression.
 
     The transform needs the whole series; series x parameter sets is the parallel axis, and a series
-    cannot exceed history / interval bars (a century of 30-minute bars is 14 MB of doubles).
+    cannot exceed history / interval bars (a century of 30-minute bars is 14 MB of doubles).  All
+    other columns pass through as Arrow buffers.
     """
     d = df.withColumn("_cutoff", cutoff)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_idx", kind="stable")
-        pdf[name] = low_pass(pdf[x].to_numpy(float), float(pdf["_cutoff"].iloc[0]), taper, padding)
-        return pdf.drop(columns="_cutoff")
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_series(batches):
+            starts = np.flatnonzero(table.column("bar_idx").to_numpy() == 0)
+            values, cuts = table.column(x).to_numpy(), table.column("_cutoff").to_numpy()
+            lines = [
+                low_pass(values[a:b], float(cuts[a]), taper, padding)
+                for a, b in zip(starts, [*starts[1:], len(values)])
+            ]
+            out = table.drop_columns("_cutoff").append_column(name, pa.array(np.concatenate(lines)))
+            yield from out.to_batches()
 
-    return d.groupBy(*keys).applyInPandas(kernel, schema)
+    return d.repartition(*keys).sortWithinPartitions(*keys, "bar_idx").mapInArrow(kernel, schema)

@@ -22,7 +22,8 @@ def ticks_to_bars(
     (input partitions x bars) partial rows.  ``sequence`` breaks ties between ticks sharing a ts.
     """
     keys = keys or ["symbol"]
-    at = F.struct("ts", *(sequence or []))
+    # a plain timestamp keeps the hash aggregate; a struct ordering needs a sort aggregate
+    at = F.struct("ts", *sequence) if sequence else F.col("ts")
     win = F.window("ts", duration(interval))
     bars = ticks.groupBy(*keys, win.alias("w")).agg(
         F.min_by("price", at).alias("open"),
