@@ -48,7 +48,9 @@ def indexed(spark: SparkSession, sf: str, interval: str = "1h") -> DataFrame:
 
 def daily_ticks(spark: SparkSession, sf: str, by: str = "region") -> DataFrame:
     line = table(spark, sf, "lineitem").select(
-        "l_suppkey", "l_orderkey", "l_linenumber", F.col("l_shipdate").alias("ts"),
+        "l_suppkey", F.col("l_shipdate").alias("ts"),
+        # ticks of a day share their ts; order lines number them
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty"),
     )
     if by == "supplier":
@@ -60,7 +62,7 @@ def daily_ticks(spark: SparkSession, sf: str, by: str = "region") -> DataFrame:
 
 
 def daily_bars(spark: SparkSession, sf: str, by: str = "region") -> DataFrame:
-    return stage(ticks_to_bars(daily_ticks(spark, sf, by), "1d", sequence=["l_orderkey", "l_linenumber"]))
+    return stage(ticks_to_bars(daily_ticks(spark, sf, by), "1d", sequence="seq"))
 
 
 def rounded(df: DataFrame, digits: int = 7) -> DataFrame:

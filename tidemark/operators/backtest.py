@@ -51,7 +51,7 @@ def with_previous_signal(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
 def positions(df: DataFrame, keys: list[str] = SERIES, account: Account = Account()) -> DataFrame:
     """Per-bar account of the long-only, spend-a-fraction backtest.
 
-    Input: chunked bars with ``sig1``.  Adds ``pos`` (1 in a position during the bar), ``leaves``
+    Input: chunked bars with ``sig1`` and ``n_bars``.  Adds ``pos`` (1 in a position during the bar), ``leaves``
     (position closed at this open), ``entry`` (struct bar_idx, open_time, open of the entry bar),
     ``cash`` (account value when flat), ``equity``, ``ret``, ``peak`` and ``drawdown``.
     """
@@ -73,9 +73,11 @@ def positions(df: DataFrame, keys: list[str] = SERIES, account: Account = Accoun
     nz = F.when(F.col("sig1").isin(1, -1), F.col("sig1"))
     d = df.withColumn("_nz", nz).withColumn("_st", F.last("_nz", ignorenulls=True).over(so_far))
 
-    # 1. Each chunk on its own. The head runs to the first -1; behind it the state is known.
+    # 1. Each chunk that has a successor, on its own. The head runs to the first -1; behind it the
+    # state is known.
     loc = (
-        d.withColumn("_cut", F.coalesce(F.sum(F.when(F.col("_nz") == -1, 1)).over(so_far), F.lit(0)))
+        d.where(F.col("chunk") < home_chunk(F.col("n_bars") - 1))
+        .withColumn("_cut", F.coalesce(F.sum(F.when(F.col("_nz") == -1, 1)).over(so_far), F.lit(0)))
         .withColumn("_was", F.lag("_st").over(at))
         .withColumn("_ent", F.last(F.when((F.col("_nz") == 1) & (F.col("_was") == -1), bar), True).over(so_far))
     )
@@ -97,7 +99,7 @@ def positions(df: DataFrame, keys: list[str] = SERIES, account: Account = Accoun
         F.max_by("close", "bar_idx").alias("last_close"),
     )
 
-    # 2. State entering each chunk, from windows over the summaries.
+    # 2. State leaving each chunk = entering the next, from windows over the summaries.
     order = Window.partitionBy(*keys).orderBy("chunk")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     capital = F.lit(float(account.capital))
@@ -120,21 +122,19 @@ def positions(df: DataFrame, keys: list[str] = SERIES, account: Account = Accoun
     out_long = holds(F.coalesce("sign", "in_st") == 1)
     out_ent = F.coalesce(F.col("own.open"), F.col("in_ent.open"))
     out_equity = out_cash * F.when(out_long, marked(out_ent, F.col("last_close"))).otherwise(1.0)
-    carry = (
-        s.withColumn("_top", top)
-        .withColumn("_out", out_equity)
-        .select(
-            *cells,
-            F.col("in_st").alias("_in_st"),
-            F.col("in_ent").alias("_in_ent"),
-            F.col("in_cash").alias("_in_cash"),
-            F.max("_top").over(before).alias("_in_peak"),
-            F.lag("_out").over(order).alias("_in_equity"),
-        )
+    carry = s.withColumn("_top", top).select(
+        *keys,
+        (F.col("chunk") + 1).alias("chunk"),
+        F.coalesce("sign", "in_st").alias("_in_st"),
+        F.coalesce("own", "in_ent").alias("_in_ent"),
+        out_cash.alias("_in_cash"),
+        F.max("_top").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_in_peak"),
+        out_equity.alias("_in_equity"),
     )
 
     # 3. Price the bars with the state they start from.
-    p = d.join(carry, cells).withColumn("_st", F.coalesce("_st", "_in_st"))
+    p = d.join(carry, cells, "left").withColumn("_st", F.coalesce("_st", "_in_st"))
+    p = p.withColumn("_in_cash", F.coalesce("_in_cash", capital))
     p = p.withColumn("_was", F.coalesce(F.lag("_st").over(at), F.col("_in_st")))
     enters = holds(F.col("_nz") == 1) & ~holds(F.col("_was") == 1)
     p = (

@@ -132,8 +132,10 @@ def running(
     """Add inclusive running aggregates ``{name: (kind, expression)}`` along each series.
 
     Kinds: sum, product, max, min, last (non-null), first (non-null).  The frame must not contain
-    halo rows; a ``chunk`` column is used if present.
+    halo rows; a ``chunk`` column is used if present (with ``order="bar_idx"`` it must be the home
+    chunk, and ``n_bars``, if present, the series length).
     """
+    home = order == "bar_idx"
     d = df if "chunk" in df.columns else df.withColumn("chunk", home_chunk())
     cells = [*keys, "chunk"]
     for name, (_, expr) in specs.items():
@@ -147,15 +149,25 @@ def running(
             return F.min_by(value, F.when(value.isNotNull(), F.col(order)))
         return _WINDOWED[kind](value)
 
-    totals = d.groupBy(*cells).agg(*[total(n, k).alias(f"_t_{n}") for n, (k, _) in specs.items()])
-    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(*_ALL_BEFORE)
-    carry = totals.select(
-        *cells, *[_WINDOWED[k](F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (k, _) in specs.items()]
+    # only chunks with a successor hand something on
+    giving = d.where(F.col("chunk") < home_chunk(F.col("n_bars") - 1)) if home and "n_bars" in d.columns else d
+    totals = giving.groupBy(*cells).agg(*[total(n, k).alias(f"_t_{n}") for n, (k, _) in specs.items()])
+    so_far = Window.partitionBy(*keys).orderBy("chunk")
+    handed = totals.select(
+        *cells,
+        F.lead("chunk").over(so_far).alias("_next"),
+        *[
+            _WINDOWED[k](F.col(f"_t_{n}")).over(so_far.rowsBetween(*_UP_TO_NOW)).alias(f"_c_{n}")
+            for n, (k, _) in specs.items()
+        ],
     )
+    # chunks are consecutive along bar_idx; other chunkings may skip numbers
+    following = F.col("chunk") + 1 if home else F.col("_next")
+    carry = handed.select(*keys, following.alias("chunk"), *[f"_c_{n}" for n in specs])
     here = Window.partitionBy(*cells).orderBy(order).rowsBetween(*_UP_TO_NOW)
     for n, (k, _) in specs.items():
         d = d.withColumn(f"_l_{n}", _WINDOWED[k](F.col(f"_v_{n}")).over(here))
-    out = d.join(carry, cells)
+    out = d.join(carry, cells, "left")
     for n, (k, _) in specs.items():
         out = out.withColumn(n, _combine(k, F.col(f"_c_{n}"), F.col(f"_l_{n}")))
     return out.drop(*[f"_{p}_{n}" for p in "vlc" for n in specs])

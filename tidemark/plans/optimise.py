@@ -52,7 +52,7 @@ def account_frame(
     leave = fx.any_of(fx.crosses_below("close", "smoothed", w), stop)
     d = d.withColumn("signal", fx.signal_code(entry, leave))
     d = drop_halo(d.withColumn("sig1", F.lag("signal").over(w)))
-    kept = [*keys, "chunk", "bar_idx", "open_time", "open", "high", "low", "close", "sig1"]
+    kept = [*keys, "chunk", "bar_idx", "n_bars", "open_time", "open", "high", "low", "close", "sig1"]
     return stage(bt.positions(stage(d.select(*kept)), keys, account))
 
 

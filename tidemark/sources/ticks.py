@@ -14,16 +14,16 @@ KLINE_FIELDS = [
 
 
 def ticks_to_bars(
-    ticks: DataFrame, interval: str, sequence: list[str] | None = None, keys: list[str] | None = None
+    ticks: DataFrame, interval: str, sequence: str = "ts", keys: list[str] | None = None
 ) -> DataFrame:
     """OHLCV bars of ``(symbol, ts, price, qty)`` ticks.
 
     One hash aggregate with map-side combine: a symbol holding most of the ticks shuffles only
-    (input partitions x bars) partial rows.  ``sequence`` breaks ties between ticks sharing a ts.
+    (input partitions x bars) partial rows.  ``sequence`` is the fixed-width column giving the order
+    of the ticks inside a bar, for data where several ticks share a ``ts``.
     """
     keys = keys or ["symbol"]
-    # a plain timestamp keeps the hash aggregate; a struct ordering needs a sort aggregate
-    at = F.struct("ts", *sequence) if sequence else F.col("ts")
+    at = F.col(sequence)
     win = F.window("ts", duration(interval))
     bars = ticks.groupBy(*keys, win.alias("w")).agg(
         F.min_by("price", at).alias("open"),

@@ -20,7 +20,7 @@ from tidemark.sources.ticks import ticks_to_bars
 BACKFILL_SECONDS = 900
 
 
-def stream_bars(ticks: DataFrame, interval: str, lateness: str = "10 minutes", sequence: list[str] | None = None) -> DataFrame:
+def stream_bars(ticks: DataFrame, interval: str, lateness: str = "10 minutes", sequence: str = "ts") -> DataFrame:
     """Tumbling OHLCV bars of a tick stream, emitted once the watermark passes their end.
 
     Watermarks need zoned timestamps; run with the session time zone set to UTC.
