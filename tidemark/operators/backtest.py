@@ -77,8 +77,10 @@ def positions(df: DataFrame, keys: list[str] = SERIES, account: Account = Accoun
     # state is known.
     loc = (
         d.where(F.col("chunk") < home_chunk(F.col("n_bars") - 1))
-        .withColumn("_cut", F.coalesce(F.sum(F.when(F.col("_nz") == -1, 1)).over(so_far), F.lit(0)))
-        .withColumn("_was", F.lag("_st").over(at))
+        .withColumns({
+            "_cut": F.coalesce(F.sum(F.when(F.col("_nz") == -1, 1)).over(so_far), F.lit(0)),
+            "_was": F.lag("_st").over(at),
+        })
         .withColumn("_ent", F.last(F.when((F.col("_nz") == 1) & (F.col("_was") == -1), bar), True).over(so_far))
     )
     leaves_tail = holds((F.col("_nz") == -1) & (F.col("_was") == 1) & (F.col("_cut") >= 2))
@@ -133,27 +135,29 @@ def positions(df: DataFrame, keys: list[str] = SERIES, account: Account = Accoun
     )
 
     # 3. Price the bars with the state they start from.
-    p = d.join(carry, cells, "left").withColumn("_st", F.coalesce("_st", "_in_st"))
-    p = p.withColumn("_in_cash", F.coalesce("_in_cash", capital))
+    p = d.join(carry, cells, "left").withColumns(
+        {"_st": F.coalesce("_st", "_in_st"), "_in_cash": F.coalesce("_in_cash", capital)}
+    )
     p = p.withColumn("_was", F.coalesce(F.lag("_st").over(at), F.col("_in_st")))
     enters = holds(F.col("_nz") == 1) & ~holds(F.col("_was") == 1)
-    p = (
-        p.withColumn("pos", holds(F.col("_st") == 1).cast("int"))
-        .withColumn("leaves", holds((F.col("_nz") == -1) & (F.col("_was") == 1)))
-        .withColumn("entry", F.coalesce(F.last(F.when(enters, bar), True).over(so_far), F.col("_in_ent")))
-    )
+    p = p.withColumns({
+        "pos": holds(F.col("_st") == 1).cast("int"),
+        "leaves": holds((F.col("_nz") == -1) & (F.col("_was") == 1)),
+        "entry": F.coalesce(F.last(F.when(enters, bar), True).over(so_far), F.col("_in_ent")),
+    })
     step = F.when(F.col("leaves"), closed(F.col("entry.open"), F.col("open"))).otherwise(1.0)
     p = p.withColumn("cash", F.col("_in_cash") * F.product(step).over(so_far))
     value = F.when(F.col("pos") == 1, marked(F.col("entry.open"), F.col("close"))).otherwise(1.0)
     p = p.withColumn("equity", F.col("cash") * value)
-    p = p.withColumn("peak", F.greatest("_in_peak", F.max("equity").over(so_far)))
     # a flat account returns exactly zero, also across a chunk border
     idle = (F.col("bar_idx") > 0) & (F.col("pos") == 0) & ~holds(F.col("_was") == 1)
     moved = F.col("equity") / F.coalesce(F.lag("equity").over(at), F.col("_in_equity")) - 1
-    return (
-        p.withColumn("ret", F.when(idle, 0.0).otherwise(moved))
-        .withColumn("drawdown", F.col("equity") - F.col("peak"))
-        .drop("_nz", "_st", "_was", "_in_st", "_in_ent", "_in_cash", "_in_peak", "_in_equity")
+    p = p.withColumns({
+        "peak": F.greatest("_in_peak", F.max("equity").over(so_far)),
+        "ret": F.when(idle, 0.0).otherwise(moved),
+    })
+    return p.withColumn("drawdown", F.col("equity") - F.col("peak")).drop(
+        "_nz", "_st", "_was", "_in_st", "_in_ent", "_in_cash", "_in_peak", "_in_equity"
     )
 
 
@@ -171,16 +175,17 @@ def _priced(t: DataFrame, keys: list[str], account: Account) -> DataFrame:
     long = F.col("direction") == 1
     entry_cost, exit_value = F.col("size") * F.col("entry_price"), F.col("size") * F.col("exit_price")
     gross = F.when(long, exit_value - entry_cost).otherwise(entry_cost - exit_value)
-    t = t.withColumn("fees", (entry_cost + exit_value) * account.fee)
-    t = t.withColumn("pnl", gross - F.col("fees"))
-    t = (
-        t.withColumn("pnl_pct", F.col("pnl") / entry_cost)
-        .withColumn("mae", F.when(long, F.col("entry_price") - F.col("lo")).otherwise(F.col("hi") - F.col("entry_price")))
-        .withColumn("mfe", F.when(long, F.col("hi") - F.col("entry_price")).otherwise(F.col("entry_price") - F.col("lo")))
-        .withColumn("mae_pct", F.when(F.col("entry_price") > 0, F.col("mae") / F.col("entry_price")).otherwise(0.0))
-        .withColumn("mfe_pct", F.when(F.col("entry_price") > 0, F.col("mfe") / F.col("entry_price")).otherwise(0.0))
-        .withColumn("bars_held", F.col("exit_idx") - F.col("entry_idx"))
-    )
+    fees = (entry_cost + exit_value) * account.fee
+    up, down = F.col("hi") - F.col("entry_price"), F.col("entry_price") - F.col("lo")
+    mae, mfe = F.when(long, down).otherwise(up), F.when(long, up).otherwise(down)
+
+    def share(x: Column) -> Column:
+        return F.when(F.col("entry_price") > 0, x / F.col("entry_price")).otherwise(0.0)
+
+    t = t.withColumns({
+        "fees": fees, "pnl": gross - fees, "pnl_pct": (gross - fees) / entry_cost, "mae": mae, "mfe": mfe,
+        "mae_pct": share(mae), "mfe_pct": share(mfe), "bars_held": F.col("exit_idx") - F.col("entry_idx"),
+    })
     if "partial_exits" not in t.columns:
         t = t.withColumn("partial_exits", F.expr(_NO_PARTIALS))
     return t.select(*keys, *TRADE_COLUMNS)

@@ -138,8 +138,7 @@ def running(
     home = order == "bar_idx"
     d = df if "chunk" in df.columns else df.withColumn("chunk", home_chunk())
     cells = [*keys, "chunk"]
-    for name, (_, expr) in specs.items():
-        d = d.withColumn(f"_v_{name}", expr)
+    d = d.withColumns({f"_v_{name}": expr for name, (_, expr) in specs.items()})
 
     def total(name: str, kind: str) -> Column:
         value = F.col(f"_v_{name}")
@@ -165,11 +164,10 @@ def running(
     following = F.col("chunk") + 1 if home else F.col("_next")
     carry = handed.select(*keys, following.alias("chunk"), *[f"_c_{n}" for n in specs])
     here = Window.partitionBy(*cells).orderBy(order).rowsBetween(*_UP_TO_NOW)
-    for n, (k, _) in specs.items():
-        d = d.withColumn(f"_l_{n}", _WINDOWED[k](F.col(f"_v_{n}")).over(here))
-    out = d.join(carry, cells, "left")
-    for n, (k, _) in specs.items():
-        out = out.withColumn(n, _combine(k, F.col(f"_c_{n}"), F.col(f"_l_{n}")))
+    d = d.withColumns({f"_l_{n}": _WINDOWED[k](F.col(f"_v_{n}")).over(here) for n, (k, _) in specs.items()})
+    out = d.join(carry, cells, "left").withColumns(
+        {n: _combine(k, F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n, (k, _) in specs.items()}
+    )
     return out.drop(*[f"_{p}_{n}" for p in "vlc" for n in specs])
 
 

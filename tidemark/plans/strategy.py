@@ -71,8 +71,7 @@ def trend_signals(bars: DataFrame, rule: Trend = Trend(), keys: list[str] = SERI
     w = chunk_window(keys)
     centre = "close" if rule.stop == "atr" else "smoothed"
     d = d.withColumn("width", band_width(rule, keys))
-    for name, band in fx.stop_bands(centre, "width", rule.k_stop, rule.k_profit).items():
-        d = d.withColumn(name, band)
+    d = d.withColumns(fx.stop_bands(centre, "width", rule.k_stop, rule.k_profit))
     rise = fx.slope("smoothed", rule.slope_lookback, w)
     entry = fx.trend_entry("close", "smoothed", w, rise, rule.slope_threshold, rule.min_volatility, "width")
     leave = fx.any_of(fx.crosses_below("close", "smoothed", w), F.col("close") < F.col("long_stop"))
