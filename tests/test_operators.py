@@ -233,3 +233,15 @@ def test_correlation_with_ties_matches_pandas(spark, method):
     want = (ranked.rank() if method == "spearman" else ranked).corr()
     for (i, j), c in got.items():
         assert c == pytest.approx(want.loc[i, j], abs=1e-12)
+
+
+@pytest.mark.parametrize("cutoff", [0.08, 0.5, 1.0])
+def test_blocked_smoothing_equals_the_transform(spark, cutoff):
+    from tidemark.operators.smooth import low_pass, smooth, smooth_in_blocks
+
+    a, b = walk(150, 11), walk(90, 12)
+    d = with_ordinal(bars_of(spark, a).unionByName(bars_of(spark, b, "b")))
+    whole = smooth(d, F.lit(cutoff)).toPandas().sort_values(["symbol", "bar_idx"])
+    tiled = smooth_in_blocks(d, F.lit(cutoff), block=32).toPandas().sort_values(["symbol", "bar_idx"])
+    assert np.allclose(whole["smoothed"], np.concatenate([low_pass(a, cutoff), low_pass(b, cutoff)]))
+    assert np.allclose(whole["smoothed"], tiled["smoothed"], rtol=1e-11)

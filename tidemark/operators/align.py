@@ -40,18 +40,14 @@ def align_series(
     """Common time line of all series: ``intersection`` (times every series has), ``union`` (full
     grid, missing rows NULL) or ``position`` (n-th bar of each, up to the shortest series)."""
     if method == "position":
-        shortest = df.agg(F.min("n_bars").alias("_n"))
-        # a one-row aggregate, joined on a constant
-        return df.withColumn("_k", F.lit(1)).join(shortest.withColumn("_k", F.lit(1)), "_k").where(
-            F.col("bar_idx") < F.col("_n")
-        ).drop("_n", "_k")
-    times = df.groupBy(time).agg(F.count(F.lit(1)).alias("_n"), F.collect_set(key).alias("_have"))
-    symbols = df.agg(F.array_sort(F.collect_set(key)).alias("_all")).withColumn("_k", F.lit(1))
+        return df.where(F.col("bar_idx") < df.agg(F.min("n_bars")).scalar())
     if method == "intersection":
-        full = times.withColumn("_k", F.lit(1)).join(symbols, "_k").where(F.col("_n") == F.size("_all"))
+        everyone = df.agg(F.count_distinct(key)).scalar()
+        full = df.groupBy(time).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == everyone)
         return df.join(full.select(time), time, "left_semi")
     if method == "union":
-        grid = times.withColumn("_k", F.lit(1)).join(symbols, "_k").select(time, F.explode("_all").alias(key))
+        members = df.agg(F.array_sort(F.collect_set(key))).scalar()
+        grid = df.select(time).distinct().withColumn("_all", members).select(time, F.explode("_all").alias(key))
         return grid.join(df, [time, key], "left")
     raise ValueError(f"unknown alignment {method!r}")
 

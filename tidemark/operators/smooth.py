@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -97,3 +98,72 @@ def smooth(
             yield from out.to_batches()
 
     return d.repartition(*keys).sortWithinPartitions(*keys, "bar_idx").mapInArrow(kernel, schema)
+
+
+def smooth_in_blocks(
+    df: DataFrame,
+    cutoff: Column,
+    x: str = "close",
+    name: str = "smoothed",
+    keys: list[str] = SERIES,
+    taper: float = TAPER,
+    padding: float = PADDING,
+    block: int = 4096,
+) -> DataFrame:
+    """``smooth`` for series too long for one task: the same transform as two blocked matrix products.
+
+    Samples x surviving bins are cut into block x block tiles; every tile is one row for an Arrow
+    kernel and the tile results are summed with map-side combine.  More arithmetic than an FFT, but
+    no task ever holds more than a tile.
+    """
+    n = F.col("n_bars")
+    d = df.withColumns({"_cut": cutoff, "_pad": F.floor(n * padding)}).withColumn("_m", n + 2 * F.col("_pad"))
+    edge = F.floor(F.col("_cut") * F.col("_m"))
+    d = d.withColumns({"_edge": edge, "_width": F.greatest(F.lit(1), F.floor(taper * edge))})
+    tapered = F.col("_edge") + F.col("_width") < F.col("_m")
+    bins = F.when(tapered, F.col("_edge") + F.col("_width")).otherwise(F.least("_edge", "_m"))
+    d = d.withColumns({"_tapered": tapered, "_bins": bins})
+    shape = [*keys, "_pad", "_m", "_edge", "_width", "_tapered", "_bins"]
+
+    # a bar sits at its own padded position and, near an end, at its mirror image
+    i, pad = F.col("bar_idx"), F.col("_pad")
+    places = F.array(
+        i + pad, F.when((i >= 1) & (i <= pad), pad - i), F.when((i <= n - 2) & (i >= n - 1 - pad), pad + 2 * (n - 1) - i)
+    )
+    samples = d.select(*shape, F.col(x).alias("_v"), F.explode(F.filter(places, lambda p: p.isNotNull())).alias("_j"))
+
+    def tile(rows: pd.DataFrame, at: str, index: str, out: str) -> np.ndarray:
+        """Sum of values x cosine for the ``block`` outputs starting at ``out``; exact phases."""
+        here, there = rows[index].to_numpy(np.int64), np.arange(block) + int(rows[out].iloc[0])
+        a, b = (here, there) if at == "sample" else (there, here)
+        j, k, m = (a[:, None], b[None, :], int(rows["_m"].iloc[0]))
+        wave = np.cos(np.pi * ((2 * j + 1) * k % (4 * m)) / (2 * m))
+        return (rows["_v"].to_numpy() @ wave) if at == "sample" else (wave @ rows["_v"].to_numpy())
+
+    def product(rows: DataFrame, index: str, outputs: Column, at: str) -> DataFrame:
+        """Tile sums: one output row per (shape, output index, input tile)."""
+        tiles = rows.withColumn("_tile", F.floor(F.col(index) / block)).withColumn("_out", F.explode(outputs))
+        fields = [f for f in tiles.schema.fields if f.name in shape]
+        schema = T.StructType([*fields, T.StructField("_at", T.LongType()), T.StructField("_part", T.DoubleType())])
+
+        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = pd.DataFrame({"_at": np.arange(block) + int(pdf["_out"].iloc[0]), "_part": tile(pdf, at, index, "_out")})
+            for k, f in enumerate(fields):
+                out.insert(k, f.name, pdf[f.name].iloc[0])
+            return out
+
+        parts = tiles.groupBy(*shape, "_tile", "_out").applyInPandas(kernel, schema)
+        return parts.groupBy(*shape, "_at").agg(F.sum("_part").alias("_v"))
+
+    def starts(first: Column, last: Column) -> Column:
+        size = F.lit(block).cast("long")
+        return F.sequence(F.floor(first / block) * size, F.floor(last / block) * size, size)
+
+    coefficients = product(samples.where(F.col("_bins") > 0), "_j", starts(F.lit(0), F.col("_bins") - 1), "sample")
+    k = F.col("_at")
+    gain = F.when(k < F.col("_edge"), 1.0).otherwise(0.5 + 0.5 * F.cos(F.pi() * (k - F.col("_edge")) / F.col("_width")))
+    scale = F.when(k == 0, 1.0).otherwise(2.0) / F.col("_m")
+    coefficients = coefficients.where(k < F.col("_bins")).withColumn("_v", F.col("_v") * gain * scale).withColumnRenamed("_at", "_k")
+    line = product(coefficients, "_k", starts(F.col("_pad"), F.col("_m") - F.col("_pad") - 1), "bin")
+    line = line.select(*keys, (F.col("_at") - F.col("_pad")).alias("bar_idx"), F.col("_v").alias(name))
+    return df.join(line, [*keys, "bar_idx"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
