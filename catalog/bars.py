@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    DAILY, HOURLY, SIGNALS, TICKS, TRADES, bars, bars_sql, daily_bars, query, r, rounded, rs, table, with_,
+    DAILY, SIGNALS, TICKS, TRADES, bars, bars_sql, daily_bars, query, r, rounded, rs, table, with_,
 )
 from catalog.backtests import FLAGSHIP, flagship
 from tidemark.functions import columns as fx

@@ -7,12 +7,12 @@ import tempfile
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    ACCOUNT, HOURLY, METRIC_NAMES, SMOOTHED, bars, indexed, indexed_sql, metrics_sql, query, r, replay_sql, rounded, rs,
+    ACCOUNT, HOURLY, METRIC_NAMES, SMOOTHED, bars, indexed, metrics_sql, query, r, replay_sql, rounded, rs,
     smooth_sql, table, trades_sql, with_,
 )
-from catalog.backtests import FLAGSHIP, flagship
+from catalog.backtests import flagship
 from catalog.signals import TR, smoothed
-from tidemark.operators import align, metrics as mt, montecarlo as mc, search as so
+from tidemark.operators import align, montecarlo as mc, search as so
 from tidemark.plans import optimise as op
 from tidemark.plans.staging import stage
 from tidemark.schema import SERIES

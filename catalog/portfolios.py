@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import ACCOUNT, METRIC_NAMES, daily_bars, query, r, rounded, rs, table, with_
+from catalog.base import ACCOUNT, query, r, rounded, rs, table, with_
 from catalog.backtests import MET, flagship
 from catalog.signals import DRET, daily_returns
-from tidemark.operators import align, metrics as mt, portfolio as pf
+from tidemark.operators import align, portfolio as pf
 from tidemark.plans.portfolio_run import Policy, run_portfolio
 from tidemark.plans.staging import stage
-from tidemark.schema import SERIES
 
 RX = f"""{DRET}, rx AS (SELECT symbol, bar_idx AS t, coalesce(ret / (2 + ret) / 50, 0) AS ret FROM ret WHERE bar_idx < (SELECT min(n_bars) FROM ret))"""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    ACCOUNT, DAILY, HOURLY, SIGNALS, SMOOTHED, TICKS, TRADES, bars, bars_sql, daily_bars, indexed, indexed_sql,
+    ACCOUNT, DAILY, HOURLY, SIGNALS, SMOOTHED, TICKS, TRADES, bars, bars_sql, daily_bars, indexed_sql,
     query, r, rounded, rs, signals_sql, smooth_sql, table, with_,
 )
 from catalog.backtests import FLAGSHIP, flagship

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import HOURLY, daily_bars, indexed, query, r, rounded, rs, with_
+from catalog.base import HOURLY, indexed, query, r, rounded, rs, with_
 from tidemark.operators import spectral as sp
 
 FFT = f"""{HOURLY}, fk AS (SELECT symbol, n_bars AS n, unnest(range(1, (n_bars - 1) // 2 + 1)) AS k FROM ib WHERE bar_idx = 0),

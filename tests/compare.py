@@ -21,7 +21,7 @@ def session(cores: str = "8") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", os.environ.get("SESSION_TZ", "UTC"))
         .getOrCreate()
     )
 

@@ -5,7 +5,7 @@ The month bounds what an upsert has to rewrite and splits the files of a long se
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators.series import drop_halo, chunk_window, lay_out, with_ordinal
 from tidemark.schema import BAR_COLUMNS, BAR_SCHEMA, HISTORY_START, MILLISECOND, SERIES, interval_length
