@@ -62,3 +62,26 @@ def chat_digest(turns):
     loss = "".join(t or "" for r, t in turns if r == "assistant")
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     return len(turns), sha(whole), len(loss), sha(loss)
+
+
+def leaks(rows, items, k=5, similar=0.8):
+    """(doc_id, item_id) -> best similarity over all windows of the item's size, by weighted shingles."""
+    out = {}
+    grams = lambda ws: [tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))] if ws else []
+    told = [(i, words((t or "").translate(UPPER))) for i, t in items]
+    shingled = [(i, len(ws), Counter(grams(ws))) for i, ws in told if ws]
+    index = defaultdict(set)
+    for n, (_, _, c) in enumerate(shingled):
+        for g in c:
+            index[g].add(n)
+    for doc, text in rows:
+        ws = words((text or "").translate(UPPER))
+        for n in {n for g in grams(ws) for n in index.get(g, ())}:
+            item, size, want = shingled[n]
+            for at in range(max(1, len(ws) - size + 1)):
+                have = Counter(grams(ws[at : at + size]))
+                common = sum((have & want).values())
+                value = common / (sum(have.values()) + sum(want.values()) - common)
+                if value >= similar and value > out.get((doc, item), 0):
+                    out[doc, item] = value
+    return out
