@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing
+from tidemark.llm import decontaminate, mixing, pii
 from tidemark.llm.tables import query, table
 from tidemark.plans.staging import stage
 
@@ -24,3 +24,9 @@ def op6_mix_sources(spark, sf_dir):
 @query("op10_decontaminate")
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_personal_data")
+def op8_personal_data(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return pii.find(documents, pii.train(documents))
