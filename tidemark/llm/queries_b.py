@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, pii
+from tidemark.llm import decontaminate, licenses, mixing, pii, token_counts
 from tidemark.llm.tables import query, table
 from tidemark.plans.staging import stage
 
@@ -30,3 +30,17 @@ def op10_decontaminate(spark, sf_dir):
 def op8_personal_data(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     return pii.find(documents, pii.train(documents))
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return licenses.scan(documents, licenses.train(documents))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark, sf_dir):
+    import public_tokenizers as public
+
+    vocabulary = public.path("byte_bpe_50k.tiktoken")
+    return token_counts.document_tokens(table(spark, sf_dir, "documents"), vocabulary, public.PATTERN)
