@@ -1,0 +1,253 @@
+"""Personal data, licences, token counts, mixing and the pipeline."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import pytest
+from rough_rows import ROUGH, SF
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidemark.llm import licenses, mixing, pii, queries, token_counts
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text or ""):
+            s, d = m.group(), re.sub(r"\D", "", m.group())
+            luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in s.split(".") if kind == "ip"), "card": 16 <= len(d) <= 19 and luhn, "phone": 8 <= len(d) <= 15}
+            if ok[kind]:
+                out.append((kind, *m.span()))
+    return out
+
+
+HARD = [
+    "a@b.c", "a@b", "@x.y", "a@@b.c", "a@b.c@d.e", "x.a@b-c.d.e..f@g.h", "ü@b.c", "a@b.c-@d.e", "1.2.3.4.5.6.7.8.9", "1.2.3.256", "001.0255.3.4", "1.2..3.4.5.6.7",
+    "4111 1111 1111 1111", "4111-1111-1111-1111 x", "4111 1111  1111 1111", "41111111111111111111", "4111111111111111 4111111111111111", "+1 (243) 555-5526", "+1+2 345 678 90", "++49 30 1234567",
+    "+1 2", "+12345678901234567890", "😀 a@b.c 1.2.3.4 😀 +1 234 567 890", "9" * 3000 + ".1.1.1", "a" * 3000 + "@" + "b" * 3000, None, "",
+]
+
+
+def test_fixed_formats_match_the_patterns():
+    rng = np.random.default_rng(1)
+    made = ["".join(rng.choice(list("ab1234.@+-() 05"), 60)) for _ in range(1500)]
+    for text in HARD + made:
+        assert pii.base_spans(text or "") == plain_spans(text), text
+
+
+def test_scans_stay_linear():
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "@" * 300_000, "+1 " * 100_000, "a@" * 100_000, "1 " * 150_000, "aB3" * 100_000):
+        pii.base_spans(text)
+        list(pii.candidates(text))
+
+
+@pytest.fixture(scope="module")
+def finder(documents):
+    return pii.train(documents)
+
+
+def test_method_adds_and_leaves_alone(finder):
+    for text, kind in (
+        ('conf api_key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" end', "secret"), ("write to jane.doe [at] mail [dot] com now", "email"), ("tel: 030 555 1234567 now", "phone"),
+    ):
+        base, every = finder.spans(text)
+        assert not base and [s[0] for s in every] == [kind], text
+    for text in ("The year 1999 had 365 days and 12 months.", "see chapter 12.3 and table 4", "plain words only", "order 1234567890123456 shipped"):
+        assert finder.spans(text) == ([], []), text
+
+
+def test_base_spans_stay(finder):
+    for text in HARD:
+        base, every = finder.spans(text or "")
+        assert set(base) <= set(every) and len(set(every)) == len(every)
+
+
+def test_personal_data_query(spark):
+    source = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in queries.QUERIES["op8_personal_data"](spark, SF).collect()}
+    assert len(got) == len(source)
+    for r in source:
+        spans, told = plain_spans(r["text"]), got[r["doc_id"]]
+        n = Counter(s[0] for s in spans)
+        assert [told[f"n_{k}"] for k in PATTERNS] == [n[k] for k in PATTERNS]
+        assert told["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+        assert set(pii.listed(spans).split(",")) - {""} <= set(told["spans"].split(","))
+
+
+def test_redaction(finder, rough, nothing):
+    text = "mail a.b@c.de, ip 1.2.3.4!"
+    assert pii.redacted(text, finder.spans(text)[1]) == "mail [EMAIL], ip [IP]!"
+    assert pii.redacted("abcdef", [("card", 1, 4), ("phone", 2, 5)]) == "a[CARD]f"
+    out = pii.redact(rough, finder)
+    assert out.columns == rough.columns and out.count() == len(ROUGH) and pii.redact(nothing, finder).count() == 0
+    assert len(pii.find(rough, finder).collect()) == len(ROUGH) and pii.find(nothing, finder).count() == 0
+    assert set(pii.train(nothing).thresholds) == set(pii.KINDS)
+
+
+def test_every_template_has_an_anchor_and_is_found(spark):
+    have = licenses.anchors()
+    assert all(any(a in " ".join(licenses.normal(t)) for a in have) for ts in licenses.TEMPLATES.values() for t in ts)
+    model = licenses.fit(["just some words about weather", "the committee met on monday"])
+    known = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    rows = [(i, f"first line\n{t}\nlast line") for i, (_, t) in enumerate(known)]
+    rows += [(1000, "Her driver license was renewed and the permission slip signed."), (1001, None), (1002, ""), (None, "All rights reserved."), (None, "All rights reserved."),
+             (1003, "Released under the MIT License. " * 3000), (1004, "copyright law was debated in the house")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS family", "'y' AS words", "1 AS key")
+    got = defaultdict(list)
+    for r in licenses.scan(documents, model).collect():
+        got[r["doc_id"]].append(r)
+    right = sum(len(got[i]) == 1 and got[i][0]["paragraph"] == 2 and got[i][0]["family"] == f and got[i][0]["confirmed"] for i, (f, _) in enumerate(known))
+    assert right >= 0.95 * len(known)
+    assert all(not r["confirmed"] for i in (1000, 1004) for r in got[i])
+    assert [r["family"] for r in got[None]] == ["reserved", "reserved"] and got[1003][0]["family"] == "mit"
+    assert licenses.scan(documents.limit(0), model).count() == 0
+
+
+def test_license_columns_match_plain_forms(spark):
+    texts = ["Licensed under CC BY-NC 4.0.", "", "  a--B 12c34 é d ", "one"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", licenses.normal_column(F.col("t")).alias("w")).select(
+        "t", "w", licenses.ngrams_column(F.split("w", " ")).alias("g")).collect()
+    for r in rows:
+        assert r["w"] == " ".join(licenses.normal(r["t"]))
+        assert set(r["g"]) - {""} == licenses.ngrams(licenses.normal(r["t"]))
+
+
+def test_license_plan_has_no_python(spark, documents):
+    model = licenses.fit([])
+    assert "Python" not in licenses.scan(documents, model)._jdf.queryExecution().toString()
+    lines = {(r["doc_id"], i): s for r in documents.collect() for i, s in enumerate(r["text"].split("\n"), 1)}
+    told = {(r["doc_id"], r["paragraph"]): r["family"] for r in licenses.scan(documents, model).collect() if r["confirmed"]}
+    want = {"MIT License": "mit", "GNU General Public": "gpl", "CC BY-NC": "cc-by-nc", "Apache License": "apache", "All rights reserved": "reserved"}
+    assert told == {k: f for k, s in lines.items() for cue, f in want.items() if cue in s}
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    public = pytest.importorskip("public_tokenizers")
+    return public.path("byte_bpe_50k.tiktoken"), public.PATTERN
+
+
+def test_token_counts_match_the_encoder(spark, rough, nothing, documents, vocabulary, monkeypatch):
+    encode = token_counts._encoding(*vocabulary).encode_ordinary
+    monkeypatch.setattr(token_counts, "BLOCK", 1000)  # most documents lie across blocks
+    for frame in (rough, documents):
+        got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_counts.document_tokens(frame, *vocabulary).collect())
+        assert got == sorted((str(r["doc_id"]), len(encode(r["text"] or ""))) for r in frame.collect())
+    assert token_counts.document_tokens(nothing, *vocabulary).count() == 0
+
+
+def test_token_files_of_others(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK", 4)
+    E, rng = token_counts.END, np.random.default_rng(3)
+    files = {"a": [1, 2, E, E, 3, 4, 5, 6, 7, 8, 9, 10, 11, E], "b": [1] * 9, "c": [E], "d": [], "e": [1, 2, 3, E, 4, E, 5], "f": rng.choice([1, 2, E], 101, p=[0.5, 0.4, 0.1]).tolist()}
+    want = {}
+    for name, tokens in files.items():
+        (tmp_path / name).write_bytes(np.array(tokens, "<u2").tobytes())
+        runs, n = [], 0
+        for t in tokens:
+            if t == E:
+                runs.append(n)
+                n = 0
+            else:
+                n += 1
+        want |= {(name, i): k for i, k in enumerate(runs + ([n] if n else []))}
+    got = token_counts.count_tokens(spark, str(tmp_path)).collect()
+    assert {(r["file"], r["ordinal"]): r["n_tokens"] for r in got} == want and len(got) == len(want)
+
+
+def test_targets_and_flow():
+    assert mixing.targets([100, 100, 100], [5, 2, 1]).round(3).tolist() == [187.5, 75.0, 37.5]
+    out = mixing.targets([10, 1000, 100], [5, 2, 1])
+    assert out[0] == 30 and abs(out.sum() - 1110) < 1e-6 and (out <= 3 * np.array([10, 1000, 100]) + 1e-9).all()
+    assert mixing.targets([], []).tolist() == [] and mixing.targets([0, 0], [5, 2]).tolist() == [0, 0]
+    # two sources share a pattern: what one cannot give comes from the shared documents, once before twice
+    flow = mixing.route([10, 10, 10], [[0], [1], [0, 1]], [15, 25])
+    assert abs(flow.sum() - 40) < 1e-6 and np.allclose(flow.sum(0), [15, 25])
+    cost = lambda give: sum(max(0, g - 10) + 2 * max(0, g - 20) for g in give)
+    best = min(cost([a, b, 40 - a - b]) for a in range(0, 16) for b in range(0, 26) if 0 <= 15 - a + 25 - b <= 30 and 40 - a - b <= 30)
+    assert abs(cost(flow.sum(1)) - best) < 1e-6
+
+
+def check_mix(rows, got, weights=mixing.WEIGHTS):
+    """rows: (id, source, size); got: id -> copies."""
+    size = Counter()
+    for _, s, n in rows:
+        size[s] += n
+    names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    goal = dict(zip(names, mixing.targets([size[s] for s in names], [weights[i % 3] for i in range(len(names))])))
+    taken = Counter()
+    for i, s, n in rows:
+        assert 0 <= got[i] <= 3
+        taken[s] += got[i] * n
+    return {s: (taken[s], goal[s]) for s in names}
+
+
+def test_mix_query(spark):
+    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    rows = [(r["doc_id"], r["source"], len(brute.words(r["text"]))) for r in source]
+    run = lambda: {r["doc_id"]: r for r in queries.QUERIES["op6_mix_sources"](spark, "/root/testdata/sf0.01").collect()}
+    got = run()
+    assert all(got[i]["size"] == n for i, _, n in rows) and len(got) == len(rows)
+    for s, (took, goal) in check_mix(rows, {i: got[i]["taken"] // n if n else 0 for i, _, n in rows}).items():
+        assert abs(took - goal) <= 0.02 * goal, s
+    for i, s, _ in rows:
+        assert abs(got[i]["target"] - check_mix(rows, {i: 0 for i, *_ in rows})[s][1]) < 1e-6
+    assert run() == got
+
+
+def test_mix_overlapping_sources(spark):
+    rows = [(i, [["a"], ["b"], ["a", "b"], None, []][i % 5], 50 + i % 37) for i in range(2000)]
+    documents = spark.createDataFrame(rows, "doc_id long, s array<string>, n long")
+    plan, sources = mixing.plan_mix(documents, F.col("s"), F.col("n"))
+    mixed = mixing.apply_mix(documents, plan, F.col("s"), F.col("n")).collect()
+    assert abs(sum(r["_copies"] * r["n"] for r in mixed) - sum(r["target"] for r in sources.collect())) < 0.01 * sum(n for *_, n in rows)
+
+
+def test_mix_on_rough_rows(rough, nothing):
+    size, belongs = mixing.word_count(F.col("text")), F.array(F.col("source"))
+    plan, sources = mixing.plan_mix(rough, belongs, size)
+    got = mixing.apply_mix(rough, plan, belongs, size).collect()
+    assert len(got) == len(ROUGH) and all(r["_copies"] == 0 for r in got if not brute.words(r["text"]))
+    assert {r["_source"] for r in sources.collect()} == {r[3] for r in ROUGH}
+    plan, sources = mixing.plan_mix(nothing, belongs, size)
+    assert mixing.apply_mix(nothing, plan, belongs, size).count() == 0 and sources.count() == 0
+
+
+def test_pipeline_stages(spark, labels):
+    """Each stage against a plain version on what the one before it kept."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names = docs.columns
+    items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text").collect()]
+    for k, (name, apply) in enumerate(corpus_pipeline.STAGES):
+        before = [r.asDict() for r in docs.collect()]
+        texts = [(r["doc_id"], r["text"]) for r in before]
+        docs = corpus_pipeline.stage(apply(spark, docs, "/root/testdata/sf0.01"))
+        after = {r["doc_id"]: r.asDict() for r in docs.collect()}
+        assert k == 4 or docs.columns == names
+        if k == 0:
+            good = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+            marked = [i for i, _ in texts if i in good]
+            assert sum((i in after) == (good[i] == 1) for i in marked) > 0.95 * len(marked)
+        elif k == 1:
+            assert set(after) == {i for i, v in brute.near_duplicates(texts, k=5).items() if v[2]}
+        elif k == 2:
+            assert set(after) == {i for i, _ in texts} - {i for i, _ in brute.leaks(texts, items)}
+        elif k == 3:
+            assert set(after) == {i for i, _ in texts}
+            assert not any(plain_spans(r["text"]) for r in after.values()) and all(r["n_chars"] == len(r["text"]) for r in after.values())
+        else:
+            rows = [(r["doc_id"], r["source"], len(brute.words(r["text"]))) for r in before]
+            copies = {i: after[i]["copies"] if i in after else 0 for i, *_ in rows}
+            for took, goal in check_mix(rows, copies).values():
+                assert abs(took - goal) <= 0.03 * goal
+

@@ -7,9 +7,11 @@ Bands of ``ROWS`` values, all minima or all maxima, are bucket keys: at similari
 miss all 32 buckets with probability (1 - 0.8^4)^32 = 5e-8.
 
 Candidates are confirmed on their whole shingle sets. No bucket is expanded into all pairs: copies with
-one set are one node; in a bucket every node is compared with the smallest one, and after the components
-of these links only nodes outside the bucket's main component are compared with the rest of it. Two
-nodes that share a bucket are thus compared, or known to be in one component already.
+one set are one node; in a bucket every node is compared with the most ordinary one, and after the
+components of these links only nodes outside the bucket's main component are compared with the rest of it.
+A pair is left out only where an exact bound rules a link out: shingles that one candidate alone has are in
+no intersection. Two nodes that share a bucket are thus compared, or known to be in one component already,
+or cannot link.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from tidemark.plans.staging import stage
 PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Rounds of comparing the nodes outside a bucket's main component with one of them, before all are.
-STAR_ROUNDS = 2
+#: Rounds of comparing a bucket with one of the nodes outside its main component, before it is with all of them.
+STAR_ROUNDS = 1
 
 _random = np.random.default_rng(4242)
 _FACTORS = _random.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,17 +98,21 @@ def _shingle_sets(documents: DataFrame, k: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have 100 * intersection >= percent * union."""
     one, two = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    # sizes first: they alone rule out most false candidates
-    sized = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    met = sized.join(one, "a").join(two, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    met = pairs.join(one, "a").join(two, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return met.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b").distinct()
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Each pair once, smaller node first."""
-    first = F.col("a") < F.col("b")
-    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
-    return pairs.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("na", "nb", "na"), pick("nb", "na", "nb")).distinct()
+def _pairs(entries: DataFrame, others: DataFrame, percent: int, apart: bool = False) -> DataFrame:
+    """Candidates (a < b) of one bucket, each once, as far as their sizes allow a link.
+
+    An intersection holds none of the shingles that only one of all candidates has, so it is no larger
+    than the smaller number of shared shingles ``c``; a link needs percent / (100 + percent) of both sizes.
+    """
+    other = others.select(F.col("key").alias("k"), F.col("node").alias("o"), F.col("n").alias("m"), F.col("c").alias("d"), *([F.col("component").alias("p")] if apart else []))
+    met = (F.col("key") == F.col("k")) & (F.col("node") != F.col("o")) & ((100 + percent) * F.least("c", "d") >= percent * (F.col("n") + F.col("m")))
+    if apart:
+        met &= F.col("component") != F.col("p")
+    return entries.join(other, met).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -136,32 +142,31 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     wanted = stage(documents.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("node"), "left_semi"))
     sets = stage(_shingle_sets(wanted, k).select(F.col("doc_id").alias("node"), "set").where(F.size("set") > 0))
 
-    pivots = entries.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.col("node")).alias("p")).select(
-        F.col("key").alias("k"), F.col("p.node").alias("b"), F.col("p.n").alias("nb"))
-    pairs = stage(_ordered(entries.join(pivots, F.col("key") == F.col("k")).where("node != b").select(
-        F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb")))
+    # shingles that no other candidate has cannot be in an intersection
+    lone = sets.select("node", F.explode("set").alias("h")).groupBy("h").agg(F.min("node").alias("w"), F.count("*").alias("df")).where("df = 1").groupBy(
+        "w").agg(F.count("*").alias("u"))
+    entries = stage(entries.join(lone, F.col("node") == F.col("w"), "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).where(
+        100 * F.col("c") >= percent * F.col("n")).select("key", "node", "n", "c"))
+
+    # a bucket's most ordinary node, the one with the fewest shingles of its own, is compared with all
+    ordinary = lambda e: e.groupBy("key").agg(F.min(F.struct(
+        (F.col("n") - F.col("c")).alias("u"), *e.columns[1:])).alias("o")).select("key", *[F.col(f"o.{c}").alias(c) for c in e.columns[1:]])
+    pairs = stage(_pairs(entries, ordinary(entries), percent))
     links = stage(_confirmed(pairs, sets, percent))
     for turn in range(STAR_ROUNDS + 1):
         parts = connected_components(links)
         placed = stage(entries.join(parts.withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left").select(
-            "key", "node", "n", F.coalesce("component", "node").alias("component")))
+            "key", "node", "n", "c", F.coalesce("component", "node").alias("component")))
         groups = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
         main = groups.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("groups")).where("groups > 1").select(
             F.col("key").alias("k"), F.col("m.component").alias("main"))
         open_ = stage(placed.join(main, F.col("key") == F.col("k")).drop("k"))
-        outside = open_.where("component != main")
-        if turn < STAR_ROUNDS:
-            outside = outside.groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", F.lit(turn))).alias("o")).select(
-                "key", F.col("o.node").alias("node"), F.col("o.n").alias("n"), F.col("o.component").alias("component"))
-        left = outside.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("c"))
-        found = _ordered(open_.join(left, (F.col("key") == F.col("k")) & (F.col("component") != F.col("c"))).where(
-            100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")).select(
-            F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb"))
-        fresh = stage(found.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb"))
-        if fresh.isEmpty():
+        outside = open_.where("component != main").drop("main")
+        found = _pairs(open_, ordinary(outside) if turn < STAR_ROUNDS else outside, percent, True)
+        fresh = stage(found.join(pairs, ["a", "b"], "left_anti"))
+        if turn == STAR_ROUNDS and fresh.isEmpty():
             break
-        new = stage(_confirmed(fresh, sets, percent))
-        links = links.unionByName(new)
+        links = links.unionByName(stage(_confirmed(fresh, sets, percent)))
         pairs = pairs.unionByName(fresh)
     else:
         parts = connected_components(links)
