@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from catalog.base import (
 from catalog.backtests import FLAGSHIP, flagship
 from tidemark.functions import columns as fx
 
-from tidemark.plans.staging import stage
+from tidemark.plans.staging import fresh_folder, stage
 from tidemark.plans.strategy import trend_signals
 from tidemark.schema import BAR_COLUMNS, SERIES
 from tidemark.sources import store, ticks as tk
@@ -57,7 +56,7 @@ def a2_daily(spark, sf):
 
 def _store(spark, sf):
     """The hourly bars written to, and read back from, a partitioned bar table."""
-    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/bars"
+    path = fresh_folder(spark, "store") + "/bars"
     store.write_bars(bars(spark, sf), path)
     return path
 
@@ -148,7 +147,7 @@ LO, HI = "2024-01-05 06:00:00", "2024-01-09 18:00:00"
 
 @query("a9_range_load", with_(BARS1H, f"SELECT {BAR_SELECT} FROM bars WHERE open_time BETWEEN TIMESTAMP '{LO}' AND TIMESTAMP '{HI}'"))
 def a9(spark, sf):
-    return rounded(store.in_range(store.read_bars(spark, _store(spark, sf)), LO, HI))
+    return rounded(store.load_range(spark, _store(spark, sf), "1h", LO, HI))
 
 
 @query("a10_epoch_utc", """SELECT event_id, epoch_us(ts) // 1000 AS ms, make_timestamp(epoch_us(ts) // 1000 * 1000) AS back,
@@ -184,10 +183,10 @@ def b3(spark, sf):
     return rounded(win.unionByName(lose).select("kind", "symbol", "entry_idx", "pnl_pct"))
 
 
-@query("b4_trade_sort", with_(TRADES, f"SELECT symbol, entry_idx, bars_held, {rs('pnl_pct')} FROM tr ORDER BY tr.pnl_pct DESC, symbol, entry_idx LIMIT 50"))
+@query("b4_trade_sort", with_(TRADES, f"SELECT symbol, entry_idx, bars_held, {rs('pnl_pct')} FROM tr ORDER BY tr.pnl_pct DESC, symbol, entry_idx"))
 def b4(spark, sf):
     t = flagship(spark, sf)[1].select("symbol", "entry_idx", "bars_held", "pnl_pct")
-    return rounded(t.orderBy(F.desc("pnl_pct"), "symbol", "entry_idx").limit(50))
+    return rounded(t.orderBy(F.desc("pnl_pct"), "symbol", "entry_idx"))
 
 
 @query("b5_trade_display", with_(TRADES, """SELECT symbol, strftime(entry_time, '%Y-%m-%d %H:%M') AS entry_time,

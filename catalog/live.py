@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from catalog.base import HOURLY, SMOOTHED, TICKS, bars, bars_sql, query, r, rounded, rs, signals_sql, smooth_sql, table, ticks, with_
 from catalog.backtests import FLAGSHIP
 from tidemark.operators.series import with_ordinal
-from tidemark.plans.staging import stage
+from tidemark.plans.staging import fresh_folder, stage
 from tidemark.schema import BAR_COLUMNS, SERIES
 from tidemark.sources import store
 from tidemark.streaming import live, payloads
 
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 def in_files(df, parts: int):
     """Write ``df`` in ``parts`` appends of increasing ``_turn``, so a file stream replays it in order."""
-    path = _folder() + "/in"
+    path = fresh_folder(df.sparkSession, "stream") + "/in"
     cut = df.withColumn("_p", F.floor(F.col("_turn") * parts)).drop("_turn")
     cut = stage(cut)
     for i in range(parts):
@@ -80,7 +74,7 @@ def message_stream(spark, sf, parts=3):
 
 
 def _merged(spark, sf, final_only):
-    out = _folder()
+    out = fresh_folder(spark, "stream")
     live.upsert_stream(message_stream(spark, sf), f"{out}/bars", f"{out}/ckpt", final_only, start="2024-01-03 00:00:00").awaitTermination()
     return store.read_bars(spark, f"{out}/bars").select("symbol", "open_time", "close", "trades")
 
@@ -101,7 +95,7 @@ def t3(spark, sf):
 @query("t4_update_log", with_(LIVE, """SELECT symbol, open_time, close_time, false AS is_final, 'ws' AS source FROM lv
   UNION ALL SELECT symbol, open_time, close_time, true, 'ws' FROM lv WHERE NOT open_bar"""))
 def t4(spark, sf):
-    out = _folder()
+    out = fresh_folder(spark, "stream")
     live.update_log(message_stream(spark, sf), f"{out}/log", f"{out}/ckpt").awaitTermination()
     return spark.read.parquet(f"{out}/log").drop("interval")
 
@@ -128,44 +122,80 @@ def t6(spark, sf):
     return rounded(out.select("symbol", "bar_idx", "smoothed", "signal"))
 
 
-@query("t6_stateful_tail_signals", with_(f"""{HOURLY}, tb AS (SELECT symbol, "interval", open_time, open, high, low, close, bar_idx - greatest(n_bars - 256, 0) AS bar_idx,
-    least(n_bars, 256) AS n_bars FROM ib WHERE bar_idx >= n_bars - 256), {smooth_sql(source='tb', name='ts')}, {signals_sql(source='ts', name='tg')},
-    lastfile AS (SELECT symbol, open_time FROM ib WHERE floor(bar_idx::DOUBLE / n_bars * 4) = 3)""", """SELECT symbol, open_time, signal FROM tg JOIN lastfile USING (symbol, open_time)"""))
+# Two micro-batches of more than 256 bars a series: each bar's signal from all bars up to its own batch.
+BATCHED = f"""{HOURLY}, tb AS (SELECT symbol, b.batch, "interval", open_time, open, high, low, close, bar_idx,
+    count(*) OVER (PARTITION BY symbol, b.batch) AS n_bars, CAST(floor(bar_idx::DOUBLE / n_bars * 2) AS BIGINT) AS own FROM ib
+    JOIN (SELECT unnest(range(2)) AS batch) b ON CAST(floor(bar_idx::DOUBLE / n_bars * 2) AS BIGINT) <= b.batch),
+  {smooth_sql(source='tb', name='ts', keys='symbol, batch')}, {signals_sql(source='ts', name='tg', keys='symbol, batch')}"""
+
+
+@query("t6_stateful_tail_signals", with_(BATCHED, f"SELECT batch, symbol, open_time, {rs('smoothed')}, signal FROM tg WHERE own = batch"))
 def t6_state(spark, sf):
-    """The last of four micro-batches: every bar of it is touched, with 256 bars of state behind."""
+    """All bars of all micro-batches; every bar is new, so each batch computes its series in full."""
     d = with_ordinal(bars(spark, sf)).withColumn("_turn", F.col("bar_idx") / F.col("n_bars"))
-    path = in_files(d.select(*SERIES, "open_time", "close", F.col("bar_idx").alias("seq"), "_turn"), 4)
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = _folder()
-    try:
-        stream = live.live_signals(live.read_stream(spark, path, spark.read.parquet(path).schema), FLAGSHIP)
-        (
-            stream.writeStream.foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{out}/signals"))
-            .option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start().awaitTermination()
-        )
-    finally:
-        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
-    got = spark.read.parquet(f"{out}/signals").where("batch = 3")
-    return got.select("symbol", F.col("open_time").cast("timestamp_ntz").alias("open_time"), "signal")
-
-
-@query("t7_refresh_decision", with_(LIVE, "SELECT symbol, CASE WHEN bool_or(NOT open_bar AND symbol <> 'view') THEN 'full' ELSE 'tail' END AS refresh FROM lv GROUP BY symbol"))
+    rows = d.select(*SERIES, *BAR_COLUMNS, F.lit(True).alias("is_final"), F.col("bar_idx").alias("seq"), "_turn")
+    path, out = in_files(rows, 2), fresh_folder(spark, "stream")
+    stream = live.read_stream(spark, path, spark.read.parquet(path).schema)
+    live.refresh_stream(stream, f"{out}/bars", f"{out}/signals", f"{out}/ckpt", FLAGSHIP).awaitTermination()
+    got = spark.read.parquet(f"{out}/signals-touched")
+    return rounded(got.select(F.col("batch").cast("long").alias("batch"), "symbol", "open_time", "smoothed", "signal"))
+
+
+# A second batch of partial bars touches only the last 40 bars, so only the tail is computed again.
+PARTIAL = f"""{HOURLY}, nb AS (SELECT * REPLACE (CASE WHEN bar_idx >= n_bars - 40 THEN close * 1.01::DOUBLE ELSE close END AS close) FROM ib),
+  {smooth_sql()}, {signals_sql()}, tb AS (SELECT symbol, "interval", open_time, open, high, low, close, bar_idx - greatest(n_bars - 256, 0) AS bar_idx,
+    least(n_bars, 256) AS n_bars, greatest(n_bars - 256, 0) AS shift FROM nb WHERE bar_idx >= n_bars - 256),
+  {smooth_sql(source='tb', name='ts')}, {signals_sql(source='ts', name='tg')}"""
+
+
+@query("t6_partial_refresh", with_(PARTIAL, f"""SELECT symbol, bar_idx, {rs('smoothed')}, signal FROM sig WHERE bar_idx < n_bars - 256
+  UNION ALL SELECT symbol, bar_idx + shift, {rs('smoothed')}, signal FROM tg"""))
+def t6_partial(spark, sf):
+    d = stage(with_ordinal(bars(spark, sf)))
+    late = F.col("bar_idx") >= F.col("n_bars") - 40
+    first = d.withColumn("is_final", F.lit(True)).withColumn("seq", F.col("bar_idx")).withColumn("_turn", F.lit(0.0))
+    second = d.where(late).withColumn("close", F.col("close") * 1.01).withColumn("is_final", F.lit(False)).withColumn(
+        "seq", F.col("bar_idx") + 1).withColumn("_turn", F.lit(0.5))
+    path, out = in_files(first.unionByName(second).drop("bar_idx", "n_bars"), 2), fresh_folder(spark, "stream")
+    stream = live.read_stream(spark, path, spark.read.parquet(path).schema)
+    live.refresh_stream(stream, f"{out}/bars", f"{out}/signals", f"{out}/ckpt", FLAGSHIP).awaitTermination()
+    return rounded(spark.read.parquet(f"{out}/signals").select("symbol", "bar_idx", "smoothed", "signal"))
+
+
+@query("t2_late_older_version", with_(LIVE, f"SELECT symbol, open_time, {r('CASE WHEN open_bar THEN open ELSE close END', 'close')}, trades FROM lv"))
+def t2_late(spark, sf):
+    """Partial bars that come a batch after the final ones change nothing."""
+    m = messages(spark, sf).withColumn("_turn", F.when(F.col("is_final"), 0.0).otherwise(0.5))
+    path, out = in_files(m, 2), fresh_folder(spark, "stream")
+    stream = live.read_stream(spark, path, spark.read.parquet(path).schema)
+    live.upsert_stream(stream, f"{out}/bars", f"{out}/ckpt").awaitTermination()
+    return rounded(store.read_bars(spark, f"{out}/bars").select("symbol", "open_time", "close", "trades"))
+
+
+@query("t5_backfill_merge", with_(LIVE, f"SELECT symbol, open_time, {rs('close')}, symbol LIKE '%i%' AND open_bar AS updated FROM lv"))
+def t5_merge(spark, sf):
+    """The store lacks the last five bars of each series; a snapshot of some series brings theirs."""
+    d = stage(with_ordinal(bars(spark, sf)))
+    out = fresh_folder(spark, "stream")
+    store.write_bars(d.where("bar_idx < n_bars - 5 or symbol not like '%i%'"), f"{out}/bars")
+    snapshot = d.where("symbol like '%i%' and bar_idx >= n_bars - 20").select(*SERIES, *BAR_COLUMNS)
+    told = live.merge_backfill(spark, f"{out}/bars", snapshot, f"{out}/merge").select(*SERIES, "open_time", F.lit(True).alias("updated"))
+    stored = store.read_bars(spark, f"{out}/bars").join(told, [*SERIES, "open_time"], "left")
+    return rounded(stored.select("symbol", "open_time", "close", F.coalesce("updated", F.lit(False)).alias("updated")))
+
+
+@query("t7_refresh_decision", with_(LIVE, "SELECT symbol, CASE WHEN symbol = 'click' THEN 'cached' WHEN bool_or(NOT open_bar AND symbol <> 'view') THEN 'full' ELSE 'tail' END AS refresh FROM lv GROUP BY symbol"))
 def t7(spark, sf):
-    log = messages(spark, sf).where("symbol <> 'view' or not is_final").withColumn("source", F.lit("ws"))
-    return live.refresh_decision(log).drop("interval")
+    log = messages(spark, sf).where("symbol <> 'click' and (symbol <> 'view' or not is_final)").withColumn("source", F.lit("ws"))
+    return live.refresh_decision(log, series=bars(spark, sf)).drop("interval")
 
 
-@query("t8_stream_bars", with_(f"{TICKS}, {bars_sql()}", f"SELECT symbol, open_time, {rs('open high low close volume')}, trades FROM bars WHERE close_time < (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"))
+@query("t8_stream_bars", with_(f"{TICKS}, {bars_sql()}", f"SELECT symbol, open_time, {rs('open high low close volume')}, trades FROM bars"))
 def t8(spark, sf):
     t = ticks(spark, sf).withColumn("_turn", F.dayofmonth("ts") / F.lit(32.0))
     path = in_files(t, 3)
-    stream = live.stream_bars(live.read_stream(spark, path, spark.read.parquet(path).schema), "1h")
-    out = _folder()
-    (
-        stream.writeStream.format("parquet").option("path", f"{out}/bars").option("checkpointLocation", f"{out}/ckpt")
-        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    )
-    got = spark.read.parquet(f"{out}/bars").select("symbol", "open_time", "open", "high", "low", "close", "volume", "trades")
+    out = fresh_folder(spark, "stream")
+    stream = live.read_stream(spark, path, spark.read.parquet(path).schema)
+    live.store_stream_bars(stream, f"{out}/bars", f"{out}/ckpt", "1h").awaitTermination()
+    got = store.read_bars(spark, f"{out}/bars").select("symbol", "open_time", "open", "high", "low", "close", "volume", "trades")
     return rounded(got)

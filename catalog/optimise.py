@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from catalog.base import (
@@ -14,7 +12,7 @@ from catalog.backtests import flagship
 from catalog.signals import TR, smoothed
 from tidemark.operators import align, montecarlo as mc, search as so
 from tidemark.plans import optimise as op
-from tidemark.plans.staging import stage
+from tidemark.plans.staging import fresh_folder, stage
 from tidemark.schema import SERIES
 from tidemark.sources import sinks
 
@@ -342,13 +340,13 @@ def m5(spark, sf):
 
 # --- sinks: written, read back and returned -----------------------------------------------------
 
-def _out() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+def _out(spark) -> str:
+    return fresh_folder(spark, "sink")
 
 
 @query("a11_leaderboard_sink", with_(OBJ, f"SELECT 'csv' AS fmt, symbol, param_id, {r('sharpe_ratio', 'train_sharpe_ratio', 6)} FROM met UNION ALL SELECT 'parquet', symbol, param_id, {r('sharpe_ratio', 'train_sharpe_ratio', 6)} FROM met"))
 def a11(spark, sf):
-    board, path = stage(board_of(spark, sf)), _out()
+    board, path = stage(board_of(spark, sf)), _out(spark)
     sinks.write_leaderboard(board, f"{path}/c", "csv")
     sinks.write_leaderboard(board, f"{path}/p", "parquet")
     csv = spark.read.option("header", True).schema(board.schema).csv(f"{path}/c").withColumn("fmt", F.lit("csv"))
@@ -359,7 +357,7 @@ def a11(spark, sf):
 @query("a12_best_config_json", with_(f"{OBJ}, {BEST}", f"""SELECT symbol, 'grid_search' AS method, {r('sharpe_ratio', 'best_score', 6)}, hours AS min_trend_period_hours,
   lookback AS slope_lookback FROM best JOIN par USING (param_id)"""))
 def a12(spark, sf):
-    path = _out() + "/best"
+    path = _out(spark) + "/best"
     sinks.write_best_config(grid_run(spark, sf), path, NAMES, "grid_search", "sharpe_ratio", 0)
     doc = F.from_json("value", "method string, objective_metric string, best_score double, seed bigint, best_params struct<min_trend_period_hours: double, atr_period: int, slope_lookback: int>")
     back = spark.read.option("basePath", path).text(path).withColumn("d", doc)
@@ -368,7 +366,7 @@ def a12(spark, sf):
 
 @query("a13_walkforward_sink", with_(f"{HOURLY}, {WIN}", "SELECT symbol, window_id, train_start, train_end, test_start, test_end FROM wn"))
 def a13(spark, sf):
-    path = _out()
+    path = _out(spark)
     sinks.write_walk_forward(walk(spark, sf), path)
     schema = "symbol string, interval string, window_id long, train_start long, train_end long, test_start long, test_end long"
     return spark.read.option("header", True).schema(schema).csv(f"{path}/windows").drop("interval")
@@ -376,7 +374,7 @@ def a13(spark, sf):
 
 @query("a14_monte_carlo_sink", with_(SIMM, f"SELECT symbol, metric, sim_id, {r('value', None, 6)} FROM ml"))
 def a14(spark, sf):
-    path = _out()
+    path = _out(spark)
     sinks.write_monte_carlo(stage(sim_metrics(spark, sf)), path)
     back = spark.read.option("header", True).schema("symbol string, interval string, sim_id long, value double, metric string").csv(f"{path}/distribution")
     return rounded(back.drop("interval"), 6)
@@ -384,7 +382,7 @@ def a14(spark, sf):
 
 @query("a15_full_export", with_(OBJ, f"SELECT symbol, param_id, {r('sharpe_ratio', 'train_sharpe_ratio', 6)} FROM met"))
 def a15(spark, sf):
-    path, results = _out(), stage(grid_run(spark, sf))
+    path, results = _out(spark), stage(grid_run(spark, sf))
     board = so.leaderboard(results, NAMES, ["sharpe_ratio"], "sharpe_ratio", SERIES)
     sinks.write_search(results, board, path, NAMES, "grid_search", "sharpe_ratio", 0)
     return rounded(spark.read.parquet(f"{path}/leaderboard_parquet").select("symbol", "param_id", "train_sharpe_ratio"), 6)

@@ -6,17 +6,17 @@ from pyspark.sql import functions as F
 
 from catalog.base import ACCOUNT, query, r, rounded, rs, table, with_
 from catalog.backtests import MET, flagship
-from catalog.signals import DRET, daily_returns
-from tidemark.operators import align, portfolio as pf
+from catalog.signals import COMMON, DRET, common_returns, daily_returns
+from tidemark.operators import portfolio as pf
 from tidemark.plans.portfolio_run import Policy, run_portfolio
 from tidemark.plans.staging import stage
 
-RX = f"""{DRET}, rx AS (SELECT symbol, bar_idx AS t, coalesce(ret / (2 + ret) / 50, 0) AS ret FROM ret WHERE bar_idx < (SELECT min(n_bars) FROM ret))"""
+RX = f"""{COMMON}, rx AS (SELECT symbol, bar_idx AS t, coalesce(ret / (2 + ret) / 50, 0) AS ret FROM common)"""
 
 
 def member_returns(spark, sf):
-    """Damped daily returns of the regions, aligned by position; the first return counts as zero."""
-    d = align.align_series(stage(daily_returns(spark, sf)), "position")
+    """Damped daily returns of the regions on their common days; the first return counts as zero."""
+    d = common_returns(spark, sf)
     return stage(d.select(F.lit("all").alias("portfolio"), "symbol", F.col("bar_idx").alias("t"), F.coalesce(F.col("ret") / (2 + F.col("ret")) / 50, F.lit(0.0)).alias("ret")))
 
 
@@ -80,18 +80,18 @@ CAPS = """cp AS (SELECT r_name AS symbol, greatest(sum(s_acctbal), 1.0) AS cap F
   JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' GROUP BY 1)"""
 
 
-def caps(spark, sf):
+def caps(spark, sf, without="ASIA"):
     s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    s = s.join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("r_name <> 'ASIA'")
+    s = s.join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where(F.col("r_name") != without)
     return s.groupBy(F.col("r_name").alias("symbol")).agg(F.greatest(F.sum("s_acctbal"), F.lit(1.0)).alias("cap"))
 
 
-@query("p6_weight_caps", with_(f"{RX}, {CAPS}, w AS (SELECT symbol, least(greatest(cap / sum(cap) OVER (), 0.2), 0.3) AS c FROM cp)", f"SELECT symbol, {r('c / sum(c) OVER ()', 'weight')} FROM w"))
+@query("p6_weight_caps", with_(CAPS.replace("r_name <> 'ASIA'", "true") + ", w AS (SELECT symbol, least(greatest(cap / sum(cap) OVER (), 0.15), 0.22) AS c FROM cp)", f"SELECT symbol, {r('c / sum(c) OVER ()', 'weight')} FROM w"))
 def p6(spark, sf):
-    c = caps(spark, sf).withColumn("portfolio", F.lit("all"))
+    c = caps(spark, sf, without="").withColumn("portfolio", F.lit("all"))
     total = c.groupBy("portfolio").agg(F.sum("cap").alias("v"))
     raw = c.join(total, "portfolio").select("portfolio", "symbol", (F.col("cap") / F.col("v")).alias("weight"))
-    return rounded(pf.cap_weights(raw, 0.2, 0.3).select("symbol", "weight"))
+    return rounded(pf.cap_weights(raw, 0.15, 0.22).select("symbol", "weight"))
 
 
 MCW = f"""{RX}, {CAPS}, {MEMBERS}, w0 AS (SELECT symbol, coalesce(cap, 1.0) / sum(coalesce(cap, 1.0)) OVER () AS w FROM mb LEFT JOIN cp USING (symbol)),

@@ -87,9 +87,18 @@ def j3_union(spark, sf):
     return rounded(align.align_series(daily_returns(spark, sf), "union").select("symbol", "open_time", "ret"))
 
 
-@query("j3_align_position", with_(DRET, f"SELECT symbol, bar_idx, {rs('ret')} FROM ret WHERE bar_idx < (SELECT min(n_bars) FROM ret)"))
+# Only series of equal length may be paired by position: the common days, numbered anew.
+COMMON = f"""{DRET}, common AS (SELECT symbol, open_time, ret, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS bar_idx FROM ret
+  WHERE open_time IN (SELECT open_time FROM ret GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM ret)))"""
+
+
+def common_returns(spark, sf):
+    return with_ordinal(align.align_series(stage(daily_returns(spark, sf))).drop("bar_idx", "n_bars"))
+
+
+@query("j3_align_position", with_(COMMON, f"SELECT symbol, bar_idx, {rs('ret')} FROM common"))
 def j3_position(spark, sf):
-    return rounded(align.align_series(daily_returns(spark, sf), "position").select("symbol", "bar_idx", "ret"))
+    return rounded(align.align_series(common_returns(spark, sf), "position").select("symbol", "bar_idx", "ret"))
 
 
 @query("j4_lookup_default", f"""SELECT s_suppkey, coalesce(n_name, 'Unknown') AS sector FROM supplier

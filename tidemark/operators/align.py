@@ -13,8 +13,8 @@ def asof_join(
 ) -> DataFrame:
     """Each lower row with the latest higher row at or before it; earlier rows take the first one.
 
-    Union of both sides and a running last value, so one shuffle by (key, four weeks) whatever the
-    skew between keys.  Higher columns other than keys and time get ``_<suffix>``.
+    Union of both sides and a running last value over (key, four weeks), with a carry of one row per
+    bucket: two passes over the union, and no key in one task.  Higher columns other than keys and time get ``_<suffix>``.
     """
     keys = keys or ["symbol"]
     payload = [c for c in higher.columns if c not in (*keys, time)]
@@ -38,9 +38,11 @@ def align_series(
     df: DataFrame, method: str = "intersection", key: str = "symbol", time: str = "open_time"
 ) -> DataFrame:
     """Common time line of all series: ``intersection`` (times every series has), ``union`` (full
-    grid, missing rows NULL) or ``position`` (n-th bar of each, up to the shortest series)."""
+    grid, missing rows NULL) or ``position`` (n-th bar of each; series of unequal length are an error)."""
     if method == "position":
-        return df.where(F.col("bar_idx") < df.agg(F.min("n_bars")).scalar())
+        longest, shortest = df.agg(F.max("n_bars")).scalar(), df.agg(F.min("n_bars")).scalar()
+        unequal = F.raise_error(F.lit("series have unequal lengths: align them by time"))
+        return df.where(F.when(longest == shortest, F.lit(True)).otherwise(unequal.cast("boolean")))
     if method == "intersection":
         everyone = df.agg(F.count_distinct(key)).scalar()
         full = df.groupBy(time).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == everyone)

@@ -24,14 +24,16 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the written table.
-
-    Without a shared folder on a cluster the frame is returned unchanged (recomputed per use).
-    """
-    folder = shared_folder(df.sparkSession)
+def fresh_folder(spark: SparkSession, kind: str = "work") -> str:
+    """A path of its own in the shared folder, for tables, stream inputs and stream checkpoints."""
+    folder = shared_folder(spark)
     if folder is None:
-        return df
-    path = f"{folder}/stage-{uuid.uuid4().hex}"
+        raise ValueError(f"set {_SETTING} to a folder that all executors share")
+    return f"{folder}/{kind}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and continue from the written table."""
+    path = fresh_folder(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,26 +8,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators.series import drop_halo, chunk_window, lay_out, with_ordinal
-from tidemark.schema import BAR_COLUMNS, BAR_SCHEMA, HISTORY_START, MILLISECOND, SERIES, interval_length
+from tidemark.plans.staging import fresh_folder
+from tidemark.schema import BAR_COLUMNS, BAR_SCHEMA, HISTORY_START, MILLISECOND, SERIES, duration, interval_length
+from tidemark.sources.ticks import ticks_to_bars
 
 ROW_KEY = [*SERIES, "open_time"]
 PARTITION = [*SERIES, "month"]
+#: Optional column of the table: the version of a bar that was stored.
+VERSION = "version"
 
 
 def _with_month(df: DataFrame) -> DataFrame:
     return df.withColumn("month", F.date_format("open_time", "yyyy-MM"))
 
 
-def read_bars(spark: SparkSession, path: str) -> DataFrame | None:
-    """All stored bars, or None when the table does not exist or cannot be read."""
+def _scan(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table with its version and month, or None when it does not exist or cannot be read."""
     try:
-        return spark.read.schema(BAR_SCHEMA + ", month string").parquet(path).drop("month").select(*SERIES, *BAR_COLUMNS)
+        return spark.read.schema(f"{BAR_SCHEMA}, {VERSION} bigint, month string").parquet(path)
     except Exception as problem:  # AnalysisException: path missing or unreadable
         if "PATH_NOT_FOUND" in str(problem) or "UNABLE_TO_INFER" in str(problem):
             return None
         raise
 
 
+def read_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame | None:
+    """The stored bars, all or those with ``start <= open_time <= end``; None without a table.
+
+    A range reads only the months it covers.
+    """
+    bars = _scan(spark, path)
+    if bars is None:
+        return None
+    for bound, inside in ((start, lambda m: F.col("month") >= m), (end, lambda m: F.col("month") <= m)):
+        if bound is not None:
+            bars = bars.where(inside(F.date_format(F.lit(bound).cast("timestamp_ntz"), "yyyy-MM")))
+    return in_range(bars, start, end).select(*SERIES, *BAR_COLUMNS)
+
+
+def load_range(
+    spark: SparkSession, path: str, interval: str, start: str, end: str, ticks: DataFrame | None = None,
+    force_refresh: bool = False, sequence: str = "ts",
+) -> DataFrame:
+    """Bars of one interval in a range, from the store; ``force_refresh`` builds them from ``ticks`` anew
+    and merges them into the store first."""
+    duration(interval)
+    if force_refresh:
+        if ticks is None:
+            raise ValueError("force_refresh needs ticks to build bars from")
+        merge_bars(spark, path, in_range(ticks_to_bars(ticks, interval, sequence), start, end), fresh_folder(spark, "merge"))
+    found = read_bars(spark, path, start, end)
+    if found is None:
+        raise ValueError(f"no bars stored at {path}")
+    return found.where(F.col("interval") == interval)
+
+
 def in_range(bars: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Bars with ``start <= open_time <= end``; reaches the Parquet scan as a pushed filter."""
     if start is not None and end is not None and start >= end:
@@ -50,18 +85,20 @@ def newest_per_bar(bars: DataFrame, version: str) -> DataFrame:
 
 
 def upsert(stored: DataFrame, arrived: DataFrame) -> DataFrame:
-    """Union of both, the arriving row winning where both have the bar."""
-    tagged = stored.withColumn("_rank", F.lit(0)).unionByName(arrived.withColumn("_rank", F.lit(1)))
-    return newest_per_bar(tagged, "_rank")
+    """Union of both. Where both have the bar and a version, the newer version wins, the arriving row on a
+    tie; otherwise the arriving row wins."""
+    def ranked(df: DataFrame, rank: int, without: int) -> DataFrame:
+        version = F.col(VERSION) if VERSION in df.columns else F.lit(None).cast("bigint")
+        return df.withColumn("_rank", F.struct(F.coalesce(version, F.lit(without)).alias("version"), F.lit(rank).alias("side")))
+
+    return newest_per_bar(ranked(stored, 0, -(2**63)).unionByName(ranked(arrived, 1, 2**63 - 1), allowMissingColumns=True), "_rank")
 
 
 def write_bars(bars: DataFrame, path: str, version: str | None = None) -> None:
-    """Replace the (symbol, interval, month) partitions present in ``bars``; nothing to write is a no-op."""
-    if bars.isEmpty():
-        return
+    """Replace the (symbol, interval, month) partitions present in ``bars``; no rows replace nothing."""
     rows = newest_per_bar(bars, version) if version else bars
     (
-        _with_month(rows.select(*SERIES, *BAR_COLUMNS))
+        _with_month(rows.select(*SERIES, *BAR_COLUMNS, *([VERSION] if VERSION in rows.columns else [])))
         .repartition(*PARTITION)
         .sortWithinPartitions(*PARTITION, "open_time")
         .write.mode("overwrite")
@@ -71,21 +108,35 @@ def write_bars(bars: DataFrame, path: str, version: str | None = None) -> None:
     )
 
 
+def stored_partitions(spark: SparkSession, path: str, arrived: DataFrame) -> DataFrame | None:
+    """The stored rows of the partitions that ``arrived`` touches; other months are not scanned.
+
+    The months are listed on the driver: a history has at most some hundreds.
+    """
+    stored = _scan(spark, path)
+    if stored is None:
+        return None
+    partitions = _with_month(arrived.select(*ROW_KEY)).select(*PARTITION).distinct()
+    months = [r[0] for r in partitions.select("month").distinct().collect()]
+    return stored.where(F.col("month").isin(months)).join(partitions, PARTITION, "left_semi").drop("month")
+
+
 def merge_bars(spark: SparkSession, path: str, arrived: DataFrame, staging: str) -> None:
     """Upsert into the store, touching only the partitions that receive rows.
 
+    A ``version`` column of ``arrived`` is stored, so a late older version never replaces a newer one.
     Spark cannot overwrite files it is reading, so the merged rows pass through ``staging``.
     """
-    stored = read_bars(spark, path)
-    if stored is None:
-        write_bars(arrived.withColumn("_rank", F.lit(1)), path, "_rank")
+    arrived = arrived.select(*SERIES, *BAR_COLUMNS, *([VERSION] if VERSION in arrived.columns else []))
+    touched = stored_partitions(spark, path, arrived)
+    if touched is None:
+        rank = F.coalesce(F.col(VERSION), F.lit(-(2**63))) if VERSION in arrived.columns else F.lit(1)
+        write_bars(newest_per_bar(arrived.withColumn("_rank", rank), "_rank"), path)
         return
-    months = _with_month(arrived.select(*ROW_KEY)).select(*PARTITION).distinct()
-    touched = _with_month(stored).join(months, PARTITION, "left_semi").drop("month")
-    write_bars(upsert(touched, arrived.select(*SERIES, *BAR_COLUMNS)), staging)
-    fresh = read_bars(spark, staging)
+    write_bars(upsert(touched, arrived), staging)
+    fresh = _scan(spark, staging)
     if fresh is not None:
-        write_bars(fresh, path)
+        write_bars(fresh.drop("month"), path)
 
 
 def series_span(bars: DataFrame) -> DataFrame:

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.operators.series import with_ordinal
-from tidemark.operators.smooth import low_pass
+from tidemark.plans.staging import stage
 from tidemark.plans.strategy import Trend, trend_signals
 from tidemark.schema import BAR_COLUMNS, SERIES
-from tidemark.sources.store import merge_bars, newest_per_bar
+from tidemark.sources.store import ROW_KEY, VERSION, merge_bars, newest_per_bar, read_bars, stored_partitions
 from tidemark.sources.ticks import ticks_to_bars
 
-BACKFILL_SECONDS = 900
+#: What a stream has at its start is worked off, then it ends; pass processingTime to keep it running.
+ONCE = {"availableNow": True}
 
 
 def stream_bars(ticks: DataFrame, interval: str, lateness: str = "10 minutes", sequence: str = "ts") -> DataFrame:
@@ -32,11 +29,11 @@ def stream_bars(ticks: DataFrame, interval: str, lateness: str = "10 minutes", s
 
 def upsert_stream(
     bars: DataFrame, path: str, checkpoint: str, final_only: bool = False, start: str | None = None,
-    version: str = "seq",
+    version: str = "seq", trigger: dict | None = None,
 ) -> StreamingQuery:
     """Merge a stream of bar rows into the bar store, the newest ``version`` of each bar winning.
 
-    Replaying a micro-batch after a failure merges the same rows again, which changes nothing.
+    The version is stored, so an older row that comes in a later batch changes nothing. Replaying a micro-batch after a failure merges the same rows again, which changes nothing.
     """
     if final_only:
         bars = bars.where(F.col("is_final"))
@@ -44,20 +41,39 @@ def upsert_stream(
         bars = bars.where(F.col("open_time") >= F.lit(start).cast("timestamp_ntz"))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = newest_per_bar(batch.select(*SERIES, *BAR_COLUMNS, version), version)
+        rows = batch.select(*SERIES, *BAR_COLUMNS, F.col(version).cast("bigint").alias(VERSION), F.col(version).alias("_newest"))
+        rows = newest_per_bar(rows, "_newest")
         merge_bars(batch.sparkSession, path, rows, f"{checkpoint}-merge/{batch_id}")
 
     return (
-        bars.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        bars.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
+    )
+
+
+def store_stream_bars(
+    ticks: DataFrame, path: str, checkpoint: str, interval: str, lateness: str = "10 minutes", sequence: str = "ts",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Bars of a tick stream merged into the bar store as they grow, the open ones included.
+
+    Every micro-batch emits the bars it changed, so nothing waits for the watermark.
+    """
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merge_bars(batch.sparkSession, path, stage(batch), f"{checkpoint}-merge/{batch_id}")
+
+    bars = stream_bars(ticks, interval, lateness, sequence)
+    return (
+        bars.writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or ONCE)).start()
     )
 
 
-def update_log(bars: DataFrame, path: str, checkpoint: str, source: str = "ws") -> StreamingQuery:
+def update_log(bars: DataFrame, path: str, checkpoint: str, source: str = "ws", trigger: dict | None = None) -> StreamingQuery:
     """Append one update row per message: (series, open_time, close_time, is_final, source)."""
     rows = bars.select(*SERIES, "open_time", "close_time", "is_final", F.lit(source).alias("source"))
     return (
         rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        .outputMode("append").trigger(**(trigger or ONCE)).start()
     )
 
 
@@ -72,10 +88,29 @@ def backfill_updates(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def refresh_decision(updates: DataFrame, force_full: bool = False) -> DataFrame:
-    """Per series: ``full`` after a final or backfilled bar (or when forced), else ``tail``."""
+def merge_backfill(spark: SparkSession, path: str, snapshot: DataFrame, staging: str) -> DataFrame:
+    """Merge a snapshot of bars into the store; returns the ``rest`` updates of series whose last bar changed.
+
+    One run of a periodic job: the snapshot is what was fetched again, the store what the stream wrote.
+    """
+    before = stored_partitions(spark, path, snapshot)
+    before = snapshot.limit(0) if before is None else stage(before)
+    merge_bars(spark, path, snapshot, staging)
+    return backfill_updates(before, stored_partitions(spark, path, snapshot))
+
+
+def refresh_decision(updates: DataFrame, force_full: bool = False, series: DataFrame | None = None) -> DataFrame:
+    """Per series: ``full`` after a final or backfilled bar (or when forced), else ``tail``.
+
+    With ``series``, all that are followed, those without an update are told as ``cached``, or ``full``
+    when forced.
+    """
     full = F.bool_or(F.col("is_final") | (F.col("source") == "rest")) | F.lit(force_full)
-    return updates.groupBy(*SERIES).agg(F.when(full, "full").otherwise("tail").alias("refresh"))
+    decided = updates.groupBy(*SERIES).agg(F.when(full, "full").otherwise("tail").alias("refresh"))
+    if series is None:
+        return decided
+    idle = F.lit("full" if force_full else "cached")
+    return series.select(*SERIES).distinct().join(decided, SERIES, "left").withColumn("refresh", F.coalesce("refresh", idle))
 
 
 def context_bars(rule: Trend, window: int | None = None) -> int:
@@ -104,60 +139,44 @@ def tail_refresh(previous: DataFrame, bars: DataFrame, rule: Trend, window: int
     return keep.unionByName(fresh)
 
 
-class TailSignals(StatefulProcessor):
-    """Keeps the trailing bars of one series and emits the signal of every touched bar.
+def refresh_stream(
+    bars: DataFrame, path: str, results: str, checkpoint: str, rule: Trend = Trend(), window: int | None = None,
+    version: str = "seq", trigger: dict | None = None,
+) -> StreamingQuery:
+    """Merge a stream of bar rows into the store and keep the signals of every series up to date.
 
-    State is bounded by the context window; residual-sigma stops.
+    A series that receives a final or a new bar is computed anew from all its stored bars, one with partial
+    updates only from its last bars, others are left as they are. ``results`` holds the signals of all bars
+    by (symbol, interval); ``<results>-touched`` holds for every micro-batch the signal of each bar that
+    arrived in it, however many. A replayed micro-batch writes the same rows again.
     """
-
-    def __init__(self, rule: Trend, window: int | None = None):
-        self.rule, self.window = rule, context_bars(rule, window)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bars = handle.getMapState("bars", "open_time timestamp", "close double, seq long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        touched = []
-        for pdf in rows:
-            for at, close, seq in zip(pdf["open_time"], pdf["close"], pdf["seq"]):
-                known = self.bars.getValue((at,)) if self.bars.containsKey((at,)) else None
-                if known is None or known[1] <= seq:
-                    self.bars.updateValue((at,), (float(close), int(seq)))
-                    touched.append(pd.Timestamp(at))
-        held = pd.Series({pd.Timestamp(k[0]): v[0] for k, v in self.bars.iterator()}).sort_index()
-        for stale in held.index[: -self.window]:
-            self.bars.removeKey((stale.to_pydatetime(),))
-        held = held.iloc[-self.window :]
-        signal = self.signals(held.to_numpy(float))
-        out = pd.DataFrame({"open_time": held.index, "close": held.to_numpy(), "signal": signal})
-        out = out[out["open_time"].isin(touched)]
-        out.insert(0, "interval", key[1])
-        out.insert(0, "symbol", key[0])
-        yield out
-
-    def signals(self, close: np.ndarray) -> np.ndarray:
-        rule, n = self.rule, len(close)
-        period = max(1, min(rule.min_trend_bars, n))
-        line = low_pass(close, min((n / period) * rule.cutoff_scale / (n / 2.0), 1.0))
-        gap = pd.Series(close - line)
-        stop = line - rule.k_stop * gap.rolling(rule.window, min_periods=1).std().fillna(0.0).to_numpy()
-        above, rise = close > line, pd.Series(line).diff(rule.slope_lookback).to_numpy()
-        was_at_or_below = np.r_[False, (close <= line)[:-1]]
-        was_at_or_above = np.r_[False, (close >= line)[:-1]]
-        enter = was_at_or_below & above & (rise > rule.slope_threshold)
-        leave = (was_at_or_above & (close < line)) | (close < stop)
-        return np.where(leave, -1, np.where(enter, 1, 0))
-
-
-def live_signals(bars: DataFrame, rule: Trend = Trend(), window: int | None = None) -> DataFrame:
-    """Signal of every arriving bar from per-series state (needs the RocksDB state store)."""
-    rows = bars.select(*SERIES, F.col("open_time").cast("timestamp").alias("open_time"), "close", "seq")
-    return rows.groupBy(*SERIES).transformWithStateInPandas(
-        TailSignals(rule, window),
-        outputStructType="symbol string, interval string, open_time timestamp, close double, signal long",
-        outputMode="Append",
-        timeMode="None",
-    )
+    def refresh(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*SERIES, *BAR_COLUMNS, "is_final", F.col(version).cast("bigint").alias(VERSION), F.col(version).alias("_newest"))
+        arrived = stage(newest_per_bar(rows, "_newest"))
+        # read before the merge: a bar the store does not know is new
+        before = stored_partitions(spark, path, arrived)
+        if before is None:
+            new = arrived.withColumn("_new", F.lit(True))
+        else:
+            new = arrived.join(before.select(*ROW_KEY, F.lit(False).alias("_new")), ROW_KEY, "left").withColumn("_new", F.coalesce("_new", F.lit(True)))
+        decided = stage(refresh_decision(new.withColumn("is_final", F.col("is_final") | F.col("_new")).withColumn("source", F.lit("ws"))))
+        merge_bars(spark, path, arrived, f"{checkpoint}-merge/{batch_id}")
+        stored = with_ordinal(read_bars(spark, path).join(decided.select(*SERIES), SERIES, "left_semi"))
+        of = lambda kind: stored.join(decided.where(F.col("refresh") == kind), SERIES, "left_semi")
+        fresh = full_refresh(of("full"), rule)
+        try:
+            known = spark.read.schema(fresh.schema).parquet(results)
+        except AnalysisException:  # nothing has been computed yet
+            known = None
+        if known is not None:
+            kept = known.join(decided.where("refresh = 'tail'"), SERIES, "left_semi")
+            fresh = fresh.unionByName(tail_refresh(kept, of("tail"), rule, window))
+        out = stage(fresh)
+        out.repartition(*SERIES).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SERIES).parquet(results)
+        out.join(arrived.select(*ROW_KEY), ROW_KEY, "left_semi").write.mode("overwrite").parquet(f"{results}-touched/batch={batch_id}")
+
+    return bars.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
