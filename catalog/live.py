@@ -32,7 +32,7 @@ RAW = """raw AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'not json' WHEN
 
 @query("t1_payload_parse", """SELECT event_id, CASE event_id % 5 WHEN 4 THEN make_timestamp((1700000000000 + event_id * 1000) * 1000) WHEN 3 THEN make_timestamp(1000) ELSE make_timestamp((1700000000000 + event_id) * 1000) END AS open_time,
   CASE event_id % 5 WHEN 4 THEN user_id + 0.5 WHEN 3 THEN NULL ELSE 1.5 END::DOUBLE AS open, CASE event_id % 5 WHEN 4 THEN user_id WHEN 3 THEN 5 END AS trades,
-  event_id % 5 = 4 AND user_id % 2 = 0 AS is_final, CASE event_id % 5 WHEN 2 THEN 'Missing fields in kline payload: T, c, h, l, n, q, v' WHEN 3 THEN 'Invalid kline payload' END AS error
+  event_id % 5 = 4 AND user_id % 2 = 0 AS is_final, CASE event_id % 5 WHEN 2 THEN 'payload lacks T, c, h, l, n, q, v' WHEN 3 THEN 'payload cannot be read' END AS error
   FROM events WHERE event_id % 5 >= 2""")
 def t1(spark, sf):
     e = table(spark, sf, "events")

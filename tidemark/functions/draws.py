@@ -12,9 +12,11 @@ MIX, SPREAD, STREAM, SEED_STEP, SPAN = 73244475, 2654435761, 40503, 9973, 429496
 
 
 def hash32(row: Column, stream: Column | int, seed: int) -> Column:
-    """A well-mixed integer in [0, 2^32); ``row`` must stay below 3.4e9."""
+    """A well-mixed integer in [0, 2^32) for any ``row`` from 0 to 2^62."""
     stream = F.lit(stream) if isinstance(stream, int) else stream
-    x = (row.cast("long") * SPREAD + stream.cast("long") * STREAM + seed * SEED_STEP) % SPAN
+    row = row.cast("long")
+    # the high part of a row number is spread on its own, so no product leaves 64 bits
+    x = (row.bitwiseAND(2**31 - 1) * SPREAD + F.shiftright(row, 31) % SPAN * MIX + stream.cast("long") * STREAM + seed * SEED_STEP) % SPAN
     for _ in range(2):
         x = (F.shiftright(x, 16).bitwiseXOR(x) * MIX) % SPAN
     return F.shiftright(x, 16).bitwiseXOR(x)

@@ -61,7 +61,7 @@ def positions(df: DataFrame, keys: list[str] = SERIES, account: Account = Accoun
     paid, kept = 1 + account.fee, 1 - account.fee
 
     def marked(entry_open: Column, close: Column) -> Column:
-        return (1 - f) + f * close / (entry_open * (1 + account.slippage) * paid)
+        return (1 - f) + F.try_divide(f * close, entry_open * (1 + account.slippage) * paid)
 
     def closed(entry_open: Column, exit_open: Column) -> Column:
         return marked(entry_open, exit_open * (1 - account.slippage) * kept)
@@ -151,7 +151,7 @@ def positions(df: DataFrame, keys: list[str] = SERIES, account: Account = Accoun
     p = p.withColumn("equity", F.col("cash") * value)
     # a flat account returns exactly zero, also across a chunk border
     idle = (F.col("bar_idx") > 0) & (F.col("pos") == 0) & ~holds(F.col("_was") == 1)
-    moved = F.col("equity") / F.coalesce(F.lag("equity").over(at), F.col("_in_equity")) - 1
+    moved = F.try_divide(F.col("equity"), F.coalesce(F.lag("equity").over(at), F.col("_in_equity"))) - 1
     p = p.withColumns({
         "peak": F.greatest("_in_peak", F.max("equity").over(so_far)),
         "ret": F.when(idle, 0.0).otherwise(moved),
@@ -183,7 +183,7 @@ def _priced(t: DataFrame, keys: list[str], account: Account) -> DataFrame:
         return F.when(F.col("entry_price") > 0, x / F.col("entry_price")).otherwise(0.0)
 
     t = t.withColumns({
-        "fees": fees, "pnl": gross - fees, "pnl_pct": (gross - fees) / entry_cost, "mae": mae, "mfe": mfe,
+        "fees": fees, "pnl": gross - fees, "pnl_pct": F.try_divide(gross - fees, entry_cost), "mae": mae, "mfe": mfe,
         "mae_pct": share(mae), "mfe_pct": share(mfe), "bars_held": F.col("exit_idx") - F.col("entry_idx"),
     })
     if "partial_exits" not in t.columns:

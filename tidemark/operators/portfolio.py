@@ -184,14 +184,15 @@ def accept_targets(targets: DataFrame, threshold: float = 0.05, keys: list[str]
     )
 
     def walk(batches):
-        current, held = None, None
+        current, members, held = None, None, None
         for pdf in batches:
             keep = []
             for key, names, target in zip(zip(*[pdf[k] for k in keys]), pdf["symbols"], pdf["weights"]):
-                fresh = key != current or len(names) != len(held)
+                # weights compare only between the same members
+                fresh = key != current or list(names) != members
                 taken = fresh or np.abs(np.asarray(target) - held).max() > threshold
                 if taken:
-                    current, held = key, np.asarray(target)
+                    current, members, held = key, list(names), np.asarray(target)
                 keep.append(taken)
             yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
 

@@ -137,7 +137,7 @@ def spectrogram(
 ) -> DataFrame:
     """log10 power per (window centre, period), for periods up to ``max_period`` bars."""
     spectra = window_spectra(df, x, window, _slide_step(window, overlap), keys)
-    period = 1.0 / F.col("freq")
+    period = F.try_divide(F.lit(1.0), F.col("freq"))
     return spectra.where(F.col("k") > 0).where(period <= max_period).select(
         *keys, "window_id", (F.col("start_idx") + F.floor(F.col("w_len") / 2)).alias("center_idx"),
         "k", period.alias("period"), F.log10(F.col("psd") + 1e-10).alias("log_psd"),

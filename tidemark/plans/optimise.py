@@ -14,11 +14,14 @@ from tidemark.plans.staging import stage
 from tidemark.plans.strategy import add_true_range
 from tidemark.schema import HOURS_PER_YEAR, SERIES
 
+#: Shorter series are not scored.
 MIN_BARS = 100
+#: Metric and parameter names with their defaults.
 METRICS = [
     "total_return", "cumulative_return", "annualized_return", "max_drawdown", "max_drawdown_pct",
     "sharpe_ratio", "sortino_ratio", *mt.TRADE_METRICS,
 ]
+COUNTS = {"n_trades", "n_wins", "n_losses"}
 DEFAULTS = {
     "min_trend_period_hours": 48.0, "cutoff_scale": 1.0, "atr_period": 14, "k_stop": 2.0, "k_profit": 3.0,
     "slope_threshold": 0.0, "slope_lookback": 1,
@@ -58,14 +61,20 @@ def account_frame(
 
 def evaluate(
     d: DataFrame, keys: list[str], hours_per_bar: float = 1.0, lookbacks: list[int] | None = None,
-    account: bt.Account = bt.Account(), max_atr: int | None = None,
+    account: bt.Account = bt.Account(), max_atr: int | None = None, worst: float = float("-inf"),
 ) -> DataFrame:
-    """Nineteen metrics per key; fewer than 100 bars score minus infinity."""
+    """Nineteen metrics per key; series of fewer than MIN_BARS bars, or with prices that cannot be traded at,
+    score ``worst`` and the others go on."""
     enough = d.where(F.col("n_bars") >= MIN_BARS)
     pos = account_frame(enough, keys, hours_per_bar, lookbacks or list(range(1, 6)), account, max_atr)
     scored = mt.summarise(pos, bt.closed_trades(pos, keys, account), account.capital, keys)
+    # an account without a value at some bar (a price of zero or none) has no score
+    broken = pos.where(F.col("equity").isNull()).select(*keys, F.lit(True).alias("_broken")).distinct()
+    scored = scored.join(broken, keys, "left").withColumns({
+        m: F.when(F.col("_broken"), F.lit(worst)).otherwise(F.col(m)) for m in METRICS if m not in COUNTS
+    }).drop("_broken")
     short = d.where((F.col("n_bars") < MIN_BARS) & (F.col("bar_idx") == 0)).select(
-        *keys, F.lit(float("-inf")).alias("sharpe_ratio")
+        *keys, F.lit(worst).alias("sharpe_ratio")
     )
     return scored.unionByName(short, allowMissingColumns=True)
 
@@ -81,6 +90,10 @@ class Search:
     metric: str = "sharpe_ratio"
     maximize: bool = True
 
+    @property
+    def worst(self) -> float:
+        return float("-inf") if self.maximize else float("inf")
+
     @property
     def size(self) -> int:
         return so.grid_size(self.space, self.points) if self.method == "grid" else self.n
@@ -90,15 +103,26 @@ class Search:
             return so.grid_columns(self.space, self.points, param_id)
         return so.random_columns(self.space, param_id, self.seed)
 
+    def __post_init__(self):
+        if unknown := sorted(set(self.space) - set(DEFAULTS)):
+            raise ValueError(f"no rule parameter is called {', '.join(unknown)}; known: {sorted(DEFAULTS)}")
+
+    def whole(self, name: str) -> list[int]:
+        """All values that a whole-number parameter can take."""
+        axis = self.space.get(name)
+        if axis is None:
+            return [DEFAULTS[name]]
+        if axis.kind == "float" or any(v != int(v) for v in axis.choices):
+            raise ValueError(f"{name} takes whole numbers only")
+        return sorted({int(v) for v in axis.choices}) if axis.kind == "choice" else list(range(int(axis.low), int(axis.high) + 1))
+
     @property
     def lookbacks(self) -> list[int]:
-        axis = self.space.get("slope_lookback")
-        return list(range(int(axis.low), int(axis.high) + 1)) if axis else [1]
+        return self.whole("slope_lookback")
 
     @property
     def max_atr(self) -> int:
-        axis = self.space.get("atr_period")
-        return int(axis.high) if axis else DEFAULTS["atr_period"]
+        return max(self.whole("atr_period"))
 
 
 def search(prepared: DataFrame, spec: Search, keys: list[str] = SERIES, hours_per_bar: float = 1.0) -> DataFrame:
@@ -106,7 +130,7 @@ def search(prepared: DataFrame, spec: Search, keys: list[str] = SERIES, hours_pe
     if spec.method == "bayesian":
         return _bayesian(prepared, spec, keys, hours_per_bar)
     d = so.with_candidates(prepared, spec.size, spec.columns(F.col("param_id")))
-    scores = evaluate(d, [*keys, "param_id"], hours_per_bar, spec.lookbacks, max_atr=spec.max_atr)
+    scores = evaluate(d, [*keys, "param_id"], hours_per_bar, spec.lookbacks, max_atr=spec.max_atr, worst=spec.worst)
     return scores.withColumns(spec.columns(F.col("param_id")))
 
 
@@ -120,7 +144,7 @@ def _bayesian(prepared: DataFrame, spec: Search, keys: list[str], hours_per_bar:
     later = later.withColumn("param_id", F.col("slot") + spec.n_initial).drop("slot", "gain")
     ids = fx.each(spec.n_initial, spec.n_initial + spec.n - 1)
     d = prepared.withColumn("param_id", ids).join(later, [*keys, "param_id"])
-    scores = evaluate(d, [*keys, "param_id"], hours_per_bar, spec.lookbacks, max_atr=spec.max_atr)
+    scores = evaluate(d, [*keys, "param_id"], hours_per_bar, spec.lookbacks, max_atr=spec.max_atr, worst=spec.worst)
     return start.unionByName(scores.join(later, [*keys, "param_id"]), allowMissingColumns=True)
 
 
@@ -184,7 +208,7 @@ def walk_forward(
     best = so.best_result(results, spec.metric, wk, spec.maximize)
     chosen = stage(best.select(*wk, "param_id", *spec.space))
     unseen = window_bars(prepared, windows, "test", keys).join(chosen.drop("param_id"), wk)
-    scored = stage(evaluate(unseen, wk, hours_per_bar, spec.lookbacks, max_atr=spec.max_atr))
+    scored = stage(evaluate(unseen, wk, hours_per_bar, spec.lookbacks, max_atr=spec.max_atr, worst=spec.worst))
     averages = scored.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in METRICS])
     return WalkForward(windows, results, chosen, best.select(*wk, *METRICS), scored, averages)
 

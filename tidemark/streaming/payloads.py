@@ -36,8 +36,8 @@ def parse_payloads(messages: DataFrame, value: str = "value") -> DataFrame:
     values = {column: read(name, kind) for name, (column, kind) in FIELDS.items()}
     unreadable = F.exists(F.array(*[v.isNull() for v in values.values()]), lambda b: b)
     error = F.when(
-        F.size(lacking) > 0, F.concat(F.lit("Missing fields in kline payload: "), F.array_join(lacking, ", "))
-    ).when(unreadable, F.lit("Invalid kline payload"))
+        F.size(lacking) > 0, F.concat(F.lit("payload lacks "), F.array_join(lacking, ", "))
+    ).when(unreadable, F.lit("payload cannot be read"))
     for column in ("open_time", "close_time"):
         values[column] = from_epoch_ms(values[column])
     final = F.coalesce(F.lower(F.col("_k")["x"]) == "true", F.lit(False))
