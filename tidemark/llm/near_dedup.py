@@ -9,8 +9,8 @@ miss all 32 buckets with probability (1 - 0.8^4)^32 = 5e-8.
 Candidates are confirmed on their whole shingle sets. No bucket is expanded into all pairs: copies with
 one set are one node; in a bucket every node is compared with the most ordinary one, and after the
 components of these links only nodes outside the bucket's main component are compared with the rest of it.
-A pair is left out only where an exact bound rules a link out: shingles that one candidate alone has are in
-no intersection. Two nodes that share a bucket are thus compared, or known to be in one component already,
+A pair is left out only where an exact bound on the intersection rules a link out: shingles that one
+candidate alone has are in none, and in each part of the shingle space the smaller count is the most. Two nodes that share a bucket are thus compared, or known to be in one component already,
 or cannot link.
 """
 
@@ -27,6 +27,8 @@ from tidemark.plans.staging import stage
 PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
+#: Parts of the shingle space in which two sets' sizes bound their intersection.
+PARTS = 64
 #: Rounds of comparing a bucket with one of the nodes outside its main component, before it is with all of them.
 STAR_ROUNDS = 1
 
@@ -90,9 +92,14 @@ def _shingle_sets(documents: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for part in slices(batches):
             hashes, starts = _sets(part, k)
-            yield pa.record_batch([part.column(0), lists(hashes.view(np.int64), starts, pa.int64())], ["doc_id", "set"])
+            rows = len(starts) - 1
+            place = np.repeat(np.arange(rows), np.diff(starts)) * PARTS + (hashes % np.uint64(PARTS)).astype(np.int64)
+            sizes = np.bincount(place, minlength=rows * PARTS).astype(np.int32)
+            yield pa.record_batch(
+                [part.column(0), lists(hashes.view(np.int64), starts, pa.int64()), lists(sizes, np.arange(rows + 1) * PARTS, pa.int32())],
+                ["doc_id", "set", "sizes"])
 
-    return documents.mapInArrow(run, "doc_id long, set array<long>")
+    return documents.mapInArrow(run, "doc_id long, set array<long>, sizes array<int>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -106,12 +113,15 @@ def _pairs(entries: DataFrame, others: DataFrame, percent: int, apart: bool = Fa
     """Candidates (a < b) of one bucket, each once, as far as their sizes allow a link.
 
     An intersection holds none of the shingles that only one of all candidates has, so it is no larger
-    than the smaller number of shared shingles ``c``; a link needs percent / (100 + percent) of both sizes.
+    than the smaller number of shared shingles ``c``, nor, with ``apart``, than the sum of the smaller numbers
+    ``sizes`` in each part of the shingle space; a link needs percent / (100 + percent) of both sizes.
     """
-    other = others.select(F.col("key").alias("k"), F.col("node").alias("o"), F.col("n").alias("m"), F.col("c").alias("d"), *([F.col("component").alias("p")] if apart else []))
+    more = [F.col("component").alias("p"), F.col("sizes").alias("other_sizes")] if apart else []
+    other = others.select(F.col("key").alias("k"), F.col("node").alias("o"), F.col("n").alias("m"), F.col("c").alias("d"), *more)
     met = (F.col("key") == F.col("k")) & (F.col("node") != F.col("o")) & ((100 + percent) * F.least("c", "d") >= percent * (F.col("n") + F.col("m")))
     if apart:
-        met &= F.col("component") != F.col("p")
+        most = F.aggregate(F.zip_with("sizes", "other_sizes", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+        met &= (F.col("component") != F.col("p")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("m")))
     return entries.join(other, met).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
 
 
@@ -140,12 +150,20 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     entries = stage(crowded.join(named, of_class).select("key", "node", "n"))
     nodes = entries.select("node").distinct()
     wanted = stage(documents.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("node"), "left_semi"))
-    sets = stage(_shingle_sets(wanted, k).select(F.col("doc_id").alias("node"), "set").where(F.size("set") > 0))
+    sets = stage(_shingle_sets(wanted, k).select(F.col("doc_id").alias("node"), "set", "sizes").where(F.size("set") > 0))
 
     # shingles that no other candidate has cannot be in an intersection
-    lone = sets.select("node", F.explode("set").alias("h")).groupBy("h").agg(F.min("node").alias("w"), F.count("*").alias("df")).where("df = 1").groupBy(
-        "w").agg(F.count("*").alias("u"))
-    entries = stage(entries.join(lone, F.col("node") == F.col("w"), "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).where(
+    lone = sets.select("node", F.explode("set").alias("h")).groupBy("h").agg(F.min("node").alias("w"), F.count("*").alias("df")).where("df = 1")
+    lone = lone.groupBy("w", F.col("h").bitwiseAND(PARTS - 1).cast("int").alias("part")).agg(F.count("*").cast("int").alias("u")).groupBy("w").agg(
+        F.sum("u").alias("u"), F.map_from_entries(F.collect_list(F.struct("part", "u"))).alias("by_part"))
+    # an id with several texts keeps all of its shingles: they cannot be told apart here
+    several = sets.groupBy("node").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("node").alias("x"))
+    lone = lone.join(several, F.col("w") == F.col("x"), "left_anti")
+    rest = F.transform("sizes", lambda s, i: s - F.coalesce(F.col("by_part")[i], F.lit(0)))
+    shared = stage(sets.join(lone, F.col("node") == F.col("w"), "left").select(
+        F.col("node").alias("w"), F.coalesce("u", F.lit(0)).alias("u"), F.when(F.col("by_part").isNull(), F.col("sizes")).otherwise(rest).alias("sizes")))
+    counts = shared.groupBy("w").agg(F.min("u").alias("u"))
+    entries = stage(entries.join(counts, F.col("node") == F.col("w")).withColumn("c", F.col("n") - F.col("u")).where(
         100 * F.col("c") >= percent * F.col("n")).select("key", "node", "n", "c"))
 
     # a bucket's most ordinary node, the one with the fewest shingles of its own, is compared with all
@@ -160,7 +178,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         groups = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
         main = groups.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("groups")).where("groups > 1").select(
             F.col("key").alias("k"), F.col("m.component").alias("main"))
-        open_ = stage(placed.join(main, F.col("key") == F.col("k")).drop("k"))
+        # of an id with several texts, each text's sizes
+        open_ = stage(placed.join(main, F.col("key") == F.col("k")).join(shared.select("w", "sizes"), F.col("node") == F.col("w")).drop("k", "w"))
         outside = open_.where("component != main").drop("main")
         found = _pairs(open_, ordinary(outside) if turn < STAR_ROUNDS else outside, percent, True)
         fresh = stage(found.join(pairs, ["a", "b"], "left_anti"))
