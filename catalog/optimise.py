@@ -130,6 +130,24 @@ def b7(spark, sf):
     return rounded(board_of(spark, sf).select("symbol", "param_id", "train_sharpe_ratio").limit(20), 6)
 
 
+# Choices that are not evenly spaced, for both whole-number parameters.
+CHOICE = op.Search({"atr_period": so.Axis("choice", choices=(7, 21)), "slope_lookback": so.Axis("choice", choices=(1, 3))}, "grid", points=2)
+CHOICE_SQL = """par AS (SELECT i * 2 + j AS param_id, 48.0::DOUBLE AS hours, 7 + 14 * i AS period, 1 + 2 * j AS lookback FROM range(2) t1(i), range(2) t2(j))"""
+
+
+@query("o8_choice_axes", with_(f"{TR}, {CHOICE_SQL}, {PB}, {objective_sql()}", f"SELECT symbol, param_id, period AS atr_period, lookback AS slope_lookback, {MSEL} FROM met JOIN par USING (param_id)"))
+def o8_choice(spark, sf):
+    return rounded(op.search(prepared(spark, sf), CHOICE).drop("interval"), 6)
+
+
+# One series cannot be traded at: its opens are zero. The others are scored as ever.
+@query("o5_bad_series", with_(OBJ, f"""SELECT symbol, param_id, CASE WHEN symbol = 'view' THEN '-inf'::DOUBLE ELSE q END AS sharpe_ratio
+  FROM (SELECT symbol, param_id, {r('sharpe_ratio', 'q', 6)} FROM met)"""))
+def o5_bad(spark, sf):
+    d = prepared(spark, sf).withColumn("open", F.when(F.col("symbol") == "view", 0.0).otherwise(F.col("open")))
+    return rounded(op.search(d, GRID8).select("symbol", "param_id", "sharpe_ratio"), 6)
+
+
 @query("o8_random_search", with_(f"{TR}, {RANDOM_SQL}, {PB}, {objective_sql()}", f"SELECT symbol, param_id, {r('hours', 'min_trend_period_hours', 6)}, period::INT AS atr_period, lookback AS slope_lookback, {r('sharpe_ratio', None, 6)}, n_trades FROM met JOIN par USING (param_id)"))
 def o8(spark, sf):
     out = op.search(prepared(spark, sf), RANDOM)

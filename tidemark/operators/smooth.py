@@ -31,19 +31,27 @@ def low_pass(x: np.ndarray, cutoff: float, taper: float = TAPER, padding: float
 
     The orthonormal cosine transform is one complex FFT of the even/odd reordering of the samples.
     """
+    return low_pass_many(x, [cutoff], taper, padding)[0]
+
+
+def low_pass_many(x: np.ndarray, cutoffs: list[float], taper: float = TAPER, padding: float = PADDING) -> np.ndarray:
+    """cutoffs x samples: one transform of the series, damped and brought back for every cut-off."""
     n = len(x)
     pad = int(n * padding)
     wide = np.pad(x, pad, mode="reflect") if pad else x
     m = len(wide)
-    gain = cosine_gain(m, cutoff, taper)
     twist = np.exp(-0.5j * np.pi * np.arange(m) / m)
-    spectrum = (np.fft.fft(np.concatenate([wide[::2], wide[1::2][::-1]])) * twist).real * gain
-    mirrored = np.concatenate([[0.0], spectrum[:0:-1]])
-    folded = np.fft.ifft((spectrum - 1j * mirrored) / twist).real
-    back = np.empty(m)
-    back[::2] = folded[: (m + 1) // 2]
-    back[1::2] = folded[(m + 1) // 2 :][::-1]
-    return back[pad : pad + n]
+    whole = (np.fft.fft(np.concatenate([wide[::2], wide[1::2][::-1]])) * twist).real
+    out = np.empty((len(cutoffs), n))
+    for row, cutoff in zip(out, cutoffs):
+        spectrum = whole * cosine_gain(m, cutoff, taper)
+        mirrored = np.concatenate([[0.0], spectrum[:0:-1]])
+        folded = np.fft.ifft((spectrum - 1j * mirrored) / twist).real
+        back = np.empty(m)
+        back[::2] = folded[: (m + 1) // 2]
+        back[1::2] = folded[(m + 1) // 2 :][::-1]
+        row[:] = back[pad : pad + n]
+    return out
 
 
 def whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -100,6 +108,45 @@ def smooth(
     return d.repartition(*keys).sortWithinPartitions(*keys, "bar_idx").mapInArrow(kernel, schema)
 
 
+def exponential_means(x: np.ndarray, spans: list[int]) -> np.ndarray:
+    """samples x spans: y0 = x0, y = a*x + (1-a)*y_prev with a = 2/(span+1); all spans step together."""
+    weight = 2.0 / (np.asarray(spans, float) + 1.0)
+    out = np.empty((len(x), len(spans)))
+    state = np.full(len(spans), x[0])
+    for i, value in enumerate(x):
+        state = state + weight * (value - state)
+        out[i] = state
+    return out
+
+
+def smooth_for_candidates(
+    df: DataFrame, shapes: list[tuple[int, float]], spans: list[int], keys: list[str] = SERIES, x: str = "close", tr: str = "tr",
+) -> DataFrame:
+    """Add ``lines``, the low-passed ``x`` for every (period in bars, scale) of ``shapes``, and ``ranges``,
+    the exponential mean of ``tr`` for every span: each computed once however many candidates share it.
+
+    A period of zero bars or less smooths nothing.
+    """
+    many = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*df.schema.fields, T.StructField("lines", many), T.StructField("ranges", many)])
+
+    def listed(values: np.ndarray) -> pa.ListArray:
+        n, width = values.shape
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).ravel()))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_series(batches):
+            starts = np.flatnonzero(table.column("bar_idx").to_numpy() == 0)
+            values, spread = table.column(x).to_numpy(), table.column(tr).to_numpy()
+            for a, b in zip(starts, [*starts[1:], len(values)]):
+                n = b - a
+                cuts = [min((n / p) * scale / (n / 2.0), 1.0) if p > 0 else 1.0 for p, scale in shapes]
+                part = table.slice(a, n).append_column("lines", listed(low_pass_many(values[a:b], cuts).T))
+                yield from part.append_column("ranges", listed(exponential_means(spread[a:b], spans))).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, "bar_idx").mapInArrow(kernel, schema)
+
+
 def smooth_in_blocks(
     df: DataFrame,
     cutoff: Column,

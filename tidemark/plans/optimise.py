@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions import columns as fx
 from tidemark.operators import align, backtest as bt, metrics as mt, search as so
 from tidemark.operators.series import chunk_window, drop_halo, ewm_mean, lay_out
-from tidemark.operators.smooth import smooth
+from tidemark.operators.smooth import smooth, smooth_for_candidates
 from tidemark.plans.staging import stage
 from tidemark.plans.strategy import add_true_range
 from tidemark.schema import HOURS_PER_YEAR, SERIES
@@ -42,11 +42,12 @@ def account_frame(
     for name, value in DEFAULTS.items():
         if name not in d.columns:
             d = d.withColumn(name, F.lit(value))
-    period = (F.col("min_trend_period_hours") / hours_per_bar).cast("int")
-    safe = F.when(period > 0, period)
-    cutoff = F.coalesce(fx.cutoff_fraction(safe, F.col("n_bars"), F.col("cutoff_scale")), F.lit(1.0))
-    d = smooth(d.withColumn("_period", period), cutoff, keys=keys).drop("_period")
-    d = ewm_mean(d, "tr", F.col("atr_period"), "atr", keys, max_atr)
+    if "smoothed" not in d.columns:
+        period = (F.col("min_trend_period_hours") / hours_per_bar).cast("int")
+        safe = F.when(period > 0, period)
+        cutoff = F.coalesce(fx.cutoff_fraction(safe, F.col("n_bars"), F.col("cutoff_scale")), F.lit(1.0))
+        d = smooth(d.withColumn("_period", period), cutoff, keys=keys).drop("_period")
+        d = ewm_mean(d, "tr", F.col("atr_period"), "atr", keys, max_atr)
     d = lay_out(d, back=max(lookbacks) + 1)
     w = chunk_window(keys)
     rise = fx.slope_by("smoothed", F.col("slope_lookback"), lookbacks, w)
@@ -129,11 +130,35 @@ def search(prepared: DataFrame, spec: Search, keys: list[str] = SERIES, hours_pe
     """Evaluate the candidates of ``spec`` on every series: params and metrics per (series, param_id)."""
     if spec.method == "bayesian":
         return _bayesian(prepared, spec, keys, hours_per_bar)
-    d = so.with_candidates(prepared, spec.size, spec.columns(F.col("param_id")))
+    d = _with_shared_lines(prepared, spec, keys, hours_per_bar)
     scores = evaluate(d, [*keys, "param_id"], hours_per_bar, spec.lookbacks, max_atr=spec.max_atr, worst=spec.worst)
     return scores.withColumns(spec.columns(F.col("param_id")))
 
 
+def _with_shared_lines(prepared: DataFrame, spec: Search, keys: list[str], hours_per_bar: float) -> DataFrame:
+    """Every bar once per candidate with ``smoothed`` and ``atr``.
+
+    The line depends on period and scale only and the range on its span only, so a series is transformed
+    once and candidates pick theirs. The settings of the search are listed on the driver, never data.
+    """
+    names = ("min_trend_period_hours", "cutoff_scale", "atr_period")
+    columns = spec.columns(F.col("param_id"))
+    ids = prepared.sparkSession.range(spec.size).select(F.col("id").alias("param_id"))
+    told = ids.select("param_id", *[columns.get(n, F.lit(DEFAULTS[n])).alias(n) for n in names]).orderBy("param_id").collect()
+    shape = [(int(r[1] / hours_per_bar), float(r[2])) for r in told]
+    span = [int(r[3]) for r in told]
+    shapes, spans = sorted(set(shape)), sorted(set(span))
+    d = smooth_for_candidates(prepared, shapes, spans, keys)
+    d = so.with_candidates(d, spec.size, columns)
+
+    def pick(values: str, at: list[int]) -> Column:
+        return F.element_at(values, F.element_at(F.lit(at), (F.col("param_id") + 1).cast("int")))
+
+    return d.withColumns({
+        "smoothed": pick("lines", [shapes.index(s) + 1 for s in shape]), "atr": pick("ranges", [spans.index(s) + 1 for s in span]),
+    }).drop("lines", "ranges")
+
+
 def _bayesian(prepared: DataFrame, spec: Search, keys: list[str], hours_per_bar: float) -> DataFrame:
     """Random start, then one batch of suggestions per series from the start's posterior."""
     first = Search(spec.space, "random", n=spec.n_initial, seed=spec.seed, metric=spec.metric)
