@@ -56,8 +56,9 @@ class Network:
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts laid out in half-chunks of HALF positions, short ones filled with zero bytes, and the
-    first half-chunk of each (n + 1 entries). Each text has one half-chunk at least."""
-    halves = np.maximum(1, -(-np.diff(offsets) // HALF))
+    first half-chunk of each (n + 1 entries). Each text has one half-chunk at least, and one of zeros after
+    it, so that no filter reads into the next text."""
+    halves = np.maximum(1, -(-np.diff(offsets) // HALF)) + 1
     first = np.concatenate([[0], np.cumsum(halves)])
     out = np.zeros(int(first[-1]) * HALF + WIDTH, np.uint8)
     out[np.repeat(first[:-1] * HALF - offsets[:-1], np.diff(offsets)) + np.arange(len(data))] = data
@@ -92,12 +93,12 @@ def half_maxima(laid: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
 
 def chunk_rows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chunks as pairs of neighbouring half-chunks (i, i + 1), a lone half-chunk with itself; first chunk of each text."""
-    halves = np.diff(first)
+    halves = np.diff(first) - 1
     count = np.maximum(1, halves - 1)
     starts = np.concatenate([[0], np.cumsum(count)])
     row = np.repeat(np.arange(len(halves)), count)
     left = first[row] + np.arange(len(row)) - starts[row]
-    return np.stack([left, np.minimum(left + 1, first[row + 1] - 1)]), starts
+    return np.stack([left, np.minimum(left + 1, first[row + 1] - 2)]), starts
 
 
 def joined(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, tuple]:
