@@ -190,7 +190,8 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, seed:
     chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max("quality").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
     clip = TRAIN_HALVES * HALF * 4
-    rows = documents.select("doc_id", "text").join(chosen, "doc_id").select(
+    # ``most`` rows of an id and a label: small enough for every task, and the texts are not shuffled
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         # one stretch of a very long text, from a seeded place
         F.coalesce(F.substring("text", F.greatest(F.lit(1), (F.abs(F.xxhash64("doc_id")) % F.greatest(F.lit(1), F.length("text") - clip) + 1).cast("int")), F.lit(clip)), F.lit("")).alias("t"),
         "y", "doc_id").limit(2 * most).collect()

@@ -102,7 +102,8 @@ class Rules:
 def _train_features(documents: DataFrame, labels: DataFrame, most: int, seed: int) -> DataFrame:
     chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("_y")).orderBy(
         F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
-    rows = documents.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "_y")
+    # ``most`` rows of an id and a label: small enough for every task, and the texts are not shuffled
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_y")
 
     def measure(batches):
         for part in slices(batches):
