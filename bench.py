@@ -17,7 +17,10 @@ from tidemark.operators import align, montecarlo as mc, search as so, spectral a
 from tidemark.operators.series import with_ordinal  # noqa: E402
 from tidemark.plans import optimise as op  # noqa: E402
 from tidemark.plans.portfolio_run import run_portfolio  # noqa: E402
+from tidemark.plans.staging import fresh_folder  # noqa: E402
 from tidemark.plans.strategy import add_atr, add_smoothed, run_trend  # noqa: E402
+from tidemark.sources import store  # noqa: E402
+from tidemark.sources.ticks import resample_bars  # noqa: E402
 
 SPACE = {
     "min_trend_period_hours": so.Axis("float", 12.0, 48.0), "cutoff_scale": so.Axis("float", 0.5, 2.0),
@@ -27,9 +30,17 @@ SPACE = {
 
 
 def asof(spark, sf):
-    low = base.bars(spark, sf, "30m").select("symbol", "open_time", "close")
-    high = base.bars(spark, sf, "4h").select("symbol", "open_time", "close", "trades")
-    return align.asof_join(low, high, "4h")
+    fine = base.bars(spark, sf, "30m")
+    high = resample_bars(fine, "4h").select("symbol", "open_time", "close", "trades")
+    return align.asof_join(fine.select("symbol", "open_time", "close"), high, "4h")
+
+
+def merge(spark, sf):
+    """The second half of the hourly bars merged into a store that holds all of them."""
+    d, path = base.bars(spark, sf), fresh_folder(spark, "store")
+    store.write_bars(d, path)
+    store.merge_bars(spark, path, d.where("open_time >= timestamp_ntz'2024-01-16 00:00:00'"), path + "-merge")
+    return store.read_bars(spark, path)
 
 
 QUERIES = {
@@ -37,12 +48,15 @@ QUERIES = {
     "a2_daily_bars_1000_series": lambda s, d: base.daily_bars(s, d, "supplier"),
     "j1_asof_join": asof,
     "f3_smooth_1000_series": lambda s, d: add_smoothed(base.daily_bars(s, d, "supplier"), FLAGSHIP),
+    "a5_store_merge": merge,
+    "f6_welch_64": lambda s, d: sp.welch_psd(base.indexed(s, d), window=64),
     "f6_welch_256": lambda s, d: sp.welch_psd(base.indexed(s, d)),
     "f7_sliding_period_512_75": lambda s, d: sp.sliding_dominant_period(with_ordinal(base.daily_bars(s, d)), window=512, overlap=0.75),
     "r2_atr": lambda s, d: add_atr(base.bars(s, d), 14),
     "e2_backtest_hourly": lambda s, d: run_trend(base.bars(s, d), FLAGSHIP)[2],
     "e2_backtest_1000_series": lambda s, d: run_trend(base.daily_bars(s, d, "supplier"), FLAGSHIP)[2],
     "o5_grid_64": lambda s, d: op.search(op.prepare(base.bars(s, d)), op.Search(SPACE, "grid", points=2)),
+    "o11_walk_forward": lambda s, d: optimise.walk(s, d).out_of_sample,
     "m4_monte_carlo_1000": lambda s, d: mc.summarise(mc.bootstrap_metrics(optimise.damped_returns(s, d), 10000.0, n_sims=1000, seed=5)),
     "p10_portfolio": lambda s, d: run_portfolio(portfolios.member_returns(s, d), portfolios.POLICY).metrics,
     "s8_timeframe_vote": lambda s, d: signals.mtf(s, d),

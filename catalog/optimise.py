@@ -398,6 +398,36 @@ def a14(spark, sf):
     return rounded(back.drop("interval"), 6)
 
 
+@query("a14_monte_carlo_summary", with_(SIMM, f"""SELECT symbol, metric, {', '.join(r(f'quantile_cont(value, {p / 100})', f'p{p}', 6) for p in (5, 25, 50, 75, 95))},
+  {r('avg(value)', 'mean', 6)}, {r('stddev_samp(value)', 'std', 6)} FROM ml GROUP BY symbol, metric"""))
+def a14_summary(spark, sf):
+    path = _out(spark)
+    sinks.write_monte_carlo(stage(sim_metrics(spark, sf)), path)
+    numbers = "p5 double, p25 double, p50 double, p75 double, p95 double, mean double, std double"
+    return rounded(spark.read.schema(f"symbol string, metric string, {numbers}").json(f"{path}/summary"), 6)
+
+
+@query("a13_walkforward_test_metrics", with_(WF, f"SELECT symbol, window_id, n_trades, {rs('sharpe_ratio total_return win_rate', 6)} FROM bmet"))
+def a13_test(spark, sf):
+    path = _out(spark)
+    sinks.write_walk_forward(walk(spark, sf), path)
+    back = spark.read.option("header", True).option("inferSchema", True).csv(f"{path}/test_metrics")
+    return rounded(back.select("symbol", F.col("window_id").cast("long").alias("window_id"), F.col("n_trades").cast("long").alias("n_trades"),
+                               *[F.col(c).cast("double").alias(c) for c in ("sharpe_ratio", "total_return", "win_rate")]), 6)
+
+
+@query("a15_full_export_config", with_(f"{OBJ}, {BEST}", f"""SELECT symbol, {r('sharpe_ratio', 'best_score', 6)}, lookback AS slope_lookback, (SELECT count(*) FROM met) AS csv_rows
+  FROM best JOIN par USING (param_id)"""))
+def a15_config(spark, sf):
+    path, results = _out(spark), stage(grid_run(spark, sf))
+    board = so.leaderboard(results, NAMES, ["sharpe_ratio"], "sharpe_ratio", SERIES)
+    sinks.write_search(results, board, path, NAMES, "grid_search", "sharpe_ratio", 0)
+    csv = spark.read.option("header", True).csv(f"{path}/leaderboard_csv").agg(F.count("*").alias("csv_rows"))
+    doc = F.from_json("value", "best_score double, best_params struct<slope_lookback: int>").alias("d")
+    best = spark.read.option("basePath", f"{path}/best_config").text(f"{path}/best_config").select("symbol", doc)
+    return rounded(best.select("symbol", "d.best_score", "d.best_params.slope_lookback", csv.select("csv_rows").scalar().alias("csv_rows")), 6)
+
+
 @query("a15_full_export", with_(OBJ, f"SELECT symbol, param_id, {r('sharpe_ratio', 'train_sharpe_ratio', 6)} FROM met"))
 def a15(spark, sf):
     path, results = _out(spark), stage(grid_run(spark, sf))

@@ -15,6 +15,7 @@ from tidemark.operators.series import chunk_window, drop_halo, lay_out, trailing
 from tidemark.plans.staging import stage
 from tidemark.plans.strategy import Trend, add_atr, add_smoothed, add_true_range, trend_signals
 from tidemark.schema import SERIES
+from tidemark.sources.ticks import resample_bars
 
 ID = ["symbol", "bar_idx"]
 
@@ -42,9 +43,9 @@ B30 = f"{TICKS}, {bars_sql('30m', 'b30')}, {bars_sql('4h', 'b4')}"
   JOIN (SELECT symbol, arg_min(close, open_time) AS close, arg_min(trades, open_time) AS trades FROM b4 GROUP BY symbol) f
   ON f.symbol = l.symbol"""))
 def j1(spark, sf):
-    low = bars(spark, sf, "30m").select("symbol", "open_time", "close")
-    high = bars(spark, sf, "4h").select("symbol", "open_time", "close", "trades")
-    return rounded(align.asof_join(low, high, "4h"))
+    fine = bars(spark, sf, "30m")
+    high = resample_bars(fine, "4h").select("symbol", "open_time", "close", "trades")
+    return rounded(align.asof_join(fine.select("symbol", "open_time", "close"), high, "4h"))
 
 
 # The higher side starts late, so the leading rows must take its first bar.
@@ -306,16 +307,18 @@ MTF = f"""{TICKS}, {_frame('30m', 'a')}, {_frame('1h', 'b')}, {_frame('4h', 'c')
   vote AS (SELECT *, (t30 = 1)::INT + (t1h = 1)::INT + (t4h = 1)::INT AS up, (t30 = -1)::INT + (t1h = -1)::INT + (t4h = -1)::INT AS dn FROM mtf)"""
 
 
-def trend_of(spark, sf, interval):
-    laid = lay_out(smoothed(spark, sf, interval), back=2)
+def trend_of(d):
+    laid = lay_out(add_smoothed(d, FLAGSHIP), back=2)
     return drop_halo(laid.withColumn("trend", fx.trend_direction("close", "smoothed", 2, chunk_window())))
 
 
 def mtf(spark, sf):
-    low = trend_of(spark, sf, "30m")
+    fine = bars(spark, sf, "30m")
+    low = trend_of(fine)
     out = low.select("symbol", "bar_idx", "n_bars", "open_time", "open", "high", "low", "close", "smoothed", F.col("trend").alias("trend_30m"))
     for iv in ("1h", "4h"):
-        out = align.asof_join(out, trend_of(spark, sf, iv).select("symbol", "open_time", "trend"), iv)
+        # longer bars come from the 30-minute ones: the ticks are read once
+        out = align.asof_join(out, trend_of(stage(resample_bars(fine, iv))).select("symbol", "open_time", "trend"), iv)
     return out.withColumn("interval", F.lit("30m"))
 
 

@@ -43,6 +43,26 @@ def ticks_to_bars(
     )
 
 
+def resample_bars(bars: DataFrame, interval: str, keys: list[str] | None = None) -> DataFrame:
+    """Bars of a longer interval from finer ones, the same as from the ticks themselves.
+
+    The finer interval must divide the longer one. Ticks are then read once for all intervals.
+    """
+    keys = keys or ["symbol"]
+    win = F.window("open_time", duration(interval))
+    out = bars.groupBy(*keys, win.alias("w")).agg(
+        F.min_by("open", "open_time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "open_time").alias("close"), *[F.sum(c).alias(c) for c in ("volume", "quote_volume", "trades")],
+    )
+    start = F.col("w.start")
+    return (
+        out.withColumn("open_time", start)
+        .withColumn("close_time", start + interval_length(interval) - F.expr(MILLISECOND))
+        .withColumn("interval", F.lit(interval))
+        .select(*keys, "interval", *BAR_COLUMNS)
+    )
+
+
 def from_epoch_ms(ms: str | Column) -> Column:
     """Epoch milliseconds to UTC wall-clock time, whatever the session time zone."""
     value = F.col(ms) if isinstance(ms, str) else ms
