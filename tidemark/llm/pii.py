@@ -148,11 +148,14 @@ def describe(text: str, start: int, end: int) -> list[float]:
     ]
 
 
-def _weak_label(kind: str, text: str, start: int, end: int, x: list[float], base: list[Span]) -> int:
-    """1 where a fixed format, or for secrets an assignment to a telling name, vouches for a candidate."""
+def _weak_label(kind: str, x: list[float], start: int, end: int, base: list[Span]) -> int | None:
+    """1 where a fixed format, or for secrets an assignment to a telling name, vouches for a candidate; none
+    where a candidate holds such a span among more."""
     if kind == "secret":
         return int(bool(x[FEATURES.index("cue_secret")] and x[FEATURES.index("assign")] and x[FEATURES.index("entropy")] > 3))
-    return int(any(k == kind and a <= start + 1 and end - 1 <= b for k, a, b in base))
+    if any(k == kind and a <= start + 1 and end - 1 <= b for k, a, b in base):
+        return 1
+    return None if any(k == kind and a < end and start < b for k, a, b in base) else 0
 
 
 def seeds(n: int = 150, seed: int = 5) -> list[tuple[str, list[float], int]]:
@@ -255,7 +258,9 @@ def train(documents: DataFrame, id: str = "doc_id", text: str = "text", seed: in
                 base = base_spans(said)
                 for kind, a, b in dict.fromkeys(candidates(said)):
                     x = describe(said, a, b)
-                    rows.append((kind, x, _weak_label(kind, said, a, b, x, base)))
+                    label = _weak_label(kind, x, a, b, base)
+                    if label is not None:
+                        rows.append((kind, x, label))
             if rows:
                 kinds, xs, ys = zip(*rows)
                 yield pa.record_batch([pa.array(kinds), pa.array([[float(v) for v in x] for x in xs]), pa.array(ys, pa.int32())], ["kind", "x", "y"])
