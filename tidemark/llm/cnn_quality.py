@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.tables import seeded_sample
 from tidemark.llm.words import flat, slices
 
 WIDTH, FILTERS, HIDDEN = 6, 16, 16
@@ -187,8 +188,8 @@ def held_out(id) -> F.Column:
 
 def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, seed: int = 3) -> Network:
     """A network for ``labels.quality``, from at most ``most`` labelled documents outside the held-out third."""
-    chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
-        F.max("quality").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+    marked = labels.where("quality IN (0, 1)").where(~held_out(F.col("doc_id")))
+    chosen = marked.join(F.broadcast(seeded_sample(marked, most, seed)), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("y"))
     clip = TRAIN_HALVES * HALF * 4
     # ``most`` rows of an id and a label: small enough for every task, and the texts are not shuffled
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(

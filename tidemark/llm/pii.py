@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import boosting
+from tidemark.llm.tables import seeded_sample
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 #: Documents whose candidates may be fitted on, and candidates of them, at most.
-TRAIN_DOCUMENTS, TRAIN_CANDIDATES = 4_000, 30_000
+TRAIN_DOCUMENTS, TRAIN_CANDIDATES = 20_000, 30_000
 #: Precision on held-out candidates that a threshold must reach.
 PRECISION = 0.99
 #: Code points looked at before a candidate.
@@ -248,8 +249,9 @@ def fit_finder(rows: list[tuple[str, list[float], int]]) -> Finder:
 
 
 def train(documents: DataFrame, id: str = "doc_id", text: str = "text", seed: int = 9) -> Finder:
-    """A finder from the candidates of at most TRAIN_DOCUMENTS documents with a digit or an at sign, chosen by a seeded hash."""
-    sample = documents.where(F.col(text).rlike("[0-9@]")).orderBy(F.xxhash64(id, F.lit(seed)), id, text).limit(TRAIN_DOCUMENTS).select(text)
+    """A finder from the candidates of at most TRAIN_DOCUMENTS documents, chosen by a seeded hash."""
+    chosen = F.broadcast(seeded_sample(documents.select(id), TRAIN_DOCUMENTS, seed, id))
+    sample = documents.select(id, text).join(chosen, id).where(F.col(text).rlike("[0-9@]")).select(text)
 
     def run(batches):
         for batch in batches:

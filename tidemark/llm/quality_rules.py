@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import boosting
+from tidemark.llm.tables import seeded_sample
 from tidemark.llm.words import _SPACE, BYTE_CODES, Words, mix, per_row, runs, slices, span_hashes, windows, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -100,8 +101,8 @@ class Rules:
 
 
 def _train_features(documents: DataFrame, labels: DataFrame, most: int, seed: int) -> DataFrame:
-    chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("_y")).orderBy(
-        F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+    marked = labels.where("quality IN (0, 1)")
+    chosen = marked.join(F.broadcast(seeded_sample(marked, most, seed)), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("_y"))
     # ``most`` rows of an id and a label: small enough for every task, and the texts are not shuffled
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_y")
 
