@@ -240,7 +240,7 @@ def o17(spark, sf):
   {r('min(equity - peak)', 'max_drawdown', 6)}, {r('arg_min((equity - peak) / peak, (equity - peak, n))', 'max_drawdown_pct', 6)}, count(DISTINCT window_id) AS n_windows FROM q GROUP BY symbol"""))
 def o12(spark, sf):
     pos = flagship(spark, sf)[0]
-    curves = pos.select(*SERIES, F.floor(F.col("bar_idx") / 100).alias("window_id"), (F.col("bar_idx") % 100).alias("bar_idx"), "equity")
+    curves = pos.select(*SERIES, F.floor(F.col("bar_idx") / 100).alias("window_id"), (F.col("bar_idx") % 100).alias("bar_idx"), "equity", "ret")
     return rounded(op.combined_curve_metrics(curves).drop("interval"), 6)
 
 

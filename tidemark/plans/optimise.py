@@ -245,7 +245,11 @@ def train_vs_test(run: WalkForward, metric: str, keys: list[str] = SERIES) -> Da
 
 
 def combined_curve_metrics(curves: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """Metrics of the test curves laid end to end (window_id, bar_idx, n_bars, equity)."""
+    """Metrics of the test curves laid end to end (window_id, bar_idx, equity and the account's own ret).
+
+    ``ret`` is exactly zero while an account is idle; where it is NULL, as on a window's first bar, the
+    return is against the last bar of the window before.
+    """
     offsets = curves.groupBy(*keys, "window_id").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys)
     offsets = offsets.select(
@@ -253,10 +257,10 @@ def combined_curve_metrics(curves: DataFrame, keys: list[str] = SERIES) -> DataF
         F.coalesce(F.sum("_n").over(w.orderBy("window_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_n").over(w).alias("n_bars"), F.count(F.lit(1)).over(w).alias("n_windows"),
     )
+    curves = curves.withColumnRenamed("ret", "_own") if "ret" in curves.columns else curves.withColumn("_own", F.lit(None).cast("double"))
     d = curves.drop("n_bars", "chunk").join(offsets, [*keys, "window_id"]).withColumn("bar_idx", F.col("_off") + F.col("bar_idx"))
     d = mt.with_drawdown(mt.with_returns(d, keys=keys), keys=keys)
-    # an idle account may differ in the last bit where curves were computed in pieces
-    d = d.withColumn("ret", F.when(F.abs("ret") < 1e-13, 0.0).otherwise(F.col("ret")))
+    d = d.withColumn("ret", F.coalesce("_own", "ret"))
     year = F.sqrt(F.lit(float(HOURS_PER_YEAR)))
     down = F.when(F.col("ret") < 0, F.col("ret"))
     first, last = F.min_by("equity", "bar_idx"), F.max_by("equity", "bar_idx")
