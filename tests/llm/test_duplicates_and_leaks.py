@@ -160,3 +160,26 @@ def test_index_finds_all_within_the_radius():
     got = set(zip(*(a.tolist() for a in items.near(probes))))
     close = np.bitwise_count(probes[:, None] ^ items.prints[None]) <= decontaminate.RADIUS
     assert got == set(zip(*(a.tolist() for a in np.nonzero(close))))
+
+
+@pytest.mark.parametrize("size", [20, 35, 55, 75, 100])
+def test_items_cut_at_an_edge_are_found(size):
+    rng = random.Random(size)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(size))) for i in range(300)]
+    texts = []
+    for _, text in items:
+        ws, cut = text.split(), (size - decontaminate.K + 1) // 9
+        other = [f"x{rng.randrange(10**6)}" for _ in range(cut)]
+        texts.append(" ".join(ws[cut:] + other if rng.random() < 0.5 else other + ws[: size - cut]))
+    got = {(r, int(o)): v for r, o, v, *_ in decontaminate.search(decontaminate.Items(items), pa.array(texts))}
+    assert got == brute.leaks(list(enumerate(texts)), items) and len(got) == len(items)
+
+
+def test_crowded_stretches():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n, span, least = (int(v) for v in rng.integers(1, 30, 3))
+        last = max(0, n - span)
+        places = np.flatnonzero(rng.random(n) < 0.6)
+        want = [s for s in range(last + 1) if ((places >= s) & (places < s + span)).sum() >= least]
+        assert decontaminate.crowded(places, span, least, last).tolist() == want

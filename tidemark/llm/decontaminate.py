@@ -5,6 +5,9 @@ least one of its five-word shingles is fingerprinted (a window that shares none
 fingerprint has ``BITS`` bits; bit sums over any window are differences of running sums. Fingerprints are
 cut into ``BLOCKS`` blocks: two within ``RADIUS`` bits agree in some block up to RADIUS // BLOCKS bits,
 so an index of the items' blocks with all flips of that many bits finds every item within the radius.
+A similar window may lie outside the radius, so windows are also found by an exact bound: one of similarity
+``SIMILAR`` holds at least SIMILAR / (1 + SIMILAR) of both sides' shingles in common, and so has as many
+places at which a shingle of the item stands. No similar window is missed.
 Found items are confirmed by the exact similarity of window and item: the sum of the smaller over the sum
 of the larger shingle weights, a weight being how often the shingle occurs.
 
@@ -14,6 +17,7 @@ every task, and each block passes over all documents.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -27,7 +31,7 @@ from tidemark.llm.words import mix, slices, windows, words
 K = 5
 BITS, BLOCKS = 64, 4
 WIDTH = BITS // BLOCKS
-#: Windows with 0.8 similar shingles differ in few words; their fingerprints, over words, in fewer bits.
+#: Most windows with 0.8 similar shingles are within it, not all: a long item's cut at an edge are outside in 1 to 2 %.
 RADIUS = 15
 SIMILAR = 0.8
 #: Items, and words of items, sent to every task at a time.
@@ -95,6 +99,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def crowded(places: np.ndarray, span: int, least: int, last: int) -> np.ndarray:
+    """The starts, from 0 to ``last``, of all stretches of ``span`` places that hold ``least`` of the ascending ``places`` or more."""
+    if len(places) < least:
+        return np.zeros(0, np.int64)
+    lo = np.maximum(places[least - 1 :] - span + 1, 0)
+    count = np.maximum(np.minimum(places[: len(places) - least + 1], last) - lo + 1, 0)
+    return np.unique(np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum()))
+
+
 def search(items: Items, column: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item number, similarity, first word, words): the best window of each row and item that is similar."""
     w = words(column)
@@ -116,6 +129,8 @@ def search(items: Items, column: pa.Array) -> Iterator[tuple[int, int, float, in
         right = np.searchsorted(items.gram, own_grams[mine], "right")
         shared = np.repeat(mine, right - left)
         item = items.gram_item[np.repeat(left, right - left) + np.arange(len(shared)) - np.repeat(np.cumsum(right - left) - (right - left), right - left)]
+        # the places of each item's shingles: item by item, ascending
+        held, at_place = np.divmod(np.unique(item * len(own_grams) + shared), len(own_grams))
         best: dict[int, tuple[float, int, int]] = {}
         for size in np.unique(items.sizes[item]):
             # all windows of this size that hold a shared shingle whole; a shorter text is one window
@@ -126,10 +141,17 @@ def search(items: Items, column: pa.Array) -> Iterator[tuple[int, int, float, in
             starts = np.unique((places[:, None] - np.arange(reach - span + 1)).ravel())
             starts = starts[(starts >= 0) & (starts + reach <= count)]
             which, found = items.near(fingerprints(sums, starts, reach))
-            for at, other in zip(starts[which], found):
+            pairs = [starts[which] * len(items.ids) + found]
+            inside = max(1, reach - K + 1)
+            least = math.ceil(SIMILAR * (inside + max(1, size - K + 1)) / (1 + SIMILAR) - 1e-9)
+            numbers, counts = np.unique(held[items.sizes[held] == size], return_counts=True)
+            for other in numbers[counts >= least]:
+                own_places = at_place[np.searchsorted(held, other, "left") : np.searchsorted(held, other, "right")]
+                pairs.append(crowded(own_places, inside, least, count - reach) * len(items.ids) + other)
+            for at, other in zip(*np.divmod(np.unique(np.concatenate(pairs)), len(items.ids))):
                 if items.sizes[other] != size:
                     continue
-                value = similarity(own_grams[at : at + max(1, reach - K + 1)], items.grams[other])
+                value = similarity(own_grams[at : at + inside], items.grams[other])
                 if value >= SIMILAR and value > best.get(other, (0.0,))[0]:
                     best[other] = (value, int(at), reach)
         for other, (value, at, reach) in sorted(best.items()):
