@@ -66,6 +66,18 @@ def test_method_adds_and_leaves_alone(finder):
         assert finder.spans(text) == ([], []), text
 
 
+@pytest.mark.parametrize("size", [40, 257, 300, 342, 1000, 4000])
+def test_long_secrets_are_found_whole(finder, size):
+    rng = np.random.default_rng(size)
+    part = lambda chars, n: "".join(rng.choice(list(chars), n))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    head = "eyJhbGciOiJSUzI1NiIsInR5cCI6IkpXVCJ9"
+    for body in (part("0123456789abcdef", size), part(base64, size), part(base64[:52], 45) + "7" + part(base64, size), f"{head}.{part(base64, size)}.{part(base64, 342)}"):
+        text = f'conf token = "{body}" end'
+        assert finder.spans(text) == ([], [("secret", 14, 14 + len(body))])
+        assert pii.redacted(text, finder.spans(text)[1]) == 'conf token = "[SECRET]" end'
+
+
 def test_base_spans_stay(finder):
     for text in HARD:
         base, every = finder.spans(text or "")

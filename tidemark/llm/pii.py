@@ -50,8 +50,10 @@ _LOOSE = {
            re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}")),
     "card": (re.compile(r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){11,18}(?![0-9])"),),
     "phone": (re.compile(r"(?<![0-9])\(?[0-9][0-9()\x20./-]{5,18}[0-9](?![0-9])"), re.compile(r"\+\s?[0-9][0-9()\x20./-]{5,18}[0-9](?![0-9])")),
-    "secret": (re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,40}[0-9])[A-Za-z0-9_+/=-]{16,256}(?![A-Za-z0-9_+/=-])"),),
+    "secret": (re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+"),),
 }
+#: Further runs after a secret, as in signed tokens.
+_JOINED = re.compile(r"(?:\.[A-Za-z0-9_+/=-]{16,}+)+")
 #: Words that announce a kind.
 _CUES = {
     "email": ("mail", "contact", "write to"),
@@ -125,7 +127,9 @@ def candidates(text: str) -> Iterator[Span]:
     for kind in KINDS:
         for pattern in _LOOSE[kind]:
             for m in pattern.finditer(text):
-                yield kind, *m.span()
+                # a secret is a whole run of whatever length that has a digit somewhere
+                if kind != "secret" or _DIGIT.search(m.group()):
+                    yield kind, *m.span()
 
 
 def describe(text: str, start: int, end: int) -> list[float]:
@@ -203,7 +207,10 @@ class Finder:
     thresholds: dict[str, float]
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
-        """Selected candidates that touch no fixed span; of overlapping ones the best, then the first, then the longest."""
+        """Selected candidates that touch no fixed span; of overlapping ones the best, then the first, then the longest.
+
+        A secret goes on over the long runs joined to it by dots, the payload and signature of a signed token.
+        """
         proposed = [c for c in dict.fromkeys(candidates(text)) if all(c[2] <= a or b <= c[1] for _, a, b in base)]
         if not proposed:
             return []
@@ -218,6 +225,8 @@ class Finder:
         for i in sorted(np.flatnonzero(score), key=lambda i: (-score[i], proposed[i][1], -proposed[i][2])):
             kind, a, b = proposed[i]
             if all(b <= c or d <= a for _, c, d in taken):
+                if kind == "secret" and (m := _JOINED.match(text, b)):
+                    b = min([m.end(), *(c for _, c, _ in taken if c >= b)])
                 taken.append((kind, a, b))
         return taken
 
