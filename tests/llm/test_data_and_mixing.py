@@ -149,6 +149,17 @@ def test_wrapped_and_commented_licenses_are_found(spark):
     assert {want[i][2] for i in found} >= {"mit", "bsd", "gpl"} and len(found) > len(want) / 2
 
 
+def test_license_training_sees_all_lines(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "fit", lambda rows: rows)
+    rows = [(i, "\n".join(f"{i} line {j} " + ("a" * 3000 + "b" * 3000 if j == 3 else "") for j in range(4)) + "\n\n --") for i in range(200)]
+    rows += [(1000, ""), (1001, None), (1002, "\n\n"), (None, "no id")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.train(documents)
+    assert len(got) == 200 and got == licenses.train(documents.repartition(7))
+    assert all(sum(f" line {j} " in g for g in got) > 20 for j in range(3)) and sum(g.endswith("b") for g in got) > 10
+    assert max(map(len, got)) == licenses.TRAIN_CHARS
+
+
 def test_license_columns_match_plain_forms(spark):
     texts = ["Licensed under CC BY-NC 4.0.", "", "  a--B 12c34 é d ", "one"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", licenses.normal_column(F.col("t")).alias("w")).select(
