@@ -245,3 +245,21 @@ def test_blocked_smoothing_equals_the_transform(spark, cutoff):
     tiled = smooth_in_blocks(d, F.lit(cutoff), block=32).toPandas().sort_values(["symbol", "bar_idx"])
     assert np.allclose(whole["smoothed"], np.concatenate([low_pass(a, cutoff), low_pass(b, cutoff)]))
     assert np.allclose(whole["smoothed"], tiled["smoothed"], rtol=1e-11)
+
+
+def test_late_partial_bar_is_computed_anew(spark, tmp_path):
+    from catalog.live import in_files
+    from tidemark.plans.strategy import Trend
+    from tidemark.streaming import live
+
+    rng = np.random.default_rng(4)
+    close = 100 + np.cumsum(rng.normal(size=400))
+    frame = pd.DataFrame({"symbol": "s", "interval": "1h", "open_time": pd.date_range("2024-01-01", periods=400, freq="h"), "open": close, "high": close + 1, "low": close - 1, "close": close})
+    first = spark.createDataFrame(frame).withColumns({"close_time": F.expr("open_time + interval 1 hour"), "volume": F.lit(1.0), "quote_volume": F.lit(1.0), "trades": F.lit(1).cast("bigint")})
+    first = first.withColumns({"is_final": F.lit(True), "seq": F.lit(0), "_turn": F.lit(0.0)})
+    second = first.where("open_time = timestamp'2024-01-02 00:00:00'").withColumns({"close": F.col("close") * 1.5, "is_final": F.lit(False), "seq": F.lit(1), "_turn": F.lit(0.5)})
+    path, out, rule = in_files(first.unionByName(second), 2), str(tmp_path), Trend()
+    live.refresh_stream(live.read_stream(spark, path, spark.read.parquet(path).schema), f"{out}/bars", f"{out}/signals", f"{out}/ckpt", rule).awaitTermination()
+    want = {r["open_time"]: r["smoothed"] for r in live.full_refresh(with_ordinal(store.read_bars(spark, f"{out}/bars")), rule).collect()}
+    got = {r["open_time"]: r["smoothed"] for r in spark.read.parquet(f"{out}/signals").collect()}
+    assert len(got) == 400 and got == pytest.approx(want, nan_ok=True)

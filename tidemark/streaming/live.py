@@ -145,8 +145,8 @@ def refresh_stream(
 ) -> StreamingQuery:
     """Merge a stream of bar rows into the store and keep the signals of every series up to date.
 
-    A series that receives a final or a new bar is computed anew from all its stored bars, one with partial
-    updates only from its last bars, others are left as they are. ``results`` holds the signals of all bars
+    A series that receives a final or a new bar, or a partial update of a bar before those that a tail refresh
+    computes, is computed anew from all its stored bars, one with other partial updates only from its last bars, others are left as they are. ``results`` holds the signals of all bars
     by (symbol, interval); ``<results>-touched`` holds for every micro-batch the signal of each bar that
     arrived in it, however many. A replayed micro-batch writes the same rows again.
     """
@@ -163,6 +163,10 @@ def refresh_stream(
         decided = stage(refresh_decision(new.withColumn("is_final", F.col("is_final") | F.col("_new")).withColumn("source", F.lit("ws"))))
         merge_bars(spark, path, arrived, f"{checkpoint}-merge/{batch_id}")
         stored = with_ordinal(read_bars(spark, path).join(decided.select(*SERIES), SERIES, "left_semi"))
+        # a tail refresh would keep the old signal of a bar before its reach
+        early = stored.where(F.col("bar_idx") < F.col("n_bars") - context_bars(rule, window)).join(arrived.select(*ROW_KEY), ROW_KEY, "left_semi")
+        decided = stage(decided.join(early.select(*SERIES, F.lit("full").alias("_early")).distinct(), SERIES, "left").select(
+            *SERIES, F.coalesce("_early", "refresh").alias("refresh")))
         of = lambda kind: stored.join(decided.where(F.col("refresh") == kind), SERIES, "left_semi")
         fresh = full_refresh(of("full"), rule)
         try:
