@@ -140,7 +140,7 @@ def frame_of(spark, rows):
     return spark.createDataFrame([(*r, "x", 1, 1, 1, "x") for r in rows], SCHEMA).repartition(4)
 
 
-@pytest.mark.parametrize("pivots,blocks", [(None, (4096, 1 << 17)), (6, (3, 50)), (20, (4096, 40))])
+@pytest.mark.parametrize("pivots,blocks", [(16, (1 << 15, 1 << 17)), (6, (3, 50)), (20, (4096, 40))])
 def test_top_k_as_plain(spark, pivots, blocks):
     rows = some_vectors()
     frame = vectors.whole_numbers(frame_of(spark, rows), "embedding", 64, ["id"])

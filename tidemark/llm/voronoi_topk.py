@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.llm import vectors as vc
 from tidemark.plans.staging import stage
 
-#: Pivots at most, one for so many queries; rows they are chosen from.
-PIVOTS, QUERIES_PER_PIVOT, PIVOT_SAMPLE = 64, 128, 4096
-#: Queries and rows of a unit that is solved at once.
-QUERY_BLOCK, DATA_BLOCK = 4096, 1 << 17
+#: Pivots, and so query groups: a row is dealt to each of them at most; rows they are chosen from.
+PIVOTS, PIVOT_SAMPLE = 16, 4096
+#: Queries and rows of a unit that is solved at once, and scores held at once.
+QUERY_BLOCK, DATA_BLOCK, SCORES = 1 << 15, 1 << 17, 1 << 22
 _CHUNK = 1024
 
 
@@ -174,8 +174,9 @@ class _Unit:
             if not self.parts:
                 return
             self._begin(space, within)
-        for start in range(0, batch.num_rows, _CHUNK):
-            part = batch.slice(start, _CHUNK)
+        step = max(64, SCORES // len(self.rows))
+        for start in range(0, batch.num_rows, step):
+            part = batch.slice(start, step)
             rows, ids = part.column(5).to_numpy(), part.column(6)
             scores = vc.inner_products(self.values, vc.decode(part.column(7), self.dim))
             spot = np.minimum(np.searchsorted(self.rows, rows, sorter=self.place), len(self.rows) - 1)
@@ -216,7 +217,7 @@ class _Unit:
 
 
 def top_k(
-    rows: DataFrame, is_query: Column, k: int, pivots: int | None = None, sample: int = PIVOT_SAMPLE, seed: int = 7,
+    rows: DataFrame, is_query: Column, k: int, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE, seed: int = 7,
     query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK,
 ) -> DataFrame:
     """(query_row, query_id, rank, id, score): each query's ``k`` other rows of the largest inner product.
@@ -224,11 +225,9 @@ def top_k(
     ``rows`` come from ``vectors.whole_numbers`` with a column ``id``; queries are those where ``is_query`` holds.
     Ties go to the smaller id, null after all others. Every row of the query's dimension but the query's own row
     is a candidate; rows of equal id or content are rows of their own. A query with fewer candidates gets them
-    all. Without rows or queries there are no rows. Pivots, one for each 128 queries and 64 at most, are chosen
-    from a seeded sample of ``sample`` rows; the choice changes the work, not the result.
+    all. Without rows or queries there are no rows. Pivots are chosen from a seeded sample of ``sample`` rows; the
+    choice changes the work, not the result.
     """
-    if pivots is None:
-        pivots = int(min(PIVOTS, max(1, rows.where(is_query).count() // QUERIES_PER_PIVOT)))
     space = vc.Space(rows, pivots, sample, seed)
     located = _locate(rows, is_query, space)
     plan = _plan(space, located, k, query_block, data_block)
