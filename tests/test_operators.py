@@ -263,3 +263,65 @@ def test_late_partial_bar_is_computed_anew(spark, tmp_path):
     want = {r["open_time"]: r["smoothed"] for r in live.full_refresh(with_ordinal(store.read_bars(spark, f"{out}/bars")), rule).collect()}
     got = {r["open_time"]: r["smoothed"] for r in spark.read.parquet(f"{out}/signals").collect()}
     assert len(got) == 400 and got == pytest.approx(want, nan_ok=True)
+
+
+class Died(Exception):
+    pass
+
+
+@pytest.fixture(scope="module")
+def refreshed(spark):
+    """(signals, rows touched) after two batches; the second, with bars of three series, may die after a step and be replayed."""
+    from tidemark.plans.staging import fresh_folder
+    from tidemark.plans.strategy import Trend
+    from tidemark.streaming import live
+
+    every = None
+    for k, symbol in enumerate("abc"):
+        one = bars_of(spark, walk(1500, k), symbol)
+        every = one if every is None else every.unionByName(one)
+    every = with_ordinal(every).withColumns({"is_final": F.lit(True), "seq": F.col("bar_idx")})
+    update = every.withColumns({"close": F.col("close") + 1, "is_final": F.lit(False), "seq": F.lit(5000)})
+    # a: a new partial bar; b: updates within the reach; c: one before it
+    second = update.where("(symbol = 'a' and bar_idx >= 1490) or (symbol = 'b' and bar_idx between 1480 and 1498) or (symbol = 'c' and bar_idx in (700, 1498))")
+
+    def run(dies_after=None):
+        out = fresh_folder(spark, "test")
+        refresh = live.LiveRefresh(f"{out}/bars", f"{out}/signals", f"{out}/ckpt", Trend(min_trend_bars=12, window=10))
+        refresh(every.where("bar_idx < 1499"), 0)
+        if dies_after:
+            done = getattr(live.LiveRefresh, dies_after)
+
+            def last_step(self, *args):
+                done(self, *args)
+                raise Died
+
+            with pytest.MonkeyPatch.context() as m, pytest.raises(Died):
+                m.setattr(live.LiveRefresh, dies_after, last_step)
+                refresh(second, 1)
+        refresh(second, 1)
+        got = spark.read.parquet(f"{out}/signals").drop("month").toPandas().sort_values(["symbol", "bar_idx"]).reset_index(drop=True)
+        return got, spark.read.parquet(f"{out}/signals-touched/batch=1").count()
+
+    return run, run()
+
+
+@pytest.mark.parametrize("dies_after", ["decide", "merge", "compute", "publish"])
+def test_replayed_refresh_is_like_an_undisturbed_one(refreshed, dies_after):
+    run, (want, n) = refreshed
+    got, m = run(dies_after)
+    assert n == m == 10 + 19 + 2
+    pd.testing.assert_frame_equal(got, want)
+    assert want.groupby("symbol").size().to_dict() == {"a": 1500, "b": 1499, "c": 1499}
+
+
+def test_last_bars_come_from_the_last_months(spark):
+    from tidemark.plans.staging import fresh_folder
+    from tidemark.streaming import live
+
+    path = fresh_folder(spark, "test")
+    store.write_bars(bars_of(spark, walk(2000, 1), "a").unionByName(bars_of(spark, walk(5, 2), "b")), path)
+    series = spark.createDataFrame([("a", "1h"), ("b", "1h"), ("c", "1h")], "symbol string, interval string")
+    got = live.last_bars(spark, path, series, 300)
+    rows = got.groupBy("symbol").agg(F.count("*"), F.min("bar_idx"), F.max("bar_idx"), F.max("n_bars")).orderBy("symbol").collect()
+    assert [tuple(r) for r in rows] == [("a", 300, 1700, 1999, 2000), ("b", 5, 0, 4, 5)]

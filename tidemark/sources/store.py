@@ -18,11 +18,15 @@ PARTITION = [*SERIES, "month"]
 VERSION = "version"
 
 
+def month_of(time: str) -> Column:
+    return F.date_format(time, "yyyy-MM")
+
+
 def _with_month(df: DataFrame) -> DataFrame:
-    return df.withColumn("month", F.date_format("open_time", "yyyy-MM"))
+    return df.withColumn("month", month_of("open_time"))
 
 
-def _scan(spark: SparkSession, path: str) -> DataFrame | None:
+def scan(spark: SparkSession, path: str) -> DataFrame | None:
     """The table with its version and month, or None when it does not exist or cannot be read."""
     try:
         return spark.read.schema(f"{BAR_SCHEMA}, {VERSION} bigint, month string").parquet(path)
@@ -37,7 +41,7 @@ def read_bars(spark: SparkSession, path: str, start: str | None = None, end: str
 
     A range reads only the months it covers.
     """
-    bars = _scan(spark, path)
+    bars = scan(spark, path)
     if bars is None:
         return None
     for bound, inside in ((start, lambda m: F.col("month") >= m), (end, lambda m: F.col("month") <= m)):
@@ -113,7 +117,7 @@ def stored_partitions(spark: SparkSession, path: str, arrived: DataFrame) -> Dat
 
     The months are listed on the driver: a history has at most some hundreds.
     """
-    stored = _scan(spark, path)
+    stored = scan(spark, path)
     if stored is None:
         return None
     partitions = _with_month(arrived.select(*ROW_KEY)).select(*PARTITION).distinct()
@@ -134,7 +138,7 @@ def merge_bars(spark: SparkSession, path: str, arrived: DataFrame, staging: str)
         write_bars(newest_per_bar(arrived.withColumn("_rank", rank), "_rank"), path)
         return
     write_bars(upsert(touched, arrived), staging)
-    fresh = _scan(spark, staging)
+    fresh = scan(spark, staging)
     if fresh is not None:
         write_bars(fresh.drop("month"), path)
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.operators.series import with_ordinal
 from tidemark.plans.staging import stage
 from tidemark.plans.strategy import Trend, trend_signals
 from tidemark.schema import BAR_COLUMNS, SERIES
-from tidemark.sources.store import ROW_KEY, VERSION, merge_bars, newest_per_bar, read_bars, stored_partitions
+from tidemark.sources.store import ROW_KEY, VERSION, merge_bars, month_of, newest_per_bar, read_bars, scan, stored_partitions
 from tidemark.sources.ticks import ticks_to_bars
 
 #: What a stream has at its start is worked off, then it ends; pass processingTime to keep it running.
@@ -139,47 +141,150 @@ def tail_refresh(previous: DataFrame, bars: DataFrame, rule: Trend, window: int
     return keep.unionByName(fresh)
 
 
-def refresh_stream(
-    bars: DataFrame, path: str, results: str, checkpoint: str, rule: Trend = Trend(), window: int | None = None,
-    version: str = "seq", trigger: dict | None = None,
-) -> StreamingQuery:
-    """Merge a stream of bar rows into the store and keep the signals of every series up to date.
-
-    A series that receives a final or a new bar, or a partial update of a bar before those that a tail refresh
-    computes, is computed anew from all its stored bars, one with other partial updates only from its last bars, others are left as they are. ``results`` holds the signals of all bars
-    by (symbol, interval); ``<results>-touched`` holds for every micro-batch the signal of each bar that
-    arrived in it, however many. A replayed micro-batch writes the same rows again.
+def _written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The rows of ``_write_whole``, or None when they were never written to the end."""
+    try:
+        rows = spark.read.schema(schema.add("_total", "long")).parquet(path)
+    except AnalysisException:
+        return None
+    n, total = rows.agg(F.count("*"), F.max("_total")).first()
+    return rows.drop("_total") if n and n == total else None
+
+
+def _write_whole(rows: DataFrame, path: str) -> DataFrame:
+    """Write the rows together with their number, which tells a whole table from a broken one."""
+    rows = stage(rows)
+    schema = T.StructType(list(rows.schema.fields))
+    rows.withColumn("_total", F.lit(rows.count())).write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+def month_counts(spark: SparkSession, path: str, series: DataFrame) -> DataFrame:
+    """(symbol, interval, month, n, before, n_bars) of the stored months of ``series``; no column is read for it."""
+    ordered = Window.partitionBy(*SERIES).orderBy("month")
+    counts = scan(spark, path).join(series.select(*SERIES), SERIES, "left_semi").groupBy(*SERIES, "month").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumns({
+        "before": F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "n_bars": F.sum("n").over(Window.partitionBy(*SERIES)),
+    })
+
+
+def last_bars(spark: SparkSession, path: str, series: DataFrame, most: int) -> DataFrame:
+    """The last ``most`` bars of each of ``series`` with their ``bar_idx`` and ``n_bars``, from the months that hold them."""
+    counts = stage(month_counts(spark, path, series))
+    wanted = counts.where(F.col("before") + F.col("n") > F.col("n_bars") - most)
+    months = [r[0] for r in wanted.select("month").distinct().collect()]
+    start = wanted.groupBy(*SERIES).agg(F.min("before").alias("_before"))
+    rows = scan(spark, path).where(F.col("month").isin(months)).join(wanted.select(*SERIES, "month"), [*SERIES, "month"], "left_semi")
+    numbered = with_ordinal(rows.select(*SERIES, *BAR_COLUMNS)).join(start, SERIES)
+    numbered = numbered.withColumns({"bar_idx": F.col("bar_idx") + F.col("_before"), "n_bars": F.col("n_bars") + F.col("_before")}).drop("_before")
+    return numbered.where(F.col("bar_idx") >= F.col("n_bars") - most)
+
+
+@dataclass(frozen=True)
+class LiveRefresh:
+    """What ``refresh_stream`` does with a micro-batch, in steps that can be taken again after a failure.
+
+    ``decide`` writes what arrived and, for every series of it, how it is to be computed, before anything is
+    changed; a batch that is replayed finds that decision. ``merge`` puts the bars into the store, ``compute`` writes
+    the new signals aside, and ``publish`` replaces the months of the results that they belong to. Each step that was
+    finished is read, not taken again, so a replay gives what an undisturbed run gives.
     """
-    def refresh(batch: DataFrame, batch_id: int) -> None:
+
+    path: str
+    results: str
+    checkpoint: str
+    rule: Trend = Trend()
+    window: int | None = None
+    version: str = "seq"
+
+    @property
+    def reach(self) -> int:
+        return context_bars(self.rule, self.window)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        arrived, decided = self.decide(batch, batch_id)
+        self.merge(arrived, batch_id)
+        self.publish(self.compute(decided, batch_id), arrived, batch_id)
+
+    def decide(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+        """(the newest row of each bar, (symbol, interval, refresh)); from the log if the batch was decided before."""
         spark = batch.sparkSession
-        rows = batch.select(*SERIES, *BAR_COLUMNS, "is_final", F.col(version).cast("bigint").alias(VERSION), F.col(version).alias("_newest"))
+        rows = batch.select(*SERIES, *BAR_COLUMNS, "is_final", F.col(self.version).cast("bigint").alias(VERSION), F.col(self.version).alias("_newest"))
         arrived = stage(newest_per_bar(rows, "_newest"))
-        # read before the merge: a bar the store does not know is new
-        before = stored_partitions(spark, path, arrived)
+        log = f"{self.checkpoint}-decisions/{batch_id}"
+        told = _written(spark, log, T.StructType([*arrived.select(*SERIES).schema.fields, T.StructField("refresh", T.StringType())]))
+        if told is not None:
+            return arrived, told
+        before = stored_partitions(spark, self.path, arrived)
         if before is None:
-            new = arrived.withColumn("_new", F.lit(True))
+            fresh = arrived.withColumn("_new", F.lit(True))
         else:
-            new = arrived.join(before.select(*ROW_KEY, F.lit(False).alias("_new")), ROW_KEY, "left").withColumn("_new", F.coalesce("_new", F.lit(True)))
-        decided = stage(refresh_decision(new.withColumn("is_final", F.col("is_final") | F.col("_new")).withColumn("source", F.lit("ws"))))
-        merge_bars(spark, path, arrived, f"{checkpoint}-merge/{batch_id}")
-        stored = with_ordinal(read_bars(spark, path).join(decided.select(*SERIES), SERIES, "left_semi"))
-        # a tail refresh would keep the old signal of a bar before its reach
-        early = stored.where(F.col("bar_idx") < F.col("n_bars") - context_bars(rule, window)).join(arrived.select(*ROW_KEY), ROW_KEY, "left_semi")
-        decided = stage(decided.join(early.select(*SERIES, F.lit("full").alias("_early")).distinct(), SERIES, "left").select(
-            *SERIES, F.coalesce("_early", "refresh").alias("refresh")))
-        of = lambda kind: stored.join(decided.where(F.col("refresh") == kind), SERIES, "left_semi")
-        fresh = full_refresh(of("full"), rule)
+            fresh = arrived.join(before.select(*ROW_KEY, F.lit(False).alias("_new")), ROW_KEY, "left").withColumn("_new", F.coalesce("_new", F.lit(True)))
+        whole = F.col("is_final") | F.col("_new")
+        decided = stage(refresh_decision(fresh.withColumn("is_final", whole).withColumn("source", F.lit("ws"))))
+        if before is not None:
+            # a tail refresh would keep the old signal of a bar before its reach
+            partial = decided.where("refresh = 'tail'")
+            reached = last_bars(spark, self.path, partial, self.reach).select(*ROW_KEY)
+            early = arrived.join(partial.select(*SERIES), SERIES, "left_semi").join(reached, ROW_KEY, "left_anti")
+            decided = decided.join(early.select(*SERIES, F.lit("full").alias("_early")).distinct(), SERIES, "left").select(
+                *SERIES, F.coalesce("_early", "refresh").alias("refresh"))
+        return arrived, _write_whole(decided, log)
+
+    def merge(self, arrived: DataFrame, batch_id: int) -> None:
+        merge_bars(arrived.sparkSession, self.path, arrived, f"{self.checkpoint}-merge/{batch_id}")
+
+    def compute(self, decided: DataFrame, batch_id: int) -> DataFrame | None:
+        """The signals that change, by series and month; None without any series."""
+        spark = decided.sparkSession
+        aside = f"{self.checkpoint}-signals/{batch_id}"
+        bars = read_bars(spark, self.path)
+        if bars is None:
+            return None
+        fresh = full_refresh(bars.join(decided.where("refresh = 'full'"), SERIES, "left_semi"), self.rule)
+        shape = T.StructType([*fresh.schema.fields, T.StructField("month", T.StringType())])
+        told = _written(spark, aside, T.StructType(list(shape.fields)))
+        if told is not None:
+            return told
+        known = self._known(spark, shape)
+        if known is not None:
+            tail = stage(last_bars(spark, self.path, decided.where("refresh = 'tail'"), self.reach))
+            months = tail.select(*SERIES, month_of("open_time").alias("month")).distinct()
+            kept = known.join(months, [*SERIES, "month"], "left_semi").drop("month")
+            fresh = fresh.unionByName(tail_refresh(kept, tail, self.rule, self.window))
+        return _write_whole(fresh.withColumn("month", month_of("open_time")), aside)
+
+    def _known(self, spark: SparkSession, shape: T.StructType) -> DataFrame | None:
         try:
-            known = spark.read.schema(fresh.schema).parquet(results)
+            return spark.read.schema(shape).parquet(self.results)
         except AnalysisException:  # nothing has been computed yet
-            known = None
-        if known is not None:
-            kept = known.join(decided.where("refresh = 'tail'"), SERIES, "left_semi")
-            fresh = fresh.unionByName(tail_refresh(kept, of("tail"), rule, window))
-        out = stage(fresh)
-        out.repartition(*SERIES).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SERIES).parquet(results)
-        out.join(arrived.select(*ROW_KEY), ROW_KEY, "left_semi").write.mode("overwrite").parquet(f"{results}-touched/batch={batch_id}")
+            return None
+
+    def publish(self, signals: DataFrame | None, arrived: DataFrame, batch_id: int) -> None:
+        if signals is None:
+            return
+        parts = [*SERIES, "month"]
+        signals.repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(self.results)
+        touched = signals.drop("month").join(arrived.select(*ROW_KEY), ROW_KEY, "left_semi")
+        touched.write.mode("overwrite").parquet(f"{self.results}-touched/batch={batch_id}")
+
+
+def refresh_stream(
+    bars: DataFrame, path: str, results: str, checkpoint: str, rule: Trend = Trend(), window: int | None = None,
+    version: str = "seq", trigger: dict | None = None,
+) -> StreamingQuery:
+    """Merge a stream of bar rows into the store and keep the signals of every series up to date.
 
+    A series that receives a final or a new bar, or a partial update of a bar before those that a tail refresh
+    computes, is computed anew from all its stored bars; one with other partial updates only from its last bars, and
+    only the months that hold them are read and written; others are left as they are. ``results`` holds the signals of
+    all bars by (symbol, interval, month); ``<results>-touched`` holds for every micro-batch the signal of each bar
+    that arrived in it, however many. A micro-batch that dies at any point and is replayed gives the same rows as
+    one that did not (``LiveRefresh``); decisions and signals of past batches, under ``<checkpoint>-decisions`` and
+    ``<checkpoint>-signals``, can be cleared once the next batch has begun.
+    """
+    refresh = LiveRefresh(path, results, checkpoint, rule, window, version)
     return bars.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
 
 
