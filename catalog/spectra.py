@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalog.base import HOURLY, indexed, query, r, rounded, rs, with_
 from tidemark.operators import spectral as sp
 
@@ -43,9 +41,9 @@ def welch_sql(w: int, step: int) -> str:
 W64 = f"{HOURLY}, {welch_sql(64, 32)}"
 
 
-@query("f6_welch_psd", with_(W64, f"SELECT symbol, k, round(freq, 7) AS freq, {r('avg(psd)', 'psd', 6)} FROM psd GROUP BY symbol, k, freq"))
+@query("f6_welch_psd", with_(W64, f"SELECT symbol, k, {r('freq', 'freq', 6)}, {r('avg(psd)', 'psd', 6)} FROM psd GROUP BY symbol, k, freq"))
 def f6(spark, sf):
-    return rounded(sp.welch_psd(indexed(spark, sf), window=64).select("symbol", "k", "freq", "psd"), 6).withColumn("freq", F.round(F.col("k") / 64, 7))
+    return rounded(sp.welch_psd(indexed(spark, sf), window=64).select("symbol", "k", "freq", "psd"), 6)
 
 
 W48 = f"{HOURLY}, {welch_sql(48, 12)}"

@@ -236,15 +236,71 @@ def test_correlation_with_ties_matches_pandas(spark, method):
 
 
 @pytest.mark.parametrize("cutoff", [0.08, 0.5, 1.0])
-def test_blocked_smoothing_equals_the_transform(spark, cutoff):
-    from tidemark.operators.smooth import low_pass, smooth, smooth_in_blocks
-
-    a, b = walk(150, 11), walk(90, 12)
-    d = with_ordinal(bars_of(spark, a).unionByName(bars_of(spark, b, "b")))
-    whole = smooth(d, F.lit(cutoff)).toPandas().sort_values(["symbol", "bar_idx"])
-    tiled = smooth_in_blocks(d, F.lit(cutoff), block=32).toPandas().sort_values(["symbol", "bar_idx"])
-    assert np.allclose(whole["smoothed"], np.concatenate([low_pass(a, cutoff), low_pass(b, cutoff)]))
-    assert np.allclose(whole["smoothed"], tiled["smoothed"], rtol=1e-11)
+def test_spread_smoothing_equals_the_transform(spark, monkeypatch, cutoff):
+    """Series of odd, even and prime length over several blocks of columns and rows, next to a short one."""
+    from tidemark.operators import series
+    from tidemark.operators.smooth import low_pass, smooth
+
+    monkeypatch.setattr(series, "CHUNK_BARS", 8)  # blocks of 512 numbers, series of more than 128 bars are long
+    lengths = {"a": 691, "b": 800, "c": 129, "d": 90}
+    lines = {s: walk(n, n) for s, n in lengths.items()}
+    d = None
+    for s, v in lines.items():
+        one = bars_of(spark, v, s)
+        d = one if d is None else d.unionByName(one)
+    got = smooth(with_ordinal(d), F.lit(cutoff)).toPandas().sort_values(["symbol", "bar_idx"])
+    want = np.concatenate([low_pass(v, cutoff) for v in lines.values()])
+    assert got["symbol"].value_counts().to_dict() == lengths
+    assert np.allclose(got["smoothed"], want, rtol=1e-11)
+
+
+def test_spread_spectrum_equals_the_transform(spark, monkeypatch):
+    from tidemark.operators import series, spectral
+
+    monkeypatch.setattr(series, "CHUNK_BARS", 8)
+    lines = {"a": walk(691, 1), "b": walk(512, 2), "c": walk(40, 3), "d": walk(1, 4), "e": walk(2, 5)}
+    d = None
+    for s, v in lines.items():
+        one = bars_of(spark, v, s)
+        d = one if d is None else d.unionByName(one)
+    got = spectral.fft_spectrum(with_ordinal(d)).toPandas().sort_values(["symbol", "k"])
+    for s, v in lines.items():
+        k = np.arange(1, (len(v) - 1) // 2 + 1)
+        mine = got[got["symbol"] == s]
+        assert mine["k"].tolist() == k.tolist() and np.allclose(mine["freq"], k / len(v))
+        assert np.allclose(mine["power"], np.abs(np.fft.fft(v - v.mean()))[k] ** 2, rtol=1e-8)
+
+
+@pytest.mark.parametrize("window,overlap", [(16, 0.5), (16, 0.9), (15, 0.0), (200, 0.5), (1, 0.0)])
+def test_windows_over_chunks_equal_plain_windows(spark, monkeypatch, window, overlap):
+    from tidemark.operators import series, spectral
+
+    monkeypatch.setattr(series, "CHUNK_BARS", 16)
+    lines = {"a": walk(150, 1), "b": walk(63, 2), "c": walk(3, 3)}
+    d = None
+    for s, v in lines.items():
+        one = bars_of(spark, v, s)
+        d = one if d is None else d.unionByName(one)
+    d = with_ordinal(d)
+    got = spectral.welch_psd(d, window=window, overlap=overlap).toPandas().sort_values(["symbol", "k"])
+    periods = spectral.sliding_dominant_period(d, window=window, overlap=overlap).toPandas().sort_values(["symbol", "window_id"])
+    for s, v in lines.items():
+        w = min(window, len(v))
+        taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(w) / w) if w > 1 else np.ones(1)
+
+        def plain(start):
+            x = v[start : start + w]
+            psd = np.abs(np.fft.rfft((x - x.mean()) * taper)) ** 2 / (taper**2).sum()
+            psd[1 : (w + 1) // 2] *= 2
+            return psd
+
+        mine = got[got["symbol"] == s]
+        want = np.mean([plain(i) for i in range(0, len(v) - w + 1, w - int(w * overlap))], axis=0)
+        assert np.allclose(mine["psd"], want) and np.allclose(mine["freq"], np.arange(len(want)) / w)
+        starts = range(0, len(v) - w + 1, max(1, int(w * (1 - overlap))))
+        peaks = [w / (plain(i)[1:].argmax() + 1) for i in starts] if w > 1 else []
+        mine = periods[periods["symbol"] == s]
+        assert np.allclose(mine["period"], peaks) and mine["center_idx"].tolist() == [i + w // 2 for i in starts][: len(peaks)]
 
 
 def test_late_partial_bar_is_computed_anew(spark, tmp_path):

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidemark.operators.transform import dft, has_long_series, long_series
+from tidemark.plans.staging import stage
 from tidemark.schema import SERIES
 
 TAPER = 0.1
@@ -18,9 +19,14 @@ PADDING = 0.2
 
 def cosine_gain(n: int, cutoff: float, taper: float = TAPER) -> np.ndarray:
     """Unit gain below the cut-off bin, half-cosine roll-off, then zero."""
+    return gain_at(np.arange(n), n, cutoff, taper)
+
+
+def gain_at(k: np.ndarray, n: int, cutoff: float, taper: float = TAPER) -> np.ndarray:
+    """``cosine_gain`` of the bins ``k`` alone."""
     edge = int(cutoff * n)
     width = max(1, int(taper * edge))
-    k = np.arange(n) - edge
+    k = k - edge
     if edge + width >= n:
         return (k < 0).astype(float)
     return np.where(k < 0, 1.0, np.where(k < width, 0.5 + 0.5 * np.cos(np.pi * k / width), 0.0))
@@ -76,6 +82,28 @@ def whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def whole_chunks(batches: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[pa.Table]:
+    """Regroup Arrow batches sorted by ``cell`` into one table for each of its values."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for name in cell:
+            c = batch.column(name)
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        new[0] = bool(held) and any(held[-1].column(name)[-1] != batch.column(name)[0] for name in cell)
+        cuts = np.flatnonzero(new)
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if a in cuts and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def smooth(
     df: DataFrame,
     cutoff: Column,
@@ -87,10 +115,16 @@ def smooth(
 ) -> DataFrame:
     """Add the low-passed ``x`` of every series; ``cutoff`` is a per-series column expression.
 
-    The transform needs the whole series; series x parameter sets is the parallel axis, and a series
-    cannot exceed history / interval bars (a century of 30-minute bars is 14 MB of doubles).  All
-    other columns pass through as Arrow buffers.
+    A series of up to ``transform.long_series()`` bars is one task's work, and all its other columns pass through as
+    Arrow buffers; longer ones are spread over tasks (``smooth_long``).
     """
+    if "n_bars" in df.columns and has_long_series(df):
+        short = smooth_short(df.where(F.col("n_bars") <= long_series()), cutoff, x, name, keys, taper, padding)
+        return short.unionByName(smooth_long(df.where(F.col("n_bars") > long_series()), cutoff, x, name, keys, taper, padding))
+    return smooth_short(df, cutoff, x, name, keys, taper, padding)
+
+
+def smooth_short(df: DataFrame, cutoff: Column, x: str, name: str, keys: list[str], taper: float = TAPER, padding: float = PADDING) -> DataFrame:
     d = df.withColumn("_cutoff", cutoff)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
@@ -108,6 +142,48 @@ def smooth(
     return d.repartition(*keys).sortWithinPartitions(*keys, "bar_idx").mapInArrow(kernel, schema)
 
 
+def smooth_long(df: DataFrame, cutoff: Column, x: str, name: str, keys: list[str], taper: float = TAPER, padding: float = PADDING) -> DataFrame:
+    """``smooth_short`` for series of any length: no task holds more than a block of one.
+
+    The even/odd reordering of the padded samples goes through ``transform.dft`` and, damped, through it once
+    more; of the coefficients only those that the gain keeps are handed on.
+    """
+    n = F.col("n_bars")
+    shape = df.where(F.col("bar_idx") == 0).select(*keys, n, cutoff.alias("_cut"), F.floor(n * padding).alias("_pad"))
+    shape = stage(shape.withColumn("m", F.col("n_bars") + 2 * F.col("_pad")))
+    names = [*keys, "n_bars", "_cut", "_pad", "m"]
+
+    # a bar sits at its own padded position and, near an end, at its mirror image
+    d = df.select(*keys, "bar_idx", F.col(x).alias("re")).join(shape, keys)
+    i, pad = F.col("bar_idx"), F.col("_pad")
+    places = F.array(
+        i + pad, F.when((i >= 1) & (i <= pad), pad - i), F.when((i <= n - 2) & (i >= n - 1 - pad), pad + 2 * (n - 1) - i)
+    )
+    j = F.col("_j")
+    samples = d.withColumn("_j", F.explode(F.filter(places, lambda p: p.isNotNull()))).select(
+        *names, F.when(j % 2 == 0, F.expr("_j div 2")).otherwise(F.expr("m - 1 - (_j - 1) div 2")).alias("t"), "re", F.lit(0.0).alias("im"))
+
+    def damp(told: dict, k: np.ndarray, line: np.ndarray) -> dict:
+        """Conjugates of the coefficients to bring back: each goes to its own place and, turned, to its mirror."""
+        m = told["m"]
+        gain = gain_at(k, m, told["_cut"], taper)
+        k, line, gain = k[gain > 0], line[gain > 0], gain[gain > 0]
+        kept = (line * np.exp(-0.5j * np.pi * k / m)).real * gain
+        there = m - k[k > 0]
+        back = np.concatenate([kept * np.exp(-0.5j * np.pi * k / m), 1j * kept[k > 0] * np.exp(-0.5j * np.pi * there / m)])
+        return {"t": pa.array(np.concatenate([k, there])), "re": pa.array(back.real), "im": pa.array(back.imag)}
+
+    def crop(told: dict, k: np.ndarray, line: np.ndarray) -> dict:
+        m, half = told["m"], (told["m"] + 1) // 2
+        at = np.where(k < half, 2 * k, 2 * (m - 1 - k) + 1) - told["_pad"]
+        inside = (at >= 0) & (at < told["n_bars"])
+        return {"bar_idx": pa.array(at[inside]), name: pa.array(line.real[inside] / m)}
+
+    kept = dft(samples, shape, names, damp, "t long, re double, im double")
+    line = dft(kept, shape, names, crop, f"bar_idx long, `{name}` double")
+    return df.join(line.select(*keys, "bar_idx", name), [*keys, "bar_idx"])
+
+
 def exponential_means(x: np.ndarray, spans: list[int]) -> np.ndarray:
     """samples x spans: y0 = x0, y = a*x + (1-a)*y_prev with a = 2/(span+1); all spans step together."""
     weight = 2.0 / (np.asarray(spans, float) + 1.0)
@@ -145,72 +221,3 @@ def smooth_for_candidates(
                 yield from part.append_column("ranges", listed(exponential_means(spread[a:b], spans))).to_batches()
 
     return df.repartition(*keys).sortWithinPartitions(*keys, "bar_idx").mapInArrow(kernel, schema)
-
-
-def smooth_in_blocks(
-    df: DataFrame,
-    cutoff: Column,
-    x: str = "close",
-    name: str = "smoothed",
-    keys: list[str] = SERIES,
-    taper: float = TAPER,
-    padding: float = PADDING,
-    block: int = 4096,
-) -> DataFrame:
-    """``smooth`` for series too long for one task: the same transform as two blocked matrix products.
-
-    Samples x surviving bins are cut into block x block tiles; every tile is one row for an Arrow
-    kernel and the tile results are summed with map-side combine.  More arithmetic than an FFT, but
-    no task ever holds more than a tile.
-    """
-    n = F.col("n_bars")
-    d = df.withColumns({"_cut": cutoff, "_pad": F.floor(n * padding)}).withColumn("_m", n + 2 * F.col("_pad"))
-    edge = F.floor(F.col("_cut") * F.col("_m"))
-    d = d.withColumns({"_edge": edge, "_width": F.greatest(F.lit(1), F.floor(taper * edge))})
-    tapered = F.col("_edge") + F.col("_width") < F.col("_m")
-    bins = F.when(tapered, F.col("_edge") + F.col("_width")).otherwise(F.least("_edge", "_m"))
-    d = d.withColumns({"_tapered": tapered, "_bins": bins})
-    shape = [*keys, "_pad", "_m", "_edge", "_width", "_tapered", "_bins"]
-
-    # a bar sits at its own padded position and, near an end, at its mirror image
-    i, pad = F.col("bar_idx"), F.col("_pad")
-    places = F.array(
-        i + pad, F.when((i >= 1) & (i <= pad), pad - i), F.when((i <= n - 2) & (i >= n - 1 - pad), pad + 2 * (n - 1) - i)
-    )
-    samples = d.select(*shape, F.col(x).alias("_v"), F.explode(F.filter(places, lambda p: p.isNotNull())).alias("_j"))
-
-    def tile(rows: pd.DataFrame, at: str, index: str, out: str) -> np.ndarray:
-        """Sum of values x cosine for the ``block`` outputs starting at ``out``; exact phases."""
-        here, there = rows[index].to_numpy(np.int64), np.arange(block) + int(rows[out].iloc[0])
-        a, b = (here, there) if at == "sample" else (there, here)
-        j, k, m = (a[:, None], b[None, :], int(rows["_m"].iloc[0]))
-        wave = np.cos(np.pi * ((2 * j + 1) * k % (4 * m)) / (2 * m))
-        return (rows["_v"].to_numpy() @ wave) if at == "sample" else (wave @ rows["_v"].to_numpy())
-
-    def product(rows: DataFrame, index: str, outputs: Column, at: str) -> DataFrame:
-        """Tile sums: one output row per (shape, output index, input tile)."""
-        tiles = rows.withColumn("_tile", F.floor(F.col(index) / block)).withColumn("_out", F.explode(outputs))
-        fields = [f for f in tiles.schema.fields if f.name in shape]
-        schema = T.StructType([*fields, T.StructField("_at", T.LongType()), T.StructField("_part", T.DoubleType())])
-
-        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = pd.DataFrame({"_at": np.arange(block) + int(pdf["_out"].iloc[0]), "_part": tile(pdf, at, index, "_out")})
-            for k, f in enumerate(fields):
-                out.insert(k, f.name, pdf[f.name].iloc[0])
-            return out
-
-        parts = tiles.groupBy(*shape, "_tile", "_out").applyInPandas(kernel, schema)
-        return parts.groupBy(*shape, "_at").agg(F.sum("_part").alias("_v"))
-
-    def starts(first: Column, last: Column) -> Column:
-        size = F.lit(block).cast("long")
-        return F.sequence(F.floor(first / block) * size, F.floor(last / block) * size, size)
-
-    coefficients = product(samples.where(F.col("_bins") > 0), "_j", starts(F.lit(0), F.col("_bins") - 1), "sample")
-    k = F.col("_at")
-    gain = F.when(k < F.col("_edge"), 1.0).otherwise(0.5 + 0.5 * F.cos(F.pi() * (k - F.col("_edge")) / F.col("_width")))
-    scale = F.when(k == 0, 1.0).otherwise(2.0) / F.col("_m")
-    coefficients = coefficients.where(k < F.col("_bins")).withColumn("_v", F.col("_v") * gain * scale).withColumnRenamed("_at", "_k")
-    line = product(coefficients, "_k", starts(F.col("_pad"), F.col("_m") - F.col("_pad") - 1), "bin")
-    line = line.select(*keys, (F.col("_at") - F.col("_pad")).alias("bar_idx"), F.col("_v").alias(name))
-    return df.join(line, [*keys, "bar_idx"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
