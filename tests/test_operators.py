@@ -381,3 +381,47 @@ def test_last_bars_come_from_the_last_months(spark):
     got = live.last_bars(spark, path, series, 300)
     rows = got.groupBy("symbol").agg(F.count("*"), F.min("bar_idx"), F.max("bar_idx"), F.max("n_bars")).orderBy("symbol").collect()
     assert [tuple(r) for r in rows] == [("a", 300, 1700, 1999, 2000), ("b", 5, 0, 4, 5)]
+
+
+@pytest.mark.parametrize("reach", [1, 5, 40, 300])
+def test_chains_over_chunks_equal_a_walk(spark, small_chunks, reach):
+    """Holes without candidates, candidates that are busy past many chunks or for good, several series."""
+    from tidemark.operators.chains import taken_in_turn
+
+    rng = np.random.default_rng(reach)
+    rows, want = [], set()
+    for s in "abc":
+        idx = np.flatnonzero(rng.random(600) < (0.7 if s == "a" else 0.1))
+        idx = idx[(idx < 200) | (idx > 330)]
+        free = [None if rng.random() < 0.002 else int(i + rng.integers(1, reach + 1)) for i in idx]
+        rows += [(s, "1h", int(i), f) for i, f in zip(idx, free)]
+        at = 0
+        for i, f in zip(idx, free):
+            if at is not None and i >= at:
+                want.add((s, int(i)))
+                at = f
+    got = taken_in_turn(spark.createDataFrame(rows, "symbol string, interval string, bar_idx long, free long").repartition(7))
+    assert {(r["symbol"], r["bar_idx"]) for r in got.collect()} == want
+
+
+def test_replay_in_units_goes_on_after_a_refused_entry(spark, small_chunks):
+    """Cash for one lot at low prices only: entries at high prices are refused and others taken later."""
+    price = 100 + 60 * np.sin(np.arange(300) / 9.0)
+    signal = np.where(np.arange(300) % 7 == 0, 1, np.where(np.arange(300) % 7 == 4, -1, 0))
+    df = with_ordinal(bars_of(spark, price, signal=signal))
+    account = bt.Account(capital=120.0, mode="fixed", fraction=1.0)
+    got = bt.replay(df, account=account)[1].orderBy("entry_idx").toPandas()
+    cash, want, i = 120.0, [], 0
+    while i < 299:
+        fill = price[i + 1] * 1.0005
+        if signal[i] == 1 and fill * 1.001 <= cash:
+            j = next((k for k in range(i + 1, 299) if signal[k] == -1), None)
+            if j is None:
+                break
+            out = price[j + 1] * 0.9995
+            cash += out * 0.999 - fill * 1.001
+            want.append((i + 1, j + 1))
+            i = j + 1
+        else:
+            i += 1
+    assert list(zip(got["entry_idx"], got["exit_idx"])) == want and 0 < len(want) < 40

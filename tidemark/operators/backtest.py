@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.columns import fixed_risk_size, holds, volatility_size
+from tidemark.operators.chains import taken_in_turn
 from tidemark.operators.series import (
     chunk_window,
     chunks_between,
@@ -22,6 +23,7 @@ from tidemark.operators.series import (
     lay_out,
     running,
 )
+from tidemark.plans.staging import stage
 from tidemark.schema import SERIES
 
 
@@ -323,37 +325,75 @@ def entry_candidates(df: DataFrame, keys: list[str] = SERIES, account: Account =
     )
 
 
+#: What the rounding of a few operations may change, relative to the cash.
+_ROUNDING = 2e-15
+
+
 def take_in_turn(
     candidates: DataFrame, keys: list[str] = SERIES, account: Account = Account()
 ) -> DataFrame:
-    """Walk the candidates of each series in order, taking one whenever the account is free.
+    """The candidates of each series that are taken in turn, whenever the account is free and can pay.
 
-    Only candidate rows are walked (bars with an entry signal), each already carrying its exit, and
-    they stream through in Arrow batches: memory does not depend on the length of a series.
-    Adds ``size``, ``cash_in`` (cash left while the position is open) and ``cash_out``.
+    Which ones are met is settled over chunks of candidates (``chains``) as if every entry could be paid; cash
+    along them is a running product (sizes in cash) or sum (sizes in units) over chunks. Where an entry cannot be
+    paid, the series is walked from there on; where only the rounding of a sequential account tells whether it can
+    (all of a cash of tens of thousands is spent at once), from its start. Adds ``size``, ``cash_in`` (cash left
+    while the position is open) and ``cash_out``.
     """
-    fee = account.fee
-    schema = candidates.select(
+    fee, price, out = account.fee, F.col("entry_price"), F.col("exit_price")
+    ratio = F.col("per_cash") * price * (1 + fee)
+    payable = (F.col("per_cash") > 0) & (ratio <= 1 + 1e-9) | F.col("per_cash").isNull() & (F.col("units") > 0)
+    candidates = stage(candidates)
+    met = taken_in_turn(candidates.where(payable).select(*keys, "bar_idx", (F.col("left_at") + 1).alias("free")), keys)
+    kept = candidates.join(met, [*keys, "bar_idx"], "left_semi")
+    # what a closed position adds, for each unit of its size
+    gain = F.when(F.col("left_at").isNotNull(), F.col("direction") * (out - price) - fee * (out + price) - F.when(F.col("direction") == 1, 0.0).otherwise(fee * price))
+    gain = F.coalesce(gain, F.lit(0.0))
+    in_units = F.col("per_cash").isNull()
+    steps = {"_factor": ("product", F.when(in_units, 1.0).otherwise(1 + F.col("per_cash") * gain)), "_added": ("sum", F.when(in_units, F.col("units") * gain).otherwise(0.0))}
+    # an account sizes either way throughout, so the two do not mix
+    d = running(kept.withColumn("_order", F.col("bar_idx")), steps, keys, order="_order", inclusive=False).drop("_order", "chunk")
+    d = d.withColumn("_cash", account.capital * F.col("_factor") + F.col("_added")).drop("_factor", "_added")
+    d = d.withColumn("size", F.when(in_units, F.col("units")).otherwise(F.col("per_cash") * F.col("_cash")))
+    cost = F.col("size") * price
+    spare = F.col("_cash") + 1e-10 - cost * (1 + fee)
+    usable = holds((F.col("size") > 0) & (in_units | (F.col("_cash") >= 1)))
+    d = stage(d.withColumns({
+        "cash_in": F.col("_cash") - cost * (1 + fee),
+        "_paid": usable & (spare >= 0), "_unclear": usable & (F.abs(spare) <= _ROUNDING * F.col("_cash")),
+        "cash_out": F.when(F.col("left_at").isNotNull(), F.col("_cash") + F.col("size") * gain),
+    }))
+    broke = d.where(~F.col("_paid") | F.col("_unclear")).groupBy(*keys).agg(
+        F.when(F.bool_or("_unclear"), -1).otherwise(F.min("bar_idx")).alias("_stop"),
+        F.when(F.bool_or("_unclear"), account.capital).otherwise(F.min_by("_cash", "bar_idx")).alias("_start"))
+    columns = [
         *keys, "bar_idx", "entry_idx", "entry_time", "entry_price", "direction", "left_at", "_due",
         "exit_time", "exit_price", "exit_event",
-    ).schema
-    names = schema.names
-    account_fields = [T.StructField(n, T.DoubleType()) for n in ("size", "cash_in", "cash_out")]
-    out = T.StructType([*schema.fields, *account_fields])
+    ]
+    before = d.join(broke, keys, "left").where("_stop is null or bar_idx < _stop").select(*columns, "size", "cash_in", "cash_out")
+    rest = candidates.join(broke, keys).where("bar_idx >= _stop")
+    return before.unionByName(_walk(rest, columns, keys, account))
+
+
+def _walk(candidates: DataFrame, columns: list[str], keys: list[str], account: Account) -> DataFrame:
+    """One candidate after the other, from the cash in ``_start``; rows stream through in Arrow batches."""
+    fee = account.fee
+    schema = candidates.select(*columns).schema
+    out = T.StructType([*schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("size", "cash_in", "cash_out")]])
 
     def walk(batches):
-        current, free, cash = None, -1, account.capital
+        current, free, cash = None, -1, 0.0
         for pdf in batches:
             taken = []
             series = list(zip(*[pdf[k] for k in keys]))
-            idx = pdf["bar_idx"].to_numpy()
+            idx, start = pdf["bar_idx"].to_numpy(), pdf["_start"].to_numpy()
             left = pdf["left_at"].to_numpy(float)
             price, way = pdf["entry_price"].to_numpy(), pdf["direction"].to_numpy()
             leave_price = pdf["exit_price"].to_numpy(float)
             share, fixed = pdf["per_cash"].to_numpy(float), pdf["units"].to_numpy(float)
             for i, key in enumerate(series):
                 if key != current:
-                    current, free, cash = key, -1, account.capital
+                    current, free, cash = key, -1, start[i]
                 if idx[i] < free:
                     continue
                 size = cash * share[i] if share[i] == share[i] else fixed[i]
@@ -371,7 +411,7 @@ def take_in_turn(
                 else:
                     free = float("inf")
                     taken.append((i, size, open_cash, None))
-            rows = pdf.iloc[[t[0] for t in taken]][names].copy()
+            rows = pdf.iloc[[t[0] for t in taken]][columns].copy()
             rows["size"] = [t[1] for t in taken]
             rows["cash_in"] = [t[2] for t in taken]
             rows["cash_out"] = pd.array([t[3] for t in taken], dtype="Float64")

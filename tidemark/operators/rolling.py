@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.align import in_windows, pairs
+from tidemark.operators.chains import taken_in_turn
 from tidemark.operators.series import drop_halo, lay_out, running, trailing, with_ordinal
 from tidemark.schema import SERIES
 
@@ -44,25 +44,9 @@ def rolling_correlation(
 
 
 def space_entries(df: DataFrame, min_bars: int, keys: list[str] = SERIES) -> DataFrame:
-    """Turn entries closer than ``min_bars`` to the last kept entry into 0; exits stay.
-
-    Only the entry bars are walked, streamed in order through Arrow batches.
-    """
-    entries = df.where(F.col("signal") == 1).select(*keys, "bar_idx")
-
-    def walk(batches):
-        current, kept = None, 0
-        for pdf in batches:
-            keep = []
-            for key, idx in zip(zip(*[pdf[k] for k in keys]), pdf["bar_idx"].to_numpy()):
-                fresh = key != current or idx - kept >= min_bars
-                if fresh:
-                    current, kept = key, idx
-                keep.append(fresh)
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-
-    ordered = entries.repartition(*keys).sortWithinPartitions(*keys, "bar_idx")
-    kept = ordered.mapInPandas(walk, entries.schema).withColumn("_kept", F.lit(True))
+    """Turn entries closer than ``min_bars`` to the last kept entry into 0; exits stay."""
+    entries = df.where(F.col("signal") == 1).select(*keys, "bar_idx", (F.col("bar_idx") + max(min_bars, 1)).alias("free"))
+    kept = taken_in_turn(entries, keys).withColumn("_kept", F.lit(True))
     out = df.join(kept, [*keys, "bar_idx"], "left")
     dropped = (F.col("signal") == 1) & F.col("_kept").isNull()
     return out.withColumn("spaced", F.when(dropped, 0).otherwise(F.col("signal"))).drop("_kept")

@@ -128,8 +128,9 @@ def running(
     specs: dict[str, tuple[str, Column]],
     keys: list[str] = SERIES,
     order: str = "bar_idx",
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Add inclusive running aggregates ``{name: (kind, expression)}`` along each series.
+    """Add running aggregates ``{name: (kind, expression)}`` along each series, with or without the row itself.
 
     Kinds: sum, product, max, min, last (non-null), first (non-null).  The frame must not contain
     halo rows; a ``chunk`` column is used if present (with ``order="bar_idx"`` it must be the home
@@ -163,7 +164,7 @@ def running(
     # chunks are consecutive along bar_idx; other chunkings may skip numbers
     following = F.col("chunk") + 1 if home else F.col("_next")
     carry = handed.select(*keys, following.alias("chunk"), *[f"_c_{n}" for n in specs])
-    here = Window.partitionBy(*cells).orderBy(order).rowsBetween(*_UP_TO_NOW)
+    here = Window.partitionBy(*cells).orderBy(order).rowsBetween(*(_UP_TO_NOW if inclusive else _ALL_BEFORE))
     d = d.withColumns({f"_l_{n}": _WINDOWED[k](F.col(f"_v_{n}")).over(here) for n, (k, _) in specs.items()})
     out = d.join(carry, cells, "left").withColumns(
         {n: _combine(k, F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n, (k, _) in specs.items()}
