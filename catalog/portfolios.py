@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from catalog.base import ACCOUNT, query, r, rounded, rs, table, with_
 from catalog.backtests import MET, flagship
@@ -169,6 +169,24 @@ def p11_kendall(spark, sf):
     return rounded(pf.correlation(member_returns(spark, sf), "kendall").drop("portfolio"), 6)
 
 
+# Members that lack bars of their own: every fifth, seventh, ... bar.
+RAGGED = f"""{RX}, rg AS (SELECT symbol, t, ret FROM (SELECT *, dense_rank() OVER (ORDER BY symbol) AS m FROM rx) WHERE m = 1 OR m = 2 OR t % (2 * m - 1) <> 0),
+  pp AS (SELECT a.symbol AS sym_i, b.symbol AS sym_j, a.t, a.ret AS x, b.ret AS y FROM rg a JOIN rg b ON a.t = b.t AND a.symbol <= b.symbol),
+  rk AS (SELECT sym_i, sym_j, rank() OVER (PARTITION BY sym_i, sym_j ORDER BY x) + (count(*) OVER (PARTITION BY sym_i, sym_j, x) - 1) / 2.0::DOUBLE AS x,
+    rank() OVER (PARTITION BY sym_i, sym_j ORDER BY y) + (count(*) OVER (PARTITION BY sym_i, sym_j, y) - 1) / 2.0::DOUBLE AS y FROM pp)"""
+
+
+@query("p11_ragged_members", with_(RAGGED, f"""SELECT sym_i, sym_j, {r('corr', None, 6)}, {r('spearman', None, 6)}, {r('cov', None, 6)} FROM
+  (SELECT sym_i, sym_j, corr(x, y) AS corr, covar_samp(x, y) * 1000000 AS cov FROM pp GROUP BY ALL) JOIN (SELECT sym_i, sym_j, corr(x, y) AS spearman FROM rk GROUP BY ALL) USING (sym_i, sym_j)"""))
+def p11_ragged(spark, sf):
+    d = member_returns(spark, sf)
+    number = d.select("symbol").distinct().withColumn("m", F.dense_rank().over(Window.orderBy("symbol")))
+    d = stage(d.join(number, "symbol").where("m <= 2 or t % (2 * m - 1) <> 0").drop("m"))
+    pair = ["sym_i", "sym_j"]
+    rho = pf.correlation(d).select(*pair, "corr").join(pf.correlation(d, "spearman").select(*pair, F.col("corr").alias("spearman")), pair)
+    return rounded(rho.join(pf.covariance(d).select(*pair, (F.col("value") * 1000000).alias("cov")), pair), 6)
+
+
 COV = f"{MCW}, cv AS (SELECT a.symbol AS i, b.symbol AS j, covar_samp(a.ret, b.ret) AS v FROM rx a JOIN rx b USING (t) GROUP BY ALL), rc AS (SELECT a.symbol, sum(a.weight * b.weight * cv.v) AS c FROM cv JOIN mw a ON a.symbol = i JOIN mw b ON b.symbol = j GROUP BY a.symbol)"
 
 

@@ -425,3 +425,52 @@ def test_replay_in_units_goes_on_after_a_refused_entry(spark, small_chunks):
         else:
             i += 1
     assert list(zip(got["entry_idx"], got["exit_idx"])) == want and 0 < len(want) < 40
+
+
+def test_inversions_of_all_lengths():
+    from tidemark.operators.portfolio import inversions
+
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 63, 64, 65, 200, 1000):
+        v = rng.integers(0, 50, n).astype(float)
+        assert inversions(v) == sum(int((v[i] > v[i + 1 :]).sum()) for i in range(n))
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman", "kendall"])
+def test_correlations_of_ragged_members_over_blocks(spark, monkeypatch, method):
+    """Values of one octave, heavy ties, a constant, members of other bars, one with too few; small blocks and chunks."""
+    from tidemark.operators import moments
+
+    monkeypatch.setattr(moments, "CHUNK_TIMES", 50)
+    monkeypatch.setattr(pf, "RANK_BLOCK", 8)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=400)
+    v = pd.DataFrame({"a": 1.5 + base / 1e4, "b": np.round(base + rng.normal(size=400), 1), "c": np.where(rng.random(400) < 0.5, 0.0, base), "d": 7.0, "e": base**3})
+    v.loc[v.index % 3 == 0, "b"] = np.nan
+    v.loc[v.index > 20, "e"] = np.nan
+    long = v.melt(ignore_index=False, var_name="symbol", value_name="ret").reset_index(names="t").dropna().assign(portfolio="p")
+    got = pf.correlation(spark.createDataFrame(long), method).toPandas().set_index(["sym_i", "sym_j"])["corr"]
+    assert len(got) == 15
+    for (i, j), c in got.items():
+        both = v[[i, j]].dropna() if i != j else v[[i, i]].dropna().set_axis(["a", "b"], axis=1)
+        want = np.nan if len(both) < 30 or both.iloc[:, 0].nunique() == 1 or both.iloc[:, 1].nunique() == 1 else None
+        if want is None and method == "kendall":
+            x, y = both.iloc[:, 0].to_numpy(), both.iloc[:, 1].to_numpy()
+            sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+            want = (sx * sy).sum() / np.sqrt((sx**2).sum()) / np.sqrt((sy**2).sum())
+        elif want is None:
+            ranked = both.rank() if method == "spearman" else both
+            want = np.corrcoef(ranked.iloc[:, 0], ranked.iloc[:, 1])[0, 1]
+        assert c == pytest.approx(want, abs=1e-9, nan_ok=True), (i, j)
+
+
+def test_covariance_does_not_cancel_and_risk_parity_leaves_out_whom_it_cannot_weigh(spark):
+    rng = np.random.default_rng(3)
+    v = pd.DataFrame({"a": 1e6 + rng.normal(size=300), "b": -1e6 + rng.normal(size=300), "c": np.nan})
+    v.loc[0, "c"] = 1.0
+    long = v.melt(ignore_index=False, var_name="symbol", value_name="ret").reset_index(names="t").dropna().assign(portfolio="p")
+    d = spark.createDataFrame(long)
+    cov = pf.covariance(d).toPandas().set_index(["sym_i", "sym_j"])["value"]
+    assert cov["a", "b"] == pytest.approx(v["a"].cov(v["b"]), rel=1e-9) and cov["a", "a"] == pytest.approx(v["a"].var(), rel=1e-9)
+    w = pf.risk_parity_weights(d, 300).toPandas().set_index("symbol")["weight"]
+    assert set(w.index) == {"a", "b"} and w.sum() == pytest.approx(1)

@@ -6,11 +6,14 @@ over (keys, sim_id) stay small and even however uneven the series are.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.columns import each
 from tidemark.functions.draws import below
-from tidemark.operators import metrics as mt
+from tidemark.operators import metrics as mt, series
+from tidemark.operators.smooth import whole_chunks
 from tidemark.schema import HOURS_PER_YEAR, SERIES
 
 MC_METRICS = ["total_return", "sharpe_ratio", "sortino_ratio", "max_drawdown_pct", "annualized_return"]
@@ -51,37 +54,75 @@ def block_bootstrap(
     return taken.where(F.col("pos") < F.col("n")).join(d, [*keys, "idx"]).select(*keys, "sim_id", "pos", value)
 
 
+_BLOCK = "g double, top double, low double, fall double, peak double, s1 double, s2 double, dn long, d1 double, d2 double, dmin double, dmax double"
+#: Numbers of a strided view worked on at once.
+_AT_ONCE = 1 << 20
+
+
+def _block_metrics(df: DataFrame, value: str, block: int, keys: list[str]) -> DataFrame:
+    """(keys, start, len, mean, ...) for every start of a block, at full length and at that of the last block.
+
+    Chunks of starts with the bars that their blocks reach into, each one a strided view: a bar is a row of one or two
+    chunks, not of every block that holds it.
+    """
+    r = F.col(value).cast("double")
+    means = df.groupBy(*keys).agg(F.avg(r).alias("mean"), F.coalesce(F.avg(F.when(r < 0, r)), F.lit(0.0)).alias("_down"))
+    d = df.select(*keys, "idx", r.alias("_r")).join(_lengths(df, block, keys).join(means, keys), keys)
+    d = d.withColumns({"_len": F.least("size", "n"), "_rest": F.col("n") - (F.col("_blocks") - 1) * F.col("size")})
+    d = d.withColumn("_width", F.greatest(F.lit(series.CHUNK_BARS).cast("long"), 4 * F.col("_len")))
+    first = F.greatest(F.lit(0), F.expr("CAST(floor((idx - _len + 1) / _width) AS BIGINT)"))
+    laid = d.withColumn("_chunk", F.explode(F.sequence(first, F.expr("idx div _width")))).drop("size", "_blocks")
+    named = ", ".join(f"`{k}` {laid.schema[k].dataType.simpleString()}" for k in keys)
+    cell = [*keys, "_chunk"]
+    names = ["start", "len", "mean", *(part.split()[0] for part in _BLOCK.split(", "))]
+
+    def told(w: np.ndarray, mean: float, down: float) -> list[np.ndarray]:
+        g = np.cumprod(1 + w, axis=1)
+        top = np.maximum.accumulate(g, axis=1)
+        fall = g - top
+        at = fall.argmin(1)[:, None]
+        worst = [np.take_along_axis(x, at, 1)[:, 0] for x in (fall, top)]
+        off, below = w - mean, w < 0
+        lower = np.where(below, w - down, 0)
+        return [g[:, -1], top[:, -1], g.min(1), *worst, off.sum(1), (off * off).sum(1), below.sum(1), lower.sum(1), (lower * lower).sum(1),
+                np.where(below, w, np.inf).min(1), np.where(below, w, -np.inf).max(1)]
+
+    def kernel(batches):
+        for table in whole_chunks(batches, cell):
+            values, here = table["_r"].to_numpy(), int(table["idx"][0].as_py())
+            one = {name: table[name][0].as_py() for name in ("n", "_len", "_rest", "_width", "_chunk", "mean", "_down")}
+            begin = one["_chunk"] * one["_width"]
+            starts = np.arange(begin, min(begin + one["_width"], one["n"] - one["_len"] + 1))
+            for length in {one["_len"], one["_rest"]}:
+                if not len(starts):
+                    continue
+                view = np.lib.stride_tricks.sliding_window_view(values, length)
+                for a in range(0, len(starts), max(1, _AT_ONCE // length)):
+                    some = starts[a : a + max(1, _AT_ONCE // length)]
+                    columns = told(view[some - here], one["mean"], one["_down"])
+                    columns[-2:] = [pa.array(c, mask=~np.isfinite(c)) for c in columns[-2:]]
+                    yield pa.RecordBatch.from_arrays(
+                        [*[pa.repeat(table[k][0], len(some)) for k in keys], pa.array(some), pa.array(np.full(len(some), length)),
+                         pa.array(np.full(len(some), one["mean"])), *[c if isinstance(c, pa.Array) else pa.array(c) for c in columns]],
+                        names=[*keys, *names])
+
+    return laid.repartition(*cell).sortWithinPartitions(*cell, "idx").mapInArrow(kernel, f"{named}, start long, len long, mean double, {_BLOCK}")
+
+
 def bootstrap_metrics(
     df: DataFrame, initial: float, capital: float = 10000.0, value: str = "ret", n_sims: int = 1000,
     block: int = 20, seed: int = 0, keys: list[str] = SERIES,
 ) -> DataFrame:
     """``curve_metrics(block_bootstrap(...))`` without ever building the simulated curves.
 
-    A block is fully described by its growth, sums, lowest point and deepest fall, so these are
-    computed once per possible start; a simulation is then a window over its blocks, ``block`` times
-    fewer rows than its bars.
+    A block is fully described by its growth, sums, lowest point and deepest fall, which are computed once per
+    possible start; a simulation is then a window over its blocks, ``block`` times fewer rows than its bars.
+    Sums are of deviations from the series' mean. Values are not null.
     """
-    d = df.select(*keys, "idx", value)
-    r = F.col(value)
-    drawn, lengths = _drawn_blocks(d, n_sims, block, seed, keys), _lengths(d, block, keys)
+    drawn = _drawn_blocks(df.select(*keys, "idx", value), n_sims, block, seed, keys)
     drawn = drawn.withColumn("len", F.least(F.col("size"), F.col("n") - F.col("block_no") * F.col("size")))
-
-    # every start at full length, and at the length left for the last block
-    rest = F.col("n") - (F.col("_blocks") - 1) * F.col("size")
-    lens = F.explode(F.array_distinct(F.array(F.least("size", "n"), rest)))
-    wanted = lengths.withColumn("len", lens).withColumn("start", each(0, F.greatest(F.lit(0), F.col("n") - F.col("size"))))
     cells = [*keys, "start", "len"]
-    rows = wanted.withColumn("_o", each(0, F.col("len") - 1)).withColumn("idx", F.col("start") + F.col("_o"))
-    w = Window.partitionBy(*cells).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(d, [*keys, "idx"]).withColumn("_g", F.product(1 + r).over(w))
-    rows = rows.withColumn("_m", F.max("_g").over(w))
-    down = F.when(r < 0, r)
-    fall = F.min(F.struct((F.col("_g") - F.col("_m")).alias("fall"), F.col("_o"), F.col("_m").alias("peak")))
-    blocks = rows.groupBy(*cells).agg(
-        F.max_by("_g", "_o").alias("g"), F.max("_g").alias("top"), F.min("_g").alias("low"), fall.alias("worst"),
-        F.sum(r).alias("s1"), F.sum(r * r).alias("s2"),
-        F.count(down).alias("dn"), F.sum(down).alias("d1"), F.sum(down * down).alias("d2"), F.min(down).alias("dmin"), F.max(down).alias("dmax"),
-    )
+    blocks = _block_metrics(df, value, block, keys)
 
     sim = [*keys, "sim_id"]
     order = Window.partitionBy(*sim).orderBy("block_no")
@@ -91,7 +132,7 @@ def bootstrap_metrics(
     p = p.withColumn("_top", F.greatest(F.lit(float(initial)), F.max(F.col("_e") * F.col("top")).over(before)))
     # either below the peak reached earlier, or below the block's own
     old = F.struct((F.col("_e") * F.col("low") - F.col("_top")).alias("drawdown"), F.col("block_no"), F.col("_top").alias("peak"))
-    own = F.struct((F.col("_e") * F.col("worst.fall")).alias("drawdown"), F.col("block_no"), (F.col("_e") * F.col("worst.peak")).alias("peak"))
+    own = F.struct((F.col("_e") * F.col("fall")).alias("drawdown"), F.col("block_no"), (F.col("_e") * F.col("peak")).alias("peak"))
     worst = F.min(F.least(old, own))
 
     def deviation(n: Column, total: Column, squares: Column) -> Column:
@@ -101,12 +142,13 @@ def bootstrap_metrics(
     year = F.sqrt(F.lit(float(HOURS_PER_YEAR)))
     last, n = F.max_by(F.col("_e") * F.col("g"), "block_no"), F.max("n")
     s1, s2, dn, d1, d2 = (F.sum(c) for c in ("s1", "s2", "dn", "d1", "d2"))
+    mean = F.max("mean") + s1 / n
     flat = F.min("dmin") == F.max("dmax")
     down_sd = F.when(flat & (dn > 1), 0.0).otherwise(deviation(dn, d1, d2))
     return p.groupBy(*sim).agg(
         ((last - capital) / capital).alias("total_return"),
-        F.when(n > 1, s1 / n / (deviation(n, s1, s2) + 1e-10) * year).otherwise(0.0).alias("sharpe_ratio"),
-        F.when(n <= 1, 0.0).when(dn == 0, F.expr(mt.INF)).otherwise(s1 / n / (down_sd + 1e-10) * year).alias("sortino_ratio"),
+        F.when(n > 1, mean / (deviation(n, s1, s2) + 1e-10) * year).otherwise(0.0).alias("sharpe_ratio"),
+        F.when(n <= 1, 0.0).when(dn == 0, F.expr(mt.INF)).otherwise(mean / (down_sd + 1e-10) * year).alias("sortino_ratio"),
         F.when(worst["peak"] > 0, worst["drawdown"] / worst["peak"]).otherwise(0.0).alias("max_drawdown_pct"),
         mt.annualised(last / capital, n + 1).alias("annualized_return"),
     )

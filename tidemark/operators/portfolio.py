@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.operators import metrics as mt
 from tidemark.operators.align import in_windows
+from tidemark.operators.moments import pair_moments, pearson, sample_covariance
 from tidemark.operators.series import running
+from tidemark.plans.staging import stage
 
 PK = ["portfolio"]
 YEAR = 252 * 24
@@ -89,8 +91,12 @@ def _both_orders(half: DataFrame, keys: list[str], value: str = "value") -> Data
 
 
 def covariance(returns: DataFrame, keys: list[str] = PK) -> DataFrame:
-    half = return_pairs(returns, keys).groupBy(*keys, "sym_i", "sym_j").agg(F.covar_samp("x", "y").alias("value"))
-    return _both_orders(half, keys)
+    """Sample covariance of every pair of members over the bars both have, in both orders."""
+    return covariance_of(pair_moments(returns, keys), keys)
+
+
+def covariance_of(moments: DataFrame, keys: list[str] = PK) -> DataFrame:
+    return _both_orders(moments.withColumn("value", sample_covariance()), keys)
 
 
 def solve_risk_parity(
@@ -124,6 +130,10 @@ def _risk_parity(cov: DataFrame, low: float, high: float, damped: bool, keys: li
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         square = pdf.pivot(index="sym_i", columns="sym_j", values="value")
+        # members without two bars in common with others cannot be weighed: the one that lacks most goes first
+        while square.isna().to_numpy().any():
+            worst = square.isna().sum().idxmax()
+            square = square.drop(index=worst, columns=worst)
         out = pd.DataFrame({"symbol": square.index, "weight": solve_risk_parity(square.to_numpy(float), low, high, damped=damped)})
         for i, k in enumerate(keys):
             out.insert(i, k, pdf[k].iloc[0])
@@ -136,7 +146,10 @@ def risk_parity_weights(
     returns: DataFrame, lookback: int = 60, low: float = 0.0, high: float = 1.0, method: str = "damped",
     keys: list[str] = PK,
 ) -> DataFrame:
-    """Approximately equal risk contributions; ``method="reference"`` takes undamped steps."""
+    """Approximately equal risk contributions; ``method="reference"`` takes undamped steps.
+
+    A member that has no two bars in common with the others gets no weight row.
+    """
     cov = covariance(last_rows(returns, lookback, keys), keys)
     return _risk_parity(cov, low, high, method == "damped", keys)
 
@@ -235,41 +248,69 @@ def simulate(
 
 # --- analytics ----------------------------------------------------------------------------------
 
-def correlation(returns: DataFrame, method: str = "pearson", min_periods: int = 30, keys: list[str] = PK) -> DataFrame:
-    """Correlation of every unordered pair (and of each member with itself) over common bars."""
-    both = return_pairs(returns, keys).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+def correlation(
+    returns: DataFrame, method: str = "pearson", min_periods: int = 30, keys: list[str] = PK, moments: DataFrame | None = None
+) -> DataFrame:
+    """Correlation of every unordered pair (and of each member with itself) over the bars both have.
+
+    ``moments`` are those of ``returns``, where they are known already. Ranks of a member serve all its pairs with
+    members that have the same bars; other pairs are ranked over their own bars.
+    """
     pair = [*keys, "sym_i", "sym_j"]
     if method == "kendall":
-        return _kendall(both, pair, min_periods)
+        return _kendall(return_pairs(returns, keys).where(F.col("x").isNotNull() & F.col("y").isNotNull()), pair, min_periods)
     if method == "spearman":
-        ranks = {x: _average_ranks(both, x, pair) for x in ("x", "y")}
-        for x, table in ranks.items():
-            both = both.join(table, [*pair, x])
-        both = both.select(*pair, F.col("_rank_x").alias("x"), F.col("_rank_y").alias("y"))
-    elif method != "pearson":
+        return _spearman(returns, keys, min_periods)
+    if method != "pearson":
         raise ValueError(f"unknown correlation {method!r}")
-    rho = F.when(F.count(F.lit(1)) >= min_periods, F.corr("x", "y"))
-    return both.groupBy(*pair).agg(rho.alias("corr"))
+    known = pair_moments(returns, keys) if moments is None else moments
+    return known.select(*pair, pearson(min_periods).alias("corr"))
+
+
+def _spearman(returns: DataFrame, keys: list[str], min_periods: int) -> DataFrame:
+    pair = [*keys, "sym_i", "sym_j"]
+    known = returns.where(F.col("ret").isNotNull())
+    member = [*keys, "symbol"]
+    ranks = _average_ranks(known, "ret", member)
+    ranked = known.join(ranks, [*member, "ret"]).select(*member, "t", F.col("_rank_ret").alias("ret"))
+    moments = stage(pair_moments(ranked, keys))
+    own = moments.where("sym_i = sym_j")
+    n_of = lambda sym: own.select(*keys, F.col("sym_i").alias(sym), F.col("n").alias(f"_n_{sym}"))
+    whole = moments.join(n_of("sym_i"), [*keys, "sym_i"]).join(n_of("sym_j"), [*keys, "sym_j"])
+    alike = whole.where("n = _n_sym_i and n = _n_sym_j").select(*pair, pearson(min_periods).alias("corr"))
+    ragged = whole.where("n < _n_sym_i or n < _n_sym_j").select(*pair)
+    # only bars of members in such pairs are paired up
+    some = ragged.select(*keys, F.col("sym_i").alias("symbol")).union(ragged.select(*keys, F.col("sym_j").alias("symbol"))).distinct()
+    both = return_pairs(known.join(some, member, "left_semi"), keys).join(ragged, pair, "left_semi")
+    for x in ("x", "y"):
+        both = both.join(_average_ranks(both, x, pair), [*pair, x])
+    own_ranks = both.groupBy(*pair).agg(F.when(F.count(F.lit(1)) >= min_periods, F.corr("_rank_x", "_rank_y")).alias("corr"))
+    return alike.unionByName(own_ranks)
 
 
 def _average_ranks(df: DataFrame, x: str, keys: list[str]) -> DataFrame:
-    """Average-tie rank of every distinct value (keys, x, _rank_x).
+    """Average-tie rank of every distinct value, and how often it stands: (keys, x, _rank_x, _n_x).
 
-    Ties are counted before the shuffle, so a value holding most rows is one row here; values are
-    ordered inside buckets of an eighth of an octave, which any spread of values keeps small.
+    Ties are counted before the shuffle, so a value holding most rows is one row here. The values are dealt in ranges
+    of about equal size, however they are spread, and the written ranges are numbered with offsets.
     """
     counts = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_n"))
-    octave = F.floor(8 * F.log2(F.abs(F.col(x)))) + 10000
-    bucket = F.when(F.col(x) > 0, octave).when(F.col(x) < 0, -octave).otherwise(0)
-    ranked = running(
-        counts.withColumn("chunk", bucket), {"_upto": ("sum", F.col("_n").cast("double"))}, keys, order=x
-    )
-    return ranked.select(*keys, x, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"_rank_{x}"))
-
-
-def inversions(values: np.ndarray) -> int:
-    """Pairs out of order, by bottom-up merging (n log n)."""
-    v, n, width, total = values.copy(), len(values), 1, 0
+    ranges = stage(counts.repartitionByRange(*keys, x).withColumn("chunk", F.spark_partition_id()))
+    ranked = running(ranges, {"_upto": ("sum", F.col("_n").cast("double"))}, keys, order=x)
+    return ranked.select(*keys, x, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"_rank_{x}"), F.col("_n").alias(f"_n_{x}"))
+
+
+def inversions(values: np.ndarray, base: int = 64) -> int:
+    """Pairs out of order: all pairs within runs of ``base``, then bottom-up merging (n log n)."""
+    n = len(values)
+    runs = np.full(-(-n // base) * base, np.inf)
+    runs[:n] = values
+    runs = runs.reshape(-1, base)
+    total = 0
+    for at in range(0, len(runs), 1024):
+        some = runs[at : at + 1024]
+        total += int(np.triu(some[:, :, None] > some[:, None, :]).sum())
+    v, width = np.sort(runs, axis=1).ravel(), base
     while width < n:
         for at in range(0, n - width, 2 * width):
             left, right = v[at : at + width], v[at + width : at + 2 * width]
@@ -279,27 +320,65 @@ def inversions(values: np.ndarray) -> int:
     return total
 
 
-def _kendall(both: DataFrame, pair: list[str], min_periods: int) -> DataFrame:
-    """Tau-b per pair; one group is two series of common bars."""
-    fields = [f for f in both.schema.fields if f.name in pair]
-    schema = T.StructType([*fields, T.StructField("corr", T.DoubleType())])
+#: Blocks of ranks of a pair, and ranks of a block at least.
+RANK_BLOCKS, RANK_BLOCK = 1024, 4096
 
-    def tied(*columns: np.ndarray) -> int:
-        counts = np.unique(np.column_stack(columns), axis=0, return_counts=True)[1]
-        return int((counts * (counts - 1) // 2).sum())
 
-    def tau(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        n = len(x)
-        pairs, tx, ty, txy = n * (n - 1) // 2, tied(x), tied(y), tied(x, y)
-        spread = np.sqrt(float(pairs - tx)) * np.sqrt(float(pairs - ty))
-        value = None
-        if n >= min_periods and spread > 0:
-            discordant = inversions(y[np.lexsort((y, x))])
-            value = (pairs - tx - ty + txy - 2 * discordant) / spread
-        return pd.DataFrame([[*key, value]], columns=schema.names)
+def _kendall(both: DataFrame, pair: list[str], min_periods: int) -> DataFrame:
+    """Tau-b per pair.
 
-    return both.select(*pair, "x", "y").groupBy(*pair).applyInPandas(tau, schema)
+    Both sides are cut into blocks of ranks, ties never split and a value that fills a block alone in one of its own.
+    Bars out of order are counted inside blocks of x, inside blocks of y between blocks of x, and between blocks of both
+    from their counts: no task sees more of a pair than a block or the counts.
+    """
+    both = stage(both.select(*pair, "x", "y"))
+    totals = both.groupBy(*pair).agg(F.count(F.lit(1)).alias("_total"))
+    size = F.greatest(F.lit(RANK_BLOCK), F.ceil(F.col("_total") / RANK_BLOCKS))
+    d, ties = both.join(totals, pair), {}
+    for x in ("x", "y"):
+        ranks = stage(_average_ranks(both, x, pair))
+        count = F.col(f"_n_{x}")
+        ties[x] = ranks.groupBy(*pair).agg(F.sum(count * (count - 1) / 2).alias(f"_t{x}"))
+        d = d.join(ranks, [*pair, x])
+        first = F.col(f"_rank_{x}") - (count - 1) / 2 - 1
+        d = d.withColumn(f"_b{x}", (2 * F.floor(first / size) + (count >= size).cast("int")).cast("long"))
+    d = stage(d.select(*pair, "x", "y", "_bx", "_by"))
+    same = both.groupBy(*pair, "x", "y").agg(F.count(F.lit(1)).alias("_c"))
+    ties["xy"] = same.groupBy(*pair).agg(F.sum(F.col("_c") * (F.col("_c") - 1) / 2).alias("_txy"))
+
+    schema = T.StructType([*[f for f in both.schema.fields if f.name in pair], T.StructField("_swaps", T.DoubleType())])
+
+    def counted(key: tuple, swaps: float) -> pd.DataFrame:
+        return pd.DataFrame([[*key[: len(pair)], float(swaps)]], columns=schema.names)
+
+    def in_x(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf["y"].to_numpy(float)
+        return counted(key, inversions(y[np.lexsort((y, pdf["x"].to_numpy(float)))]))
+
+    def in_y(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf["y"].to_numpy(float)
+        return counted(key, inversions(y[np.lexsort((y, pdf["_bx"].to_numpy()))]))
+
+    def between(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        (_, row), (_, column) = (np.unique(pdf[c].to_numpy(), return_inverse=True) for c in ("_bx", "_by"))
+        cells = np.zeros((row.max() + 1, column.max() + 1))
+        cells[row, column] = pdf["_c"].to_numpy()
+        # what stands in later blocks of x and earlier ones of y
+        later = np.cumsum(cells[::-1], axis=0)[::-1] - cells
+        return counted(key, (cells * (np.cumsum(later, axis=1) - later)).sum())
+
+    # a block of odd number holds one value: nothing in it is out of order
+    parts = d.where("_bx % 2 = 0").groupBy(*pair, "_bx").applyInPandas(in_x, schema)
+    parts = parts.unionByName(d.where("_by % 2 = 0").groupBy(*pair, "_by").applyInPandas(in_y, schema))
+    cells = d.groupBy(*pair, "_bx", "_by").agg(F.count(F.lit(1)).alias("_c"))
+    parts = parts.unionByName(cells.groupBy(*pair).applyInPandas(between, schema))
+    out = totals.join(parts.groupBy(*pair).agg(F.sum("_swaps").alias("_swaps")), pair)
+    for table in ties.values():
+        out = out.join(table, pair)
+    every = F.col("_total") * (F.col("_total") - 1) / 2
+    spread = F.sqrt(every - F.col("_tx")) * F.sqrt(every - F.col("_ty"))
+    tau = (every - F.col("_tx") - F.col("_ty") + F.col("_txy") - 2 * F.col("_swaps")) / F.nullif(spread, F.lit(0.0))
+    return out.select(*pair, F.when(F.col("_total") >= min_periods, tau).alias("corr"))
 
 
 def risk_contributions(weights: DataFrame, cov: DataFrame, keys: list[str] = PK) -> DataFrame:
@@ -365,9 +444,11 @@ def rebased(curves: DataFrame, keys: list[str], x: str = "equity") -> DataFrame:
 
 
 def portfolio_metrics(
-    equity: DataFrame, weights: DataFrame, returns: DataFrame, capital: float = 10000.0, keys: list[str] = PK
+    equity: DataFrame, weights: DataFrame, returns: DataFrame, capital: float = 10000.0, keys: list[str] = PK,
+    cov: DataFrame | None = None,
 ) -> DataFrame:
-    """Nine portfolio metrics, annualised with 252 * 24 periods."""
+    """Nine portfolio metrics, annualised with 252 * 24 periods; ``cov`` is the covariance of ``returns``, if known already."""
+    cov = covariance(returns, keys) if cov is None else cov
     curve = mt.with_drawdown(equity.select(*keys, "bar_idx", "ret", "equity"), keys=keys)
     year = F.sqrt(F.lit(float(YEAR)))
     ret = F.when(F.col("bar_idx") > 0, F.col("ret"))
@@ -379,4 +460,4 @@ def portfolio_metrics(
         *[c.alias(n) for n, c in mt.max_drawdown_columns().items()],
     )
     shape = concentration(weights, keys).withColumnRenamed("effective_n", "effective_n_assets").drop("top3_concentration")
-    return own.join(shape, keys).join(diversification_ratio(weights, covariance(returns, keys), keys), keys)
+    return own.join(shape, keys).join(diversification_ratio(weights, cov, keys), keys)

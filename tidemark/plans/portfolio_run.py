@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import portfolio as pf
+from tidemark.operators.moments import pair_moments
 from tidemark.plans.staging import stage
 
 
@@ -37,8 +38,9 @@ def run_portfolio(
     accepted = stage(pf.accept_targets(targets, policy.threshold, keys))
     equity = stage(pf.simulate(returns, accepted, capital, keys))
     newest = accepted.groupBy(*keys, "symbol").agg(F.max_by("weight", "check").alias("weight"))
-    cov = pf.covariance(returns, keys)
+    moments = stage(pair_moments(returns, keys))
+    cov = pf.covariance_of(moments, keys)
     checks = accepted.groupBy(*keys).agg(F.count_distinct("check").alias("n_rebalances"))
     vol = pf.portfolio_volatility(newest, cov, keys).withColumnRenamed("volatility", "portfolio_volatility")
-    metrics = pf.portfolio_metrics(equity, newest, returns, capital, keys).join(vol, keys).join(checks, keys)
-    return PortfolioRun(accepted, equity, newest, pf.correlation(returns, keys=keys), metrics)
+    metrics = pf.portfolio_metrics(equity, newest, returns, capital, keys, cov).join(vol, keys).join(checks, keys)
+    return PortfolioRun(accepted, equity, newest, pf.correlation(returns, keys=keys, moments=moments), metrics)
