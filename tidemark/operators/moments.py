@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from tidemark.operators.smooth import whole_chunks
 
@@ -73,3 +73,10 @@ def pearson(min_periods: int) -> Column:
     both = F.sqrt(_spread("xx", "x")) * F.sqrt(_spread("yy", "y"))
     rho = F.try_divide(F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.nullif(both, F.lit(0.0)))
     return F.when(F.col("n") >= min_periods, rho)
+
+
+def correlation_of(x: str, y: str, frame: WindowSpec | None = None) -> Column:
+    """Pearson correlation of two columns, NULL where one stands still (``F.corr`` is an error there)."""
+    over = (lambda c: c.over(frame)) if frame is not None else (lambda c: c)
+    both = over(F.stddev_pop(x)) * over(F.stddev_pop(y))
+    return F.try_divide(over(F.covar_pop(x, y)), F.nullif(both, F.lit(0.0)))

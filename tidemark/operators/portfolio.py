@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.operators import metrics as mt
 from tidemark.operators.align import in_windows
-from tidemark.operators.moments import pair_moments, pearson, sample_covariance
+from tidemark.operators.moments import correlation_of, pair_moments, pearson, sample_covariance
 from tidemark.operators.series import running
 from tidemark.plans.staging import stage
 
@@ -284,7 +284,7 @@ def _spearman(returns: DataFrame, keys: list[str], min_periods: int) -> DataFram
     both = return_pairs(known.join(some, member, "left_semi"), keys).join(ragged, pair, "left_semi")
     for x in ("x", "y"):
         both = both.join(_average_ranks(both, x, pair), [*pair, x])
-    own_ranks = both.groupBy(*pair).agg(F.when(F.count(F.lit(1)) >= min_periods, F.corr("_rank_x", "_rank_y")).alias("corr"))
+    own_ranks = both.groupBy(*pair).agg(F.when(F.count(F.lit(1)) >= min_periods, correlation_of("_rank_x", "_rank_y")).alias("corr"))
     return alike.unionByName(own_ranks)
 
 

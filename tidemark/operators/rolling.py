@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.align import in_windows, pairs
 from tidemark.operators.chains import taken_in_turn
+from tidemark.operators.moments import correlation_of
 from tidemark.operators.series import drop_halo, lay_out, running, trailing, with_ordinal
 from tidemark.schema import SERIES
 
@@ -39,7 +40,9 @@ def rolling_correlation(
     frame = trailing(["sym_i", "sym_j"], window)
     laid = lay_out(both, back=window - 1)
     full = F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).over(frame) >= window
-    rho = F.when(full, F.corr("x", "y").over(frame))
+    together = F.col("x").isNotNull() & F.col("y").isNotNull()
+    laid = laid.withColumns({"x": F.when(together, F.col("x")), "y": F.when(together, F.col("y"))})
+    rho = F.when(full, correlation_of("x", "y", frame))
     return drop_halo(laid.withColumn("corr", rho)).select("sym_i", "sym_j", time, "corr")
 
 
