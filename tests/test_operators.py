@@ -474,3 +474,16 @@ def test_covariance_does_not_cancel_and_risk_parity_leaves_out_whom_it_cannot_we
     assert cov["a", "b"] == pytest.approx(v["a"].cov(v["b"]), rel=1e-9) and cov["a", "a"] == pytest.approx(v["a"].var(), rel=1e-9)
     w = pf.risk_parity_weights(d, 300).toPandas().set_index("symbol")["weight"]
     assert set(w.index) == {"a", "b"} and w.sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("span,limit", [(7, 7), (900, None), (900, 900), (3, None), (1, None)])
+def test_exponential_mean_over_many_blocks(spark, monkeypatch, span, limit):
+    """Spans as a column, with and without a bound, over a hundred blocks."""
+    from tidemark.operators import series
+
+    monkeypatch.setattr(series, "EWM_BLOCK", 8)
+    x = walk(801, 3)
+    d = with_ordinal(bars_of(spark, x)).withColumn("span", F.lit(span))
+    got = ewm_mean(d, "close", F.col("span"), "y", max_span=limit).toPandas().sort_values("bar_idx")["y"]
+    want = pd.Series(x).ewm(span=span, adjust=False).mean()
+    assert np.allclose(got, want, rtol=1e-12)

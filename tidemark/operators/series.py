@@ -182,8 +182,8 @@ def ewm_mean(
 ) -> DataFrame:
     """Recursive exponential mean: y0 = x0, y = a*x + (1-a)*y_prev with a = 2/(span+1).
 
-    Inside blocks of 256 bars the decay is undone by scaling; the state entering a block is folded
-    from the ends of the preceding blocks, going back until the weight is below double precision
+    Inside blocks of 256 bars the decay is undone by scaling. A block turns the state it is entered with into
+    decay * state + end; these maps are composed by doubling, going back until the weight is below double precision
     (all the way if ``span`` is a column and no ``max_span`` is given).
     """
     limit = span if isinstance(span, int) else max_span
@@ -202,19 +202,19 @@ def ewm_mean(
         F.sum(F.col("_wx") * F.pow(decay, EWM_BLOCK - 1 - F.col("_p"))).alias("_end"),
         F.first(decay).alias("_decay"),
     )
-    depth = Window.unboundedPreceding
     if limit is not None:
         keep = max(limit - 1, 1) / (limit + 1)
-        depth = -max(1, math.ceil(41.5 / (EWM_BLOCK * -math.log(keep))))
-    prior = Window.partitionBy(*keys).orderBy("_block").rowsBetween(depth, -1)
-    carry = ends.select(
-        *cells,
-        F.aggregate(
-            F.collect_list(F.struct("_end", "_decay")).over(prior),
-            F.lit(0.0),
-            lambda acc, e: acc * F.pow(e["_decay"], F.lit(EWM_BLOCK)) + e["_end"],
-        ).alias("_in"),
-    )
+        depth = max(1, math.ceil(41.5 / (EWM_BLOCK * -math.log(keep))))
+    else:
+        depth = (df.agg(F.max("bar_idx")).first()[0] or 0) // EWM_BLOCK + 1
+    along = Window.partitionBy(*keys).orderBy("_block")
+    maps = ends.select(*cells, F.coalesce(F.pow("_decay", F.lit(EWM_BLOCK)), F.lit(0.0)).alias("_a"), F.coalesce("_end", F.lit(0.0)).alias("_b"))
+    for k in range((depth - 1).bit_length()):
+        before = F.lag(F.struct("_a", "_b"), 2**k).over(along)
+        maps = maps.withColumn("_before", before).select(
+            *cells, F.coalesce(F.col("_a") * F.col("_before._a"), F.lit(0.0)).alias("_a"),
+            (F.col("_b") + F.col("_a") * F.coalesce("_before._b", F.lit(0.0))).alias("_b"))
+    carry = maps.select(*cells, F.lag("_b").over(along).alias("_in"))
     here = Window.partitionBy(*cells).orderBy("bar_idx").rowsBetween(*_UP_TO_NOW)
     local = F.pow(decay, F.col("_p")) * F.sum(F.col("_wx") * F.pow(decay, -F.col("_p"))).over(here)
     value = F.col("_local") + F.pow(decay, F.col("_p") + 1) * F.coalesce(F.col("_in"), F.lit(0.0))
