@@ -99,6 +99,36 @@ def o5(spark, sf):
     return rounded(grid_run(spark, sf).drop("interval"), 6)
 
 
+# Every candidate trades its own capital at its own fee and slippage.
+MONEY = {
+    "min_trend_period_hours": so.Axis("float", 12.0, 48.0), "initial_capital": so.Axis("float", 5000.0, 20000.0),
+    "fee_rate": so.Axis("float", 0.0, 0.002), "slippage": so.Axis("float", 0.0, 0.001),
+}
+MONEY_SQL = f"""{TR}, par AS (SELECT i * 8 + j * 4 + k * 2 + l AS param_id, 12.0::DOUBLE + 36 * i AS hours, 14 AS period, 1 AS lookback,
+  5000.0::DOUBLE + 15000 * j AS capital, 0.002::DOUBLE * k AS fee, 0.001::DOUBLE * l AS slip FROM range(2) t1(i), range(2) t2(j), range(2) t3(k), range(2) t4(l)), {PB},
+  """ + objective_sql().replace("1.0005::DOUBLE", "(1 + s.slip)").replace("0.9995::DOUBLE", "(1 - s.slip)").replace("1.001::DOUBLE", "(1 + s.fee)").replace(
+    "0.999::DOUBLE", "(1 - s.fee)").replace("10000.0::DOUBLE", "capital").replace("0.001 *", "fee *").replace("FROM acc JOIN tr_h h USING (symbol, param_id)", "FROM acc JOIN par USING (param_id) JOIN tr_h h USING (symbol, param_id)").replace(
+    "FROM acc),", "FROM acc JOIN par USING (param_id)),").replace("10000", "any_value(capital)")
+
+
+# without fees annualised returns run to 1e45, so their logarithm is compared
+@query("o5_fee_axis", with_(MONEY_SQL, f"""SELECT symbol, param_id, hours AS min_trend_period_hours, capital AS initial_capital, fee AS fee_rate, slip AS slippage,
+  n_trades, n_wins, n_losses, {r('log10(1 + annualized_return)', 'annualized_log10', 6)}, {rs(METRIC_NAMES.replace('annualized_return ', ''), 6)} FROM met JOIN par USING (param_id)"""))
+def o5_money(spark, sf):
+    d = op.search(prepared(spark, sf), op.Search(MONEY, "grid", points=2)).withColumn("annualized_log10", F.log10(1 + F.col("annualized_return")))
+    return rounded(d.drop("interval", "annualized_return"), 6)
+
+
+@query("o8_money_bayesian_start", with_(MONEY_SQL.replace("par AS (SELECT", "par AS (SELECT * FROM (SELECT", 1).replace("t4(l))", "t4(l)) WHERE param_id IN (3, 12))", 1),
+  f"SELECT symbol, param_id, {rs('sharpe_ratio total_return', 6)} FROM met"))
+def o8_money(spark, sf):
+    """Given candidates, as a search of one's own would propose them, with money settings of their own."""
+    rows = [(3, 12.0, 5000.0, 0.002, 0.001), (12, 48.0, 20000.0, 0.0, 0.0)]
+    chosen = spark.createDataFrame(rows, "param_id long, min_trend_period_hours double, initial_capital double, fee_rate double, slippage double")
+    d = prepared(spark, sf).withColumn("param_id", F.explode(F.array(F.lit(3).cast("long"), F.lit(12).cast("long")))).join(chosen, "param_id")
+    return rounded(op.evaluate(d, [*SERIES, "param_id"], lookbacks=[1]).select("symbol", "param_id", "sharpe_ratio", "total_return"), 6)
+
+
 @query("u3_objective_plugin", with_(f"{TR}, {RANDOM_SQL}, {PB}, {objective_sql()}", f"SELECT symbol, param_id, {MSEL} FROM met"))
 def u3(spark, sf):
     d = so.with_candidates(prepared(spark, sf), RANDOM.size, RANDOM.columns(F.col("param_id")))
@@ -416,6 +446,37 @@ def a13_test(spark, sf):
                                *[F.col(c).cast("double").alias(c) for c in ("sharpe_ratio", "total_return", "win_rate")]), 6)
 
 
+@query("a13_walkforward_train", with_(WF, f"""SELECT symbol, window_id, {r('hours', 'min_trend_period_hours', 6)}, CAST(period AS BIGINT) AS atr_period, CAST(lookback AS BIGINT) AS slope_lookback,
+  {rs('sharpe_ratio total_return', 6)}, n_trades FROM chosen JOIN par USING (param_id)"""))
+def a13_train(spark, sf):
+    """Training metrics and the chosen parameters, each read back from its own file."""
+    path = _out(spark)
+    sinks.write_walk_forward(walk(spark, sf), path)
+    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{path}/{name}")
+    train = read("train_metrics").select("symbol", "window_id", "sharpe_ratio", "total_return", "n_trades")
+    best = read("best_params_per_window").select("symbol", "window_id", "min_trend_period_hours", "atr_period", "slope_lookback")
+    both = train.join(best, ["symbol", "window_id"]).withColumns({c: F.col(c).cast("long") for c in ("window_id", "n_trades", "atr_period", "slope_lookback")})
+    return rounded(both, 6)
+
+
+@query("a13_walkforward_combined", with_(WF, f"SELECT symbol, {', '.join(r(f'avg({m})', m, 6) for m in ('sharpe_ratio', 'win_rate', 'n_trades'))} FROM bmet GROUP BY symbol"))
+def a13_combined(spark, sf):
+    """The combined out-of-sample metrics, read back from JSON."""
+    path = _out(spark)
+    sinks.write_walk_forward(walk(spark, sf), path)
+    return rounded(spark.read.schema("symbol string, sharpe_ratio double, win_rate double, n_trades double").json(f"{path}/combined_oos_metrics"), 6)
+
+
+@query("a15_full_export_csv", with_(OBJ, f"SELECT symbol, param_id, {r('sharpe_ratio', 'train_sharpe_ratio', 6)}, hours AS min_trend_period_hours, period AS atr_period, lookback AS slope_lookback FROM met JOIN par USING (param_id)"))
+def a15_csv(spark, sf):
+    """Every row of the exported leaderboard CSV."""
+    path, results = _out(spark), stage(grid_run(spark, sf))
+    board = so.leaderboard(results, NAMES, ["sharpe_ratio"], "sharpe_ratio", SERIES)
+    sinks.write_search(results, board, path, NAMES, "grid_search", "sharpe_ratio", 0)
+    csv = spark.read.option("header", True).schema(board.schema).csv(f"{path}/leaderboard_csv")
+    return rounded(csv.select("symbol", "param_id", "train_sharpe_ratio", *NAMES), 6)
+
+
 @query("a15_full_export_config", with_(f"{OBJ}, {BEST}", f"""SELECT symbol, {r('sharpe_ratio', 'best_score', 6)}, lookback AS slope_lookback, (SELECT count(*) FROM met) AS csv_rows
   FROM best JOIN par USING (param_id)"""))
 def a15_config(spark, sf):

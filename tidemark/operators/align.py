@@ -48,8 +48,8 @@ def align_series(
         full = df.groupBy(time).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == everyone)
         return df.join(full.select(time), time, "left_semi")
     if method == "union":
-        members = df.agg(F.array_sort(F.collect_set(key))).scalar()
-        grid = df.select(time).distinct().withColumn("_all", members).select(time, F.explode("_all").alias(key))
+        # the grid is the result's own size: every time with every key
+        grid = df.select(time).distinct().crossJoin(df.select(key).distinct())
         return grid.join(df, [time, key], "left")
     raise ValueError(f"unknown alignment {method!r}")
 

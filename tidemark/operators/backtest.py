@@ -44,6 +44,16 @@ class Account:
     profit_steps: tuple[tuple[float, float], ...] = ()  # recorded only, never closes anything
 
 
+#: Columns that, where a frame has them, stand for the account's own settings: one value for each key.
+MONEY = ("initial_capital", "fee_rate", "slippage")
+
+
+def money(df: DataFrame, account: Account) -> tuple[Column, Column, Column]:
+    """Capital, fee and slippage of each row."""
+    own = zip(MONEY, (account.capital, account.fee, account.slippage))
+    return tuple(F.col(name) if name in df.columns else F.lit(float(value)) for name, value in own)
+
+
 def with_previous_signal(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """Chunk the bars and add ``sig1``."""
     laid = lay_out(df, back=1)
@@ -55,18 +65,20 @@ def positions(df: DataFrame, keys: list[str] = SERIES, account: Account = Accoun
 
     Input: chunked bars with ``sig1`` and ``n_bars``.  Adds ``pos`` (1 in a position during the bar), ``leaves``
     (position closed at this open), ``entry`` (struct bar_idx, open_time, open of the entry bar),
-    ``cash`` (account value when flat), ``equity``, ``ret``, ``peak`` and ``drawdown``.
+    ``cash`` (account value when flat), ``equity``, ``ret``, ``peak`` and ``drawdown``. Columns of MONEY, if there,
+    stand for the account's settings.
     """
     f = account.fraction
     if account.mode != "full" or not 0 < f <= 1:
         raise ValueError("positions() replays mode='full' with 0 < fraction <= 1; see replay()")
-    paid, kept = 1 + account.fee, 1 - account.fee
+    capital, fee, slip = money(df, account)
+    settings = [F.first(c).alias(c) for c in MONEY if c in df.columns]
 
     def marked(entry_open: Column, close: Column) -> Column:
-        return (1 - f) + F.try_divide(f * close, entry_open * (1 + account.slippage) * paid)
+        return (1 - f) + F.try_divide(f * close, entry_open * (1 + slip) * (1 + fee))
 
     def closed(entry_open: Column, exit_open: Column) -> Column:
-        return marked(entry_open, exit_open * (1 - account.slippage) * kept)
+        return marked(entry_open, exit_open * (1 - slip) * (1 - fee))
 
     cells = [*keys, "chunk"]
     at = Window.partitionBy(*cells).orderBy("bar_idx")
@@ -101,12 +113,12 @@ def positions(df: DataFrame, keys: list[str] = SERIES, account: Account = Accoun
         F.max_by("_m", "bar_idx").alias("m"),
         F.max(F.when(~in_head, tail_value)).alias("top_tail"),
         F.max_by("close", "bar_idx").alias("last_close"),
+        *settings,
     )
 
     # 2. State leaving each chunk = entering the next, from windows over the summaries.
     order = Window.partitionBy(*keys).orderBy("chunk")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    capital = F.lit(float(account.capital))
     s = summary.withColumn("in_st", F.last("sign", ignorenulls=True).over(before))
     held = holds(F.col("in_st") == 1)
     s = s.withColumn(
@@ -177,7 +189,7 @@ def _priced(t: DataFrame, keys: list[str], account: Account) -> DataFrame:
     long = F.col("direction") == 1
     entry_cost, exit_value = F.col("size") * F.col("entry_price"), F.col("size") * F.col("exit_price")
     gross = F.when(long, exit_value - entry_cost).otherwise(entry_cost - exit_value)
-    fees = (entry_cost + exit_value) * account.fee
+    fees = (entry_cost + exit_value) * money(t, account)[1]
     up, down = F.col("hi") - F.col("entry_price"), F.col("entry_price") - F.col("lo")
     mae, mfe = F.when(long, down).otherwise(up), F.when(long, up).otherwise(down)
 
@@ -195,6 +207,8 @@ def _priced(t: DataFrame, keys: list[str], account: Account) -> DataFrame:
 
 def closed_trades(pos: DataFrame, keys: list[str] = SERIES, account: Account = Account()) -> DataFrame:
     """Trade log of ``positions``: one aggregate over the bars each trade was held."""
+    _, fee, slip = money(pos, account)
+    settings = [c for c in MONEY[1:] if c in pos.columns]
     held = F.col("pos") == 1
     out = F.when(F.col("leaves"), F.struct("bar_idx", "open_time", "open"))
     t = (
@@ -206,10 +220,11 @@ def closed_trades(pos: DataFrame, keys: list[str] = SERIES, account: Account = A
             F.max(F.when(held, F.col("high"))).alias("hi"),
             F.min(F.when(held, F.col("low"))).alias("lo"),
             F.max(F.when(held, F.col("cash"))).alias("cash"),
+            *[F.first(c).alias(c) for c in settings],
         )
         .where(F.col("x").isNotNull())
     )
-    price = F.col("e.open") * (1 + account.slippage)
+    price = F.col("e.open") * (1 + slip)
     t = t.select(
         *keys,
         "entry_idx",
@@ -217,12 +232,13 @@ def closed_trades(pos: DataFrame, keys: list[str] = SERIES, account: Account = A
         F.col("e.open_time").alias("entry_time"),
         F.col("x.open_time").alias("exit_time"),
         price.alias("entry_price"),
-        (F.col("x.open") * (1 - account.slippage)).alias("exit_price"),
-        (F.col("cash") * account.fraction / (price * (1 + account.fee))).alias("size"),
+        (F.col("x.open") * (1 - slip)).alias("exit_price"),
+        (F.col("cash") * account.fraction / (price * (1 + fee))).alias("size"),
         F.lit(1).alias("direction"),
         F.lit("signal").alias("exit_reason"),
         "hi",
         "lo",
+        *settings,
     )
     return _priced(t, keys, account)
 

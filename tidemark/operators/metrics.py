@@ -57,7 +57,8 @@ def annualised(growth: Column, n_bars: Column, periods: float = HOURS_PER_YEAR)
 def equity_metrics(
     df: DataFrame, capital: float, keys: list[str] = SERIES, periods: float = HOURS_PER_YEAR
 ) -> DataFrame:
-    """Curve metrics; needs equity, ret, peak, drawdown, bar_idx."""
+    """Curve metrics; needs equity, ret, peak, drawdown, bar_idx. A column ``initial_capital`` stands for ``capital``."""
+    capital = F.first("initial_capital") if "initial_capital" in df.columns else F.lit(float(capital))
     final = F.max_by("equity", "bar_idx")
     return df.groupBy(*keys).agg(
         ((final - capital) / capital).alias("total_return"),

@@ -57,6 +57,7 @@ def account_frame(
     d = d.withColumn("signal", fx.signal_code(entry, leave))
     d = drop_halo(d.withColumn("sig1", F.lag("signal").over(w)))
     kept = [*keys, "chunk", "bar_idx", "n_bars", "open_time", "open", "high", "low", "close", "sig1"]
+    kept += [c for c in bt.MONEY if c in d.columns]
     return stage(bt.positions(stage(d.select(*kept)), keys, account))
 
 
@@ -105,8 +106,9 @@ class Search:
         return so.random_columns(self.space, param_id, self.seed)
 
     def __post_init__(self):
-        if unknown := sorted(set(self.space) - set(DEFAULTS)):
-            raise ValueError(f"no rule parameter is called {', '.join(unknown)}; known: {sorted(DEFAULTS)}")
+        known = {*DEFAULTS, *bt.MONEY}
+        if unknown := sorted(set(self.space) - known):
+            raise ValueError(f"no parameter is called {', '.join(unknown)}; known: {sorted(known)}")
 
     def whole(self, name: str) -> list[int]:
         """All values that a whole-number parameter can take."""
