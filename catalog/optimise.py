@@ -113,7 +113,7 @@ MONEY_SQL = f"""{TR}, par AS (SELECT i * 8 + j * 4 + k * 2 + l AS param_id, 12.0
 
 # without fees annualised returns run to 1e45, so their logarithm is compared
 @query("o5_fee_axis", with_(MONEY_SQL, f"""SELECT symbol, param_id, hours AS min_trend_period_hours, capital AS initial_capital, fee AS fee_rate, slip AS slippage,
-  n_trades, n_wins, n_losses, {r('log10(1 + annualized_return)', 'annualized_log10', 6)}, {rs(METRIC_NAMES.replace('annualized_return ', ''), 6)} FROM met JOIN par USING (param_id)"""))
+  n_trades, n_wins, n_losses, {r('log10(nullif(1 + annualized_return, 0))', 'annualized_log10', 6)}, {rs(METRIC_NAMES.replace('annualized_return ', ''), 6)} FROM met JOIN par USING (param_id)"""))
 def o5_money(spark, sf):
     d = op.search(prepared(spark, sf), op.Search(MONEY, "grid", points=2)).withColumn("annualized_log10", F.log10(1 + F.col("annualized_return")))
     return rounded(d.drop("interval", "annualized_return"), 6)

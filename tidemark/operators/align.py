@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.series import chunks_between, day_bucket, home_chunk, running
+from tidemark.plans.staging import stage
 from tidemark.schema import SERIES
 
 
@@ -48,9 +49,11 @@ def align_series(
         full = df.groupBy(time).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == everyone)
         return df.join(full.select(time), time, "left_semi")
     if method == "union":
-        # the grid is the result's own size: every time with every key
-        grid = df.select(time).distinct().crossJoin(df.select(key).distinct())
-        return grid.join(df, [time, key], "left")
+        # keys are numbered, and every time is listed once for each number: the grid is no larger than the result
+        numbered = stage(df.select(key).distinct().withColumn("_key", F.row_number().over(Window.orderBy(key)).cast("long")))
+        n = numbered.agg(F.max("_key")).first()[0] or 0
+        grid = df.select(time).distinct().withColumn("_key", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))) if n else F.lit(0).cast("long"))
+        return grid.join(numbered, "_key").drop("_key").join(df, [time, key], "left")
     raise ValueError(f"unknown alignment {method!r}")
 
 
