@@ -99,13 +99,14 @@ def o5(spark, sf):
     return rounded(grid_run(spark, sf).drop("interval"), 6)
 
 
-# Every candidate trades its own capital at its own fee and slippage.
+# Every candidate trades its own capital at its own fee and slippage. None of them is free: bars that open and close at
+# one price would return nothing but rounding, and its sign would decide what counts as downside.
 MONEY = {
     "min_trend_period_hours": so.Axis("float", 12.0, 48.0), "initial_capital": so.Axis("float", 5000.0, 20000.0),
-    "fee_rate": so.Axis("float", 0.0, 0.002), "slippage": so.Axis("float", 0.0, 0.001),
+    "fee_rate": so.Axis("float", 0.0005, 0.002), "slippage": so.Axis("float", 0.00025, 0.001),
 }
 MONEY_SQL = f"""{TR}, par AS (SELECT i * 8 + j * 4 + k * 2 + l AS param_id, 12.0::DOUBLE + 36 * i AS hours, 14 AS period, 1 AS lookback,
-  5000.0::DOUBLE + 15000 * j AS capital, 0.002::DOUBLE * k AS fee, 0.001::DOUBLE * l AS slip FROM range(2) t1(i), range(2) t2(j), range(2) t3(k), range(2) t4(l)), {PB},
+  5000.0::DOUBLE + 15000 * j AS capital, 0.0005::DOUBLE + 0.0015::DOUBLE * k AS fee, 0.00025::DOUBLE + 0.00075::DOUBLE * l AS slip FROM range(2) t1(i), range(2) t2(j), range(2) t3(k), range(2) t4(l)), {PB},
   """ + objective_sql().replace("1.0005::DOUBLE", "(1 + s.slip)").replace("0.9995::DOUBLE", "(1 - s.slip)").replace("1.001::DOUBLE", "(1 + s.fee)").replace(
     "0.999::DOUBLE", "(1 - s.fee)").replace("10000.0::DOUBLE", "capital").replace("0.001 *", "fee *").replace("FROM acc JOIN tr_h h USING (symbol, param_id)", "FROM acc JOIN par USING (param_id) JOIN tr_h h USING (symbol, param_id)").replace(
     "FROM acc),", "FROM acc JOIN par USING (param_id)),").replace("10000", "any_value(capital)")
@@ -123,7 +124,7 @@ def o5_money(spark, sf):
   f"SELECT symbol, param_id, {rs('sharpe_ratio total_return', 6)} FROM met"))
 def o8_money(spark, sf):
     """Given candidates, as a search of one's own would propose them, with money settings of their own."""
-    rows = [(3, 12.0, 5000.0, 0.002, 0.001), (12, 48.0, 20000.0, 0.0, 0.0)]
+    rows = [(3, 12.0, 5000.0, 0.002, 0.001), (12, 48.0, 20000.0, 0.0005, 0.00025)]
     chosen = spark.createDataFrame(rows, "param_id long, min_trend_period_hours double, initial_capital double, fee_rate double, slippage double")
     d = prepared(spark, sf).withColumn("param_id", F.explode(F.array(F.lit(3).cast("long"), F.lit(12).cast("long")))).join(chosen, "param_id")
     return rounded(op.evaluate(d, [*SERIES, "param_id"], lookbacks=[1]).select("symbol", "param_id", "sharpe_ratio", "total_return"), 6)
