@@ -263,11 +263,13 @@ def test_mix_overlapping_sources(spark):
 def test_mix_on_rough_rows(rough, nothing):
     size, belongs = mixing.word_count(F.col("text")), F.array(F.col("source"))
     plan, sources = mixing.plan_mix(rough, belongs, size)
-    got = mixing.apply_mix(rough, plan, belongs, size).collect()
+    with pytest.raises(ValueError):  # the rough rows have a column _size
+        mixing.apply_mix(rough, plan, belongs, size)
+    got = mixing.apply_mix(rough, plan, belongs, size, names=("_sources", "_n", "_copies")).collect()
     assert len(got) == len(ROUGH) and all(r["_copies"] == 0 for r in got if not brute.words(r["text"]))
     assert {r["_source"] for r in sources.collect()} == {r[3] for r in ROUGH}
     plan, sources = mixing.plan_mix(nothing, belongs, size)
-    assert mixing.apply_mix(nothing, plan, belongs, size).count() == 0 and sources.count() == 0
+    assert mixing.apply_mix(nothing, plan, belongs, size, names=("_sources", "_n", "_copies")).count() == 0 and sources.count() == 0
 
 
 def test_pipeline_stages(spark, labels):
@@ -298,3 +300,23 @@ def test_pipeline_stages(spark, labels):
             for took, goal in check_mix(rows, copies).values():
                 assert abs(took - goal) <= 0.03 * goal
 
+
+
+def test_pipeline_stages_on_rough_rows_with_clashing_columns(spark, rough, nothing, tmp_path):
+    """Every stage writes its rows; other columns keep their names and values."""
+    import corpus_pipeline
+
+    clash = ["copies", "n_words", "_r", "_copies", "_sources", "_hash", "_row", "_keep", "_n", "_d", "text_", "a", "b", "r"]
+    docs = rough.withColumns({c: F.lit("y") for c in clash})
+    for k, (name, apply) in enumerate(corpus_pipeline.STAGES):
+        last = k == len(corpus_pipeline.STAGES) - 1
+        for frame, part in ((docs, "rough"), (docs.limit(0), "none")):
+            path = f"{tmp_path}/{k}-{part}"
+            apply(spark, frame, SF).write.parquet(path)
+            got = spark.read.parquet(path)
+            assert got.columns[: len(docs.columns)] == docs.columns and (last or len(got.columns) == len(docs.columns)), name
+            assert all(r["copies"] == "y" and r["_size"] == "x" for r in got.collect())
+            if part == "none":
+                assert got.count() == 0
+        if last:
+            assert {"n_words_", "copies_"} <= set(got.columns)

@@ -24,6 +24,33 @@ def test_words_and_windows():
     assert len(set(w.hashes(lower=False).tolist())) == len(set(bytes_of))
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of n letters that polynomial hashes modulo a power of two cannot tell apart."""
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return bits, bits.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_thue_morse_words_apart(spark):
+    for n in (8, 64, 1024, 4096):
+        one, two = thue_morse(n)
+        w = words(pa.array([f"{one} {two} {one.upper()} {two}\n{one}"]))
+        plain, folded = w.hashes(lower=False), w.hashes(lower=True)
+        assert len(set(plain.tolist())) == 3 and plain[1] == plain[3] and plain[0] == plain[4]
+        assert folded[0] == folded[2] != folded[1]
+    # swapped and repeated blocks of eight bytes, and spans that differ in length only by zero bytes
+    w = words(pa.array(["abcdefghABCDEFGH ABCDEFGHabcdefgh abcdefghabcdefgh abcdefgh a a\0 a\0\0"]))
+    assert len(set(w.hashes(lower=False).tolist())) == 7
+    one, two = thue_morse(1024)
+    rest = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, one), (4, two)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, k=1, percent=100).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    items = spark.createDataFrame([(7, f"{one} a b c d e f g")], "item_id long, text string")
+    texts = spark.createDataFrame([(1, f"{two} a b c d e f g"), (2, f"{one} a b c d e f g")], "doc_id long, text string")
+    found = {r["doc_id"]: r["similarity"] for r in decontaminate.leaks(texts, items).collect()}
+    assert found.get(2) == 1.0 and found.get(1, 0) < 1.0
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     gaps = []

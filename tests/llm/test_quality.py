@@ -16,6 +16,13 @@ def test_statistics_match_plain_counts():
     assert np.isfinite(features).all()
 
 
+def test_lines_that_differ_are_no_duplicates():
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    counts, _ = quality_rules.statistics(words(pa.array([f"{bits}\n{other}", f"{bits}\n{other}\n{bits}", f"{other}\n{other}"])))
+    assert counts[:, 3].tolist() == [0, 1, 1]
+
+
 def test_rules_query(spark):
     rows = {r["doc_id"]: r for r in queries.QUERIES["op2_quality_rules"](spark, SF).collect()}
     source = spark.read.parquet(f"{SF}/documents.parquet").collect()

@@ -138,9 +138,11 @@ def plan(patterns: DataFrame, weights: Sequence[float] = WEIGHTS) -> tuple[list[
 
 
 def _keyed(documents: DataFrame, memberships: Column, size: Column, seed: int) -> DataFrame:
+    """Each document as ``_row``, with what the mix needs of it; its own columns' names do not matter."""
     alone = F.array(F.lit(None).cast("string"))
     sources = F.array_sort(F.array_distinct(F.when(memberships.isNull() | (F.size(memberships) == 0), alone).otherwise(memberships)))
-    return documents.withColumns({"_sources": sources, "_size": size, "_hash": F.xxhash64("doc_id", F.lit(seed))}).withColumns({
+    told = documents.select(F.struct("*").alias("_row"), sources.alias("_sources"), size.alias("_size"), F.xxhash64("doc_id", F.lit(seed)).alias("_hash"))
+    return told.withColumns({
         "_class": F.floor(F.log2(F.greatest("_size", F.lit(1)))).cast("int"), "_bucket": F.pmod("_hash", F.lit(BUCKETS)).cast("int")})
 
 
@@ -199,17 +201,23 @@ def plan_mix(documents: DataFrame, memberships: Column, size: Column, weights: S
     return stage(plan_table), source_table
 
 
-def apply_mix(documents: DataFrame, plan_table: DataFrame, memberships: Column, size: Column, seed: int = 17) -> DataFrame:
-    """``documents`` with ``_sources``, ``_size`` and ``_copies``: how often the mix takes a document, 0 to 3.
+def apply_mix(
+    documents: DataFrame, plan_table: DataFrame, memberships: Column, size: Column, seed: int = 17,
+    names: tuple[str, str, str] = ("_sources", "_size", "_copies"),
+) -> DataFrame:
+    """``documents`` with its sources, size and copies under ``names``: copies tell how often the mix takes a document, 0 to 3.
 
     The plan has a row per pattern and size class, so it is small and documents are not shuffled by it.
     Defined cases: a null or empty membership is a source of its own, named null, which comes last;
     documents of size 0 and those a plan does not know are never taken; rows that repeat a doc_id are taken
-    alike; a null doc_id is an id like any other; no rows give no rows.
+    alike; a null doc_id is an id like any other; no rows give no rows. A column that has one of the ``names`` already is
+    an error, other columns go along.
     """
+    if taken := {n.lower() for n in names} & {c.lower() for c in documents.columns}:
+        raise ValueError(f"documents have a column {', '.join(sorted(taken))}: pass other names")
     keyed = _keyed(documents, memberships, size, seed)
     told = keyed.join(plan_table, F.expr("_sources <=> _q AND _class = _c"), "left")
     one_more = (F.col("_bucket") < F.col("_border")) | ((F.col("_bucket") == F.col("_border")) & (F.col("_hash") <= F.col("_edge")))
     one_more = F.coalesce(one_more, F.lit(False)) | F.coalesce(F.array_contains("_extra", F.col("_hash")), F.lit(False))
     copies = F.when((F.col("_size") > 0) & F.col("_base").isNotNull(), F.least(F.col("_base") + one_more.cast("int"), F.lit(MOST))).otherwise(0)
-    return told.withColumn("_copies", copies.cast("int")).select(*documents.columns, "_sources", "_size", "_copies")
+    return told.select("_row.*", F.col("_sources").alias(names[0]), F.col("_size").alias(names[1]), copies.cast("int").alias(names[2]))

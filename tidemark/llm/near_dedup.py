@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.components import connected_components
+from tidemark.llm.tables import unused
 from tidemark.llm.words import distinct_windows, lists, mix, slices, windows, words
 from tidemark.plans.staging import stage
 
@@ -205,13 +206,15 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
 def dedup(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns.
 
-    Of rows that repeat one doc_id the one with the least text stays. Rows without an id always stay.
+    Of rows that repeat one doc_id the one with the least text stays. Rows without an id always stay, and of rows with
+    null, empty or blank texts each id. Other columns, whatever their names, go along; no rows give no rows.
     """
-    kept = near_duplicates(documents, k, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
-    chosen = documents.join(kept, F.col("doc_id") == F.col("_keep"), "left_semi")
-    twice = documents.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
-    many = twice.select(F.col("doc_id").alias("_d"))
-    single = chosen.join(many, F.col("doc_id") == F.col("_d"), "left_anti")
+    keep, once, rank, n = (unused(name, documents) for name in ("_keep", "_once", "_rank", "_n"))
+    kept = near_duplicates(documents, k, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(keep)).distinct()
+    chosen = documents.join(kept, F.col("doc_id") == F.col(keep), "left_semi")
+    twice = documents.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias(n)).where(F.col(n) > 1)
+    many = twice.select(F.col("doc_id").alias(once))
+    single = chosen.join(many, F.col("doc_id") == F.col(once), "left_anti")
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in documents.columns if c != "text"])
-    of_many = chosen.join(many, F.col("doc_id") == F.col("_d"), "left_semi").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    of_many = chosen.join(many, F.col("doc_id") == F.col(once), "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
     return single.unionByName(of_many).unionByName(documents.where("doc_id IS NULL"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import boosting
 from tidemark.llm.tables import seeded_sample
-from tidemark.llm.words import _SPACE, BYTE_CODES, Words, mix, per_row, runs, slices, span_hashes, windows, words
+from tidemark.llm.words import _SPACE, Words, mix, per_row, runs, slices, span_hashes, windows, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = (
@@ -48,6 +48,17 @@ def _again(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return earlier, shared
 
 
+def _equal_to_earlier(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which spans have the bytes of an earlier one of their row: equal hashes next to each other are compared."""
+    keys = mix(span_hashes(data, starts, ends) ^ mix(row.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(keys, kind="stable")
+    earlier = np.zeros(len(keys), bool)
+    for at in np.flatnonzero(keys[order][1:] == keys[order][:-1]):
+        one, two = order[at], order[at + 1]
+        earlier[two] = np.array_equal(data[starts[one] : ends[one]], data[starts[two] : ends[two]])
+    return earlier
+
+
 def statistics(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Exact counts (rows x COUNTS) and features (rows x FEATURES) of a slice."""
     data, offsets, rows = w.data, w.offsets, len(w.offsets) - 1
@@ -62,7 +73,7 @@ def statistics(w: Words) -> tuple[np.ndarray, np.ndarray]:
     worded = np.concatenate([[0], np.cumsum(~space)])
     keep = worded[ends] > worded[starts]
     starts, ends, row = starts[keep], ends[keep], row[keep]
-    earlier, _ = _again(span_hashes(data, starts, ends, BYTE_CODES), row)
+    earlier = _equal_to_earlier(data, starts, ends, row)
     dup_lines, lines = np.bincount(row[earlier], minlength=rows), np.bincount(row, minlength=rows)
     # words inside windows that occur twice or more
     repeats = np.zeros(rows, np.int64)

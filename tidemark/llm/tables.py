@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores behind it until none of the frames has such a column (case apart)."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def seeded_sample(rows: DataFrame, most: int, seed: int, by: str = "doc_id") -> DataFrame:
     """At most ``most`` distinct values of ``by``, those of the smallest seeded hash: the same at every layout.
 

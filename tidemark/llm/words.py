@@ -16,12 +16,9 @@ import pyarrow.compute as pc
 #: Text bytes worked on at a time; one longer text is worked on alone.
 SLICE_BYTES = 1 << 20
 
-_random = np.random.default_rng(20240607)
-#: A random number for each byte value; lower-cased form for hashing without regard to A-Z case.
-BYTE_CODES = _random.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-LOWER_CODES = BYTE_CODES.copy()
-LOWER_CODES[65:91] = BYTE_CODES[97:123]
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Each byte with A-Z lower-cased.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -87,19 +84,31 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, stops[np.searchsorted(stops, starts, "right")]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans that do not overlap."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of byte spans, regardless of A-Z case if ``lower``.
+
+    Eight bytes at a time go, with the number of their block, through ``mix``, which is not linear: no pattern of
+    repeated or swapped parts makes two spans collide more often than chance does.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data] if lower else data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
     sizes = ends - starts
-    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.arange(len(first)) - first
-    at = np.repeat(starts, sizes) + place
-    powers = np.full(int(sizes.max()), _STEP)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    sums = np.add.reduceat(codes[data[at]] * powers[place], np.cumsum(sizes) - sizes)
-    return mix(sums + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    blocks = -(-sizes // 8)
+    firsts = np.cumsum(blocks) - blocks
+    number = np.arange(int(blocks.sum())) - np.repeat(firsts, blocks)
+    at = np.repeat(starts, blocks) + 8 * number
+    left = np.minimum(np.repeat(ends, blocks) - at, 8).astype(np.uint64)
+    # bytes behind the end of the span count as zero; its length tells them from bytes of the text
+    value = eight[at] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))
+    value = mix(value ^ mix(number.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+    out = np.zeros(len(starts), np.uint64)
+    some = np.flatnonzero(blocks)
+    if len(some):
+        out[some] = np.add.reduceat(value, firsts[some])
+    return mix(out + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 @dataclass
@@ -118,7 +127,7 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, lower: bool = True) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends, LOWER_CODES if lower else BYTE_CODES)
+        return span_hashes(self.data, self.starts, self.ends, lower)
 
 
 def words(column: pa.Array) -> Words:
