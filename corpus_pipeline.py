@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import cnn_quality, decontaminate, mixing, near_dedup, pii
-from tidemark.llm.tables import table
+from tidemark.llm.tables import table, unused
 from tidemark.plans.staging import stage
 
 
@@ -37,12 +37,15 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their columns, ``n_words`` and ``copies`` (1 to 3)."""
+    """The documents that the mix takes, with their columns, ``n_words`` and ``copies`` (1 to 3).
+
+    Where ``docs`` has a column of one of these names, the mix's own gets an underscore behind it.
+    """
     size, belongs = mixing.word_count(F.col("text")), F.array(F.col("source"))
     sized = stage(docs.select("doc_id", "source", size.alias("n_words")))
     plan, _ = mixing.plan_mix(sized, belongs, F.col("n_words"))
-    mixed = mixing.apply_mix(docs, plan, belongs, size).where("_copies > 0")
-    return mixed.select(*docs.columns, F.col("_size").alias("n_words"), F.col("_copies").alias("copies"))
+    names = tuple(unused(name, docs) for name in ("_sources", "n_words", "copies"))
+    return mixing.apply_mix(docs, plan, belongs, size, names=names).where(F.col(names[2]) > 0).drop(names[0])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
