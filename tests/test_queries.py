@@ -34,8 +34,14 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() == 5
 
 
-@pytest.mark.parametrize("name", ["j1_asof_timeframes", "r7_trailing_stop", "e2_equity_curve", "o12_combined_oos", "s8_timeframe_vote"])
+ACROSS = [
+    "j1_asof_timeframes", "r7_trailing_stop", "e2_equity_curve", "e4_enhanced_trades", "e4_fixed_units_trades", "f2_dct_lowpass",
+    "f4_fft_spectrum", "f6_welch_psd", "f7_sliding_dominant_period", "m4_simulation_metrics", "o12_combined_oos", "s6_entry_spacing",
+    "s8_timeframe_vote", "t6_replayed_batch",
+]
+
+
+@pytest.mark.parametrize("name", ACROSS)
 def test_query_matches_oracle_across_chunks(spark, con, small_chunks, name):
-    names = [n for n in entry.queries() if n.startswith(name)] or [n for n in entry.queries() if n.startswith(name.split("_")[0] + "_")]
-    got = entry.queries()[names[0]](spark, SF).toPandas()
-    assert compare.differences(got, con.execute(entry.oracle_sql()[names[0]]).df()) is None
+    got = entry.queries()[name](spark, SF).toPandas()
+    assert compare.differences(got, con.execute(entry.oracle_sql()[name]).df()) is None
