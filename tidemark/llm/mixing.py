@@ -11,7 +11,8 @@ Only patterns and size classes reach the driver, and their number is checked; do
 
 from __future__ import annotations
 
-import heapq
+import math
+from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -25,7 +26,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Patterns the driver may be asked to route.
 PATTERN_LIMIT = 100_000
-#: Hash buckets that a size class is cut into; its border falls into one, and only that one is ordered.
+#: A size class is cut into ranges of the hash, buckets; its border falls into one, and only that one is ordered.
+#: There are at least so many, and about as many as the square root of the largest class' rows.
 BUCKETS = 256
 #: Documents of a class, from its border on, that may fill the gaps.
 SPARE = 16
@@ -57,59 +59,88 @@ def targets(sizes: Sequence[int], weights: Sequence[float]) -> np.ndarray:
 
 
 def route(capacity: Sequence[float], members: Sequence[Sequence[int]], quota: Sequence[float]) -> np.ndarray:
-    """Tokens that each pattern gives to each of its sources: a min-cost flow by cheapest augmenting paths.
+    """Tokens that each pattern gives to each of its sources: a min-cost flow, one level of cost after the other.
 
-    A pattern's n-th repetition costs n (n - 1) / 2 a token; the flow is the largest the capacities allow.
-    Returns patterns x sources, as a dense array over the sources.
+    A pattern's n-th repetition costs n (n - 1) / 2 a token; the flow is the largest the capacities allow. Only
+    the arcs that leave the start have a cost, so cheapest augmenting paths use up a level before the
+    next: each level's arcs are opened in turn and the flow is raised to a largest one by blocking flows.
+    10,000 patterns of some of 20 sources take seconds. Returns patterns x sources, as a dense array over the sources.
     """
     n, m = len(capacity), len(quota)
-    # nodes: start, patterns, sources, end; arcs as [to, room, cost, index of the reverse arc]
-    graph: list[list[list]] = [[] for _ in range(n + m + 2)]
+    # nodes: patterns, sources, start, end; an arc and its reverse are numbers 2k and 2k + 1
+    graph: list[list[int]] = [[] for _ in range(n + m + 2)]
+    to: list[int] = []
+    room: list[float] = []
     start, end = n + m, n + m + 1
 
-    def arc(a, b, room, cost):
-        graph[a].append([b, room, cost, len(graph[b])])
-        graph[b].append([a, 0.0, -cost, len(graph[a]) - 1])
+    def arc(a, b, free):
+        graph[a].append(len(to))
+        graph[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((free, 0.0))
 
-    for i, c in enumerate(capacity):
-        for copy in range(MOST):
-            arc(start, i, float(c), copy * (copy + 1) / 2)
+    for i in range(n):
+        arc(start, i, 0.0)
+    for i in range(n):
         for j in members[i]:
-            arc(i, n + j, float("inf"), 0.0)
+            arc(i, n + j, float("inf"))
     for j, q in enumerate(quota):
-        arc(n + j, end, float(q), 0.0)
-    height = [0.0] * len(graph)
+        arc(n + j, end, float(q))
     tiny = 1e-9 * max(1.0, float(np.sum(quota)))
-    while True:
-        far = [float("inf")] * len(graph)
-        far[start] = 0.0
-        via: list[tuple[int, int] | None] = [None] * len(graph)
-        heap = [(0.0, start)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
-            for k, (b, room, cost, _) in enumerate(graph[a]):
-                reduced = d + max(0.0, cost + height[a] - height[b])
-                if room > tiny and reduced < far[b] - 1e-12:
-                    far[b], via[b] = reduced, (a, k)
-                    heapq.heappush(heap, (reduced, b))
-        if far[end] == float("inf"):
-            break
-        height = [h + min(f, far[end]) for h, f in zip(height, far)]
-        path, at = [], end
-        while at != start:
-            path.append(via[at])
-            at = via[at][0]
-        amount = min(graph[a][k][1] for a, k in path)
-        for a, k in path:
-            graph[a][k][1] -= amount
-            graph[graph[a][k][0]][graph[a][k][3]][1] += amount
+
+    def depths():
+        """Steps from the start to each node along arcs with room; -1 where there is no way."""
+        depth = [-1] * len(graph)
+        depth[start] = 0
+        queue = deque([start])
+        while queue:
+            a = queue.popleft()
+            for k in graph[a]:
+                if room[k] > tiny and depth[to[k]] < 0:
+                    depth[to[k]] = depth[a] + 1
+                    queue.append(to[k])
+        return depth
+
+    def block(depth):
+        """Fill all shortest ways; each arc is left for good once it leads nowhere."""
+        turn = [0] * len(graph)
+        path: list[int] = []
+        a = start
+        while True:
+            if a == end:
+                amount = min(room[k] for k in path)
+                for k in path:
+                    room[k] -= amount
+                    room[k ^ 1] += amount
+                # back to the first arc that is full
+                cut = next(i for i, k in enumerate(path) if room[k] <= tiny)
+                a = to[path[cut] ^ 1]
+                del path[cut:]
+            while turn[a] < len(graph[a]):
+                k = graph[a][turn[a]]
+                if room[k] > tiny and depth[to[k]] == depth[a] + 1:
+                    break
+                turn[a] += 1
+            if turn[a] < len(graph[a]):
+                path.append(graph[a][turn[a]])
+                a = to[path[-1]]
+            elif a == start:
+                return
+            else:
+                a = to[path.pop() ^ 1]
+                turn[a] += 1
+
+    for _ in range(MOST):
+        for i, c in enumerate(capacity):
+            room[2 * i] += float(c)
+        while (depth := depths())[end] >= 0:
+            block(depth)
     out = np.zeros((n, m))
+    at = 2 * n
     for i in range(n):
-        for b, _, cost, back in graph[i]:
-            if n <= b < n + m and cost == 0.0:
-                out[i, b - n] += graph[b][back][1]
+        for j in members[i]:
+            out[i, j] += room[at + 1]
+            at += 2
     return out
 
 
@@ -142,19 +173,26 @@ def _keyed(documents: DataFrame, memberships: Column, size: Column, seed: int) -
     alone = F.array(F.lit(None).cast("string"))
     sources = F.array_sort(F.array_distinct(F.when(memberships.isNull() | (F.size(memberships) == 0), alone).otherwise(memberships)))
     told = documents.select(F.struct("*").alias("_row"), sources.alias("_sources"), size.alias("_size"), F.xxhash64("doc_id", F.lit(seed)).alias("_hash"))
-    return told.withColumns({
-        "_class": F.floor(F.log2(F.greatest("_size", F.lit(1)))).cast("int"), "_bucket": F.pmod("_hash", F.lit(BUCKETS)).cast("int")})
+    return told.withColumn("_class", F.floor(F.log2(F.greatest("_size", F.lit(1)))).cast("int"))
+
+
+def bucket_bits(rows: int) -> int:
+    """Leading bits of the hash that tell a bucket: so many that buckets, and rows of a bucket, are about sqrt(rows)."""
+    return max(BUCKETS.bit_length() - 1, math.ceil(math.log2(max(1, rows)) / 2))
 
 
 def plan_mix(documents: DataFrame, memberships: Column, size: Column, weights: Sequence[float] = WEIGHTS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """What ``apply_mix`` needs, one row per pattern and size class, and the sources with size and target.
 
     ``documents`` needs doc_id and what the two columns are made of. A row tells how many copies every
-    document of its class gives (``_base``) and which ones give one more: those in hash buckets below
-    ``_border``, in that bucket those up to ``_edge``, and those whose hash is in ``_extra``.
+    document of its class gives (``_base``) and which ones give one more: those with a hash up to ``_edge``
+    and those whose hash is in ``_extra``.
     """
     spark = documents.sparkSession
-    key = stage(_keyed(documents, memberships, size, seed).select("_sources", "_size", "_hash", "_class", "_bucket"))
+    key = stage(_keyed(documents, memberships, size, seed).select("_sources", "_size", "_hash", "_class"))
+    largest = key.where("_size > 0").groupBy("_sources", "_class").count().agg(F.max("count")).first()[0]
+    shift = 64 - bucket_bits(largest or 0)
+    key = key.withColumn("_bucket", F.shiftright("_hash", shift))
     quotas, gives = plan(key.groupBy("_sources").agg(F.sum("_size").alias("total")), weights)
     source_table = spark.createDataFrame(quotas, "_source string, source_size double, target double")
     give = spark.createDataFrame(gives, "_p array<string>, _give double")
@@ -177,7 +215,7 @@ def plan_mix(documents: DataFrame, memberships: Column, size: Column, weights: S
     last = goals.join(cut.select("_q", "_c", "_need"), mine).where("_rows_upto >= _need").groupBy("_q", "_c").agg(F.min("_bucket").alias("_last"))
     cut = stage(cut.join(last.select(F.col("_q").alias("_w"), F.col("_c").alias("_v"), "_last"), F.expr("_q <=> _w AND _c = _v"), "left").drop("_w", "_v", "_need"))
     # documents of one hash go together
-    border = key.join(cut, mine).where(F.col("_size") > 0).where(F.col("_bucket").between(F.col("_border"), F.coalesce("_last", F.lit(BUCKETS)))).groupBy(
+    border = key.join(cut, mine).where(F.col("_size") > 0).where(F.col("_bucket").between(F.col("_border"), F.coalesce("_last", F.lit(2**63 - 1)))).groupBy(
         "_sources", "_class", "_bucket", "_hash").agg(F.sum("_size").alias("_size"), F.first("_goal").alias("_goal"), F.first("_before").alias("_before"))
     walk = by_class.orderBy("_bucket", "_hash")
     walked = stage(border.withColumn("_cum", F.col("_before") + F.sum("_size").over(walk.rowsBetween(Window.unboundedPreceding, 0))).withColumns({
@@ -197,7 +235,9 @@ def plan_mix(documents: DataFrame, memberships: Column, size: Column, weights: S
     ).otherwise(a)
     extra = pool.join(gap, F.expr("_sources <=> _g")).select(
         F.col("_sources").alias("_e"), F.reduce("_pool", start, step, lambda a: a["took"]).alias("_extra"))
-    plan_table = edges.join(extra, F.expr("_q <=> _e"), "left").select("_q", "_c", "_base", "_border", "_edge", "_extra")
+    # where the border's bucket gives none, all buckets below it do: the hash before its first
+    edge = F.coalesce("_edge", F.when(F.col("_border") > -(2 ** (63 - shift)), F.shiftleft("_border", shift) - 1))
+    plan_table = edges.join(extra, F.expr("_q <=> _e"), "left").select("_q", "_c", "_base", edge.alias("_edge"), "_extra")
     return stage(plan_table), source_table
 
 
@@ -217,7 +257,6 @@ def apply_mix(
         raise ValueError(f"documents have a column {', '.join(sorted(taken))}: pass other names")
     keyed = _keyed(documents, memberships, size, seed)
     told = keyed.join(plan_table, F.expr("_sources <=> _q AND _class = _c"), "left")
-    one_more = (F.col("_bucket") < F.col("_border")) | ((F.col("_bucket") == F.col("_border")) & (F.col("_hash") <= F.col("_edge")))
-    one_more = F.coalesce(one_more, F.lit(False)) | F.coalesce(F.array_contains("_extra", F.col("_hash")), F.lit(False))
+    one_more = F.coalesce(F.col("_hash") <= F.col("_edge"), F.lit(False)) | F.coalesce(F.array_contains("_extra", F.col("_hash")), F.lit(False))
     copies = F.when((F.col("_size") > 0) & F.col("_base").isNotNull(), F.least(F.col("_base") + one_more.cast("int"), F.lit(MOST))).otherwise(0)
     return told.select("_row.*", F.col("_sources").alias(names[0]), F.col("_size").alias(names[1]), copies.cast("int").alias(names[2]))
