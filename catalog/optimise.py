@@ -185,10 +185,68 @@ def o8(spark, sf):
     return rounded(out.select("symbol", "param_id", *NAMES, "sharpe_ratio", "n_trades"), 6)
 
 
-@query("o3_gp_acquisition")
-def o3(spark, sf):
+def posterior_sql(n: int, n_iter: int, samples: int, seed: int) -> str:
+    """``gp`` (symbol, p, u0, u1, u2, mean, dev, best): what the n corners of the grid tell of each drawn point.
+
+    Observations are taken in one after the other; each corrects the mean, the variance and what is left of the
+    covariances. One without a finite score has no covariance with anything.
+    """
+    corner = lambda i: [i // 4, i // 2 % 2, i % 2]
+    apart = lambda i, j: sum(abs(x - y) for x, y in zip(corner(i), corner(j)))
+    near = lambda i: f"exp(-0.5::DOUBLE * ({' + '.join(f'power(u{d} - {x}, 2)' for d, x in enumerate(corner(i)))}) / 0.09::DOUBLE)"
+    finite = lambda i: f"FILTER (param_id = {i} AND isfinite(sharpe_ratio))"
+    seen = ", ".join(f"coalesce(max(sharpe_ratio) {finite(i)}, 0) AS y{i}, count(*) {finite(i)} AS o{i}" for i in range(n))
+    drawn = ", ".join(f"{uniform_sql('p', str(1000 + d), seed)} AS u{d}" for d in range(3))
+    pair = lambda i, j: "1.00001::DOUBLE" if i == j else f"o{i} * o{j} * exp(-0.5::DOUBLE * {apart(i, j)} / 0.09::DOUBLE)"
+    first = ", ".join([
+        *(f"{pair(i, j)} AS a{i}_{j}" for i in range(n) for j in range(i, n)), *(f"o{i} * {near(i)} AS c{i}" for i in range(n)), *(f"y{i}" for i in range(n))])
+    steps = [f"""kn AS (SELECT symbol, coalesce(max(sharpe_ratio) FILTER (isfinite(sharpe_ratio)), 0) AS best, {seen} FROM met GROUP BY symbol),
+  pt AS MATERIALIZED (SELECT p, {drawn} FROM range({n_iter * samples}) t(p)),
+  g0 AS MATERIALIZED (SELECT symbol, p, u0, u1, u2, best, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS var, {first} FROM kn, pt)"""]
+    for k in range(n):
+        less = lambda i: f"a{k}_{i} / a{k}_{k}"
+        rest = range(k + 1, n)
+        left = [*(f"a{i}_{j} - {less(i)} * a{k}_{j} AS a{i}_{j}" for i in rest for j in range(i, n)),
+                *(f"c{i} - {less(i)} * c{k} AS c{i}" for i in rest), *(f"y{i} - {less(i)} * y{k} AS y{i}" for i in rest)]
+        steps.append(f"g{k + 1} AS MATERIALIZED (SELECT " + ", ".join(["symbol, p, u0, u1, u2, best", f"mean + c{k} * y{k} / a{k}_{k} AS mean", f"var - c{k} * c{k} / a{k}_{k} AS var", *left]) + f" FROM g{k})")
+    steps.append(f"gp AS MATERIALIZED (SELECT symbol, p, u0, u1, u2, best, mean, sqrt(greatest(var, 1e-10::DOUBLE)) AS dev FROM g{n})")
+    return ",\n  ".join(steps)
+
+
+# the distribution function as a series of positive terms, exact to rounding within six deviations of erf's argument
+BELOW = """zs AS MATERIALIZED (SELECT *, mean - best - 0.01::DOUBLE AS over, over / (dev + 1e-10::DOUBLE) AS z FROM gp),
+  zp AS MATERIALIZED (SELECT *, CASE WHEN z > 8.4 THEN 1.0::DOUBLE WHEN z < -8.4 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE * (1 + sign(z) * exp(-z * z / 2) *
+    list_sum(list_transform(range(130), lambda n: power(abs(z) / sqrt(2.0::DOUBLE), 2 * n + 1) / gamma(n + 1.5::DOUBLE)))) END AS below FROM zs)"""
+GAINS = {
+    "ei": "over * below + dev * exp(-0.5::DOUBLE * z * z) / sqrt(2 * pi())", "poi": "below",
+    "ucb": "mean + 2.576::DOUBLE * dev",
+}
+
+
+def suggest_sql(kind: str) -> str:
+    return with_(f"{OBJ}, {posterior_sql(8, 5, 100, 1)}, {BELOW}, gn AS (SELECT *, p // 100 AS slot, {GAINS[kind]} AS gain FROM zp)",
+                 f"""SELECT symbol, slot, {r('gain', None, 6)}, {r('12 + u0 * 36', 'min_trend_period_hours', 6)}, CAST(floor(7 + u1 * 21) AS INT) AS atr_period, CAST(floor(1 + u2 * 2) AS INT) AS slope_lookback
+  FROM gn QUALIFY row_number() OVER (PARTITION BY symbol, slot ORDER BY gn.gain DESC, p) = 1""")
+
+
+def suggested(spark, sf, kind):
     seen = grid_run(spark, sf).withColumn("score", F.col("sharpe_ratio"))
-    return so.suggest(seen, SPACE, SERIES, n_iter=5, seed=1)
+    return rounded(so.suggest(seen, SPACE, SERIES, n_iter=5, seed=1, kind=kind).drop("interval"), 6)
+
+
+@query("o3_gp_acquisition", suggest_sql("ei"))
+def o3(spark, sf):
+    return suggested(spark, sf, "ei")
+
+
+@query("o3_gp_confidence_bound", suggest_sql("ucb"))
+def o3_ucb(spark, sf):
+    return suggested(spark, sf, "ucb")
+
+
+@query("o3_gp_improvement_chance", suggest_sql("poi"))
+def o3_poi(spark, sf):
+    return suggested(spark, sf, "poi")
 
 
 @query("o4_bayesian_search")
