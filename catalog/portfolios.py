@@ -8,6 +8,7 @@ from catalog.base import ACCOUNT, query, r, rounded, rs, table, with_
 from catalog.backtests import MET, flagship
 from catalog.signals import COMMON, DRET, common_returns, daily_returns
 from tidemark.operators import portfolio as pf
+from tidemark.operators.rebalance import accept_targets
 from tidemark.plans.portfolio_run import Policy, run_portfolio
 from tidemark.plans.staging import stage
 
@@ -117,7 +118,7 @@ POLICY = Policy("volatility", FREQ, THR, lookback=LOOK)
 @query("p8_rebalance_chain", with_(TARGETS, f"SELECT c AS \"check\", s.symbol, {r('ch.w[s.pos]', 'weight')} FROM ch, (SELECT symbol, row_number() OVER (ORDER BY symbol) AS pos FROM (SELECT DISTINCT symbol FROM rx)) s WHERE taken"))
 def p8(spark, sf):
     targets = pf.target_weights(member_returns(spark, sf), "volatility", FREQ, LOOK)
-    return rounded(pf.accept_targets(targets, THR).drop("portfolio"))
+    return rounded(accept_targets(targets, THR).drop("portfolio"))
 
 
 @query("p8_rebalance_decision", with_(f"{MCW}, {VOLW}", f"""SELECT symbol, {r('CASE WHEN f THEN v ELSE m END', 'weight')}, f AS rebalanced FROM (

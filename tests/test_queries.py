@@ -36,7 +36,8 @@ def test_entry_runs(spark):
 
 ACROSS = [
     "j1_asof_timeframes", "r7_trailing_stop", "e2_equity_curve", "e4_enhanced_trades", "e4_fixed_units_trades", "f2_dct_lowpass",
-    "f4_fft_spectrum", "f6_welch_psd", "f7_sliding_dominant_period", "m4_simulation_metrics", "o12_combined_oos", "s6_entry_spacing",
+    "f4_fft_spectrum", "f6_welch_psd", "f7_sliding_dominant_period", "m4_simulation_metrics", "o12_combined_oos", "p8_rebalance_chain",
+    "p10_portfolio_simulation", "s6_entry_spacing",
     "s8_timeframe_vote", "t6_replayed_batch",
 ]
 

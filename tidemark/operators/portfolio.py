@@ -185,38 +185,6 @@ def target_weights(
     return equal_weights(seen, at)
 
 
-def accept_targets(targets: DataFrame, threshold: float = 0.05, keys: list[str] = PK) -> DataFrame:
-    """Checks whose target is taken: some weight is off by more than ``threshold``.
-
-    The comparison is with the weights accepted last, so the checks of a portfolio are walked in
-    order, streamed in Arrow batches (one row per check).
-    """
-    one = F.array_sort(F.collect_list(F.struct("symbol", "weight")))
-    rows = targets.groupBy(*keys, "check").agg(one.alias("_w")).select(
-        *keys, "check", F.col("_w.symbol").alias("symbols"), F.col("_w.weight").alias("weights")
-    )
-
-    def walk(batches):
-        current, members, held = None, None, None
-        for pdf in batches:
-            keep = []
-            for key, names, target in zip(zip(*[pdf[k] for k in keys]), pdf["symbols"], pdf["weights"]):
-                # weights compare only between the same members
-                fresh = key != current or list(names) != members
-                taken = fresh or np.abs(np.asarray(target) - held).max() > threshold
-                if taken:
-                    current, members, held = key, list(names), np.asarray(target)
-                keep.append(taken)
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "check")
-    accepted = ordered.mapInPandas(walk, rows.schema)
-    pair = F.explode(F.arrays_zip("symbols", "weights")).alias("_p")
-    return accepted.select(*keys, "check", pair).select(
-        *keys, "check", F.col("_p.symbols").alias("symbol"), F.col("_p.weights").alias("weight")
-    )
-
-
 def rebalance(current: DataFrame, target: DataFrame, threshold: float = 0.05, keys: list[str] = PK) -> DataFrame:
     """One decision per portfolio: target weights if any deviates by more than the threshold (or the
     members differ), else the current ones."""

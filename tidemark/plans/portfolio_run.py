@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import portfolio as pf
 from tidemark.operators.moments import pair_moments
+from tidemark.operators.rebalance import accept_targets
 from tidemark.plans.staging import stage
 
 
@@ -35,7 +36,7 @@ def run_portfolio(
 ) -> PortfolioRun:
     """Simulate every portfolio in ``returns`` (portfolio, symbol, t, ret) under one policy."""
     targets = pf.target_weights(returns, policy.weighting, policy.frequency, policy.lookback, policy.low, policy.high, keys)
-    accepted = stage(pf.accept_targets(targets, policy.threshold, keys))
+    accepted = stage(accept_targets(targets, policy.threshold, keys))
     equity = stage(pf.simulate(returns, accepted, capital, keys))
     newest = accepted.groupBy(*keys, "symbol").agg(F.max_by("weight", "check").alias("weight"))
     moments = stage(pair_moments(returns, keys))
