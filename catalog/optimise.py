@@ -61,8 +61,15 @@ GRID8 = op.Search(SPACE, "grid", points=2)
 RANDOM = op.Search(SPACE, "random", n=4, seed=3)
 GRID8_SQL = """par AS (SELECT i * 4 + j * 2 + k AS param_id, 12.0::DOUBLE + 36 * i AS hours, 7 + 21 * j AS period, 1 + 2 * k AS lookback
   FROM range(2) t1(i), range(2) t2(j), range(2) t3(k))"""
-RANDOM_SQL = f"""par AS (SELECT param_id, 12 + u0 * 36 AS hours, 7 + floor(u1 * 22) AS period, 1 + CAST(floor(u2 * 3) AS INT) AS lookback
-  FROM (SELECT param_id, {', '.join(f"{uniform_sql('param_id', str(i), 3)} AS u{i}" for i in range(3))} FROM range(4) t(param_id)))"""
+
+
+def random_sql(seed: int) -> str:
+    drawn = ", ".join(f"{uniform_sql('param_id', str(i), seed)} AS u{i}" for i in range(3))
+    return f"""par AS (SELECT param_id, 12 + u0 * 36 AS hours, 7 + floor(u1 * 22) AS period, 1 + CAST(floor(u2 * 3) AS INT) AS lookback
+  FROM (SELECT param_id, {drawn} FROM range(4) t(param_id)))"""
+
+
+RANDOM_SQL = random_sql(3)
 PB = "pb AS (SELECT tr0.*, par.* FROM tr0, par)"
 
 
@@ -185,19 +192,24 @@ def o8(spark, sf):
     return rounded(out.select("symbol", "param_id", *NAMES, "sharpe_ratio", "n_trades"), 6)
 
 
-def posterior_sql(n: int, n_iter: int, samples: int, seed: int) -> str:
-    """``gp`` (symbol, p, u0, u1, u2, mean, dev, best): what the n corners of the grid tell of each drawn point.
+def corner_of(i: int) -> list[str]:
+    return [str(i // 4), str(i // 2 % 2), str(i % 2)]
+
+
+def posterior_sql(n: int, n_iter: int, samples: int, seed: int, place=corner_of) -> str:
+    """``gp`` (symbol, p, u0, u1, u2, mean, dev, best): what n observed candidates tell of each drawn point.
+
+    ``place`` gives a candidate's coordinates, by default those of the corners of the grid.
 
     Observations are taken in one after the other; each corrects the mean, the variance and what is left of the
     covariances. One without a finite score has no covariance with anything.
     """
-    corner = lambda i: [i // 4, i // 2 % 2, i % 2]
-    apart = lambda i, j: sum(abs(x - y) for x, y in zip(corner(i), corner(j)))
-    near = lambda i: f"exp(-0.5::DOUBLE * ({' + '.join(f'power(u{d} - {x}, 2)' for d, x in enumerate(corner(i)))}) / 0.09::DOUBLE)"
+    apart = lambda i, j: " + ".join(f"power({x} - {y}, 2)" for x, y in zip(place(i), place(j)))
+    near = lambda i: f"exp(-0.5::DOUBLE * ({' + '.join(f'power(u{d} - {x}, 2)' for d, x in enumerate(place(i)))}) / 0.09::DOUBLE)"
     finite = lambda i: f"FILTER (param_id = {i} AND isfinite(sharpe_ratio))"
     seen = ", ".join(f"coalesce(max(sharpe_ratio) {finite(i)}, 0) AS y{i}, count(*) {finite(i)} AS o{i}" for i in range(n))
     drawn = ", ".join(f"{uniform_sql('p', str(1000 + d), seed)} AS u{d}" for d in range(3))
-    pair = lambda i, j: "1.00001::DOUBLE" if i == j else f"o{i} * o{j} * exp(-0.5::DOUBLE * {apart(i, j)} / 0.09::DOUBLE)"
+    pair = lambda i, j: "1.00001::DOUBLE" if i == j else f"o{i} * o{j} * exp(-0.5::DOUBLE * ({apart(i, j)}) / 0.09::DOUBLE)"
     first = ", ".join([
         *(f"{pair(i, j)} AS a{i}_{j}" for i in range(n) for j in range(i, n)), *(f"o{i} * {near(i)} AS c{i}" for i in range(n)), *(f"y{i}" for i in range(n))])
     steps = [f"""kn AS (SELECT symbol, coalesce(max(sharpe_ratio) FILTER (isfinite(sharpe_ratio)), 0) AS best, {seen} FROM met GROUP BY symbol),
@@ -213,10 +225,12 @@ def posterior_sql(n: int, n_iter: int, samples: int, seed: int) -> str:
     return ",\n  ".join(steps)
 
 
-# the distribution function as a series of positive terms, exact to rounding within six deviations of erf's argument
+# the distribution function as a series of positive terms within four deviations, a continued fraction in the tails
 BELOW = """zs AS MATERIALIZED (SELECT *, mean - best - 0.01::DOUBLE AS over, over / (dev + 1e-10::DOUBLE) AS z FROM gp),
-  zp AS MATERIALIZED (SELECT *, CASE WHEN z > 8.4 THEN 1.0::DOUBLE WHEN z < -8.4 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE * (1 + sign(z) * exp(-z * z / 2) *
-    list_sum(list_transform(range(130), lambda n: power(abs(z) / sqrt(2.0::DOUBLE), 2 * n + 1) / gamma(n + 1.5::DOUBLE)))) END AS below FROM zs)"""
+  zt AS MATERIALIZED (SELECT *, greatest(abs(z), 4.0::DOUBLE) AS far, exp(-far * far / 2) / sqrt(2 * pi()) / list_reduce(
+    list_prepend(far, list_transform(range(80), lambda n: (80 - n)::DOUBLE)), lambda f, n: far + n / f) AS tail FROM zs),
+  zp AS MATERIALIZED (SELECT *, CASE WHEN z >= 4 THEN 1 - tail WHEN z <= -4 THEN tail ELSE 0.5::DOUBLE * (1 + sign(z) * exp(-z * z / 2) *
+    list_sum(list_transform(range(80), lambda n: power(abs(z) / sqrt(2.0::DOUBLE), 2 * n + 1) / gamma(n + 1.5::DOUBLE)))) END AS below FROM zt)"""
 GAINS = {
     "ei": "over * below + dev * exp(-0.5::DOUBLE * z * z) / sqrt(2 * pi())", "poi": "below",
     "ucb": "mean + 2.576::DOUBLE * dev",
@@ -249,10 +263,26 @@ def o3_poi(spark, sf):
     return suggested(spark, sf, "poi")
 
 
-@query("o4_bayesian_search")
+def drawn_at(i: int) -> list[str]:
+    """Coordinates of the i-th random candidate; whole numbers lie where their value does."""
+    u = [uniform_sql(str(i), str(d), 1) for d in range(3)]
+    return [u[0], f"floor({u[1]} * 22) / 21.0::DOUBLE", f"floor({u[2]} * 3) / 2.0::DOUBLE"]
+
+
+# the start, its posterior at drawn points, the best of each slot, and the scores of those
+NEXT_SQL = f"""nx AS MATERIALIZED (SELECT symbol, 4 + p // 100 AS param_id, 12 + u0 * 36 AS hours, floor(7 + u1 * 21) AS period, CAST(floor(1 + u2 * 2) AS INT) AS lookback
+    FROM (SELECT *, p // 100 AS slot, {GAINS['ei']} AS gain FROM zp) QUALIFY row_number() OVER (PARTITION BY symbol, slot ORDER BY gain DESC, p) = 1),
+  pn AS (SELECT tr0.*, nx.* EXCLUDE (symbol) FROM tr0 JOIN nx USING (symbol))"""
+O4_NAMES = f"{r('hours', 'min_trend_period_hours', 6)}, period::INT AS atr_period, lookback AS slope_lookback, {r('sharpe_ratio', None, 6)}"
+
+
+@query("o4_bayesian_search", with_(
+    f"{TR}, {random_sql(1)}, {PB}, {objective_sql()}, {posterior_sql(4, 4, 100, 1, drawn_at)}, {BELOW}, {NEXT_SQL}, {objective_sql('pn', p='n_')}",
+    f"""SELECT symbol, param_id, {O4_NAMES} FROM met JOIN par USING (param_id)
+  UNION ALL SELECT symbol, param_id, {O4_NAMES} FROM n_met JOIN nx USING (symbol, param_id)"""))
 def o4(spark, sf):
     spec = op.Search(SPACE, "bayesian", n=4, n_initial=4, seed=1)
-    return op.search(prepared(spark, sf), spec).select("symbol", "param_id", *NAMES, "sharpe_ratio")
+    return rounded(op.search(prepared(spark, sf), spec).select("symbol", "param_id", *NAMES, "sharpe_ratio"), 6)
 
 
 # --- walk-forward -------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "a1_kline_normalise", "a2_daily_bars_by_region", "a7_gap_detection", "a8_backfill", "b10_period_label",
     "e4_enhanced_trades", "e5_metric_summary", "f4_fft_spectrum", "f7_sliding_dominant_period", "j3_align_union",
-    "m4_percentiles", "o2_random_candidates", "p10_portfolio_simulation", "r4_residual_quantile", "s6_entry_spacing",
+    "m4_percentiles", "o2_random_candidates", "o4_bayesian_search", "p10_portfolio_simulation", "r4_residual_quantile", "s6_entry_spacing",
     "t1_payload_parse", "t3_final_only_sink", "u1_dataframe_rule",
 ]
 

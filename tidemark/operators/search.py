@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import erf, log10, pi, sqrt
+from math import erfc, log10, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -153,7 +153,7 @@ def acquisition(mean, deviation, best: float, kind: str = "ei", kappa: float = 2
         return mean
     gain = mean - best - xi
     z = gain / (deviation + 1e-10)
-    below = np.array([0.5 * (1.0 + erf(v / sqrt(2.0))) for v in z])
+    below = np.array([0.5 * erfc(-v / sqrt(2.0)) for v in z])  # exact in the tail, where small gains are compared
     if kind == "poi":
         return below
     return gain * below + deviation * np.exp(-0.5 * z**2) / sqrt(2.0 * pi)
