@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.series import with_ordinal
 from tidemark.plans.staging import stage
-from tidemark.sources.ticks import ticks_to_bars
+from tidemark.sources.ticks import ticks_to_bars, with_place
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,9 +47,9 @@ def indexed(spark: SparkSession, sf: str, interval: str = "1h") -> DataFrame:
 
 
 def daily_ticks(spark: SparkSession, sf: str, by: str = "region") -> DataFrame:
-    line = table(spark, sf, "lineitem").select(
-        "l_suppkey", F.col("l_shipdate").alias("ts"),
-        # ticks of a day share their ts; order lines number them
+    line = with_place(table(spark, sf, "lineitem")).select(
+        "l_suppkey", F.col("l_shipdate").alias("ts"), "place",
+        # ticks of a day share their ts; order lines number them, and rows of the same order line their places
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty"),
     )
@@ -62,7 +62,7 @@ def daily_ticks(spark: SparkSession, sf: str, by: str = "region") -> DataFrame:
 
 
 def daily_bars(spark: SparkSession, sf: str, by: str = "region") -> DataFrame:
-    return stage(ticks_to_bars(daily_ticks(spark, sf, by), "1d", sequence="seq"))
+    return stage(ticks_to_bars(daily_ticks(spark, sf, by), "1d", sequence="seq", place="place"))
 
 
 def rounded(df: DataFrame, digits: int = 7) -> DataFrame:

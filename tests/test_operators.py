@@ -487,3 +487,34 @@ def test_exponential_mean_over_many_blocks(spark, monkeypatch, span, limit):
     got = ewm_mean(d, "close", F.col("span"), "y", max_span=limit).toPandas().sort_values("bar_idx")["y"]
     want = pd.Series(x).ewm(span=span, adjust=False).mean()
     assert np.allclose(got, want, rtol=1e-12)
+
+
+def repeated_lines(spark, folder):
+    """The 0.001 tables, each line item followed by others of its day, order and line number at other prices."""
+    for name in ("lineitem", "supplier", "nation", "region"):
+        t = pd.read_parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if name == "lineitem":
+            t["l_shipdate"] = t["l_shipdate"].astype("datetime64[us]")
+            t = pd.concat([t.assign(l_extendedprice=t["l_extendedprice"] * x) for x in (1.0, 1.3, 0.9)])
+        t.to_parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_daily_smoothing_takes_the_first_of_equal_lines(spark, tmp_path):
+    import compare, __spark_entry__ as entry
+
+    folder = repeated_lines(spark, tmp_path)
+    for name in ("f3_smooth_daily", "a2_daily_bars_by_region"):
+        got = entry.queries()[name](spark, folder).toPandas()
+        assert compare.differences(got, compare.oracle(folder).execute(entry.oracle_sql()[name]).df()) is None
+
+
+def test_places_follow_files_and_rows(spark, tmp_path):
+    for i, name in enumerate(["b", "a", "c d"]):
+        pd.DataFrame({"x": np.arange(3) + 10 * i}).to_parquet(f"{tmp_path}/{name}.parquet")
+    rows = tk.with_place(spark.read.parquet(str(tmp_path))).orderBy("place").collect()
+    assert [r["x"] for r in rows] == [10, 11, 12, 0, 1, 2, 20, 21, 22]
+    day = tk.with_place(spark.read.parquet(str(tmp_path))).selectExpr(
+        "'a' AS symbol", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "9223372036854775807L AS seq", "x * 1.0D AS price", "1.0D AS qty", "place")
+    bar = tk.ticks_to_bars(day, "1d", "seq", place="place").first()
+    assert (bar["open"], bar["close"], bar["low"], bar["high"]) == (10, 10, 0, 22)

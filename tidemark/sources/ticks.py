@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from decimal import Decimal
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tidemark.plans.staging import stage
 from tidemark.schema import BAR_COLUMNS, MILLISECOND, PRICE_COLUMNS, duration, interval_length
 
 # Position of each field in a raw kline record.
@@ -13,23 +16,41 @@ KLINE_FIELDS = [
 ]
 
 
+#: More rows than a file has, and more places than a whole number can name.
+_FILE_ROWS, _PLACES = 2**40, Decimal(10**19)
+
+
+def with_place(df: DataFrame, name: str = "place") -> DataFrame:
+    """``df``, as read from files, with a whole number that grows with the file's path and the row's position in it."""
+    read = df.withColumns({"_file": F.col("_metadata.file_path"), name: F.col("_metadata.row_index")})
+    if len(df.inputFiles()) < 2:
+        return read.drop("_file")
+    files = read.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")) - 1)
+    return read.join(stage(files), "_file").withColumn(name, F.col("_rank") * F.lit(_FILE_ROWS) + F.col(name)).drop("_file", "_rank")
+
+
 def ticks_to_bars(
-    ticks: DataFrame, interval: str, sequence: str = "ts", keys: list[str] | None = None
+    ticks: DataFrame, interval: str, sequence: str = "ts", keys: list[str] | None = None, place: str | None = None
 ) -> DataFrame:
     """OHLCV bars of ``(symbol, ts, price, qty)`` ticks.
 
     One hash aggregate with map-side combine: a symbol holding most of the ticks shuffles only
     (input partitions x bars) partial rows.  ``sequence`` is the fixed-width column giving the order
-    of the ticks inside a bar, for data where several ticks share a ``ts``.
+    of the ticks inside a bar, for data where several ticks share a ``ts``.  Where several share the
+    sequence, a whole number, too, the one of the smallest ``place`` counts; without places any of them.
     """
     keys = keys or ["symbol"]
-    at = F.col(sequence)
+    first = last = F.col(sequence)
+    if place is not None:
+        # a decimal has a fixed width, as a struct of both has not
+        wide = F.col(sequence).cast("decimal(19,0)") * F.lit(_PLACES)
+        first, last = wide + F.col(place), wide - F.col(place)
     win = F.window("ts", duration(interval))
     bars = ticks.groupBy(*keys, win.alias("w")).agg(
-        F.min_by("price", at).alias("open"),
+        F.min_by("price", first).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", at).alias("close"),
+        F.max_by("price", last).alias("close"),
         F.sum("qty").cast("double").alias("volume"),
         F.sum(F.col("price") * F.col("qty")).alias("quote_volume"),
         F.count(F.lit(1)).alias("trades"),
