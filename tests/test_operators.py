@@ -495,7 +495,7 @@ def repeated_lines(spark, folder):
         t = pd.read_parquet(f"/root/testdata/sf0.001/{name}.parquet")
         if name == "lineitem":
             t["l_shipdate"] = t["l_shipdate"].astype("datetime64[us]")
-            t = pd.concat([t.assign(l_extendedprice=t["l_extendedprice"] * x) for x in (1.0, 1.3, 0.9)])
+            t = pd.concat([t.assign(l_extendedprice=t["l_extendedprice"] * (1 + x * (np.arange(len(t)) % 5))) for x in (0.0, 0.3, -0.1)])
         t.to_parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
@@ -518,3 +518,12 @@ def test_places_follow_files_and_rows(spark, tmp_path):
         "'a' AS symbol", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "9223372036854775807L AS seq", "x * 1.0D AS price", "1.0D AS qty", "place")
     bar = tk.ticks_to_bars(day, "1d", "seq", place="place").first()
     assert (bar["open"], bar["close"], bar["low"], bar["high"]) == (10, 10, 0, 22)
+
+
+def test_alignment_takes_the_first_of_equal_lines(spark, tmp_path):
+    import compare, __spark_entry__ as entry
+
+    folder = repeated_lines(spark, tmp_path)
+    for name in ("j3_align_intersection", "j3_align_union"):
+        got = entry.queries()[name](spark, folder).toPandas()
+        assert len(got) and compare.differences(got, compare.oracle(folder).execute(entry.oracle_sql()[name]).df()) is None
