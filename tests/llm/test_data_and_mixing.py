@@ -1,6 +1,7 @@
 """Personal data, licences, token counts, mixing and the pipeline."""
 
 import hashlib
+import math
 import re
 import textwrap
 import time
@@ -191,6 +192,61 @@ def test_wrapped_and_commented_licenses_are_found(spark):
     assert {want[i][2] for i in found} >= {"mit", "bsd", "gpl"} and len(found) > len(want) / 2
 
 
+def license_by_hand(model, words):
+    """Family and probability from all n-grams, and the largest share of a template of the family."""
+    grams = licenses.ngrams(words)
+    z = model.intercept + sum((model.weights[g] for g in sorted(grams) if g in model.weights), 0 * model.intercept)
+    family = licenses.FAMILIES[int(z.argmax())]
+    shares = [len(grams & own) / len(own) for own in (licenses.ngrams(licenses.normal(t)) for t in licenses.TEMPLATES.get(family, []))]
+    return family, 1 / math.exp(-z.max()) / sum(map(math.exp, z)), max(shares, default=None)
+
+
+def test_licenses_without_anchor_words_are_found(spark):
+    model = licenses.fit(["just some words about weather", "the committee met on monday", "of and in the to on with it 7 at noon"])
+    texts = ["CC BY-NC 4.0", "Released under the MIT Licence.", "at noon\n * CC-BY-SA-4.0\n", "the CC\nBY-NC\n4.0 terms", "all was well", "", "MIT"]
+    warranty = licenses.TEMPLATES["mit"][2].replace("WITHOUT", "with no")
+    texts += [warranty, "\n".join(textwrap.wrap(warranty, 40)), "x\n\n// " + "\n// ".join(textwrap.wrap(warranty, 50)) + "\n//\ny"]
+    rng = np.random.default_rng(5)
+    every = [w for ts in licenses.TEMPLATES.values() for t in ts for w in licenses.normal(t)]
+    for _ in range(150):
+        start = rng.integers(len(every) - 40)
+        texts.append("\n".join(" ".join(w for w in every[start + 8 * i : start + 8 * i + 8] if rng.random() > 0.2) for i in range(rng.integers(1, 5))))
+    got = {(r["doc_id"], r["paragraph"], r["lines"]): r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    have, unnamed = licenses.anchors(), 0
+    for i, text in enumerate(texts):
+        lines, sure = text.split("\n"), {}
+        for n, line in enumerate(lines, 1):
+            words = licenses.normal(line)
+            family, probability, share = license_by_hand(model, words)
+            named = any(a in " ".join(words) for a in have)
+            assert ((i, n, 1) in got) == (named or family != "unknown"), line
+            sure[family] = sure.get(family, False) or (share or 0) >= licenses.CONFIRM
+            if (i, n, 1) in got:
+                r = got[i, n, 1]
+                assert r["family"] == family and abs(r["probability"] - probability) < 1e-5 and (share is None) == (r["template_share"] is None)
+                unnamed += not named
+        if len(lines) > 1 and all(licenses.normal(line) for line in lines):
+            family, probability, share = license_by_hand(model, licenses.normal(text))
+            says_more = family != "unknown" and (family not in sure or (share >= licenses.CONFIRM and not sure[family]))
+            assert ((i, 1, len(lines)) in got) == says_more, text
+            if says_more:
+                r = got[i, 1, len(lines)]
+                assert r["family"] == family and abs(r["probability"] - probability) < 1e-5 and abs(r["template_share"] - share) < 1e-5
+    assert unnamed > 10
+    assert got[0, 1, 1]["family"] == "cc-by-nc" and got[0, 1, 1]["probability"] > 0.9 and got[1, 1, 1]["family"] == "mit"
+    assert got[7, 1, 1]["confirmed"] and any(k[0] == 8 and k[2] > 1 and got[k]["family"] == "mit" and got[k]["confirmed"] for k in got)
+    assert any(k[:2] == (9, 3) and k[2] > 1 and got[k]["confirmed"] for k in got)
+
+
+def test_texts_without_signs_are_unknown():
+    model = licenses.fit(["just some words about weather", "the committee met on monday"])
+    idle = {w for g in model.weights for w in g.split(" ")} - set(model.signs)
+    assert idle and model.signs
+    everything = [g for g in model.weights if set(g.split(" ")) <= idle]
+    top = model.intercept + sum(np.maximum(model.weights[g] - model.weights[g][-1], 0) for g in everything)
+    assert top.argmax() == len(licenses.FAMILIES) - 1
+
+
 def test_license_training_sees_all_lines(spark, monkeypatch):
     monkeypatch.setattr(licenses, "fit", lambda rows: rows)
     rows = [(i, "\n".join(f"{i} line {j} " + ("a" * 3000 + "b" * 3000 if j == 3 else "") for j in range(4)) + "\n\n --") for i in range(200)]

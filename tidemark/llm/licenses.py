@@ -4,14 +4,16 @@ A multinomial logistic regression is fitted on the driver from the licence templ
 from a bounded sample of the corpus' own paragraphs and of scrambled templates as the class ``unknown``; its
 probabilities are calibrated by a temperature on examples kept apart. Scanning is DataFrame work only:
 a paragraph is a run of lines with a letter or digit in each, so comment signs alone part paragraphs too, and
-each single line is a candidate as well. Those that hold none of the anchor words (every template paragraph
-holds one) are unknown by definition; the others, each distinct one once, are cut into n-grams, joined to the weights and summed. A
-family is confirmed if enough of one of its templates' n-grams stand in the paragraph.
+each single line is a candidate as well. A text without any of the model's signs cannot reach the weight that a family
+needs, whatever else it says (``_signs``), so it is unknown; the others, each distinct one once, are cut into
+n-grams, joined to the weights and summed. A family is confirmed if enough of one of its templates' n-grams stand in
+the paragraph.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -139,10 +141,30 @@ def anchors() -> list[str]:
 
 @dataclass
 class Model:
-    """Weights per n-gram and family, and each family's intercept, both divided by the temperature."""
+    """Weights per n-gram and family, and each family's intercept, both divided by the temperature.
+
+    Every text that is not unknown holds one of ``signs``; if that is None, any text may be of a family.
+    """
 
     weights: dict[str, np.ndarray]
     intercept: np.ndarray
+    signs: list[str] | None = None
+
+
+def _signs(weights: dict[str, np.ndarray], intercept: np.ndarray, unknown: list[str]) -> list[str] | None:
+    """The words of the n-grams without those that say too little: all n-grams made of the latter alone, taken
+    together, leave every family behind unknown. Words frequent in ``unknown`` are left out first."""
+    need = intercept[-1] - intercept[:-1] - 1e-6
+    if (need <= 0).any():
+        return None
+    words = {g: set(g.split(" ")) for g in weights}
+    seen = Counter(w for text in unknown for w in set(normal(text)))
+    sum_of, idle = np.zeros(len(need)), set()
+    for word in sorted({w for ws in words.values() for w in ws}, key=lambda w: (-seen[w], w)):
+        more = [np.maximum(weights[g][:-1] - weights[g][-1], 0) for g, ws in words.items() if word in ws and ws <= idle | {word}]
+        if (sum_of + sum(more) < need).all():
+            sum_of, idle = sum_of + sum(more), idle | {word}
+    return sorted({w for ws in words.values() for w in ws} - idle)
 
 
 def _examples(unknown: list[str], rng: np.random.Generator) -> list[tuple[list[str], int]]:
@@ -193,30 +215,36 @@ def fit(unknown: list[str], *, rounds: int = 150, ridge: float = 2e-3, seed: int
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
     loss = lambda t: -np.log(np.maximum((softmax(x[apart] @ w / t) * y[apart]).sum(1), 1e-12)).mean()
     w /= min(np.geomspace(0.25, 4, 33), key=loss)
-    return Model({g: w[i] for g, i in number.items()}, w[-1])
+    weights = {g: w[i] for g, i in number.items()}
+    return Model(weights, w[-1], _signs(weights, w[-1], unknown))
 
 
-def paragraphs(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, id, block, paragraph, lines, words): the lines with an anchor word, numbered from 1 among all lines, and
-    the paragraphs of several lines that hold one, numbered by their first line; their words as one string.
+def paragraphs(documents: DataFrame, signs: list[str] | None, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, id, block, paragraph, lines, words, named): the lines numbered from 1, and the paragraphs of several lines,
+    numbered by their first line; their words as one string, and whether an anchor is in them. Of each, those with
+    a sign or an anchor.
 
     ``row`` is a number for each row of ``documents``, ``block`` the first line of the paragraph that a line is in.
     """
     any_of = lambda c: _either([c.contains(a) for a in anchors()])
-    near = documents.select(F.monotonically_increasing_id().alias("row"), id, text).where(any_of(F.lower(text)))
+    sign = lambda c: F.exists(F.split(c, " "), lambda w: w.isin(signs)) if signs is not None else F.lit(True)
+    # an array of one: as a plain expression the words would be made anew for every test
+    told = lambda c: F.exists(F.array(c), lambda w: any_of(w) | sign(w))
+    near = documents.select(F.monotonically_increasing_id().alias("row"), id, text).where(told(normal_column(F.col(text))))
     # lines carry their numbers between two control characters; those without a letter or digit are left empty
     plain = F.split(F.translate(text, "\x01\x02", "  "), "\n")
     numbered = F.transform(plain, lambda x, i: F.when(x.rlike(r"[\p{L}\p{N}]"), F.concat(F.lit("\x01"), (i + 1).cast("string"), F.lit("\x02"), x)).otherwise(""))
-    blocks = near.select("row", id, F.explode(F.split(F.array_join(numbered, "\n"), "\n\n+")).alias("said")).where(any_of(F.lower("said")))
+    blocks = near.select("row", id, F.explode(F.split(F.array_join(numbered, "\n"), "\n\n+")).alias("said"))
+    bare = lambda c: F.regexp_replace(c, "\x01[0-9]+\x02", "")
+    blocks = blocks.where(told(normal_column(bare(F.col("said")))))
     number = lambda c: F.regexp_extract(c, "\x01([0-9]+)\x02", 1).cast("int")
     blocks = blocks.select("row", id, number(F.col("said")).alias("block"), F.split(F.trim("said", F.lit("\n")), "\n").alias("said"))
-    bare = lambda c: F.regexp_replace(c, "\x01[0-9]+\x02", "")
     lines = blocks.select("row", id, "block", F.explode("said").alias("line")).select(
         "row", id, "block", number(F.col("line")).alias("paragraph"), F.lit(1).alias("lines"), normal_column(bare(F.col("line"))).alias("words"))
     joined = blocks.where(F.size("said") > 1).select(
         "row", id, "block", F.col("block").alias("paragraph"), F.size("said").alias("lines"),
         normal_column(F.array_join(F.transform("said", lambda x: F.regexp_replace(bare(x), _COMMENT_WORD, " ")), " ")).alias("words"))
-    return lines.unionByName(joined).where(any_of(F.col("words")))
+    return lines.unionByName(joined).where(told(F.col("words"))).withColumn("named", any_of(F.col("words")))
 
 
 def _either(conditions: list[Column]) -> Column:
@@ -240,8 +268,9 @@ def train(documents: DataFrame, id: str = "doc_id", text: str = "text", seed: in
 
 
 def scan(documents: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, paragraph, lines, family, probability, template_share, confirmed), for every line with an anchor word,
-    and for paragraphs of several lines (``lines``, from line ``paragraph`` on) that say more than their lines do.
+    """(id, paragraph, lines, family, probability, template_share, confirmed), for every line that is not unknown or has
+    an anchor word, and for paragraphs of several lines (``lines``, from line ``paragraph`` on) that say more than their
+    lines do. All lines and paragraphs are judged; those not told are unknown.
 
     ``family`` is the likeliest class, ``unknown`` among them; ``template_share`` the largest share of a
     template of that family that stands in the line or paragraph (null for unknown), confirmed from CONFIRM on. A
@@ -251,7 +280,7 @@ def scan(documents: DataFrame, model: Model, id: str = "doc_id", text: str = "te
     null id stays null; other columns are ignored. Equal lines and paragraphs are classified once.
     """
     spark = documents.sparkSession
-    found = stage(paragraphs(documents, id, text).withColumnRenamed(id, "_id"))
+    found = stage(paragraphs(documents, model.signs, id, text).withColumnRenamed(id, "_id"))
     distinct = found.select(F.md5("words").alias("key"), "words").distinct()
     grams = distinct.select("key", F.explode(ngrams_column(F.split("words", " "))).alias("gram"))
     # as many rows as the templates have n-grams: bounded, so every task gets them
@@ -275,6 +304,6 @@ def scan(documents: DataFrame, model: Model, id: str = "doc_id", text: str = "te
     said = told.where(single).groupBy("row", "block", "family").agg(F.max("confirmed").alias("sure"))
     more = told.where(~single & (F.col("family") != UNKNOWN)).join(said, ["row", "block", "family"], "left").where(
         F.col("sure").isNull() | (F.col("confirmed") & ~F.col("sure"))).drop("sure")
-    return told.where(single).unionByName(more).select(
+    return told.where(single & (F.col("named") | (F.col("family") != UNKNOWN))).unionByName(more).select(
         F.col("_id").alias(id), "paragraph", "lines", "family", F.round("probability", 6).alias("probability"),
         F.round("template_share", 6).alias("template_share"), "confirmed")
