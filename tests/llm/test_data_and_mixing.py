@@ -247,6 +247,15 @@ def test_texts_without_signs_are_unknown():
     assert top.argmax() == len(licenses.FAMILIES) - 1
 
 
+def test_license_signs_change_no_result(spark):
+    model = licenses.fit(["just some words about weather", "the committee met on monday"])
+    texts = ["\n\nCC BY 4.0\nof it\n\n", "\n\n\n", "\n", "", None, "--\n\n--\nall was well", "x\r\n\r\nthe MIT\r\nlicence", " \x01\x02 \n3 CC BY-SA 4.0", "Copyright\n\nof it"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda m: sorted(licenses.scan(documents, m).collect(), key=str)
+    got = rows(model)
+    assert got == rows(licenses.Model(model.weights, model.intercept)) and {r["doc_id"] for r in got} >= {0, 7, 8}
+
+
 def test_license_training_sees_all_lines(spark, monkeypatch):
     monkeypatch.setattr(licenses, "fit", lambda rows: rows)
     rows = [(i, "\n".join(f"{i} line {j} " + ("a" * 3000 + "b" * 3000 if j == 3 else "") for j in range(4)) + "\n\n --") for i in range(200)]

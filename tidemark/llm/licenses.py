@@ -234,17 +234,18 @@ def paragraphs(documents: DataFrame, signs: list[str] | None, id: str = "doc_id"
     # lines carry their numbers between two control characters; those without a letter or digit are left empty
     plain = F.split(F.translate(text, "\x01\x02", "  "), "\n")
     numbered = F.transform(plain, lambda x, i: F.when(x.rlike(r"[\p{L}\p{N}]"), F.concat(F.lit("\x01"), (i + 1).cast("string"), F.lit("\x02"), x)).otherwise(""))
-    blocks = near.select("row", id, F.explode(F.split(F.array_join(numbered, "\n"), "\n\n+")).alias("said"))
+    blocks = near.select("row", id, F.explode(F.split(F.array_join(numbered, "\n"), "\n\n+")).alias("said")).where(F.col("said").contains("\x01"))
     bare = lambda c: F.regexp_replace(c, "\x01[0-9]+\x02", "")
-    blocks = blocks.where(told(normal_column(bare(F.col("said")))))
     number = lambda c: F.regexp_extract(c, "\x01([0-9]+)\x02", 1).cast("int")
     blocks = blocks.select("row", id, number(F.col("said")).alias("block"), F.split(F.trim("said", F.lit("\n")), "\n").alias("said"))
-    lines = blocks.select("row", id, "block", F.explode("said").alias("line")).select(
-        "row", id, "block", number(F.col("line")).alias("paragraph"), F.lit(1).alias("lines"), normal_column(bare(F.col("line"))).alias("words"))
-    joined = blocks.where(F.size("said") > 1).select(
-        "row", id, "block", F.col("block").alias("paragraph"), F.size("said").alias("lines"),
-        normal_column(F.array_join(F.transform("said", lambda x: F.regexp_replace(bare(x), _COMMENT_WORD, " ")), " ")).alias("words"))
-    return lines.unionByName(joined).where(told(F.col("words"))).withColumn("named", any_of(F.col("words")))
+    line = lambda x: F.struct(number(x).alias("paragraph"), F.lit(1).alias("lines"), bare(x).alias("said"))
+    joined = F.struct(F.col("block").alias("paragraph"), F.size("said").alias("lines"), F.array_join(
+        F.transform("said", lambda x: F.regexp_replace(bare(x), _COMMENT_WORD, " ")), " ").alias("said"))
+    # lines and paragraphs in one list, so that documents are read once
+    every = F.concat(F.transform("said", line), F.filter(F.array(joined), lambda x: x["lines"] > 1))
+    texts = blocks.select("row", id, "block", F.explode(every).alias("of")).select(
+        "row", id, "block", "of.paragraph", "of.lines", normal_column(F.col("of.said")).alias("words"))
+    return texts.where(told(F.col("words"))).withColumn("named", any_of(F.col("words")))
 
 
 def _either(conditions: list[Column]) -> Column:
