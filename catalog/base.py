@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators.series import with_ordinal
 from tidemark.plans.staging import stage
@@ -46,11 +46,21 @@ def indexed(spark: SparkSession, sf: str, interval: str = "1h") -> DataFrame:
     return with_ordinal(bars(spark, sf, interval))
 
 
+def line_sequence(lineitem: DataFrame) -> Column:
+    """The order of line items by date, order and line number; a whole number inside a day where all of them allow it."""
+    day, order, number = F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")
+    packs = (day == day.cast("date")) & number.between(0, 7) & order.between(-(2**60), 2**60 - 1)
+    if lineitem.where(~F.coalesce(packs, F.lit(False))).isEmpty():
+        return order * 8 + number
+    return F.struct(day, order, number)
+
+
 def daily_ticks(spark: SparkSession, sf: str, by: str = "region") -> DataFrame:
-    line = with_place(table(spark, sf, "lineitem")).select(
+    lineitem = table(spark, sf, "lineitem")
+    line = with_place(lineitem).select(
         "l_suppkey", F.col("l_shipdate").alias("ts"), "place",
         # ticks of a day share their ts; order lines number them, and rows of the same order line their places
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+        line_sequence(lineitem).alias("seq"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty"),
     )
     if by == "supplier":

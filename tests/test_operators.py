@@ -527,3 +527,25 @@ def test_alignment_takes_the_first_of_equal_lines(spark, tmp_path):
     for name in ("j3_align_intersection", "j3_align_union"):
         got = entry.queries()[name](spark, folder).toPandas()
         assert len(got) and compare.differences(got, compare.oracle(folder).execute(entry.oracle_sql()[name]).df()) is None
+
+
+ODD_LINES = {
+    "hours": lambda t, i: t.assign(l_shipdate=t["l_shipdate"] + pd.to_timedelta((t["l_orderkey"] * 7919 + 13 * i) % 24, unit="h")),
+    "numbers": lambda t, i: t.assign(l_orderkey=t["l_orderkey"] % 40, l_linenumber=((t["l_linenumber"] * 7919 + 31 * i) % 900).astype("int32")),
+    "unpriced": lambda t, i: t.assign(l_extendedprice=t["l_extendedprice"].where((np.arange(len(t)) + i) % 3 > 0)),
+}
+
+
+@pytest.mark.parametrize("odd", ODD_LINES)
+def test_alignment_takes_the_last_line_as_sql_does(spark, tmp_path, odd):
+    """Dates with hours, more than seven lines in an order, lines without a price."""
+    import compare, __spark_entry__ as entry
+
+    folder = repeated_lines(spark, tmp_path)
+    t = pd.read_parquet(f"{folder}/lineitem.parquet")
+    t = pd.concat([ODD_LINES[odd](t, i) for i in range(2)])
+    t["l_shipdate"] = t["l_shipdate"].astype("datetime64[us]")
+    t.to_parquet(f"{folder}/lineitem.parquet")
+    for name in ("j3_align_intersection", "j3_align_union"):
+        got = entry.queries()[name](spark, folder).toPandas()
+        assert len(got) and compare.differences(got, compare.oracle(folder).execute(entry.oracle_sql()[name]).df()) is None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.plans.staging import stage
 from tidemark.schema import BAR_COLUMNS, MILLISECOND, PRICE_COLUMNS, duration, interval_length
@@ -38,19 +39,24 @@ def ticks_to_bars(
     (input partitions x bars) partial rows.  ``sequence`` is the fixed-width column giving the order
     of the ticks inside a bar, for data where several ticks share a ``ts``.  Where several share the
     sequence, a whole number, too, the one of the smallest ``place`` counts; without places any of them.
+    The sequence may be a struct, ordered by its fields in turn; the aggregate then sorts the ticks.  Ticks without a
+    price neither open nor close a bar.
     """
     keys = keys or ["symbol"]
     first = last = F.col(sequence)
-    if place is not None:
+    if place is not None and isinstance(ticks.schema[sequence].dataType, StructType):
+        first, last = F.struct(sequence, place), F.struct(sequence, -F.col(place))
+    elif place is not None:
         # a decimal has a fixed width, as a struct of both has not
         wide = F.col(sequence).cast("decimal(19,0)") * F.lit(_PLACES)
         first, last = wide + F.col(place), wide - F.col(place)
+    priced = F.col("price").isNotNull()
     win = F.window("ts", duration(interval))
     bars = ticks.groupBy(*keys, win.alias("w")).agg(
-        F.min_by("price", first).alias("open"),
+        F.min_by("price", F.when(priced, first)).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", last).alias("close"),
+        F.max_by("price", F.when(priced, last)).alias("close"),
         F.sum("qty").cast("double").alias("volume"),
         F.sum(F.col("price") * F.col("qty")).alias("quote_volume"),
         F.count(F.lit(1)).alias("trades"),
